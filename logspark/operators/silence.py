@@ -53,7 +53,7 @@ def with_silence_key(hits: DataFrame) -> DataFrame:
 
 
 def _narrow(hits: DataFrame) -> DataFrame:
-    period = F.when(F.col("silence_period") > 0, F.col("silence_period")).otherwise(DEFAULT_PERIOD)
+    period = F.when(F.col("silence_period") > 0, F.col("silence_period")).otherwise(DEFAULT_PERIOD).cast("bigint")
     us = micros(F.col("ts"))
     # balances the slots of a key against the walk over them
     slot_us = F.greatest(F.floor(F.sqrt(period * F.lit(HORIZON_SECONDS))), period).cast("bigint") * 1_000_000
@@ -64,7 +64,7 @@ def _narrow(hits: DataFrame) -> DataFrame:
         F.col("id").alias("hit_id"),
         alert_priority(F.col("alert_level")).alias("rank"),
         F.coalesce("allow_escalation", F.lit(False)).alias("escalates"),
-        (period.cast("bigint") * 1_000_000).alias("period_us"),
+        (period * 1_000_000).alias("period_us"),
         slot_us.alias("slot_us"),
     )
 
