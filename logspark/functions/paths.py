@@ -38,29 +38,38 @@ def _tag_index(path: str) -> int | None:
     return int(match[1]) if match else None
 
 
-def text_at(path: str) -> Column:
-    """Value as text; null where the path leads nowhere."""
+def text_sql(path: str) -> str:
+    """SQL of the value as text; null where the path leads nowhere."""
     if path in FIELD_COLUMNS:
-        return F.col(FIELD_COLUMNS[path]).cast("string")
+        return f"CAST({FIELD_COLUMNS[path]} AS STRING)"
     if _tag_index(path) is not None:
-        return F.get("tags", F.lit(_tag_index(path)))
+        return f"get(tags, {_tag_index(path)})"
     inner = json_path(path)
     if inner is None:
-        return F.lit(None).cast("string")
-    return F.try_variant_get(F.try_parse_json("extra"), inner, "string")
+        return "CAST(NULL AS STRING)"
+    return f"""try_variant_get(try_parse_json(extra), "{inner}", 'string')"""
 
 
-def number_at(path: str) -> Column:
-    """Value as a number; null where the value is missing or is not numeric JSON."""
+def number_sql(path: str) -> str:
+    """SQL of the value as a number; null where it is missing or is not numeric JSON."""
     if path in NUMERIC_FIELDS:
-        return F.col(FIELD_COLUMNS[path]).cast("double")
+        return f"CAST({FIELD_COLUMNS[path]} AS DOUBLE)"
     inner = json_path(path)
     if inner is None:
-        return F.lit(None).cast("double")
-    leaf = F.try_variant_get(F.try_parse_json("extra"), inner, "variant")
-    kind = F.schema_of_variant(leaf)
-    numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-    return F.when(numeric, F.try_variant_get(F.try_parse_json("extra"), inner, "double"))
+        return "CAST(NULL AS DOUBLE)"
+    leaf = f"""try_variant_get(try_parse_json(extra), "{inner}", 'variant')"""
+    return (
+        f"CASE WHEN schema_of_variant({leaf}) RLIKE '^(BIGINT|DOUBLE|FLOAT|DECIMAL)' "
+        f"THEN try_variant_get({leaf}, '$', 'double') END"
+    )
+
+
+def text_at(path: str) -> Column:
+    return F.expr(text_sql(path))
+
+
+def number_at(path: str) -> Column:
+    return F.expr(number_sql(path))
 
 
 def exists_at(path: str) -> Column:

@@ -72,21 +72,19 @@ def parse(df: DataFrame, value: str = "value") -> DataFrame:
 
 
 def first_text(names: list[str]) -> Column:
-    return F.coalesce(*[F.trim(F.col(n)) for n in names])
+    return F.expr(f"coalesce({', '.join(f'trim({n})' for n in names)})")
 
 
 def first_number(names: list[str], kind: str) -> Column:
-    """First alias that holds a number or numeric text; fractions are cut off."""
-    tries = []
-    for n in names:
-        number = F.expr(f"try_variant_get({n}, '$', 'bigint')")
-        plain = F.expr(f"try_variant_get({n}, '$', 'string')")
-        kind_of = F.schema_of_variant(F.expr(n))
-        tries.append(
-            F.when(kind_of == "STRING", F.trim(plain).try_cast(kind))
-            .when(kind_of != "BOOLEAN", number.try_cast(kind))
-        )
-    return F.coalesce(*tries)
+    """First alias that holds a number or numeric text; fractions of numbers are cut off."""
+    tries = [
+        f"""CASE schema_of_variant({n})
+              WHEN 'STRING' THEN try_cast(trim(try_variant_get({n}, '$', 'string')) AS {kind})
+              WHEN 'BOOLEAN' THEN NULL
+              ELSE try_cast(try_variant_get({n}, '$', 'bigint') AS {kind}) END"""
+        for n in names
+    ]
+    return F.expr(f"coalesce({', '.join(tries)})")
 
 
 def normalise(parsed: DataFrame, as_of=None, keep=()) -> DataFrame:

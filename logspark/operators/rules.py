@@ -32,78 +32,93 @@ RULE_FIELDS = (
 )
 
 
-def rule_paths(rules: DataFrame, prefix: str = "") -> list[str]:
+def rule_paths(rules: DataFrame) -> list[str]:
     """Distinct field paths the rules read. Rules are configuration; the size is checked all the same."""
-    metrics = rules.select(F.col("monitor_metric").alias("p")).filter("p is not null and p != ''")
-    targets = rules.select(
-        F.regexp_extract("monitor_target", r"^(?:field|userId|module|ip|operation):(.+)$", 1).alias("p")
-    ).filter("p rlike '[.\\\\[]' or p rlike '^[A-Za-z]+$'")
-    rows = metrics.union(targets).distinct().limit(MAX_PATHS + 1).collect()
+    rows = (
+        rules.select(F.explode(F.array(metric_path(), target_path())).alias("p"))
+        .filter("p is not null").distinct().limit(MAX_PATHS + 1).collect()
+    )
     if len(rows) > MAX_PATHS:
         raise ValueError(f"rules use more than {MAX_PATHS} distinct field paths")
     return sorted(r.p for r in rows)
 
 
-def _choose(selector: Column, names: list[str], value, kind: str) -> Column:
-    out = F
-    for name in names:
-        out = out.when(selector == name, value(name))
-    return out.otherwise(F.lit(None).cast(kind)) if out is not F else F.lit(None).cast(kind)
+def metric_path() -> Column:
+    """Field a rule reads; response time rules may leave it out."""
+    return F.expr(
+        "coalesce(nullif(monitor_metric, ''), CASE WHEN rule_type = 'RESPONSE_TIME' THEN 'responseTime' END)"
+    )
+
+
+def target_path() -> Column:
+    """Path behind the prefix of a target, where it is one: any ``field:``, or a nested one."""
+    return F.expr(
+        r"""CASE WHEN startswith(monitor_target, 'field:') THEN substr(monitor_target, 7)
+            WHEN monitor_target RLIKE '^(userId|module|ip|operation):.*[.\\[]'
+            THEN regexp_extract(monitor_target, ':(.*)$', 1) END"""
+    )
 
 
 def target_matches() -> Column:
     """Does the log row lie in the rule's scope? An empty value after a prefix means any."""
-    target = F.col("monitor_target")
+    return F.expr(
+        """CASE WHEN coalesce(monitor_target, '') = '' THEN true
+            WHEN startswith(monitor_target, 'field:') THEN true
+            WHEN startswith(monitor_target, 'userId:') THEN coalesce(
+                monitor_target = 'userId:' OR monitor_target RLIKE '[.\\\\[]' OR monitor_target = concat('userId:', user_id), false)
+            WHEN startswith(monitor_target, 'module:') THEN coalesce(contains(module, substr(monitor_target, 8)), false)
+            WHEN startswith(monitor_target, 'ip:') THEN coalesce(
+                monitor_target = 'ip:' OR monitor_target = concat('ip:', ip), false)
+            WHEN startswith(monitor_target, 'operation:') THEN coalesce(contains(operation, substr(monitor_target, 11)), false)
+            ELSE coalesce(contains(request_url, monitor_target), false)
+              OR coalesce(contains(module, monitor_target), false)
+              OR coalesce(contains(operation, monitor_target), false) END"""
+    )
 
-    def rest(prefix: str) -> Column:
-        return F.substring(target, F.lit(len(prefix) + 1), F.length(target))
 
-    free = (
-        F.coalesce(F.col("request_url").contains(target), F.lit(False))
-        | F.coalesce(F.col("module").contains(target), F.lit(False))
-        | F.coalesce(F.col("operation").contains(target), F.lit(False))
-    )
-    pathlike = lambda c: c.contains(".") | c.contains("[")
-    out = F.when(target.isNull() | (target == ""), F.lit(True)).when(
-        target.startswith("field:"), F.lit(True)
-    )
-    for prefix, column, _ in DIMENSIONS:
-        value, given = F.col(column), rest(prefix)
-        if column in ("user_id", "ip"):
-            extra_path = F.lit(False) if column == "ip" else pathlike(given)
-            hit = (given == "") | extra_path | (value == given)
-        else:
-            hit = value.contains(given)
-        out = out.when(target.startswith(prefix), F.coalesce(hit, F.lit(False)))
-    return out.otherwise(free)
+# Signs of (actual - expected) that each number operator accepts.
+_SIGNS = """CASE condition_operator WHEN '>' THEN array(1) WHEN '>=' THEN array(0, 1) WHEN '<' THEN array(-1)
+    WHEN '<=' THEN array(-1, 0) WHEN '=' THEN array(0) WHEN '==' THEN array(0) WHEN '!=' THEN array(-1, 1) END"""
 
 
 def match_rules(logs: DataFrame, rules: DataFrame, types=RULE_TYPES) -> DataFrame:
-    """Logs joined with the enabled rules of their system whose target they meet."""
+    """Logs joined with the enabled rules of their system whose target they meet.
+
+    The fields that rules name are read once per log row, before the join, into the arrays
+    ``_texts`` and ``_numbers``; a rule carries the positions of its fields.
+    """
+    names = rule_paths(rules)
+    known = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
+    place = lambda path: F.nullif(F.array_position(known, path), F.lit(0)).cast("int") - 1
     wanted = rules.filter((F.col("status") == 1) & F.col("rule_type").isin(*types)).select(
         F.col("id").alias("rule_id"),
         F.col("tenant_id").alias("_rule_tenant"),
         F.col("system_id").alias("_rule_system"),
         *RULE_FIELDS,
+        place(metric_path()).alias("_metric_at"),
+        place(target_path()).alias("_target_at"),
+        F.expr(_SIGNS).alias("_signs"),
+    )
+    texts = ", ".join(paths.text_sql(n) for n in names)
+    numbers = ", ".join(paths.number_sql(n) for n in names)
+    read = logs.selectExpr(
+        "*",
+        f"CAST(array({texts}) AS ARRAY<STRING>) AS _texts",
+        f"CAST(array({numbers}) AS ARRAY<DOUBLE>) AS _numbers",
     )
     on = (
         (F.col("tenant_id") == F.col("_rule_tenant"))
         & (F.col("system_id") == F.col("_rule_system"))
         & target_matches()
     )
-    return logs.join(wanted, on).drop("_rule_tenant", "_rule_system")
+    return read.join(wanted, on).drop("_rule_tenant", "_rule_system")
 
 
-def compare_numbers(actual: Column, expected: Column, operator: Column) -> Column:
-    hit = (
-        F.when(operator == ">", actual > expected)
-        .when(operator == ">=", actual >= expected)
-        .when(operator == "<", actual < expected)
-        .when(operator == "<=", actual <= expected)
-        .when(operator.isin("=", "=="), actual == expected)
-        .when(operator == "!=", actual != expected)
+def number_holds(actual: str, expected: str, kind: str = "DOUBLE") -> Column:
+    """Does the rule's number operator accept the two values?"""
+    return F.expr(
+        f"coalesce(array_contains(_signs, CAST(sign(CAST({actual} AS {kind}) - try_cast({expected} AS {kind})) AS INT)), false)"
     )
-    return F.coalesce(hit, F.lit(False))
 
 
 def compare_texts(actual: Column, expected: Column, operator: Column, patterns=()) -> Column:
@@ -141,27 +156,20 @@ def valid_patterns(rules: DataFrame) -> list[str]:
     return sorted(good)
 
 
-def metric_path() -> Column:
-    """Field a rule reads; response time rules may leave it out."""
-    metric = F.nullif(F.col("monitor_metric"), F.lit(""))
-    return F.when(
-        F.col("rule_type") == "RESPONSE_TIME", F.coalesce(metric, F.lit("responseTime"))
-    ).otherwise(metric)
-
-
 def stateless_hits(logs: DataFrame, rules: DataFrame, strict_long: bool = False) -> DataFrame:
     """Hits of RESPONSE_TIME, ERROR_RATE and FIELD_COMPARE; works on batches and streams.
 
     With ``strict_long`` numbers are cut to whole ones and decimal thresholds never match.
     """
-    names = sorted({*rule_paths(rules), "responseTime"})
-    matched = match_rules(logs, rules, STATELESS).withColumn("_path", metric_path())
-    number = _choose(F.col("_path"), names, paths.number_at, "double")
-    plain = _choose(F.col("_path"), names, paths.text_at, "string")
-    matched = matched.withColumns({"_number": number, "actual_value": plain})
-    kind = "bigint" if strict_long else "double"
-    actual = F.col("_number").cast(kind)
-    numeric = compare_numbers(actual, F.col("condition_value").try_cast(kind), F.col("condition_operator"))
+    matched = match_rules(logs, rules, STATELESS).withColumns(
+        {
+            "_number": F.get("_numbers", F.col("_metric_at")),
+            "actual_value": F.get("_texts", F.col("_metric_at")),
+        }
+    )
+    expected = "try_cast(condition_value AS BIGINT)" if strict_long else "condition_value"
+    actual = "try_cast(_number AS BIGINT)" if strict_long else "_number"
+    numeric = number_holds(actual, expected, "DECIMAL(20,0)" if strict_long else "DOUBLE")
     textual = compare_texts(
         F.col("actual_value"), F.col("condition_value"), F.col("condition_operator"),
         valid_patterns(rules),
@@ -169,39 +177,33 @@ def stateless_hits(logs: DataFrame, rules: DataFrame, strict_long: bool = False)
     fires = (
         F.when(F.col("rule_type") == "RESPONSE_TIME", numeric)
         .when(F.col("rule_type") == "ERROR_RATE", F.col("level") == "ERROR")
-        .when(F.col("rule_type") == "FIELD_COMPARE", F.when(F.col("_number").isNotNull(), numeric).otherwise(textual))
-        .otherwise(False)
+        .when(F.col("_number").isNotNull(), numeric)
+        .otherwise(textual)
     )
-    return matched.filter(F.coalesce(fires, F.lit(False))).drop("_path", "_number").withColumn(
+    return matched.filter(F.coalesce(fires, F.lit(False))).drop("_number").withColumn(
         "hit_count", F.lit(1).cast("bigint")
     )
 
 
-def _state_key(names: list[str], kinds: tuple[str, ...], url: bool) -> Column:
-    """Rule and the value of the dimension its target names."""
-    target = F.coalesce(F.col("monitor_target"), F.lit(""))
-    head = F.concat_ws(":", F.col("rule_id").cast("string"), "tenant_id", "system_id")
-    out = F
-    if url:
-        out = out.when(target.contains("/api/"), F.concat(F.lit("url:"), F.coalesce("request_url", F.lit("null"))))
+def _state_key(kinds: tuple[str, ...], url: bool) -> Column:
+    """Rule and the value of the dimension its target names; a nested path may replace the field."""
+    branches = ["WHEN contains(monitor_target, '/api/') THEN concat('url:', coalesce(request_url, 'null'))"] if url else []
+    nested = "get(_texts, _target_at)"
     for prefix, column, label in DIMENSIONS:
-        if prefix not in kinds:
-            continue
-        inner = F.substring(target, F.lit(len(prefix) + 1), F.length(target))
-        value = F.col(column)
-        if not url:
-            nested = inner.contains(".") | inner.contains("[")
-            value = F.when(nested, _choose(inner, names, paths.text_at, "string")).otherwise(value)
-        out = out.when(target.startswith(prefix), F.concat(F.lit(label), F.coalesce(value, F.lit("null"))))
-    field = _choose(F.substring(target, F.lit(7), F.length(target)), names, paths.text_at, "string")
-    out = out.when(target.startswith("field:"), F.concat(F.lit("field:"), F.coalesce(field, F.lit("null"))))
-    return F.concat(head, F.lit(":"), out.otherwise(target))
+        if prefix in kinds:
+            value = column if url else f"CASE WHEN _target_at IS NOT NULL THEN {nested} ELSE {column} END"
+            branches.append(
+                f"WHEN startswith(monitor_target, '{prefix}') THEN concat('{label}', coalesce({value}, 'null'))"
+            )
+    branches.append(f"WHEN startswith(monitor_target, 'field:') THEN concat('field:', coalesce({nested}, 'null'))")
+    dimension = f"CASE {' '.join(branches)} ELSE coalesce(monitor_target, '') END"
+    return F.expr(f"concat_ws(':', CAST(rule_id AS STRING), tenant_id, system_id, {dimension})")
 
 
 def batch_operation_rows(logs: DataFrame, rules: DataFrame) -> DataFrame:
     """Matched rows of BATCH_OPERATION rules with state key, threshold and window seconds."""
     parts = F.split("condition_value", ":")
-    key = _state_key(rule_paths(rules), tuple(p for p, *_ in DIMENSIONS), url=False)
+    key = _state_key(tuple(p for p, *_ in DIMENSIONS), url=False)
     return (
         match_rules(logs, rules, ("BATCH_OPERATION",))
         .withColumns(
@@ -219,8 +221,7 @@ def batch_operation_hits(logs: DataFrame, rules: DataFrame) -> DataFrame:
     """Every row at which the trailing count of its key meets the rule's condition."""
     rows = batch_operation_rows(logs, rules)
     counted = windows.trailing_count(rows, ["state_key"], F.col("window_seconds"), name="hit_count")
-    fires = compare_numbers(F.col("hit_count"), F.col("threshold"), F.col("condition_operator"))
-    return counted.filter(fires).withColumn("actual_value", F.col("hit_count").cast("string"))
+    return counted.filter(number_holds("hit_count", "threshold")).withColumn("actual_value", F.col("hit_count").cast("string"))
 
 
 def request_failed() -> Column:
@@ -238,7 +239,7 @@ def run_event() -> Column:
 
 
 def continuous_request_rows(logs: DataFrame, rules: DataFrame) -> DataFrame:
-    key = _state_key(rule_paths(rules), ("module:", "userId:"), url=True)
+    key = _state_key(("module:", "userId:"), url=True)
     return (
         match_rules(logs, rules, ("CONTINUOUS_REQUEST",))
         .withColumns(
@@ -256,9 +257,7 @@ def continuous_request_hits(logs: DataFrame, rules: DataFrame) -> DataFrame:
     """Every row of a run whose length meets the rule's condition; the opposite outcome resets it."""
     rows = continuous_request_rows(logs, rules)
     counted = windows.run_length(rows, ["state_key"], F.col("extends_run"), name="hit_count")
-    fires = F.col("extends_run") & compare_numbers(
-        F.col("hit_count"), F.col("threshold"), F.col("condition_operator")
-    )
+    fires = F.col("extends_run") & number_holds("hit_count", "threshold")
     return counted.filter(fires).withColumn("actual_value", F.col("hit_count").cast("string"))
 
 
@@ -282,24 +281,18 @@ def detect(logs: DataFrame, rules: DataFrame) -> DataFrame:
 
 def alert_content() -> Column:
     """Text of an alert from the rule and the row that set it off."""
-    word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    names = F.create_map(*[F.lit(x) for pair in TYPE_NAMES.items() for x in pair])
-    kind = F.coalesce(F.try_element_at(names, F.col("rule_type")), F.col("rule_type"))
-    line = lambda label, *values: F.concat(F.lit(label), *values, F.lit("\n"))
-    return F.concat(
-        line("规则名称: ", word("rule_name")),
-        line("规则类型: ", kind),
-        line("监控对象: ", word("monitor_target")),
-        line("监控字段: ", word("monitor_metric")),
-        line("触发条件: ", word("monitor_metric"), F.lit(" "), word("condition_operator"), F.lit(" "), word("condition_value")),
-        F.when(F.col("actual_value").isNotNull(), line("实际值: ", word("actual_value"))).otherwise(""),
-        line("\n触发日志详情:"),
-        line("时间: ", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")),
-        line("级别: ", word("level")),
-        line("模块: ", word("module")),
-        line("消息: ", word("message")),
-        F.when(F.col("response_time").isNotNull(), line("响应时间: ", word("response_time"), F.lit("ms"))).otherwise(""),
-        F.when(F.col("user_id").isNotNull(), line("用户: ", word("user_name"), F.lit(" ("), word("user_id"), F.lit(")"))).otherwise(""),
+    names = " ".join(f"WHEN '{kind}' THEN '{name}'" for kind, name in TYPE_NAMES.items())
+    word = lambda c: f"coalesce(CAST({c} AS STRING), 'null')"
+    return F.expr(
+        f"""concat(
+            '规则名称: ', {word('rule_name')}, '\\n规则类型: ', CASE rule_type {names} ELSE rule_type END,
+            '\\n监控对象: ', {word('monitor_target')}, '\\n监控字段: ', {word('monitor_metric')},
+            '\\n触发条件: ', {word('monitor_metric')}, ' ', {word('condition_operator')}, ' ', {word('condition_value')}, '\\n',
+            if(actual_value IS NULL, '', concat('实际值: ', actual_value, '\\n')),
+            '\\n触发日志详情:\\n时间: ', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS"),
+            '\\n级别: ', {word('level')}, '\\n模块: ', {word('module')}, '\\n消息: ', {word('message')}, '\\n',
+            if(response_time IS NULL, '', concat('响应时间: ', response_time, 'ms\\n')),
+            if(user_id IS NULL, '', concat('用户: ', {word('user_name')}, ' (', user_id, ')\\n')))"""
     )
 
 

@@ -7,25 +7,30 @@ key to one task would not survive a hot key. Instead a key is cut into time slot
 2. a walk over these short summaries finds how each slot really is entered;
 3. each slot then marks its own fired hits, and counts those it held back.
 
-Steps 1 and 3 run per (key, slot). Step 2 sees about one silence period of hits per slot.
+Steps 1 and 3 are spread by (key, slot). Step 2 sees about one silence period of hits per
+slot. All three read sorted rows and work on whole blocks of slots at once.
 """
 
+import sys
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.levels import alert_priority
 from ..functions.numbers import micros
+from ..session import send_code_of
 
 DEFAULT_PERIOD = 300
 HORIZON_SECONDS = 30 * 86_400
 NOTHING = -(2**62)
 
-_KEYED = "silence_key STRING, slot BIGINT"
-_SUMMARY = f"{_KEYED}, level INT, bound_us BIGINT, exit_us BIGINT, exit_rank INT, period_us BIGINT"
-_ENTRY = f"{_KEYED}, in_us BIGINT, in_rank INT"
+_BY_SLOT = ["silence_key", "slot"]
+_SUMMARY = "silence_key STRING, slot BIGINT, level INT, bound_us BIGINT, exit_us BIGINT, exit_rank INT, period_us BIGINT"
+_ENTRY = "silence_key STRING, slot BIGINT, in_us BIGINT, in_rank INT"
 _SEGMENT = (
-    f"{_KEYED}, seq BIGINT, fired BOOLEAN, hit_id STRING, us BIGINT, "
+    "silence_key STRING, slot BIGINT, end_us BIGINT, hit_id STRING, fired BOOLEAN, "
     "suppressed BIGINT, first_us BIGINT, last_us BIGINT"
 )
 
@@ -69,140 +74,209 @@ def _narrow(hits: DataFrame) -> DataFrame:
     )
 
 
-def _ordered(pdf: pd.DataFrame):
-    pdf = pdf.sort_values(["us", "hit_id"], kind="stable")
-    return (
-        pdf, pdf["us"].to_numpy(np.int64), pdf["rank"].to_numpy(np.int64),
-        pdf["escalates"].to_numpy(bool), int(pdf["period_us"].iloc[0]),
-    )
-
-
-def _next_fired(us, rank, escalates, period) -> np.ndarray:
-    """For each hit, if it fires: index of the next hit to fire (``len`` if none in the slot)."""
-    follow = np.searchsorted(us, us + period, side="left")
-    for level in np.unique(rank):
-        urgent = np.flatnonzero(escalates & (rank < level))
-        if len(urgent):
-            mine = np.flatnonzero(rank == level)
-            sooner = np.append(urgent, len(us))[np.searchsorted(urgent, mine, side="right")]
-            follow[mine] = np.minimum(follow[mine], sooner)
-    return follow
-
-
-def _exits(follow: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Last hit to fire in the slot, for each hit that may fire first."""
-    at = starts.copy()
-    while True:
-        step = follow[at]
-        moving = step < len(follow)
-        if not moving.any():
-            return at
-        at = np.where(moving, step, at)
-
-
-def _summarise(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _whole_slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Regroup sorted batches so that no slot is split between two blocks."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        key, slot = frame["silence_key"].to_numpy(), frame["slot"].to_numpy()
+        last_slot = np.flatnonzero((key != key[-1]) | (slot != slot[-1]))
+        cut = int(last_slot[-1]) + 1 if len(last_slot) else 0
+        continues = held and held[0]["silence_key"].iloc[0] == key[-1] and held[0]["slot"].iloc[0] == slot[-1]
+        if cut:
+            yield pd.concat([*held, frame.iloc[:cut]], ignore_index=True)
+            held = [frame.iloc[cut:]]
+        elif continues:
+            held.append(frame)
+        else:
+            if held:
+                yield pd.concat(held, ignore_index=True)
+            held = [frame]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+class _Block:
+    """A run of whole slots as arrays. Times are laid out on one axis on which slots never meet."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.key, self.slot = rows["silence_key"].to_numpy(), rows["slot"].to_numpy()
+        self.us, self.rank = rows["us"].to_numpy(), rows["rank"].to_numpy()
+        self.escalates = rows["escalates"].to_numpy(dtype=bool)
+        period, slot_us = rows["period_us"].to_numpy(), rows["slot_us"].to_numpy()
+        self.period = period
+        n = len(rows)
+        opens = np.ones(n, bool)
+        opens[1:] = (self.key[1:] != self.key[:-1]) | (self.slot[1:] != self.slot[:-1])
+        self.start = np.flatnonzero(opens)  # first row of each slot
+        self.group = np.cumsum(opens) - 1
+        self.end = np.append(self.start[1:], n)
+        stride = int(slot_us.max() + period.max()) + 1
+        self.inside = self.us - self.slot * slot_us  # time since the slot began
+        self.axis = self.group * stride + self.inside
+        self.base = np.arange(len(self.start)) * stride
+        self.follow = self._follow()
+
+    def _follow(self) -> np.ndarray:
+        """For each hit, if it fires: the next hit of its slot to fire, or the slot's end."""
+        limit = self.end[self.group]
+        follow = np.minimum(np.searchsorted(self.axis, self.axis + self.period), limit)
+        for level in np.unique(self.rank):
+            urgent = np.flatnonzero(self.escalates & (self.rank < level))
+            if len(urgent):
+                mine = np.flatnonzero(self.rank == level)
+                sooner = np.append(urgent, len(self.us))[np.searchsorted(urgent, mine, side="right")]
+                follow[mine] = np.minimum(follow[mine], sooner)
+        return np.minimum(follow, limit)
+
+    def first_urgent(self, level: int) -> np.ndarray:
+        """Per slot, the first hit that escalates over the level; the slot's end if there is none."""
+        out = self.end.copy()
+        urgent = np.flatnonzero(self.escalates & (self.rank < level))
+        groups, first = np.unique(self.group[urgent], return_index=True)
+        out[groups] = urgent[first]
+        return out
+
+    def exits(self, at: np.ndarray) -> np.ndarray:
+        """Last hit to fire in the slot, for each hit that may fire first."""
+        limit = self.end[self.group[at]]
+        while True:
+            step = self.follow[at]
+            moving = step < limit
+            if not moving.any():
+                return at
+            at = np.where(moving, step, at)
+
+
+def _summarise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Step 1. Rows with level 0: entered after the silence; others: by escalation over that level."""
-    slot_start = int(pdf["slot"].iloc[0]) * int(pdf["slot_us"].iloc[0])
-    _, us, rank, escalates, period = _ordered(pdf)
-    follow = _next_fired(us, rank, escalates, period)
-    last = min(int(np.searchsorted(us, slot_start + period, side="left")) + 1, len(us))
-    left = _exits(follow, np.arange(last))
-    ends = np.append(np.flatnonzero(np.diff(left)), last - 1)  # entries with equal exits merge
-    level, bound, exits = [0] * len(ends), list(us[ends]), list(left[ends])
-    for above in np.unique(np.append(rank, [2, 3, 999])):
-        urgent = np.flatnonzero(escalates & (rank < above))
-        if len(urgent):
-            level.append(int(above))
-            bound.append(us[urgent[0]])
-            exits.append(_exits(follow, urgent[:1])[0])
-    return pd.DataFrame(
-        {
-            "silence_key": key[0], "slot": key[1], "level": np.array(level, np.int32),
-            "bound_us": np.array(bound, np.int64), "exit_us": us[exits],
-            "exit_rank": rank[exits].astype(np.int32), "period_us": period,
-        }
-    )
+    for rows in _whole_slots(frames):
+        b = _Block(rows)
+        first_calm = np.searchsorted(b.axis, b.base + b.period[b.start])
+        candidate = b.inside < b.period
+        candidate[first_calm[first_calm < b.end]] = True
+        entry = np.flatnonzero(candidate)
+        left = b.exits(entry)
+        # entries next to each other with equal exits merge into the last of them
+        keep = np.append((left[1:] != left[:-1]) | (b.group[entry][1:] != b.group[entry][:-1]), True)
+        level, at, exit_at = [np.zeros(int(keep.sum()), np.int32)], [entry[keep]], [left[keep]]
+        for above in np.unique(np.append(b.rank, [2, 3, 999])):
+            urgent = b.first_urgent(int(above))
+            urgent = urgent[urgent < b.end]
+            if len(urgent):
+                level.append(np.full(len(urgent), above, np.int32))
+                at.append(urgent)
+                exit_at.append(b.exits(urgent))
+        at, exit_at = np.concatenate(at), np.concatenate(exit_at)
+        yield pd.DataFrame(
+            {
+                "silence_key": b.key[at], "slot": b.slot[at], "level": np.concatenate(level),
+                "bound_us": b.us[at], "exit_us": b.us[exit_at],
+                "exit_rank": b.rank[exit_at].astype(np.int32), "period_us": b.period[at],
+            }
+        )
 
 
-def _walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Step 2. Carry the last fired hit from slot to slot."""
-    pdf = pdf.sort_values(["slot", "level", "bound_us"], kind="stable")
-    slots, in_us, in_rank = [], [], []
+def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Step 2. Carry the last fired hit from slot to slot. Rows come by key, slot, level, bound."""
+    key = slot = None
     last_us, last_rank = NOTHING, 0
-    for slot, part in pdf.groupby("slot", sort=True):
-        slots.append(slot)
-        in_us.append(last_us)
-        in_rank.append(last_rank)
-        steps = part[part["level"] == 0]
-        wake = last_us + int(part["period_us"].iloc[0])
-        chosen = None
-        place = int(np.searchsorted(steps["bound_us"].to_numpy(), wake, side="left"))
-        if place < len(steps):
-            chosen = steps.iloc[place]
-        urgent = part[part["level"] == last_rank] if last_rank else part.iloc[:0]
-        if len(urgent) and int(urgent["bound_us"].iloc[0]) < wake:
-            chosen = urgent.iloc[0]
-        if chosen is not None:
-            last_us, last_rank = int(chosen["exit_us"]), int(chosen["exit_rank"])
-    return pd.DataFrame(
-        {
-            "silence_key": key[0], "slot": np.array(slots, np.int64),
-            "in_us": np.array(in_us, np.int64), "in_rank": np.array(in_rank, np.int32),
-        }
-    )
+    calm = urgent = None  # exits chosen so far in the current slot
+
+    def leave():
+        chosen = urgent or calm
+        return (chosen[0], chosen[1]) if chosen else (last_us, last_rank)
+
+    for frame in frames:
+        out = []
+        for k, s, level, bound, exit_us, exit_rank, period in zip(*(frame[c].tolist() for c in frame.columns)):
+            if k != key or s != slot:
+                last_us, last_rank = leave() if k == key else (NOTHING, 0)
+                key, slot, calm, urgent = k, s, None, None
+                out.append((k, s, last_us, last_rank))
+            wake = last_us + period
+            if level == 0:
+                if calm is None and bound >= wake:
+                    calm = (exit_us, exit_rank)
+            elif level == last_rank and bound < wake:
+                urgent = (exit_us, exit_rank)
+        columns = list(zip(*out)) if out else [(), (), (), ()]
+        yield pd.DataFrame(
+            {
+                "silence_key": pd.Series(columns[0], dtype=object), "slot": np.array(columns[1], np.int64),
+                "in_us": np.array(columns[2], np.int64), "in_rank": np.array(columns[3], np.int32),
+            }
+        )
 
 
-def _mark(key, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-    """Step 3. Fired hits with what was held back before each, and the rest of the slot."""
-    rows, us, rank, escalates, period = _ordered(pdf)
-    follow = _next_fired(us, rank, escalates, period)
-    last_us, last_rank = int(entry["in_us"].iloc[0]), int(entry["in_rank"].iloc[0])
-    at = int(np.searchsorted(us, last_us + period, side="left"))
-    if last_rank:
-        urgent = np.flatnonzero(escalates & (rank < last_rank))
-        if len(urgent):
-            at = min(at, int(urgent[0]))
-    fired = []
-    while at < len(us):
-        fired.append(at)
-        at = int(follow[at])
-    ids = rows["hit_id"].to_numpy()
-    begin = np.append(-1, fired).astype(np.int64) + 1  # first hit held back before each mark
-    end = np.append(fired, len(us)).astype(np.int64)
-    held = end - begin
-    some = held > 0
-    pick = lambda index: pd.array(
-        np.where(some, us[np.clip(index, 0, len(us) - 1)], 0), dtype="Int64"
-    )
-    first, final = pick(begin), pick(end - 1)
-    first[~some] = pd.NA
-    final[~some] = pd.NA
-    n = len(fired)
-    return pd.DataFrame(
-        {
-            "silence_key": key[0], "slot": key[1], "seq": np.arange(n + 1, dtype=np.int64),
-            "fired": np.append(np.ones(n, bool), False),
-            "hit_id": pd.Series([*ids[fired], None], dtype=object),
-            "us": pd.array([*us[fired].tolist(), None], dtype="Int64"),
-            "suppressed": held, "first_us": first, "last_us": final,
-        }
-    )
+def _mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Step 3. A row per fired hit with what was held back before it, and one for the rest of a slot."""
+    for mixed in _whole_slots(frames):
+        entry = mixed["is_entry"].to_numpy(dtype=bool)
+        in_us, in_rank = mixed["us"].to_numpy()[entry], mixed["rank"].to_numpy()[entry]
+        rows = mixed[~entry]
+        b = _Block(rows)
+        slot_began = b.us[b.start] - b.inside[b.start]
+        wake = np.maximum(in_us + b.period[b.start] - slot_began, 0)
+        at = np.minimum(np.searchsorted(b.axis, b.base + wake), b.end)
+        for level in np.unique(in_rank[in_rank > 0]):
+            here = in_rank == level
+            at[here] = np.minimum(at, b.first_urgent(int(level)))[here]
+        fired = np.zeros(len(rows), bool)
+        limit = b.end
+        while True:
+            live = at < limit
+            if not live.any():
+                break
+            at, limit = at[live], limit[live]
+            fired[at] = True
+            at = b.follow[at]
+        begins = np.zeros(len(rows), bool)
+        begins[b.start] = True
+        begins[1:] |= fired[:-1]
+        first = np.flatnonzero(begins)
+        last = np.append(first[1:], len(rows)) - 1
+        ends_fired = fired[last]
+        held = last - first + 1 - ends_fired
+        some = held > 0
+        pick = lambda index: pd.Series(b.us[np.where(some, index, 0)]).astype("Int64").mask(~some)
+        ids = rows["hit_id"].to_numpy()[last]
+        yield pd.DataFrame(
+            {
+                "silence_key": b.key[last], "slot": b.slot[last], "end_us": b.us[last],
+                "hit_id": pd.Series(np.where(ends_fired, ids, None), dtype=object), "fired": ends_fired,
+                "suppressed": held, "first_us": pick(first), "last_us": pick(last - ends_fired),
+            }
+        )
 
 
 def segments(keyed_hits: DataFrame) -> DataFrame:
-    """One row per fired hit with the hits held back before it, and one open row per key.
+    """One row per fired hit with the hits held back before it, and one for those after the last.
 
-    Both passes over the hits shuffle the same narrow columns by (key, slot), so Spark
-    reuses the exchange. The slot is a span of time: no task receives a whole key.
+    Only narrow columns are shuffled. A slot is a span of time: no task receives a whole key.
+    The silence period is a setting of the rule and must be the same for all hits of a key.
     """
     narrow = _narrow(keyed_hits)
-    by_slot = ["silence_key", "slot"]
+    order = [*_BY_SLOT, "us", "hit_id"]
+    summaries = narrow.repartition(*_BY_SLOT).sortWithinPartitions(*order).mapInPandas(_summarise, _SUMMARY)
     entries = (
-        narrow.groupBy(*by_slot).applyInPandas(_summarise, _SUMMARY)
-        .groupBy("silence_key").applyInPandas(_walk, _ENTRY)
+        summaries.repartition("silence_key")
+        .sortWithinPartitions("silence_key", "slot", "level", "bound_us")
+        .mapInPandas(_walk, _ENTRY)
+    )
+    # the state a slot is entered with travels as its first row
+    first_rows = entries.select(
+        *_BY_SLOT, F.col("in_us").alias("us"), F.col("in_rank").alias("rank"), F.lit(True).alias("is_entry")
+    )
+    entered = narrow.withColumn("is_entry", F.lit(False)).unionByName(first_rows, allowMissingColumns=True)
+    marks = (
+        entered.fillna(0, ["period_us", "slot_us"]).fillna(False, ["escalates"])
+        .repartition(*_BY_SLOT)
+        .sortWithinPartitions(*_BY_SLOT, F.col("is_entry").desc(), "us", "hit_id")
+        .mapInPandas(_mark, _SEGMENT)
     )
-    marks = narrow.groupBy(*by_slot).cogroup(entries.groupBy(*by_slot)).applyInPandas(_mark, _SEGMENT)
-    before = W.partitionBy("silence_key").orderBy("slot", "seq").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("silence_key").orderBy("slot", "end_us", "fired").rowsBetween(W.unboundedPreceding, -1)
     grouped = marks.withColumn(
         "alert_no", F.coalesce(F.sum(F.col("fired").cast("int")).over(before), F.lit(0))
     )
@@ -212,7 +286,7 @@ def segments(keyed_hits: DataFrame) -> DataFrame:
         .agg(
             F.bool_or("fired").alias("fired"),
             F.max("hit_id").alias("hit_id"),
-            F.max("us").alias("_us"),
+            F.max(F.when(F.col("fired"), F.col("end_us"))).alias("_us"),
             F.sum("suppressed").alias("suppressed_count"),
             F.min("first_us").alias("_first"),
             F.max("last_us").alias("_last"),
@@ -237,7 +311,7 @@ def silence_stats(parts: DataFrame, as_of, expire_hours: int = 2) -> DataFrame:
     """Active keys, keys with suppressed hits not yet reported, and how many those are."""
     per_key = parts.groupBy("silence_key").agg(
         F.max("fired_at").alias("last_alert"),
-        F.sum(F.when(~F.col("fired"), F.col("suppressed_count"))).alias("open"),
+        F.coalesce(F.sum(F.when(~F.col("fired"), F.col("suppressed_count"))), F.lit(0)).alias("open"),
     )
     live = per_key.filter(
         F.col("last_alert") >= F.lit(str(as_of)).cast("timestamp") - F.make_dt_interval(hours=F.lit(expire_hours))
@@ -261,3 +335,6 @@ def apply_resets(keyed_hits: DataFrame, resets: DataFrame) -> DataFrame:
         .withColumn("silence_key", F.when(epoch > 0, F.concat_ws("#", "silence_key", epoch)).otherwise(F.col("silence_key")))
         .drop("_resets")
     )
+
+
+send_code_of(sys.modules[__name__])

@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,6 +26,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf) -
     return spark
 
 
+def send_code_of(module) -> None:
+    """Ship the functions of a module inside the tasks, so workers need no copy of this package."""
+    cloudpickle.register_pickle_by_value(module)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise a frame in the shared checkpoint folder, so lost executors cost no recomputation."""
     spark = df.sparkSession

@@ -15,66 +15,54 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# Log columns as expressions over ``events``, in two steps.
+_STEPS = {
+    "response_time": "CAST(floor(value * 20) AS BIGINT)",
+    "module": "concat('mod_', event_id % 7)",
+    "level": """CASE WHEN event_type = 'error' THEN 'ERROR' WHEN floor(value * 20) > 3000 THEN 'WARN'
+                WHEN event_type = 'view' THEN 'DEBUG' ELSE 'INFO' END""",
+}
+_COLUMNS = {
+    "id": "CAST(event_id AS STRING)",
+    "trace_id": "concat('tr_', CAST(floor(event_id / 10) AS STRING))",
+    "span_id": "concat('sp_', event_id % 10)",
+    "tenant_id": "concat('tenant_', user_id % 2)",
+    "system_id": "concat('sys_', user_id % 6)",
+    "system_name": "concat('System ', user_id % 6)",
+    "ts": "CAST(ts AS TIMESTAMP)",
+    "level": "level",
+    "logger": "'AccessLog'",
+    "thread": "concat('worker-', event_id % 16)",
+    "class_name": "concat('com.demo.', module, '.Service')",
+    "method_name": "'run'",
+    "line_number": "CAST(event_id % 500 AS INT)",
+    "message": "concat('user ', user_id, ' called ', module, '.', event_type, ' on item ', event_id)",
+    "exception": f"""CASE WHEN level = 'ERROR' THEN concat(
+        get(array({', '.join(repr(c) for c in EXCEPTIONS)}), CAST(event_id % 4 AS INT)),
+        ': failed on item ', event_id, '\\n\\tat com.demo.', module, '.Service.run(Service.java:',
+        event_id % 500, ')\\nCaused by: java.io.IOException: disk\\n') END""",
+    "user_id": "CAST(user_id AS STRING)",
+    "user_name": "concat('User', user_id)",
+    "module": "module",
+    "operation": "concat(module, '.', event_type)",
+    "request_url": "concat('/api/', event_type, '/', event_id % 7)",
+    "request_method": "if(event_id % 2 = 0, 'GET', 'POST')",
+    "request_params": "CAST(NULL AS STRING)",
+    "response_time": "response_time",
+    "status_code": """CASE WHEN level = 'ERROR' AND event_id % 3 = 0 THEN 500
+                      WHEN level = 'WARN' AND event_id % 4 = 0 THEN 404 ELSE 200 END""",
+    "ip": "concat('10.0.', user_id % 256, '.', event_id % 256)",
+    "user_agent": "'agent/1.0'",
+    "tags": "array(event_type, lower(level))",
+    "extra": "props",
+    "log_date": "to_date(CAST(ts AS TIMESTAMP))",
+}
+
+
 def logs_from_events(events: DataFrame) -> DataFrame:
     """Log table with ``log_date``; expressions only, so pruning and pushdown reach the scan."""
-    eid, uid = F.col("event_id"), F.col("user_id")
-    response = F.floor(F.col("value") * 20).cast("bigint")
-    level = (
-        F.when(F.col("event_type") == "error", "ERROR")
-        .when(response > 3000, "WARN")
-        .when(F.col("event_type") == "view", "DEBUG")
-        .otherwise("INFO")
-    )
-    module = F.concat(F.lit("mod_"), (eid % 7).cast("string"))
-    operation = F.concat(module, F.lit("."), F.col("event_type"))
-    status = (
-        F.when((level == "ERROR") & (eid % 3 == 0), 500)
-        .when((level == "WARN") & (eid % 4 == 0), 404)
-        .otherwise(200)
-    )
-    classes = F.array(*[F.lit(c) for c in EXCEPTIONS])
-    stack = F.concat(
-        F.get(classes, (eid % 4).cast("int")),
-        F.lit(": failed on item "), eid.cast("string"),
-        F.lit("\n\tat com.demo."), module, F.lit(".Service.run(Service.java:"),
-        (eid % 500).cast("string"), F.lit(")\nCaused by: java.io.IOException: disk\n"),
-    )
-    return events.select(
-        eid.cast("string").alias("id"),
-        F.concat(F.lit("tr_"), F.floor(eid / 10).cast("string")).alias("trace_id"),
-        F.concat(F.lit("sp_"), (eid % 10).cast("string")).alias("span_id"),
-        F.concat(F.lit("tenant_"), (uid % 2).cast("string")).alias("tenant_id"),
-        F.concat(F.lit("sys_"), (uid % 6).cast("string")).alias("system_id"),
-        F.concat(F.lit("System "), (uid % 6).cast("string")).alias("system_name"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        level.alias("level"),
-        F.lit("AccessLog").alias("logger"),
-        F.concat(F.lit("worker-"), (eid % 16).cast("string")).alias("thread"),
-        F.concat(F.lit("com.demo."), module, F.lit(".Service")).alias("class_name"),
-        F.lit("run").alias("method_name"),
-        (eid % 500).cast("int").alias("line_number"),
-        F.concat(
-            F.lit("user "), uid.cast("string"), F.lit(" called "), operation,
-            F.lit(" on item "), eid.cast("string"),
-        ).alias("message"),
-        F.when(level == "ERROR", stack).alias("exception"),
-        uid.cast("string").alias("user_id"),
-        F.concat(F.lit("User"), uid.cast("string")).alias("user_name"),
-        module.alias("module"),
-        operation.alias("operation"),
-        F.concat(F.lit("/api/"), F.col("event_type"), F.lit("/"), (eid % 7).cast("string")).alias("request_url"),
-        F.when(eid % 2 == 0, "GET").otherwise("POST").alias("request_method"),
-        F.lit(None).cast("string").alias("request_params"),
-        response.alias("response_time"),
-        status.alias("status_code"),
-        F.concat(
-            F.lit("10.0."), (uid % 256).cast("string"), F.lit("."), (eid % 256).cast("string")
-        ).alias("ip"),
-        F.lit("agent/1.0").alias("user_agent"),
-        F.array(F.col("event_type"), F.lower(level)).alias("tags"),
-        F.col("props").alias("extra"),
-        F.to_date(F.col("ts").cast("timestamp")).alias("log_date"),
-    )
+    steps = events.selectExpr("*", *[f"{sql} AS {name}" for name, sql in _STEPS.items()])
+    return steps.selectExpr(*[f"{sql} AS {name}" for name, sql in _COLUMNS.items()])
 
 
 def load_logs(spark: SparkSession, folder: str) -> DataFrame:
