@@ -30,7 +30,7 @@ _BY_SLOT = ["silence_key", "slot"]
 _SUMMARY = "silence_key STRING, slot BIGINT, level INT, bound_us BIGINT, exit_us BIGINT, exit_rank INT, period_us BIGINT"
 _ENTRY = "silence_key STRING, slot BIGINT, in_us BIGINT, in_rank INT"
 _SEGMENT = (
-    "silence_key STRING, slot BIGINT, end_us BIGINT, hit_id STRING, fired BOOLEAN, "
+    "silence_key STRING, slot BIGINT, place BIGINT, end_us BIGINT, hit_id STRING, fired BOOLEAN, "
     "suppressed BIGINT, first_us BIGINT, last_us BIGINT"
 )
 
@@ -244,7 +244,8 @@ def _mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = rows["hit_id"].to_numpy()[last]
         yield pd.DataFrame(
             {
-                "silence_key": b.key[last], "slot": b.slot[last], "end_us": b.us[last],
+                "silence_key": b.key[last], "slot": b.slot[last],
+                "place": last - b.start[b.group[last]], "end_us": b.us[last],
                 "hit_id": pd.Series(np.where(ends_fired, ids, None), dtype=object), "fired": ends_fired,
                 "suppressed": held, "first_us": pick(first), "last_us": pick(last - ends_fired),
             }
@@ -276,7 +277,7 @@ def segments(keyed_hits: DataFrame) -> DataFrame:
         .sortWithinPartitions(*_BY_SLOT, F.col("is_entry").desc(), "us", "hit_id")
         .mapInPandas(_mark, _SEGMENT)
     )
-    before = W.partitionBy("silence_key").orderBy("slot", "end_us", "fired").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("silence_key").orderBy("slot", "place").rowsBetween(W.unboundedPreceding, -1)
     grouped = marks.withColumn(
         "alert_no", F.coalesce(F.sum(F.col("fired").cast("int")).over(before), F.lit(0))
     )

@@ -183,7 +183,12 @@ def _(spark, folder):
     return silence.silence_stats(silence.segments(hits), AS_OF, expire_hours=72)
 
 
-@query("silence_after_resets")
+RESETS_SQL = SILENCE_SQL.replace(", h0 AS (", """, rs AS (SELECT DISTINCT date_trunc('day', ts) AS t FROM logs WHERE module = 'mod_0' AND level = 'WARN'),
+eps AS (SELECT l.id, count(rs.t) AS ep FROM logs l LEFT JOIN rs ON rs.t <= l.ts AND l.event_id % 2 = 0 GROUP BY 1),
+h0 AS (""").replace(" AS k FROM logs WHERE", " || CASE WHEN ep > 0 THEN '#' || CAST(ep AS VARCHAR) ELSE '' END AS k FROM logs JOIN eps USING (id) WHERE")
+
+
+@query("silence_after_resets", RESETS_SQL + "SELECT silence_key, hit_id AS id, suppressed_count FROM seg WHERE fired")
 def _(spark, folder):
     hits = silence.with_silence_key(hits_frame(spark, folder))
     resets = load_logs(spark, folder).filter("module = 'mod_0' and level = 'WARN'").select(

@@ -56,5 +56,8 @@ ALERT_SCHEMA = _schema(ALERT_DDL)
 SYSTEM_SCHEMA = _schema(SYSTEM_DDL)
 TENANT_SCHEMA = _schema(TENANT_DDL)
 
+# JSON text must not cut times to milliseconds.
+JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
 LOG_COLUMNS = LOG_SCHEMA.fieldNames()
 PARTITION_COLUMNS = ["tenant_id", "system_id", "log_date"]

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import abbreviate
 from ..operators.windows import latest_per_key
-from ..schema import LOG_COLUMNS, LOG_SCHEMA, PARTITION_COLUMNS
+from ..schema import JSON_OPTIONS, LOG_COLUMNS, LOG_SCHEMA, PARTITION_COLUMNS
 
 SHEET_ROWS = 1_000_000
 # Columns of the tabular export, in order.
@@ -86,22 +86,27 @@ def read_logs(spark: SparkSession, path: str, tenant_id: str | None = None, syst
 def export_json(df: DataFrame, path: str, rows_per_file: int = 0) -> None:
     """JSON lines with the document id and the table partition of each row."""
     partition = F.concat_ws("-", "tenant_id", "system_id", F.date_format("ts", "yyyy.MM.dd"))
-    writer = df.withColumns({"_id": document_id(), "_index": partition}).write.mode("overwrite")
+    named = df.withColumns({"_id": document_id(), "_index": partition})
+    writer = named.write.mode("overwrite").options(**JSON_OPTIONS)
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.json(path)
 
 
 def write_archive(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Gzip JSON by tenant, system and day. The partition columns are kept inside the rows too."""
-    named = df.withColumn("log_date", F.to_date("ts"))
-    doubled = named.withColumns({f"p_{c}": F.col(c) for c in PARTITION_COLUMNS})
-    renamed = doubled.drop("log_date").withColumnsRenamed({f"p_{c}": f"archive_{c}" for c in PARTITION_COLUMNS})
-    spread = F.pmod(F.xxhash64("id"), F.lit(8))
+    """Gzip JSON by tenant, system and day. The keys are kept inside the rows too.
+
+    With ``mode="overwrite"`` only the partitions present in ``df`` are replaced.
+    """
     keys = [f"archive_{c}" for c in PARTITION_COLUMNS]
+    named = df.withColumns(
+        {"archive_tenant_id": F.col("tenant_id"), "archive_system_id": F.col("system_id"),
+         "archive_log_date": F.to_date("ts"), "_spread": F.pmod(F.xxhash64("id"), F.lit(8))}
+    )
     (
-        renamed.withColumn("_spread", spread).repartition(*keys, "_spread").drop("_spread")
-        .write.mode(mode).partitionBy(*keys).option("compression", "gzip").json(path)
+        named.repartition(*keys, "_spread").drop("_spread", "log_date")
+        .write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*keys).option("compression", "gzip").options(**JSON_OPTIONS).json(path)
     )
 
 
@@ -109,7 +114,7 @@ def read_archive(spark: SparkSession, path: str, tenant_id: str | None = None,
                  system_id: str | None = None, day=None) -> DataFrame:
     keys = "archive_tenant_id STRING, archive_system_id STRING, archive_log_date DATE"
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LOG_SCHEMA.fields)
-    df = spark.read.schema(f"{fields}, {keys}").json(path)
+    df = spark.read.schema(f"{fields}, {keys}").options(**JSON_OPTIONS).json(path)
     if tenant_id is not None:
         df = df.filter(F.col("archive_tenant_id") == tenant_id)
     if system_id is not None:
@@ -148,7 +153,7 @@ def sheet(df: DataFrame) -> DataFrame:
 
 
 def export_sheets(df: DataFrame, path: str, rows_per_sheet: int = SHEET_ROWS) -> None:
-    sheet(df).write.mode("overwrite").option("header", "true").option("escape", '"').option(
+    sheet(df).write.mode("overwrite").options(header="true", escape='"', **JSON_OPTIONS).option(
         "maxRecordsPerFile", rows_per_sheet
     ).csv(path)
 
@@ -158,7 +163,7 @@ def export_days(df: DataFrame, path: str, first_day, last_day) -> None:
     days = df.filter(F.to_date("ts").between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date")))
     (
         sheet(days).withColumn("log_date", F.to_date("ts"))
-        .write.mode("overwrite").option("header", "true").option("escape", '"')
+        .write.mode("overwrite").options(header="true", escape='"', **JSON_OPTIONS)
         .option("maxRecordsPerFile", SHEET_ROWS).partitionBy("log_date").csv(path)
     )
 
