@@ -59,7 +59,7 @@ def main() -> None:
 
     bulk = {
         "ingest_to_table": lambda: store.write_logs(
-            ingest.ingest(spark.read.text(lines), "2024-01-30 12:00:00").filter("is_valid"), f"{work}/table", "overwrite", 1
+            ingest.ingest(spark.read.text(lines), "2024-01-30 12:00:00").filter("is_valid"), f"{work}/table", "overwrite"
         ),
         "rule_evaluation": lambda: drop(rule_ops.stateless_hits(logs, rules)),
         "json_export": lambda: store.export_json(logs, f"{work}/json"),

@@ -4,9 +4,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import paths
 from ..operators import alerts, rules as rule_ops, silence
-from ..schema import RULE_SCHEMA
+from ..schema import RULE_DDL
 from ..sources.events import load_logs, read_table, rules_from_customers
-from .registry import AS_OF, LOGS, query
+from .registry import AS_OF, LOGS, inline, query
 
 # id, tenant, system, type, target, metric, operator, value, level, status
 RULE_ROWS = [
@@ -38,7 +38,7 @@ def rules_frame(spark) -> DataFrame:
          level, 86_400, "TARGET", i % 2 == 0, True, status, None, None)
         for i, t, s, kind, target, metric, op, value, level, status in RULE_ROWS
     ]
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+    return inline(spark, rows, RULE_DDL)
 
 
 STATELESS_SQL = LOGS + """, hit AS (

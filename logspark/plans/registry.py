@@ -94,11 +94,28 @@ SYSTEMS_SQL = "systems(id, tenant_id, system_id, system_name, status, create_tim
 LOGS_AND_SYSTEMS = LOGS + ", " + SYSTEMS_SQL + "\n"
 
 
+def inline(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """Small literal frame as SQL VALUES; its size is known to the optimizer."""
+    def text(value) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return str(value)
+
+    fields = [f.split() for f in ddl.split(",")]
+    values = ", ".join("(" + ", ".join(map(text, row)) + ")" for row in rows)
+    columns = ", ".join(f"CAST(c{i} AS {kind}) AS {name}" for i, (name, kind) in enumerate(fields))
+    names = ", ".join(f"c{i}" for i in range(len(fields)))
+    return spark.sql(f"SELECT {columns} FROM VALUES {values} AS t({names})")
+
+
 def systems_frame(spark: SparkSession) -> DataFrame:
     rows = [(i, t, s, n, st, f"2024-01-{i:02d} 00:00:00") for i, t, s, n, st in SYSTEM_ROWS]
-    return spark.createDataFrame(
-        rows, "id BIGINT, tenant_id STRING, system_id STRING, system_name STRING, status INT, c STRING"
-    ).withColumn("create_time", F.col("c").cast("timestamp")).drop("c")
+    return inline(
+        spark, rows,
+        "id BIGINT, tenant_id STRING, system_id STRING, system_name STRING, status INT, create_time TIMESTAMP",
+    )
 
 
 def half_up(value: str, digits: int = 2) -> str:

@@ -46,19 +46,16 @@ def with_partitions(df: DataFrame) -> DataFrame:
     )
 
 
-def write_logs(df: DataFrame, path: str, mode: str = "append", files_per_partition: int = 8,
-               max_records_per_file: int = 5_000_000) -> None:
-    """Write by tenant, system and day.
+def _balanced(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Gather rows by target partition before a write. Adaptive execution merges small
+    partitions into one task and splits a hot one over several, by measured size."""
+    return df.hint("rebalance", *keys)
 
-    Rows of one partition are spread over a fixed number of tasks, so that neither a
-    hot system ends up in one task nor a small one in a file per task.
-    """
-    spread = F.pmod(F.xxhash64("id"), F.lit(files_per_partition))
+
+def write_logs(df: DataFrame, path: str, mode: str = "append", max_records_per_file: int = 5_000_000) -> None:
+    """Write by tenant, system and day."""
     (
-        with_partitions(df)
-        .withColumn("_spread", spread)
-        .repartition(*PARTITION_COLUMNS, "_spread")
-        .drop("_spread")
+        _balanced(with_partitions(df), PARTITION_COLUMNS)
         .sortWithinPartitions(*PARTITION_COLUMNS, "ts")
         .write.mode(mode)
         .option("maxRecordsPerFile", max_records_per_file)
@@ -101,10 +98,10 @@ def write_archive(df: DataFrame, path: str, mode: str = "append") -> None:
     keys = [f"archive_{c}" for c in PARTITION_COLUMNS]
     named = df.withColumns(
         {"archive_tenant_id": F.col("tenant_id"), "archive_system_id": F.col("system_id"),
-         "archive_log_date": F.to_date("ts"), "_spread": F.pmod(F.xxhash64("id"), F.lit(8))}
+         "archive_log_date": F.to_date("ts")}
     )
     (
-        named.repartition(*keys, "_spread").drop("_spread", "log_date")
+        _balanced(named.drop("log_date"), keys)
         .write.mode(mode).option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys).option("compression", "gzip").options(**JSON_OPTIONS).json(path)
     )

@@ -48,6 +48,7 @@ def _replace(df: DataFrame, path: str, batch_id: int, keys: list[str]) -> None:
     """Write a micro-batch so that a replay of the same batch replaces it."""
     (
         df.withColumn("ingest_batch", F.lit(batch_id))
+        .hint("rebalance", *keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys, "ingest_batch")

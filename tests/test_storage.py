@@ -25,7 +25,7 @@ def logs(spark):
 @pytest.fixture(scope="module")
 def table(spark, logs, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("logs"))
-    store.write_logs(logs, path, mode="overwrite", files_per_partition=2)
+    store.write_logs(logs, path, mode="overwrite")
     return path
 
 
@@ -102,7 +102,7 @@ def test_batch_export(spark, logs, tmp_path):
 
 def test_lifecycle(spark, logs, tmp_path):
     table, archive = str(tmp_path / "t"), str(tmp_path / "a")
-    store.write_logs(logs, table, files_per_partition=1)
+    store.write_logs(logs, table)
     before = logs.count()
     assert {r.action for r in run_lifecycle(spark, table, archive, "2024-01-31").collect()} == {"ARCHIVE", "KEEP"}
     assert store.read_logs(spark, table).count() == before
