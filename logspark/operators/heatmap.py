@@ -130,7 +130,7 @@ def summary(logs: DataFrame, day, limit: int = MAX_MODULES) -> DataFrame:
         F.max("call_count").alias("peak_calls"),
         F.min_by("hour", F.when(F.col("call_count") > 0, F.struct("call_count", "hour"))).alias("valley"),
         F.min(F.when(F.col("call_count") > 0, F.col("call_count"))).alias("valley_calls"),
-    ).withColumn("k", F.lit(1))
+    )
     # ties: the module first in (calls desc, name) order
     rate = F.col("error_count") / F.col("call_count")
     ranked = modules.withColumn(
@@ -143,9 +143,10 @@ def summary(logs: DataFrame, day, limit: int = MAX_MODULES) -> DataFrame:
         round_half_up(F.avg(F.when(F.col("avg_ms") > 0, F.col("avg_ms")))).alias("avg_response_time"),
         F.max_by("module", F.struct("call_count", -F.col("place"))).alias("most_active_module"),
         F.max_by("module", F.struct(rate, -F.col("place"))).alias("highest_error_rate_module"),
-    ).withColumn("k", F.lit(1))
+    )
     clock = lambda c: F.format_string("%02d:00", F.coalesce(F.col(c), F.lit(0)))
-    return totals.join(hours, "k").select(
+    # the hours are one row, read as a scalar
+    return totals.withColumn("h", hours.select(F.struct("*")).scalar()).select("*", "h.*").select(
         "total_modules", F.coalesce("total_calls", F.lit(0)).alias("total_calls"),
         F.coalesce("total_errors", F.lit(0)).alias("total_errors"),
         percent(F.col("total_errors"), F.col("total_calls")).alias("error_rate"),

@@ -95,6 +95,7 @@ def match_rules(logs: DataFrame, rules: DataFrame, types=RULE_TYPES) -> DataFram
         F.col("tenant_id").alias("_rule_tenant"),
         F.col("system_id").alias("_rule_system"),
         *RULE_FIELDS,
+        F.col("update_time").alias("rule_version"),
         place(metric_path()).alias("_metric_at"),
         place(target_path()).alias("_target_at"),
         F.expr(_SIGNS).alias("_signs"),
@@ -217,9 +218,14 @@ def batch_operation_rows(logs: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def batch_operation_hits(logs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every row at which the trailing count of its key meets the rule's condition."""
+def batch_operation_hits(logs: DataFrame, rules: DataFrame, resets: DataFrame | None = None) -> DataFrame:
+    """Every row at which the trailing count of its key meets the rule's condition.
+
+    ``resets`` (``rule_id``, ``reset_time``) clear what a rule has counted so far.
+    """
     rows = batch_operation_rows(logs, rules)
+    if resets is not None:
+        rows = windows.restart_keys(rows, resets, "state_key")
     counted = windows.trailing_count(rows, ["state_key"], F.col("window_seconds"), name="hit_count")
     return counted.filter(number_holds("hit_count", "threshold")).withColumn("actual_value", F.col("hit_count").cast("string"))
 
@@ -253,9 +259,12 @@ def continuous_request_rows(logs: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def continuous_request_hits(logs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every row of a run whose length meets the rule's condition; the opposite outcome resets it."""
+def continuous_request_hits(logs: DataFrame, rules: DataFrame, resets: DataFrame | None = None) -> DataFrame:
+    """Every row of a run whose length meets the rule's condition; the opposite outcome ends it,
+    as do ``resets`` (``rule_id``, ``reset_time``)."""
     rows = continuous_request_rows(logs, rules)
+    if resets is not None:
+        rows = windows.restart_keys(rows, resets, "state_key")
     counted = windows.run_length(rows, ["state_key"], F.col("extends_run"), name="hit_count")
     fires = F.col("extends_run") & number_holds("hit_count", "threshold")
     return counted.filter(fires).withColumn("actual_value", F.col("hit_count").cast("string"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions.levels import alert_priority
 from ..functions.numbers import micros
 from ..session import send_code_of
+from .windows import restart_keys
 
 DEFAULT_PERIOD = 300
 HORIZON_SECONDS = 30 * 86_400
@@ -325,17 +326,8 @@ def silence_stats(parts: DataFrame, as_of, expire_hours: int = 2) -> DataFrame:
 
 
 def apply_resets(keyed_hits: DataFrame, resets: DataFrame) -> DataFrame:
-    """A reset (``rule_id``, ``reset_time``) starts a new silence state for every key of the rule.
-
-    Resets are rare manual acts; the list of times per rule joins as one small row.
-    """
-    times = resets.groupBy("rule_id").agg(F.collect_list("reset_time").alias("_resets"))
-    epoch = F.size(F.filter(F.coalesce("_resets", F.array().cast("array<timestamp>")), lambda r: r <= F.col("ts")))
-    return (
-        keyed_hits.join(times, "rule_id", "left")
-        .withColumn("silence_key", F.when(epoch > 0, F.concat_ws("#", "silence_key", epoch)).otherwise(F.col("silence_key")))
-        .drop("_resets")
-    )
+    """A reset starts a new silence state for every key of the rule."""
+    return restart_keys(keyed_hits, resets, "silence_key")
 
 
 send_code_of(sys.modules[__name__])

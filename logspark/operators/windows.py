@@ -92,7 +92,7 @@ def trailing_count(df: DataFrame, keys: list[str], seconds: int | Column, ts: st
 
 
 def run_length(df: DataFrame, keys: list[str], failed: Column, ts: str = "ts", tie: str = "id",
-               name: str = "run_length", slot_seconds: int = 3600) -> DataFrame:
+               name: str = "run_length", slot_seconds: int = 600) -> DataFrame:
     """Length of the unbroken run of failures that ends at the row; 0 on a success.
 
     Runs are counted inside slots; a slot that opens with failures adds the run
@@ -156,3 +156,16 @@ def first_n_per_bucket(df: DataFrame, bucket: Column, limit: int, slot: Column,
         salted = salted.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.col("_room"))
     columns = df.columns
     return sure.select(*columns).unionByName(salted.select(*columns))
+
+
+def restart_keys(df: DataFrame, resets: DataFrame, key: str) -> DataFrame:
+    """Give every key of a rule a new name at each reset (``rule_id``, ``reset_time``), so that
+    state from before is not seen again. Resets are rare manual acts: their times per rule
+    join as one small row."""
+    times = resets.groupBy("rule_id").agg(F.collect_set("reset_time").alias("_resets"))
+    epoch = F.size(F.filter("_resets", lambda r: r <= F.col("ts")))
+    return (
+        df.join(times, "rule_id", "left")
+        .withColumn(key, F.when(F.coalesce(epoch, F.lit(0)) > 0, F.concat_ws("#", key, epoch)).otherwise(F.col(key)))
+        .drop("_resets")
+    )

@@ -101,6 +101,39 @@ def _(spark, folder):
     return rule_ops.continuous_request_hits(load_logs(spark, folder), rules_frame(spark)).select("rule_id", "id", "hit_count")
 
 
+def _select_of(sql: str) -> tuple[str, str]:
+    """CTEs behind the log view, and the final SELECT, of one of the texts above."""
+    body = sql[len(LOGS):]
+    at = body.rindex("\nSELECT")
+    return body[:at], body[at:]
+
+
+_BATCH, _RUNS = _select_of(BATCH_SQL), _select_of(RUNS_SQL)
+ALL_HITS_SQL = (
+    STATELESS_SQL + _BATCH[0].replace("m AS (", "mb AS (").replace("FROM m a JOIN m b", "FROM mb a JOIN mb b")
+    + _RUNS[0].replace("m AS (", "mr AS (").replace("FROM m)", "FROM mr)") + """
+SELECT rule_id::BIGINT AS rule_id, id, 1::BIGINT AS hit_count FROM hit UNION ALL"""
+    + _BATCH[1] + " UNION ALL" + _RUNS[1]
+)
+
+
+@query("all_rule_hits", ALL_HITS_SQL)
+def _(spark, folder):
+    return rule_ops.detect(load_logs(spark, folder), rules_frame(spark)).select("rule_id", "id", "hit_count")
+
+
+@query("rule_hits_after_resets", BATCH_SQL.replace("m AS (", """rs AS (SELECT DISTINCT date_trunc('day', ts) AS t FROM logs WHERE module = 'mod_0' AND level = 'WARN'),
+m0 AS (""").replace("c AS (SELECT", """m AS (SELECT m0.rule_id, m0.w, m0.k || '#' || CAST(count(rs.t) FILTER (m0.rule_id = 20) AS VARCHAR) AS k, m0.id, m0.us
+  FROM m0 JOIN logs l ON l.id = m0.id LEFT JOIN rs ON rs.t <= l.ts GROUP BY m0.rule_id, m0.w, m0.k, m0.id, m0.us),
+c AS (SELECT"""))
+def _(spark, folder):
+    logs = load_logs(spark, folder)
+    resets = logs.filter("module = 'mod_0' and level = 'WARN'").select(
+        F.lit(20).cast("bigint").alias("rule_id"), F.date_trunc("day", "ts").alias("reset_time")
+    )
+    return rule_ops.batch_operation_hits(logs, rules_frame(spark), resets).select("rule_id", "id", "hit_count")
+
+
 @query("nested_field_values", LOGS + """
 SELECT id, json_extract_string(extra, '$.k') AS k_text, CAST(json_extract_string(extra, '$.k') AS DOUBLE) AS k_number,
   CAST(NULL AS VARCHAR) AS nothing, json_exists(extra, '$.k') AS k_exists, false AS z_exists FROM logs""")

@@ -74,6 +74,19 @@ def _(spark, folder):
     return ret.already_archived(manifest(spark, folder), archived(spark, folder))
 
 
+@query("lifecycle_plan", MANIFEST + """, j AS (SELECT coalesce(p.tenant_id, a.tenant_id) AS tenant_id, coalesce(p.system_id, a.system_id) AS system_id,
+  coalesce(p.log_date, a.log_date) AS log_date, p.rows IS NOT NULL AS hot, a.rows IS NOT NULL AS archived
+  FROM (SELECT * FROM parts WHERE log_date >= DATE '2024-01-08') p FULL JOIN archived a
+  ON p.tenant_id = a.tenant_id AND p.system_id = a.system_id AND p.log_date = a.log_date)
+SELECT *, CASE WHEN log_date < DATE '2024-01-05' THEN 'EXPIRE' WHEN hot AND log_date <= DATE '2024-01-28' AND archived THEN 'DROP_HOT'
+  WHEN hot AND log_date <= DATE '2024-01-28' THEN 'ARCHIVE' ELSE 'KEEP' END AS action FROM j""")
+def _(spark, folder):
+    from .lifecycle import lifecycle_plan
+
+    hot = manifest(spark, folder).filter("log_date >= date'2024-01-08'")
+    return lifecycle_plan(hot, archived(spark, folder), "2024-02-04", cold_days=30)
+
+
 @query("export_estimates", MANIFEST + """
 SELECT tenant_id, system_id, log_date, rows, rows * 2048 AS json_bytes, rows * 1024 AS sheet_bytes,
   rows > 500000 OR rows * 2048 > 1073741824 AS needs_chunks, rows > 1000000 AS needs_many_sheets FROM parts""")

@@ -175,16 +175,20 @@ def _stateful(rows: DataFrame, keyed: DataFrame, processor: StatefulProcessor, s
 _COUNTED = "payload STRING, hit_count BIGINT"
 
 
+def _versioned(rows: DataFrame) -> DataFrame:
+    """An edited rule gets new state keys; those of its older version age out."""
+    version = F.unix_micros("rule_version").cast("string")
+    return rows.withColumns({"signs": F.col("_signs"), "state_key": F.concat_ws("@", "state_key", version)})
+
+
 def batch_operation_stream(logs: DataFrame, rules: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    rows = rule_ops.batch_operation_rows(logs, rules)
-    flat = rows.withColumn("signs", F.col("_signs"))
+    flat = _versioned(rule_ops.batch_operation_rows(logs, rules))
     keyed = _keyed(flat, "state_key", delay, window_us=F.col("window_seconds").cast("bigint") * 1_000_000)
     return _hits(_stateful(flat, keyed, TrailingCount(), _COUNTED))
 
 
 def continuous_request_stream(logs: DataFrame, rules: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    rows = rule_ops.continuous_request_rows(logs, rules)
-    flat = rows.withColumn("signs", F.col("_signs"))
+    flat = _versioned(rule_ops.continuous_request_rows(logs, rules))
     keyed = _keyed(flat, "state_key", delay, extends=F.col("extends_run"))
     return _hits(_stateful(flat, keyed, FailureRun(), _COUNTED).filter("extends_run"))
 

@@ -6,6 +6,8 @@ import pathlib
 import pytest
 from pyspark.sql import functions as F
 
+from logspark.operators import search
+from logspark.operators.search import LogQuery
 from logspark.operators.windows import latest_per_key
 from logspark.plans.detection import run_detection
 from logspark.plans.alert_queries import rules_frame
@@ -43,6 +45,17 @@ def test_table_round_trip_and_pruning(spark, logs, table):
     assert "PartitionFilters: [" in plan and "log_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_search_reaches_the_scan(spark, table):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    q = LogQuery(tenant_id="tenant_1", level="ERROR", start="2024-01-05 06:00:00", end="2024-01-07", min_response_time=10)
+    df = search.search(store.read_logs(spark, table), q).select("id", "message")
+    scan = df._jdf.queryExecution().executedPlan().toString().split("FileScan parquet", 1)[1]
+    partitions, pushed = scan.split("PartitionFilters:")[1].split("PushedFilters:")
+    assert "log_date" in partitions and "tenant_id" in partitions
+    assert all(f in pushed for f in ("EqualTo(level,ERROR)", "GreaterThanOrEqual(ts", "GreaterThanOrEqual(response_time,10)"))
+    assert "exception" not in pushed.split("ReadSchema:")[1]
+
+
 def test_names_are_safe(spark):
     df = spark.createDataFrame([(" Acme_1/.. ",), (None,), ("***",), ("X" * 60,)], "v STRING")
     got = [r[0] for r in df.select(store.safe_name(F.col("v"), "default")).collect()]
