@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from logspark.operators import catalog, health, heatmap, retention as ret, search, spans
+from logspark.operators import catalog, health, heatmap, retention as ret, search, spans, stats
 from logspark.operators.search import LogQuery
 
 DAY = dt.datetime(2024, 1, 10)
@@ -77,6 +77,19 @@ def test_keyword_terms():
     assert search.keyword_terms('(Order+17) "FAILED"  ') == ["order", "17", "failed"]
 
 
+def test_approximate_variants_are_close(spark):
+    rows = spark.range(5000).select(
+        F.col("id").cast("string").alias("id"), F.lit(DAY).cast("timestamp").alias("ts"), F.lit("t").alias("tenant_id"),
+        F.lit("s").alias("system_id"), F.lit("INFO").alias("level"), F.lit(200).alias("status_code"),
+        F.col("id").alias("response_time"), F.lit("m").alias("module"), (F.col("id") % 1000).cast("string").alias("user_id"),
+    )
+    exact, near = stats.period_stats(rows).first(), stats.period_stats(rows, approx=True).first()
+    assert exact.user_count == 1000 and abs(near.user_count - 1000) < 150
+    assert (near.total_count, near.avg_response_time) == (5000, 2500)
+    p99 = [health.metrics(rows, ["system_id"], approx).first().p99_ms for approx in (False, True)]
+    assert p99[0] == pytest.approx(4949.01) and abs(p99[1] - 4949) < 10
+
+
 def test_spans():
     assert spans.last_days("2024-03-01 10:00:00", 2) == (dt.datetime(2024, 2, 29), dt.datetime(2024, 3, 2))
 
