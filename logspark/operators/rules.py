@@ -31,6 +31,15 @@ RULE_FIELDS = (
     "enable_aggregation",
 )
 
+# Columns of a hit: the log row it came from, the rule, and what was measured.
+HIT_COLUMNS = (
+    "id", "ts", "tenant_id", "system_id", "level", "module", "operation", "message", "user_id",
+    "user_name", "ip", "request_url", "response_time", "rule_id", *RULE_FIELDS,
+    "actual_value", "hit_count",
+)
+# What stateful rules carry through their shuffles.
+_CARRIED = (*HIT_COLUMNS[:-2], "rule_version", "state_key", "threshold", "_signs")
+
 
 def rule_paths(rules: DataFrame) -> list[str]:
     """Distinct field paths the rules read. Rules are configuration; the size is checked all the same."""
@@ -215,6 +224,7 @@ def batch_operation_rows(logs: DataFrame, rules: DataFrame) -> DataFrame:
             }
         )
         .filter("threshold is not null and window_seconds > 0")
+        .select(*_CARRIED, "window_seconds")
     )
 
 
@@ -256,6 +266,7 @@ def continuous_request_rows(logs: DataFrame, rules: DataFrame) -> DataFrame:
             }
         )
         .filter("threshold is not null")
+        .select(*_CARRIED, "extends_run")
     )
 
 
@@ -270,13 +281,6 @@ def continuous_request_hits(logs: DataFrame, rules: DataFrame, resets: DataFrame
     return counted.filter(fires).withColumn("actual_value", F.col("hit_count").cast("string"))
 
 
-HIT_COLUMNS = (
-    "id", "ts", "tenant_id", "system_id", "level", "module", "operation", "message", "user_id",
-    "user_name", "ip", "request_url", "response_time", "rule_id", *RULE_FIELDS,
-    "actual_value", "hit_count",
-)
-
-
 def detect(logs: DataFrame, rules: DataFrame) -> DataFrame:
     """All hits of all rule types, one row per log row and rule."""
     parts = (

@@ -44,8 +44,8 @@ def trailing_count(df: DataFrame, keys: list[str], seconds: int | Column, ts: st
 
     The window is exactly 64 slots wide, and may differ from key to key. A row's count is
     its rank in its own slot, plus the whole slots behind it, less the rows of the oldest
-    slot that have already left. The last part is read off "ghosts": copies of the keys
-    moved forward by one window, sorted into the same slot.
+    slot that have already left. The last part is read off "ghosts": the keys and times
+    alone, moved forward by one window and sorted into the same slot.
     """
     slots = 64
     width = (seconds if isinstance(seconds, Column) else F.lit(seconds)).cast("bigint") * (
@@ -61,33 +61,21 @@ def trailing_count(df: DataFrame, keys: list[str], seconds: int | Column, ts: st
         *keys, "_slot", F.coalesce(F.sum("_n").over(behind), F.lit(0)).alias("_behind")
     )
 
-    payload = F.struct(*[F.col(c) for c in df.columns])
-    both = placed.select(
-        *keys,
-        F.explode(
-            F.array(
-                F.struct(F.col("_slot").alias("s"), F.col("_us").alias("us"), F.lit(0).alias("ghost"),
-                         F.col(tie).alias("tie"), payload.alias("row")),
-                F.struct((F.col("_slot") + slots).alias("s"),
-                         (F.col("_us") + width * slots).alias("us"), F.lit(1).alias("ghost"),
-                         F.col(tie).alias("tie"),
-                         F.when(F.lit(False), payload).alias("row")),
-            )
-        ).alias("e"),
-    ).select(*keys, F.col("e.s").alias("_slot"), F.col("e.us").alias("_us"),
-             F.col("e.ghost").alias("_ghost"), F.col("e.tie").alias("_tie"), F.col("e.row").alias("_row"))
+    ghosts = placed.select(
+        *keys, (F.col("_slot") + slots).alias("_slot"), (F.col("_us") + width * slots).alias("_us"),
+        F.lit(1).alias("_ghost"),
+    )
+    both = placed.withColumn("_ghost", F.lit(0)).unionByName(ghosts, allowMissingColumns=True)
     w = (
-        W.partitionBy(*keys, "_slot").orderBy("_us", "_ghost", "_tie")
+        W.partitionBy(*keys, "_slot").orderBy("_us", "_ghost", tie)
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    counted = both.select(
-        *keys, "_slot", "_ghost", "_row",
-        F.sum(1 - F.col("_ghost")).over(w).alias("_rank"),
-        F.sum("_ghost").over(w).alias("_left"),
-    ).filter(F.col("_ghost") == 0)
-    out = counted.join(history, [*keys, "_slot"])
-    return out.select(
-        "_row.*", (F.col("_rank") + F.col("_behind") - F.col("_left")).cast("bigint").alias(name)
+    counted = both.withColumns(
+        {"_rank": F.sum(1 - F.col("_ghost")).over(w), "_left": F.sum("_ghost").over(w)}
+    ).filter("_ghost = 0")
+    total = F.col("_rank") + F.col("_behind") - F.col("_left")
+    return counted.join(history, [*keys, "_slot"]).select(
+        *[F.col(c) for c in df.columns], total.cast("bigint").alias(name)
     )
 
 
