@@ -52,26 +52,25 @@ def metrics(logs: DataFrame, keys: list, approx: bool = False) -> DataFrame:
     )
 
 
-def with_scores(df: DataFrame) -> DataFrame:
-    """Scores from metrics; groups without rows score 100."""
-    total, avg_ms = F.coalesce(F.col("total"), F.lit(0)), F.col("avg_ms")
-    availability = F.when(total == 0, 100.0).otherwise(
-        clamp((total - F.col("failed")) / total * 100.0, 0.0, 100.0)
-    )
-    performance = F.when(avg_ms.isNull() | (avg_ms <= 0), 100.0).otherwise(
-        clamp((1.0 - avg_ms / MAX_RESPONSE_MS) * 100.0, 0.0, 100.0)
-    )
-    exception = F.when(total == 0, 100.0).otherwise(
-        clamp((1.0 - F.col("errors") / total) * 100.0, 0.0, 100.0)
-    )
-    scored = df.withColumns(
-        {"availability": availability, "performance": performance, "exception": exception}
-    )
+def scores(total: Column, errors: Column, failed: Column, avg_ms: Column) -> dict[str, Column]:
+    """The three part scores and the weighted overall score; groups without rows score 100."""
+    part = {
+        "availability": F.when(total == 0, 100.0).otherwise(clamp((total - failed) / total * 100.0, 0.0, 100.0)),
+        "performance": F.when(avg_ms.isNull() | (avg_ms <= 0), 100.0).otherwise(
+            clamp((1.0 - avg_ms / MAX_RESPONSE_MS) * 100.0, 0.0, 100.0)
+        ),
+        "exception": F.when(total == 0, 100.0).otherwise(clamp((1.0 - errors / total) * 100.0, 0.0, 100.0)),
+    }
     overall = (
-        F.col("availability") * 0.4 + F.col("performance") * 0.3
-        + F.col("exception") * 0.2 + F.lit(RESOURCE_SCORE * 0.1)
+        part["availability"] * 0.4 + part["performance"] * 0.3
+        + part["exception"] * 0.2 + F.lit(RESOURCE_SCORE * 0.1)
     )
-    return scored.withColumn("overall", overall)
+    return {**part, "overall": overall}
+
+
+def with_scores(df: DataFrame) -> DataFrame:
+    total = F.coalesce(F.col("total"), F.lit(0))
+    return df.withColumns(scores(total, F.col("errors"), F.col("failed"), F.col("avg_ms")))
 
 
 def system_health(logs: DataFrame, systems: DataFrame, start, end, approx: bool = False) -> DataFrame:
@@ -230,23 +229,19 @@ def overview(logs: DataFrame, systems: DataFrame, as_of) -> DataFrame:
     counts = [c for c in sums.columns if c not in (*dims.SYSTEM_KEY, "avg_ms_now", "avg_ms_old")]
     every = dims.for_every_system(systems, sums, counts)
 
-    def score(tag: str) -> DataFrame:
-        named = every.select(
-            *dims.SYSTEM_KEY, "today_n", "yesterday_n",
-            *[F.col(f"{c}_{tag}").alias(c) for c in ("total", "errors", "failed", "avg_ms")],
-        )
-        return with_scores(named)
+    def rounded(tag: str) -> Column:
+        columns = (F.col(f"{c}_{tag}") for c in ("total", "errors", "failed", "avg_ms"))
+        return round_half_up(scores(*columns)["overall"])
 
-    current = score("now").agg(
+    mean = lambda c: F.coalesce(round_half_up(F.avg(c), 1), F.lit(0.0))
+    current = every.withColumns({"now": rounded("now"), "old": rounded("old")}).agg(
         F.count(F.lit(1)).alias("total_systems"),
         F.coalesce(F.sum("today_n"), F.lit(0)).alias("today_log_count"),
         F.coalesce(F.sum("yesterday_n"), F.lit(0)).alias("yesterday_log_count"),
-        F.count_if(round_half_up(F.col("overall")) < 60).alias("abnormal_system_count"),
-        F.coalesce(round_half_up(F.avg(round_half_up(F.col("overall"))), 1), F.lit(0.0)).alias("avg_health_score"),
+        F.count_if(F.col("now") < 60).alias("abnormal_system_count"),
+        mean("now").alias("avg_health_score"),
+        mean("old").alias("previous_score"),
     )
-    before = score("old").agg(
-        F.coalesce(round_half_up(F.avg(round_half_up(F.col("overall"))), 1), F.lit(0.0))
-    ).scalar()
     new = systems.filter(
         (F.col("create_time") >= F.date_trunc("month", spans.instant(now)))
     ).agg(F.count(F.lit(1))).scalar()
@@ -254,5 +249,5 @@ def overview(logs: DataFrame, systems: DataFrame, as_of) -> DataFrame:
         "total_systems", new.alias("new_systems_this_month"), "today_log_count",
         growth_rate(F.col("today_log_count"), F.col("yesterday_log_count")).alias("log_count_growth"),
         "abnormal_system_count", "avg_health_score",
-        round_half_up(F.col("avg_health_score") - before, 1).alias("health_score_change"),
+        round_half_up(F.col("avg_health_score") - F.col("previous_score"), 1).alias("health_score_change"),
     )

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import abbreviate
+from ..operators.spans import as_datetime
 from ..operators.windows import latest_per_key
 from ..schema import JSON_OPTIONS, LOG_COLUMNS, LOG_SCHEMA, PARTITION_COLUMNS
 
@@ -16,11 +17,17 @@ SHEET_COLUMNS = (
 
 
 def safe_name(value: Column, default: str) -> Column:
-    """Name that is fit for a path: lower case, ``[a-z0-9_-]``, at most 50 characters."""
-    name = F.substring(F.regexp_replace(F.trim(F.lower(value)), "[^a-z0-9_-]", ""), 1, 50)
+    """Name that is fit for a label: lower case, ``[a-z0-9-]``, at most 50 characters."""
+    name = F.substring(F.regexp_replace(F.trim(F.lower(value)), "[^a-z0-9-]", ""), 1, 50)
     return F.when(F.coalesce(name, F.lit("")) == "", default).otherwise(name)
 
 
+def partition_label() -> Column:
+    """Readable name of the partition a row belongs to."""
+    tenant, system = safe_name(F.col("tenant_id"), "default"), safe_name(F.col("system_id"), "unknown")
+    return F.concat_ws("-", tenant, system, F.date_format("ts", "yyyy.MM.dd"))
+
+
 def document_id(by_span: bool = False) -> Column:
     """Identity of a row: its id, else trace and span, else a hash of the content."""
     span = F.when(
@@ -37,10 +44,13 @@ def latest_documents(df: DataFrame, key: str) -> DataFrame:
 
 
 def with_partitions(df: DataFrame) -> DataFrame:
+    """Partition columns. Ids are stored as they are (Spark escapes them in paths), so that a
+    reader finds what a writer wrote; only missing ones get a default."""
+    given = lambda c, default: F.when(F.coalesce(F.trim(c), F.lit("")) == "", default).otherwise(F.col(c))
     return df.withColumns(
         {
-            "tenant_id": safe_name(F.col("tenant_id"), "default"),
-            "system_id": safe_name(F.col("system_id"), "unknown"),
+            "tenant_id": given("tenant_id", "default"),
+            "system_id": given("system_id", "unknown"),
             "log_date": F.to_date("ts"),
         }
     )
@@ -82,8 +92,7 @@ def read_logs(spark: SparkSession, path: str, tenant_id: str | None = None, syst
 
 def export_json(df: DataFrame, path: str, rows_per_file: int = 0) -> None:
     """JSON lines with the document id and the table partition of each row."""
-    partition = F.concat_ws("-", "tenant_id", "system_id", F.date_format("ts", "yyyy.MM.dd"))
-    named = df.withColumns({"_id": document_id(), "_index": partition})
+    named = df.withColumns({"_id": document_id(), "_index": partition_label()})
     writer = named.write.mode("overwrite").options(**JSON_OPTIONS)
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
@@ -155,8 +164,11 @@ def export_sheets(df: DataFrame, path: str, rows_per_sheet: int = SHEET_ROWS) ->
     ).csv(path)
 
 
-def export_days(df: DataFrame, path: str, first_day, last_day) -> None:
+def export_days(df: DataFrame, path: str, first_day, last_day, max_days: int = 7) -> None:
     """One folder per day of the range; days without rows leave none."""
+    length = as_datetime(last_day) - as_datetime(first_day)
+    if length.days < 0 or length.days > max_days:
+        raise ValueError(f"an export must cover 0 to {max_days} days")
     days = df.filter(F.to_date("ts").between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date")))
     (
         sheet(days).withColumn("log_date", F.to_date("ts"))
