@@ -62,9 +62,9 @@ def main() -> None:
             ingest.ingest(spark.read.text(lines), "2024-01-30 12:00:00").filter("is_valid"), f"{work}/table", "overwrite"
         ),
         "rule_evaluation": lambda: drop(rule_ops.stateless_hits(logs, rules)),
-        "json_export": lambda: store.export_json(logs, f"{work}/json"),
-        "sheet_export": lambda: store.export_sheets(logs, f"{work}/sheets"),
-        "archive_write": lambda: store.write_archive(logs, f"{work}/archive", "overwrite"),
+        "json_export": lambda: store.export_json(store.read_logs(spark, f"{work}/table"), f"{work}/json"),
+        "sheet_export": lambda: store.export_sheets(store.read_logs(spark, f"{work}/table"), f"{work}/sheets"),
+        "archive_write": lambda: store.write_archive(store.read_logs(spark, f"{work}/table"), f"{work}/archive", "overwrite"),
     }
     seconds.update({name: best(run) for name, run in bulk.items()})
     print(

@@ -59,7 +59,9 @@ def parse(df: DataFrame, value: str = "value") -> DataFrame:
     parsed = F.from_json(
         F.col(value), RAW_DDL, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     )
-    out = df.withColumn("raw", parsed)
+    # Through a generator, not a projection: a later filter on validity would otherwise be
+    # pushed below it with a second copy of the whole JSON parse.
+    out = df.select("*", F.inline(F.array(F.struct(parsed.alias("raw")))))
     broken = (
         F.col(value).isNull()
         | F.col(f"raw.{_CORRUPT}").isNotNull()
