@@ -6,9 +6,10 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from logspark.plans import QUERIES
 
 FOLDER = entry.SMOKE_DIR
-NAMES = sorted(entry.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
