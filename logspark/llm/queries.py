@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logspark.llm import near_duplicates as near
+from logspark.llm import decontamination, mixing, near_duplicates as near, secrets
 from logspark.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,88 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near.class_ids(table(spark, sf_dir, "documents"), rule=near.Similarity(words=3, percent=85))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+@query("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("secrets.base").cast("binary"), 256)
+    return found.select(
+        "doc_id", "secrets.n_assign", "secrets.n_access", "secrets.n_hex", digest.alias("base_sha256"), "secrets.spans"
+    )
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM_WORDS = f"coalesce(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+
+
+@query("op3_decontamination", f"""
+WITH items AS (SELECT DISTINCT item_id, {_ALNUM_WORDS} AS w FROM benchmark),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, {_ALNUM_WORDS} AS w FROM documents),
+sized AS (SELECT item_id, w, least(10, len(w)) AS k FROM items WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS g
+  FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized)
+),
+grams AS (
+  SELECT rid, k, i, array_to_string(w[i : i + k - 1], ' ') AS g
+  FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM sized) WHERE len(w) >= k)
+),
+found AS (SELECT rid, i, k, item_id FROM grams JOIN windows USING (k, g)),
+words AS (SELECT rid, count(DISTINCT spot) AS n FROM (SELECT rid, unnest(range(i, i + k)) AS spot FROM found) GROUP BY rid),
+named AS (
+  SELECT rid, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS name FROM found WHERE item_id IS NOT NULL) GROUP BY rid
+)
+SELECT doc_id, len(w) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (rid) LEFT JOIN named USING (rid)
+""")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return found.select(
+        "doc_id", "found.n_words", "found.n_hit", "found.n_items", "found.items_sha256",
+        (F.col("found.n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op4_mixing", """
+WITH docs AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
+),
+banded AS (SELECT *, len(bin(size)) AS band FROM docs),
+dealt AS (
+  SELECT *, coalesce(doc_id, 0) % CAST(ceil(count(*) OVER (PARTITION BY source, band) / 256.0) AS BIGINT) AS bucket FROM banded
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY band, bucket, size, doc_id NULLS FIRST) AS n FROM dealt
+),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
+weighted AS (
+  SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM sources
+),
+summed AS (
+  SELECT *, sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (
+           ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free,
+         row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS place
+  FROM weighted
+),
+limited AS (SELECT *, 3 * source_size * free < rest * weight AS is_limited FROM summed),
+level AS (SELECT rest, free FROM limited WHERE NOT is_limited ORDER BY place LIMIT 1),
+targets AS (
+  SELECT source, source_size, CASE WHEN is_limited THEN CAST(3 * source_size AS DOUBLE)
+    ELSE CAST(level.rest * weight AS DOUBLE) / CAST(level.free AS DOUBLE) END AS target,
+    CAST(concat('0x', substr(md5(coalesce(source, chr(0))), 1, 8)) AS BIGINT) / 4294967296.0 AS u
+  FROM limited LEFT JOIN level ON true
+),
+shares AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS share FROM targets)
+SELECT doc_id, size, source_size, target,
+       size * CAST(floor(n * share + u) - floor((n - 1) * share + u) AS BIGINT) AS taken
+FROM placed JOIN shares ON placed.source IS NOT DISTINCT FROM shares.source
+""")
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken")
+    )
