@@ -33,13 +33,24 @@ def send_code_of(module) -> None:
     cloudpickle.register_pickle_by_value(module)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared checkpoint folder, so lost executors cost no recomputation."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or a scratch folder of a local session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        spark.sparkContext.setCheckpointDir(folder)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        # only a local session gets here; a cluster names a shared folder
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="logspark-checkpoint-"))
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if _scratch.get("of") != spark.sparkContext.applicationId:
+        _scratch.update(of=spark.sparkContext.applicationId, path=tempfile.mkdtemp(prefix="logspark-checkpoint-"))
+    return _scratch["path"]
+
+
+_scratch: dict[str, str] = {}
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise a frame in the shared checkpoint folder, so lost executors cost no recomputation."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
