@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logspark.llm import decontamination, mixing, near_duplicates as near, secrets, topk, warc
+from logspark.llm import decontamination, mixing, near_duplicates as near, quality, secrets, topk, warc
 from logspark.llm.frames import table
 from logspark.session import shared_folder
 
@@ -152,3 +152,14 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    found = quality.scored(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"),
+    )
