@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logspark.llm import decontamination, mixing, near_duplicates as near, quality, secrets, topk, warc
+from logspark.llm import decontamination, extraction, mixing, near_duplicates as near, quality, secrets, topk, warc
 from logspark.llm.frames import table
 from logspark.session import shared_folder
 
@@ -163,3 +163,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"),
     )
+
+
+@query("op5_extraction")
+def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
