@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logspark.llm import decontamination, extraction, mixing, near_duplicates as near, quality, secrets, topk, warc
+from logspark.llm import decontamination, extraction, lm, mixing, near_duplicates as near, quality, secrets, topk, warc
 from logspark.llm.frames import table
 from logspark.session import shared_folder
 
@@ -169,3 +169,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extraction.main_text(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
+
+
+@query("op7_lm_scores")
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.scores(docs, lm.is_held_out(F.col("doc_id"))).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
