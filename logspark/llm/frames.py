@@ -24,6 +24,17 @@ def unused(df: DataFrame, name: str) -> str:
     return name if name not in df.columns else f"{name}_{uuid.uuid4().hex[:8]}"
 
 
+def exact(rows: list[tuple], columns: list[str], *nullable: str) -> pd.DataFrame:
+    """A pandas frame whose nullable whole numbers do not turn into floats."""
+    lists = dict(zip(columns, zip(*rows))) if rows else {c: () for c in columns}
+    return pd.DataFrame({c: pd.array(list(v), "Int64") if c in nullable else list(v) for c, v in lists.items()}, columns=columns)
+
+
+def light(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Marks a stored frame for broadcast if it has few rows; otherwise the join shuffles. For narrow rows only."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def runs(batches: Iterable[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
     """The groups of a stream that is sorted by the key, one at a time; only one group is held."""
     tail: list[pd.DataFrame] = []
@@ -57,9 +68,9 @@ def connected(edges: DataFrame) -> DataFrame:
     links, state = _settled(links)
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = light(stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = light(stored(large.groupBy("u").agg(F.min("v").alias("m"))))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links, now = _settled(small.unionByName(least.select("u", F.col("m").alias("v"))))
         if now == state:
@@ -72,7 +83,7 @@ def connected(edges: DataFrame) -> DataFrame:
 def _settled(links: DataFrame) -> tuple[DataFrame, tuple]:
     links = stored(links.distinct())
     check = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return links, tuple(check)
+    return links.coalesce(1 + check[0] // 100_000), tuple(check)
 
 
 class Union:

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from logspark.llm.frames import Union, connected, runs, stored
+from logspark.llm.frames import Union, connected, exact, light, runs, stored, unused
 from logspark.llm.words import WordHashes, mixed, shingles, spaced
 
 
@@ -42,7 +42,7 @@ class Similarity:
     tokens: int = 128
     trees: int = 4
     branch: int = 2
-    node_limit: int = 200
+    node_limit: int = 1000
     block_shingles: int = 400_000
     deepest: int = 10
 
@@ -65,7 +65,7 @@ def class_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     hash of the text. is_first marks the rows that stand for their component; repeated rows of it are all marked.
     """
     seen = stored(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
         .mapInPandas(_sketcher(rule), "doc_id bigint, text_key bigint, size bigint, class binary, tokens binary")
     )
     rows = seen.select("doc_id", "text_key", "size", "class")
@@ -91,11 +91,22 @@ def class_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     ).withColumn("is_first", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key")))
 
 
-def _text_key(text: str | None) -> int:
-    import xxhash
-
-    data = b"\x00null" if text is None else text.encode("utf-8", "surrogatepass")
-    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Similarity = Similarity()) -> DataFrame:
+    """The documents without those that another of their component stands for; texts without words all stay."""
+    found = stored(class_ids(docs, id_col, text_col, rule).where("n_shingles > 0"))
+    key, name = unused(docs, "text_key"), unused(docs, "doc_key")
+    gone = light(stored(found.where("NOT is_first").select(F.col("doc_id").alias(name), F.col("text_key").alias(key)).distinct()))
+    keyed = docs.withColumn(key, F.xxhash64(text_col))
+    left = keyed.join(gone, F.col(f"`{id_col}`").eqNullSafe(gone[name]) & (keyed[key] == gone[key]), "left_anti")
+    # rows that occur several times are rare: only they are gathered
+    several = stored(found.where("is_first").groupBy("doc_id", "text_key").count().where("count > 1").select(
+        F.col("doc_id").alias(name), F.col("text_key").alias(key)))
+    if several.isEmpty():
+        return left.drop(key)
+    several = light(several)
+    same = left[id_col].eqNullSafe(several[name]) & (left[key] == several[key])
+    once = left.join(several, same, "left_semi").dropDuplicates([id_col, key])
+    return left.join(several, same, "left_anti").unionByName(once).drop(key)
 
 
 def class_of(values: np.ndarray) -> bytes:
@@ -120,18 +131,18 @@ def _sketcher(rule: Similarity):
         hashes, multipliers = WordHashes(), _multipliers(rule.tokens)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"].array):
+            for doc_id, text, key in zip(batch["doc_id"].array, batch["text"].array, batch["text_key"].tolist()):
                 text = text if isinstance(text, str) else None
                 values = shingles(hashes(spaced(text)), rule.words)
                 tokens = minwise(values, multipliers).tobytes() if len(values) >= rule.least_size else b""
-                out.append((None if pd.isna(doc_id) else int(doc_id), _text_key(text), len(values), class_of(values), tokens))
-            yield pd.DataFrame(out, columns=["doc_id", "text_key", "size", "class", "tokens"]).astype({"doc_id": "Int64"})
+                out.append((None if doc_id is None else int(doc_id), key, len(values), class_of(values), tokens))
+            yield exact(out, ["doc_id", "text_key", "size", "class", "tokens"], "doc_id")
 
     return sketch
 
 
 def _brancher(rule: Similarity, level: int):
-    """Moves each set of a node to the children that the node's choice of positions names."""
+    """Moves each set of a node to the children that the node's choice of positions names; marks are one-byte tokens."""
 
     def branch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         picks = np.arange(1, rule.trees * rule.branch + 1 if level == 0 else rule.branch + 1, dtype=np.uint64)
@@ -139,6 +150,8 @@ def _brancher(rule: Similarity, level: int):
             if not len(batch):
                 continue
             tokens = np.frombuffer(b"".join(batch["tokens"]), np.uint32).reshape(len(batch), -1)
+            marks = np.empty(len(batch), object)
+            marks[:] = [row.tobytes() for row in tokens.astype(np.uint8)]
             node = batch["node"].to_numpy().astype(np.int64).view(np.uint64)
             lanes = []
             for pick in picks:
@@ -150,7 +163,7 @@ def _brancher(rule: Similarity, level: int):
             yield pd.DataFrame({
                 "class": np.repeat(batch["class"].to_numpy(), n),
                 "size": np.repeat(batch["size"].to_numpy(), n),
-                "tokens": np.repeat(batch["tokens"].to_numpy(), n),
+                "marks": np.repeat(marks, n),
                 "parent_count": np.repeat(batch["count"].to_numpy(), n),
                 "node": np.stack(lanes, axis=1).ravel().view(np.int64),
             })
@@ -159,26 +172,32 @@ def _brancher(rule: Similarity, level: int):
 
 
 def _proposals(sets: DataFrame, rule: Similarity) -> DataFrame:
-    """Links (a, b) that connect every pair of sets that the trees bring together and whose tokens are alike."""
-    rows = "class binary, size bigint, tokens binary, parent_count bigint, node bigint"
+    """Links (a, b) that connect every pair of sets that the trees bring together and whose tokens are alike.
+
+    Counts decide first which nodes are large; only they are joined back, so most sets are shuffled once a level.
+    """
+    rows = "class binary, size bigint, marks binary, parent_count bigint, node bigint"
     found = None
     level = 0
-    members = sets.select("class", "size", "tokens", F.lit(0).cast("bigint").alias("node"), F.lit(None).cast("bigint").alias("count"))
+    members = sets.select("class", "size", "tokens", F.lit(0).cast("bigint").alias("node"), F.lit(1 << 62).alias("count"))
     while True:
-        children = members.select("class", "size", "tokens", "node", F.coalesce("count", F.lit(1 << 62)).alias("count"))
-        children = children.mapInPandas(_brancher(rule, level), rows)
-        counts = stored(children.groupBy("node").agg(F.count("*").alias("count")).where("count > 1"))
-        meeting = children.join(counts, "node")
-        dense = (F.col("count") * 2 > F.col("parent_count")) | F.lit(level + 1 >= rule.deepest)
-        done = meeting.where((F.col("count") <= rule.node_limit) | dense)
-        links = stored(_compared(done, rule))
+        children = members.mapInPandas(_brancher(rule, level), rows)
+        large = stored(children.groupBy("node").agg(F.count("*").alias("count")).where(F.col("count") > rule.node_limit))
+        some_large = not large.isEmpty()
+        large = light(large)
+        small = children.join(large, "node", "left_anti").select(F.col("node").alias("block"), "class", "size", "marks")
+        links = _compared(small, rule)
+        if some_large:
+            dense = (F.col("count") * 2 > F.col("parent_count")) | F.lit(level + 1 >= rule.deepest)
+            held = children.join(large, "node")
+            chunks = F.ceil(F.col("count") / rule.node_limit).cast("bigint")
+            blocks = in_blocks(held.where(dense), "node", chunks, F.pmod(F.xxhash64("class"), F.col("_n")))
+            links = links.unionByName(_compared(blocks.select("block", "class", "size", "marks"), rule))
+            members = stored(held.where(~dense).select("class", "node", "count"))
+            members = members.join(sets.select("class", "size", "tokens"), "class")
+        links = stored(links)
         found = links if found is None else found.unionByName(links)
-        if counts.where(F.col("count") > rule.node_limit).isEmpty():
-            return found
-        members = stored(
-            meeting.where((F.col("count") > rule.node_limit) & ~dense).select("class", "size", "tokens", "node", "count")
-        )
-        if members.isEmpty():
+        if not some_large or members.isEmpty():
             return found
         level += 1
 
@@ -191,21 +210,19 @@ def in_blocks(members: DataFrame, key: str, count, chunk) -> DataFrame:
     dealt = members.withColumn("_n", count).withColumn("_own", chunk)
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
     one, two = F.least("_own", "_other"), F.greatest("_own", "_other")
-    return dealt.withColumn("block", F.xxhash64(key, one, two)).withColumn("_low", one).withColumn("_high", two)
+    return dealt.withColumn("block", F.xxhash64(key, one, two))
 
 
 def _compared(members: DataFrame, rule: Similarity) -> DataFrame:
-    """Compares the sets of each node by tokens; nodes beyond the limit in blocks of two chunks."""
-    chunks = F.ceil(F.col("count") / rule.node_limit).cast("bigint")
-    blocks = in_blocks(members, "node", chunks, F.pmod(F.xxhash64("class"), F.col("_n")))
-    parts = blocks.select("block", "class", "size", "tokens").repartition("block").sortWithinPartitions("block")
+    """Compares the sets of each block by tokens; puts out spanning links."""
+    parts = members.repartition("block").sortWithinPartitions("block")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in runs(batches, "block"):
             if len(group) < 2:
                 continue
             ids, size = group["class"].to_numpy(), group["size"].to_numpy()
-            tokens = np.frombuffer(b"".join(group["tokens"]), np.uint32).reshape(len(group), -1).astype(np.uint8)
+            tokens = np.frombuffer(b"".join(group["marks"]), np.uint8).reshape(len(group), -1)
             need = rule.alike * rule.tokens
             sets = Union(len(ids))
             for i in range(len(ids) - 1):
@@ -231,9 +248,9 @@ def _exact_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str
     """Links between sets of one family that hold on the full sets: spanning links of each block."""
     weights = members.groupBy("root").agg(F.sum("size").alias("weight"), F.count("*").alias("count"))
     chunks = F.greatest(F.ceil(F.col("count") / rule.node_limit), F.ceil(F.col("weight") / rule.block_shingles)).cast("bigint")
-    wanted = stored(members.join(weights, "root").select(
-        "root", F.col("node").alias("class"), "head.doc_id", "head.text_key", chunks.alias("chunks")
-    ))
+    wanted = light(stored(members.join(weights, "root").select(
+        "root", F.col("node").alias("class"), "head.doc_id", chunks.alias("chunks")
+    )))
     keyed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     # ids narrow the shuffle down; equal ids with other texts fall out when the set is computed again
     texts = wanted.join(keyed, wanted["doc_id"].eqNullSafe(keyed["doc_id"])).select("root", "class", "text", "chunks")
