@@ -188,30 +188,49 @@ def _matcher(part, window: int):
     return find
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, coverage: float = 0.5, text_col: str = "text", **more) -> DataFrame:
+def clean(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, coverage: float = 0.5, most_words: int = 200_000, text_col: str = "text",
+    item_id_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
     """Removes hit spans from the texts, and documents of which more than the given share of words is hit.
 
-    Documents without hits come out as they are. A removal can bring new windows together, so texts are matched
-    again until nothing is left.
+    Documents without hits come out as they are. A removal can bring new windows together, so a text is matched
+    again until nothing is left; with several parts, all parts are gone through again until no text changes.
     """
-    name = unused(docs, "found")
-    first = matches(docs, benchmark, window, text_col=text_col, name=name, **more)
-    cut = F.pandas_udf(_cutter(), "string")
-    hit = F.col(f"{name}.n_hit") > 0
-    spans = F.when(hit, F.col(f"{name}.spans")).otherwise("")
-    little = F.col(f"{name}.n_hit") <= coverage * F.col(f"{name}.n_words")
-    untouched = first.where(~hit).drop(name)
-    changed = stored(first.where(hit & little).withColumn(text_col, cut(F.col(text_col), spans)).drop(name))
-    while True:
-        again = stored(matches(changed, benchmark, window, text_col=text_col, name=name, **more))
-        if again.where(hit).isEmpty():
-            return untouched.unionByName(again.drop(name))
-        changed = again.withColumn(text_col, F.when(hit, cut(F.col(text_col), spans)).otherwise(F.col(text_col))).drop(name)
-
-
-def _cutter():
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([without(t, _ranges(s)) if s else t for t, s in zip(texts, spans)], dtype=object)
+    name = unused(docs, "cut")
+    parts = item_parts(benchmark, most_words, item_id_col, item_text_col)
+    out = docs.withColumn(name, F.struct(F.lit(None).cast("string").alias("text"), F.lit(0).cast("bigint").alias("lost"),
+                                         F.lit(0).cast("bigint").alias("words"), F.lit(False).alias("changed")))
+    again = bool(parts)
+    while again:
+        again = False
+        for part in parts:
+            cut = F.pandas_udf(_cutter(docs.sparkSession.sparkContext.broadcast(part), window), "text string, lost bigint, words bigint, changed boolean")
+            out = out.withColumn(name, cut(F.coalesce(F.col(f"{name}.text"), F.col(text_col)), F.col(f"{name}.lost"), F.col(f"{name}.words")))
+            out = out.withColumn(name, F.col(name).withField("text", F.when(F.col(f"{name}.changed"), F.col(f"{name}.text"))))
+            if len(parts) > 1:
+                out = stored(out.withColumn(text_col, F.coalesce(F.col(f"{name}.text"), F.col(text_col))))
+                again |= not out.where(f"{name}.changed").isEmpty()
+    little = F.col(f"{name}.lost") <= coverage * F.col(f"{name}.words")
+    return out.where(little).withColumn(text_col, F.coalesce(F.col(f"{name}.text"), F.col(text_col))).drop(name)
+
+
+def _cutter(part, window: int):
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        automaton = ItemAutomaton([(name, alphanumeric(text)) for name, text in part.value], window)
+        for texts, lost, before in batches:
+            out = []
+            for text, gone, total in zip(texts.array, lost.tolist(), before.tolist()):
+                text = text if isinstance(text, str) else None
+                words = alphanumeric(text)
+                total, changed = max(total, len(words)), False
+                spans, _ = automaton.scan(words)
+                while spans:
+                    gone += sum(e - s for s, e in spans)
+                    text, changed = without(text, spans), True
+                    spans, _ = automaton.scan(alphanumeric(text))
+                out.append((text if changed else None, gone, total, changed))
+            yield pd.DataFrame(out, columns=["text", "lost", "words", "changed"])
 
     return cut
 

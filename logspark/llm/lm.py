@@ -71,7 +71,7 @@ def scores(
     hot: int = 200_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
     chunks = stored(rows.mapInPandas(_chunker(chunk_tokens), "chunk bigint, tokens bigint, texts binary, words binary, counts binary"))
     words = stored(chunks.select("chunk", "words", "counts").mapInPandas(_exploded, "chunk bigint, word bigint, count bigint"))
     totals = stored(words.groupBy("word").agg(F.sum("count").alias("total")).where("total > 0"))
@@ -123,7 +123,7 @@ def _chunker(most: int):
                 except KeyError:
                     local = [vocabulary.setdefault(w, len(vocabulary)) for w in words]
                 numbers.append(np.array(local, np.int64))
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
+                ids.append(None if doc_id is None else int(doc_id))
                 held.append(bool(out))
                 sizes.append(len(words))
                 total += len(words)

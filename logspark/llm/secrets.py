@@ -12,7 +12,6 @@ Nulls and empty texts have no spans. Repeated rows are judged alike. Extra colum
 credentials nothing is added.
 """
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -21,7 +20,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from logspark.llm.frames import stored, unused
+from logspark.llm.frames import stored
 
 KINDS = ("assign", "access", "hex", "format")
 # The pattern of the contract; keywords count in either case, so matching is ASCII-only and case-insensitive.
@@ -213,23 +212,32 @@ def named(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
 
 
+class Finder:
+    """Base spans and added spans of texts; remembers the runs it has judged, up to a bound."""
+
+    def __init__(self, formats: Formats):
+        self.formats, self.known = formats, {}
+
+    def __call__(self, text: str) -> tuple[list[Span], list[Span]]:
+        base, more = base_spans(text), []
+        for start, end in other_runs(text, base):
+            run = text[start:end]
+            if run not in self.known:
+                if len(self.known) > 100_000:
+                    self.known.clear()
+                self.known[run] = self.formats.is_secret(run)
+            if self.known[run]:
+                more.append((start, 3, end))
+        return base, more
+
+
 def _finder(formats):
     def find(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known: dict[str, bool] = {}
+        finder = Finder(formats.value)
         for texts in parts:
             out = []
             for text in texts.array:
-                text = text if isinstance(text, str) else ""
-                base = base_spans(text)
-                more = []
-                for start, end in other_runs(text, base):
-                    run = text[start:end]
-                    if run not in known:
-                        if len(known) > 100_000:
-                            known.clear()
-                        known[run] = formats.value.is_secret(run)
-                    if known[run]:
-                        more.append((start, 3, end))
+                base, more = finder(text if isinstance(text, str) else "")
                 n = [sum(s[1] == k for s in base) for k in range(3)]
                 out.append((*n, len(more), named(base), named(base + more)))
             yield pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "n_format", "base", "spans"])
@@ -237,37 +245,27 @@ def _finder(formats):
     return find
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "<SECRET>", **more) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "<SECRET>", samples: int = 600) -> DataFrame:
     """The documents with the secret values replaced; texts without secrets stay as they are."""
-    name = unused(docs, "secrets")
-    found = scan(docs, text_col, name=name, **more)
-    clean = F.when(F.col(f"{name}.spans") == "", F.col(text_col)).otherwise(
-        F.pandas_udf(_redactor(mark), "string")(F.col(text_col), F.col(f"{name}.spans")))
-    return found.withColumn(text_col, clean).drop(name)
-
+    formats = docs.sparkSession.sparkContext.broadcast(learn(docs, text_col, samples))
 
-def _redactor(mark: str):
-    def replace(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([redacted(t, s, mark) if s else t for t, s in zip(texts, spans)], dtype=object)
+    def replace(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        finder = Finder(formats.value)
+        for texts in parts:
+            out = []
+            for text in texts.array:
+                spans = sum(finder(text), []) if isinstance(text, str) else []
+                out.append(redacted(text, spans, mark) if spans else None)
+            yield pd.Series(out, dtype=object)
 
-    return replace
+    return docs.withColumn(text_col, F.coalesce(F.pandas_udf(replace, "string")(F.col(text_col)), F.col(text_col)))
 
 
-def redacted(text: str, spans: str, mark: str) -> str:
-    values = []
-    for span in spans.split(","):
-        kind, start, end = span.split(":")
-        start, end = int(start), int(end)
-        if kind == KINDS[0]:
-            start, end = ASSIGN.match(text, start, end).span(2)
-        values.append((start, end))
+def redacted(text: str, spans: list[Span], mark: str) -> str:
+    values = [ASSIGN.match(text, s, e).span(2) if kind == 0 else (s, e) for s, kind, e in spans]
     out, at = [], 0
     for start, end in sorted(values):
         if start >= at:
             out += [text[at:start], mark]
         at = max(at, end)
     return "".join(out) + text[at:]
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logspark.llm.frames import runs, stored
+from logspark.llm.frames import exact, light, runs, stored
 
 # Fixed values of the formats.
 SKIPPABLE = 0x184D2A5D
@@ -46,15 +46,15 @@ def write(
     stored_bytes = equal.agg(F.sum("size")).first()[0] or 0
     archives = max(1, -(-stored_bytes // target_bytes))
     shared = equal.where((F.col("copies") > 1) & (F.col("size") >= least_bytes)).drop("copies")
-    if shared.limit(100_001).count() <= 100_000:  # about 10 MB
-        shared = F.broadcast(shared)
-    typed = rows.join(shared, ["digest", "size"], "left")
+    typed = rows.join(light(shared), ["digest", "size"], "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
     typed = typed.withColumn("refers_to", refers).drop("response")
     # headers only for a revisit, so its payload need not be moved
     typed = typed.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
     archive = F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(archives))
     dealt = typed.withColumn("archive", archive).repartition(archives, "archive").sortWithinPartitions("archive", "page_id", "url")
+    # as text, since nulls would turn numbers into floats in pandas
+    dealt = dealt.withColumn("page_id", F.col("page_id").cast("string")).withColumn("refers_to", F.col("refers_to").cast("string"))
     return dealt.mapInPandas(
         _writer(folder, dictionary_bytes, sample_bytes, level, date), "archive bigint, file string, n_records bigint, n_bytes bigint"
     )
@@ -119,10 +119,10 @@ def _writer(folder: str, dictionary_bytes: int, sample_bytes: int, level: int, d
         for group in runs(batches, "archive"):
             records, last, turn = [], None, 0
             for r in group.itertuples(index=False):
-                page_id = None if pd.isna(r.page_id) else int(r.page_id)
+                page_id = None if r.page_id is None else int(r.page_id)
                 turn = turn + 1 if page_id == last else 0
                 last = page_id
-                refers = None if pd.isna(r.refers_to) else int(r.refers_to)
+                refers = None if r.refers_to is None else int(r.refers_to)
                 url = r.url if isinstance(r.url, str) else None
                 payload = bytes(r.payload) if refers is None else None
                 records.append(record(page_id, url, payload, r.digest, int(r.size), refers, date, turn))
@@ -165,7 +165,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
 
 def _rows(rows: list[tuple]) -> pd.DataFrame:
     names = [c.split()[0] for c in READ.split(", ")]
-    return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+    return exact(rows, names, "page_id", "refers_to")
 
 
 def records_of(data: bytes) -> Iterator[tuple]:
