@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logspark.llm import decontamination, extraction, lm, mixing, near_duplicates as near, quality, secrets, topk, warc
+from logspark.llm import decontamination, extraction, lm, mixing, near_duplicates as near, quality, repeats, secrets, topk, warc
 from logspark.llm.frames import table
 from logspark.session import shared_folder
 
@@ -177,3 +177,8 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(docs, lm.is_held_out(F.col("doc_id"))).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query("op10_repeats")
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed_bytes(table(spark, sf_dir, "documents"), length=100).drop("spans")
