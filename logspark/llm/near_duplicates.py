@@ -193,8 +193,8 @@ def _proposals(sets: DataFrame, rule: Similarity) -> DataFrame:
             chunks = F.ceil(F.col("count") / rule.node_limit).cast("bigint")
             blocks = in_blocks(held.where(dense), "node", chunks, F.pmod(F.xxhash64("class"), F.col("_n")))
             links = links.unionByName(_compared(blocks.select("block", "class", "size", "marks"), rule))
-            members = stored(held.where(~dense).select("class", "node", "count"))
-            members = members.join(sets.select("class", "size", "tokens"), "class")
+            members = light(stored(held.where(~dense).select("class", "node", "count")))
+            members = stored(sets.select("class", "size", "tokens").join(members, "class"))
         links = stored(links)
         found = links if found is None else found.unionByName(links)
         if not some_large or members.isEmpty():
