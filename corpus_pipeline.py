@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logspark.llm import decontamination, mixing, near_duplicates, quality, secrets
-from logspark.llm.frames import table
+from logspark.llm.frames import bounded_batches, table
 from logspark.session import shared_folder
 
 
@@ -27,26 +27,31 @@ def _with_length(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality ranking accepts."""
+    bounded_batches(spark)
     return quality.good(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity of at least 0.8."""
+    bounded_batches(spark)
     return near_duplicates.representatives(docs, rule=near_duplicates.Similarity(words=5, percent=80))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without runs of ten words of a benchmark item; mostly covered documents go."""
+    bounded_batches(spark)
     return _with_length(docs, decontamination.clean(docs, table(spark, sf_dir, "benchmark"), window=10, coverage=0.5))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with secret values replaced."""
+    bounded_batches(spark)
     return _with_length(docs, secrets.redact(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    bounded_batches(spark)
     return mixing.repeated(docs)
 
 

@@ -26,10 +26,20 @@ def unused(df: DataFrame, name: str) -> str:
 
 def exact(rows: list[tuple], columns: list[str], *nullable: str) -> pd.DataFrame:
     """A pandas frame whose nullable whole numbers do not turn into floats."""
-    lists = dict(zip(columns, zip(*rows))) if rows else {c: () for c in columns}
+    if not rows:
+        # an empty list would become a float column, which Arrow does not turn into any other kind
+        return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
+    lists = dict(zip(columns, zip(*rows)))
     return pd.DataFrame({c: pd.array(list(v), "Int64") if c in nullable else list(v) for c, v in lists.items()}, columns=columns)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lets Python workers take at most so many texts at once, for the session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def light(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """Marks a stored frame for broadcast if it has few rows; otherwise the join shuffles. For narrow rows only."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

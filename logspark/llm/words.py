@@ -34,7 +34,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, remembered up to a bound so that each frequent word is hashed once."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 100_000):
         self.most, self.ids = most, {}
         self.values = np.empty(1024, np.uint64)
 
