@@ -5,8 +5,8 @@ a Dirichlet prior towards unigram counts with one added, so probabilities of all
 and one end token are counted; its first word follows a start symbol.
 
 The model grows with the corpus and is never gathered in one place. Texts are packed into chunks of bounded size
-(local word numbers, the hashes they stand for). Word counts are one aggregate; each chunk gets the counts of its
-own words by a join. Then each chunk sorts its distinct bigrams by context and deals them to shards by context; a
+(local word numbers, the hashes they stand for). Words are dealt by range of their hashes; each range adds up the
+counts of all chunks and sends every chunk the counts of its own words. Then each chunk sorts its distinct bigrams by context and deals them to shards by context; a
 context with many occurrences is spread over several shards by its successors. A shard merges the training counts
 of all chunks, builds its trie (contexts, monotone pointers, successors, one-byte log-probabilities), and answers
 each chunk's bigrams by a search among the successors of their context; a bigram that the trie lacks is backed
@@ -27,11 +27,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logspark.llm.frames import runs, stored
-from logspark.llm.ngram import SUCCESSOR_BITS, Trie
+from logspark.llm.ngram import SUCCESSOR_BITS, EliasFano, Trie
 from logspark.llm.words import mixed, spaced
 
 END = b" "  # no word holds a space
 STEP = 32
+#: Unigram log-probabilities travel in steps of 1 / PART.
+PART = 128
 
 
 def word_hash(word: bytes) -> int:
@@ -62,27 +64,47 @@ def unpack(data: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
+def packed_set(hashes: np.ndarray) -> bytes:
+    """Ascending hashes as an Elias-Fano sequence."""
+    return EliasFano.encode(hashes)
+
+
+def unpacked_set(data: bytes) -> np.ndarray:
+    sequence, _ = EliasFano.view(np.frombuffer(data, np.uint8))
+    return sequence[np.arange(sequence.n)] if sequence.n else np.zeros(0, np.uint64)
+
+
+def planes(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Numbers below 2**24 by bytes, which compress better apart."""
+    return tuple((x >> shift & 255).astype(np.uint8) for shift in (0, 8, 16))
+
+
 def narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
 def scores(
     docs: DataFrame, held_out: Column, prior: float = 500.0, chunk_tokens: int = 1_500_000, shard_tokens: int = 3_000_000,
-    hot: int = 200_000, id_col: str = "doc_id", text_col: str = "text",
+    range_words: int = 2_000_000, hot: int = 200_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
-    chunks = stored(rows.mapInPandas(_chunker(chunk_tokens), "chunk bigint, tokens bigint, texts binary, words binary, counts binary"))
-    words = stored(chunks.select("chunk", "words", "counts").mapInPandas(_exploded, "chunk bigint, word bigint, count bigint"))
-    totals = stored(words.groupBy("word").agg(F.sum("count").alias("total")).where("total > 0"))
-    n, v = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
-    tokens = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    chunks = stored(rows.mapInPandas(
+        _chunker(chunk_tokens), "chunk bigint, tokens bigint, kinds bigint, texts binary, words binary, counts binary"))
+    tokens, kinds = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "kinds")]).first()
     shards = 1 + tokens // shard_tokens
-
-    asked = words.select("chunk", "word").join(totals, "word")
-    counted = asked.select("chunk", F.lit(1).alias("kind"), "word", "total", F.lit(None).cast("binary").alias("texts"), F.lit(None).cast("binary").alias("words"))
-    whole = chunks.select("chunk", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("word"), F.lit(0).cast("bigint").alias("total"), "texts", "words")
-    meeting = whole.unionByName(counted).repartition("chunk").sortWithinPartitions("chunk", "kind", "word")
+    bits = int(kinds // range_words).bit_length()
+    ranges = chunks.select("chunk", "words", "counts").mapInPandas(_ranged(bits), "part int, chunk bigint, words binary, counts binary")
+    counted = stored(
+        ranges.repartition(1 << bits, "part").sortWithinPartitions("part", "chunk")
+        .mapInPandas(_counted, "chunk bigint, part int, counts binary, n bigint, v bigint")
+    )
+    n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+
+    none = F.lit(None).cast("binary")
+    whole = chunks.select("chunk", F.lit(-1).alias("part"), "texts", "words", none.alias("counts"))
+    parts = counted.select("chunk", "part", none.alias("texts"), none.alias("words"), "counts")
+    meeting = whole.unionByName(parts).repartition("chunk").sortWithinPartitions("chunk", "part")
     dealt = meeting.mapInPandas(_dealer(n, v, shards, hot), "shard bigint, chunk bigint, data binary")
     answered = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "chunk").mapInPandas(
         _answerer(prior), "chunk bigint, kind int, data binary")
@@ -99,14 +121,20 @@ def _chunker(most: int):
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         local = rank[np.concatenate(numbers)]
+        # frequent words get small numbers in the packed text
+        seen = np.bincount(local, minlength=len(order))
+        by_use = np.argsort(-seen, kind="stable")
+        number_of = np.empty(len(order), np.int64)
+        number_of[by_use] = np.arange(len(order))
         sizes = np.array(sizes)
         counts = np.bincount(local[np.repeat(~np.array(held), sizes)], minlength=len(order))
-        return (number, int(sizes.sum()), pack(ids, np.array(held), narrow(sizes), narrow(local)), pack(hashes[order]), pack(narrow(counts)))
+        texts = pack(ids, np.array(held), narrow(sizes), narrow(seen), *planes(number_of[local]))
+        return number, int(sizes.sum()), len(order), texts, packed_set(hashes[order]), pack(narrow(counts))
 
     def chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        names = ["chunk", "tokens", "texts", "words", "counts"]
+        names = ["chunk", "tokens", "kinds", "texts", "words", "counts"]
         number = TaskContext.get().partitionId() << 32
         vocabulary: dict[bytes, int] = {}
         ids, held, sizes, numbers, total = [], [], [], [], 0
@@ -138,46 +166,55 @@ def _chunker(most: int):
     return chunk
 
 
-def _exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for number, words, counts in zip(batch["chunk"], batch["words"], batch["counts"]):
-            [hashes], [each] = unpack(words), unpack(counts)
-            for start in range(0, len(hashes), 50_000):
-                part = slice(start, start + 50_000)
-                yield pd.DataFrame({"chunk": number, "word": hashes[part].astype(np.int64), "count": each[part].astype(np.int64)})
+def _ranged(bits: int):
+    """Cuts each chunk's words into equal ranges of hashes."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(63 - bits)
+        for batch in batches:
+            for number, words, counts in zip(batch["chunk"], batch["words"], batch["counts"]):
+                hashes, [each] = unpacked_set(words), unpack(counts)
+                cuts = [0, *np.searchsorted(hashes, edges).tolist(), len(hashes)]
+                rows = [(part, number, packed_set(hashes[a:b]), pack(each[a:b])) for part, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                yield pd.DataFrame(rows, columns=["part", "chunk", "words", "counts"])
+
+    return cut
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds up the counts of a range and answers every chunk in the order of its words; one row carries the sums."""
+    for group in runs(batches, "part"):
+        sets = [unpacked_set(w) for w in group["words"]]
+        words, at = np.unique(np.concatenate(sets), return_inverse=True)
+        each = np.concatenate([unpack(c)[0].astype(np.int64) for c in group["counts"]])
+        total = np.bincount(at, each, len(words)).astype(np.int64)
+        answers = np.split(total[at], np.cumsum([len(x) for x in sets])[:-1])
+        first = np.arange(len(group)) == 0
+        yield pd.DataFrame({
+            "chunk": group["chunk"], "part": group["part"], "counts": [pack(narrow(a)) for a in answers],
+            "n": np.where(first, total.sum(), 0), "v": np.where(first, (total > 0).sum(), 0),
+        })
 
 
 def _dealer(n: int, v: int, shards: int, hot: int):
     """Base scores of each chunk's texts, and its bigrams with what their shard needs to score them."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole, numbers, totals = None, [], []
-        for batch in batches:
-            for start, stop in _stretches(batch["chunk"].to_numpy()):
-                part = batch.iloc[start:stop]
-                if part["kind"].iloc[0] == 0:
-                    if whole is not None:
-                        yield from finish(whole, numbers, totals)
-                    whole, numbers, totals = part.iloc[0], [], []
-                    part = part.iloc[1:]
-                numbers.append(part["word"].to_numpy())
-                totals.append(part["total"].to_numpy())
-        if whole is not None:
-            yield from finish(whole, numbers, totals)
-
-    def finish(whole, numbers, totals) -> Iterator[pd.DataFrame]:
-        ids, held, sizes, local = unpack(whole["texts"])
-        [hashes] = unpack(whole["words"])
-        count = np.zeros(len(hashes), np.int64)
-        found = np.concatenate(numbers).astype(np.uint64)
-        count[np.searchsorted(hashes, found)] = np.concatenate(totals)
+        for group in runs(batches, "chunk"):
+            yield from finish(int(group["chunk"].iloc[0]), group["texts"].iloc[0], group["words"].iloc[0], list(group["counts"].iloc[1:]))
+
+    def finish(number: int, texts: bytes, words: bytes, counts: list[bytes]) -> Iterator[pd.DataFrame]:
+        ids, held, sizes, seen, *bytes_of = unpack(texts)
+        by_use = np.argsort(-seen.astype(np.int64), kind="stable")
+        local = by_use[sum(part.astype(np.int64) << (8 * k) for k, part in enumerate(bytes_of))]
+        hashes = unpacked_set(words)
+        count = np.concatenate([unpack(c)[0].astype(np.int64) for c in counts])
         sizes, local = sizes.astype(np.int64), local.astype(np.int64)
         text = np.repeat(np.arange(len(sizes)), sizes)
         log_p = np.log10((count + 1) / (n + v + 1))
         base = np.bincount(text, log_p[local], len(sizes))
         known = np.bincount(text, count[local] > 0, len(sizes)).astype(np.int64)
         names = ["shard", "chunk", "data"]
-        number = int(whole["chunk"])
         yield pd.DataFrame([(-1 - number % shards, number, pack(ids, held, sizes, known, base))], columns=names)
 
         # the start symbol takes the number after the last word
@@ -205,30 +242,26 @@ def _dealer(n: int, v: int, shards: int, hot: int):
             edge = np.flatnonzero(np.concatenate([[True], u[own][1:] != u[own][:-1]]))
             spread = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(entries[own])[:-1]]), entries[own]) + np.arange(entries[own].sum())
             yield pd.DataFrame([(int(shard[own[0]]), number, pack(
-                np.packbits(held), len(held), context[own][edge], narrow(np.diff(np.append(edge, len(own)))), narrow(context_count[own][edge]),
-                successor[own].view(np.uint8).reshape(-1, 8)[:, : SUCCESSOR_BITS // 8].copy(), log_p[w[own]].astype(np.float16),
+                np.packbits(held), len(held), packed_set(context[own][edge]), narrow(np.diff(np.append(edge, len(own)))), narrow(context_count[own][edge]),
+                successor[own].view(np.uint8).reshape(-1, 8)[:, : SUCCESSOR_BITS // 8].copy(), np.clip(np.rint(-log_p[w[own]] * PART), 0, 65535).astype(np.uint16),
                 narrow(entries[own]), narrow(doc[spread]), narrow(times[spread])))], columns=names)
 
     return deal
 
 
-def _stretches(values: np.ndarray) -> list[tuple[int, int]]:
-    cuts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])) if len(values) else np.zeros(1, int)
-    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-
-
 class Request:
     """A chunk's bigrams of one shard."""
 
     def __init__(self, data: bytes):
-        (held, texts, self.contexts, fanout, context_count, successors, self.log_p, entries, doc, times) = unpack(data)
+        (held, texts, contexts, fanout, context_count, successors, log_p, entries, doc, times) = unpack(data)
+        self.contexts = unpacked_set(contexts)
         self.held = np.unpackbits(held)[:texts].astype(bool)
         self.fanout, self.context_count = fanout.astype(np.int64), context_count.astype(np.int64)
         wide = np.zeros((len(successors), 8), np.uint8)
         wide[:, : SUCCESSOR_BITS // 8] = successors
         self.successors = wide.view("<u8").ravel()
         self.entries, self.doc, self.times = entries.astype(np.int64), doc.astype(np.int64), times.astype(np.int64)
-        self.log_p = self.log_p.astype(np.float64)
+        self.log_p = log_p / -float(PART)
 
     def training_counts(self) -> np.ndarray:
         at = np.repeat(np.arange(len(self.entries)), self.entries)
