@@ -33,8 +33,14 @@ def fuzziness(term: str) -> int:
     return 0 if len(term) <= 2 else 1 if len(term) <= 5 else 2
 
 
+def swaps(term: str) -> list[str]:
+    """The term with two letters that stand next to each other swapped, each place once."""
+    out = {term[:i] + term[i + 1] + term[i] + term[i + 2 :] for i in range(len(term) - 1)}
+    return sorted(out - {term})
+
+
 def matches_fuzzy(text: Column, terms: list[str]) -> Column:
-    """True if any word of the text lies within the allowed distance of any term."""
+    """True if any word of the text lies within the allowed distance of any term; a swap is one edit."""
 
     def near(word: Column) -> Column:
         hit = F.lit(False)
@@ -42,12 +48,16 @@ def matches_fuzzy(text: Column, terms: list[str]) -> Column:
             k = fuzziness(term)
             if k == 0:
                 hit = hit | (word == term)
+                continue
+            # the length test is cheap and settles most words
+            close = F.levenshtein(word, F.lit(term), k) >= 0
+            if k == 1:
+                close = close | word.isin(*swaps(term))
             else:
-                # the length test is cheap and settles most words
-                hit = hit | (
-                    F.length(word).between(len(term) - k, len(term) + k)
-                    & (F.levenshtein(word, F.lit(term), k) >= 0)
-                )
+                # a swap and one more edit; two swaps that do not touch are covered from either one
+                for other in swaps(term):
+                    close = close | (F.levenshtein(word, F.lit(other), 1) >= 0) | word.isin(*swaps(other))
+            hit = hit | (F.length(word).between(len(term) - k, len(term) + k) & close)
         return hit
 
     return F.exists(tokens(text), near)

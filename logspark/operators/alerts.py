@@ -7,15 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import levels
 from . import silence, spans
 from .rules import alert_content
-from .windows import top_n_per_group
-
-DIGEST_CAP = 1000
 
 
 def create_alerts(hits: DataFrame) -> DataFrame:
     """Alerts of a set of hits: silencing, escalation, aggregation, text and route."""
     rows = silence.fired(silence.with_silence_key(hits))
     held = F.col("enable_aggregation") & (F.col("suppressed_count") > 0)
+    # Fixed value: the sentence on what was held back.
     note = F.format_string(
         "\n\n【聚合信息】\n在静默期内共发生 %d 次相同告警（%s ~ %s）",
         "suppressed_count",
@@ -23,7 +21,7 @@ def create_alerts(hits: DataFrame) -> DataFrame:
         F.date_format("last_occurrence", "yyyy-MM-dd'T'HH:mm:ss.SSS"),
     )
     return rows.select(
-        F.substring(F.sha2(F.concat_ws("|", "silence_key", "id"), 256), 1, 32).alias("id"),
+        F.substring(F.sha2(F.concat_ws("|", "silence_key", F.coalesce("id", "hit_key")), 256), 1, 32).alias("id"),
         "tenant_id", "system_id", "rule_id", "alert_level",
         F.col("rule_type").alias("alert_type"),
         F.concat(alert_content(), F.when(held, note).otherwise("")).alias("alert_content"),
@@ -52,13 +50,10 @@ def summary_by_tenant(alerts: DataFrame, *extra_keys) -> DataFrame:
     )
 
 
-def hourly_digest(alerts: DataFrame, cap: int = DIGEST_CAP) -> DataFrame:
-    """Digest per tenant and hour over the first alerts that one run would take."""
-    queued = with_route(alerts).filter(F.col("route") == "DIGEST").withColumn(
-        "hour", F.date_trunc("hour", "trigger_time")
-    )
-    taken = top_n_per_group(queued, ["hour"], [F.col("trigger_time"), F.col("id")], cap, spread_by="id")
-    return summary_by_tenant(taken, "hour")
+def hourly_digest(alerts: DataFrame) -> DataFrame:
+    """Digest per tenant and hour over all alerts that are not sent at once."""
+    queued = with_route(alerts).filter(F.col("route") == "DIGEST")
+    return summary_by_tenant(queued.withColumn("hour", F.date_trunc("hour", "trigger_time")), "hour")
 
 
 def pending(alerts: DataFrame, tenant_id: str) -> DataFrame:

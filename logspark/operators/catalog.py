@@ -143,7 +143,16 @@ def count_systems_by_tenant(systems: DataFrame) -> DataFrame:
 
 
 def find_system(systems: DataFrame, system_id: str) -> DataFrame:
-    return systems.filter(F.col("system_id") == system_id).limit(1)
+    """The enabled systems of that id; tenants may share an id."""
+    return systems.filter((F.col("system_id") == system_id) & (F.col("status") == 1)).orderBy("id")
+
+
+def system_exists(systems: DataFrame, system_id: str, tenant_id: str | None = None) -> DataFrame:
+    """One row: is the id taken, by an enabled or a disabled system?"""
+    taken = F.col("system_id") == system_id
+    if tenant_id is not None:
+        taken = taken & (F.col("tenant_id") == tenant_id)
+    return systems.agg(F.coalesce(F.bool_or(taken), F.lit(False)).alias("taken"))
 
 
 def system_page(systems: DataFrame, tenant_id: str | None = None, page: int = 1, size: int = 20) -> DataFrame:
@@ -165,7 +174,11 @@ def tenant_counts(tenants: DataFrame, as_of) -> DataFrame:
 
 
 def find_tenant(tenants: DataFrame, tenant_id: str) -> DataFrame:
-    return tenants.filter(F.col("tenant_id") == tenant_id).limit(1)
+    return tenants.filter((F.col("tenant_id") == tenant_id) & (F.col("status") == 1)).orderBy("id")
+
+
+def enabled_tenants(tenants: DataFrame) -> DataFrame:
+    return tenants.filter(F.col("status") == 1).orderBy("id")
 
 
 def scoped(df: DataFrame, table: str, tenant_id: str | None) -> DataFrame:

@@ -14,24 +14,34 @@ def with_exception_type(logs: DataFrame) -> DataFrame:
     return logs.withColumn("exception_type", text.exception_class(F.col("exception")))
 
 
-def exception_total(logs: DataFrame, start=None, end=None) -> DataFrame:
-    return spans.within(logs, start, end).agg(F.count_if(is_error()).alias("exception_count"))
+def _of_enabled(per_system: DataFrame, systems: DataFrame) -> DataFrame:
+    """Aggregates of enabled systems: the small result is joined, not the logs."""
+    return per_system.join(dims.enabled(systems).select(*dims.SYSTEM_KEY), dims.SYSTEM_KEY, "left_semi")
 
 
-def exception_trend(logs: DataFrame, as_of, days: int = 7) -> DataFrame:
-    """Per day, zero-filled: all exceptions and the counts by severity."""
+def exception_total(logs: DataFrame, systems: DataFrame, start=None, end=None) -> DataFrame:
+    """Exceptions of all enabled systems."""
+    per_system = spans.within(logs, start, end).groupBy(*dims.SYSTEM_KEY).agg(F.count_if(is_error()).alias("n"))
+    return _of_enabled(per_system, systems).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("exception_count"))
+
+
+def exception_trend(logs: DataFrame, systems: DataFrame, as_of, days: int = 7) -> DataFrame:
+    """Per day, zero-filled: exceptions of enabled systems and the counts by severity."""
     start, end = spans.last_days(as_of, days)
-    per_day = (
+    per_system = (
         spans.within(logs, start, end)
-        .groupBy(F.to_date("ts").alias("log_date"))
+        .groupBy(*dims.SYSTEM_KEY, F.to_date("ts").alias("log_date"))
         .agg(
             F.count_if(is_error()).alias("total_count"),
-            F.count_if(is_error()).alias("critical_count"),
             F.count_if(F.col("level") == "WARN").alias("warning_count"),
             F.count_if(F.col("level") == "INFO").alias("info_count"),
         )
     )
     counts = ["total_count", "critical_count", "warning_count", "info_count"]
+    per_day = (
+        _of_enabled(per_system, systems).withColumn("critical_count", F.col("total_count"))
+        .groupBy("log_date").agg(*[F.sum(c).alias(c) for c in counts])
+    )
     return (
         spans.calendar(logs.sparkSession, as_of, days)
         .join(per_day, "log_date", "left")
@@ -57,12 +67,20 @@ def exceptions_by_system(logs: DataFrame, systems: DataFrame, start=None, end=No
     )
 
 
-def exceptions_by_type(logs: DataFrame, start=None, end=None, limit: int = 20) -> DataFrame:
-    """Exception classes by count with their share of all typed exceptions."""
-    typed = with_exception_type(spans.within(logs, start, end).filter(is_error())).filter(
-        F.col("exception_type").isNotNull()
+def _typed(logs: DataFrame, systems: DataFrame, start, end) -> DataFrame:
+    """Exceptions per enabled system and class: count and latest time."""
+    per_system = (
+        with_exception_type(spans.within(logs, start, end).filter(is_error()))
+        .filter(F.col("exception_type").isNotNull())
+        .groupBy(*dims.SYSTEM_KEY, "exception_type")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("latest_time"))
     )
-    counts = typed.groupBy("exception_type").agg(F.count(F.lit(1)).alias("n"))
+    return _of_enabled(per_system, systems)
+
+
+def exceptions_by_type(logs: DataFrame, systems: DataFrame, start=None, end=None, limit: int = 20) -> DataFrame:
+    """Exception classes of enabled systems by count with their share of all typed exceptions."""
+    counts = _typed(logs, systems, start, end).groupBy("exception_type").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n")).scalar()
     return (
         counts.withColumn("percentage", round_half_up(F.col("n") / total * 100))
@@ -72,25 +90,23 @@ def exceptions_by_type(logs: DataFrame, start=None, end=None, limit: int = 20) -
     )
 
 
-def frequent_exceptions(logs: DataFrame, limit: int = 10, start=None, end=None) -> DataFrame:
+def frequent_exceptions(logs: DataFrame, systems: DataFrame, limit: int = 10, start=None, end=None) -> DataFrame:
     return (
-        with_exception_type(spans.within(logs, start, end).filter(is_error()))
-        .filter(F.col("exception_type").isNotNull())
-        .groupBy(*dims.SYSTEM_KEY, "exception_type")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("latest_time"))
+        _typed(logs, systems, start, end)
         .orderBy(F.col("n").desc(), "tenant_id", "system_id", "exception_type")
         .limit(limit)
     )
 
 
-def exception_headline(logs: DataFrame, as_of, start, end) -> DataFrame:
-    """Exceptions of the span and of today in one scan over both."""
+def exception_headline(logs: DataFrame, systems: DataFrame, as_of, start, end) -> DataFrame:
+    """Exceptions of enabled systems in the span and today: one scan that opens the days of both only."""
     today = spans.start_of_day(as_of)
-    low = min(spans.as_datetime(start), today)
-    high = max(spans.as_datetime(end), today + timedelta(days=1))
-    ts = F.col("ts")
+    ts, date = F.col("ts"), F.col("log_date")
     in_span = (ts >= spans.instant(start)) & (ts < spans.instant(end))
     in_day = (ts >= spans.instant(today)) & (ts < spans.instant(today + timedelta(days=1)))
-    return spans.within(logs, low, high).filter(is_error()).agg(
-        F.count_if(in_span).alias("total_exceptions"), F.count_if(in_day).alias("today_exceptions")
-    )
+    rows = logs.filter((in_span | in_day) & is_error())
+    if "log_date" in logs.columns:
+        rows = rows.filter(date.between(spans.day(start), spans.day(end)) | (date == spans.day(today)))
+    per_system = rows.groupBy(*dims.SYSTEM_KEY).agg(F.count_if(in_span).alias("span"), F.count_if(in_day).alias("day"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return _of_enabled(per_system, systems).agg(total("span", "total_exceptions"), total("day", "today_exceptions"))

@@ -242,7 +242,7 @@ def overview(logs: DataFrame, systems: DataFrame, as_of) -> DataFrame:
         mean("now").alias("avg_health_score"),
         mean("old").alias("previous_score"),
     )
-    new = systems.filter(
+    new = dims.enabled(systems).filter(
         (F.col("create_time") >= F.date_trunc("month", spans.instant(now)))
     ).agg(F.count(F.lit(1))).scalar()
     return current.select(

@@ -2,7 +2,7 @@
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import percent, round_half_up, round_long
 from . import spans
@@ -10,7 +10,7 @@ from .stats import is_error
 from .windows import latest_per_key
 
 MINUTES = {"HOUR": 60, "HALF_HOUR": 30}
-MAX_MODULES = 50
+SHOWN_MODULES = 50
 # Colours from the coldest to the hottest tenth, and for empty cells.
 GRADIENT = (
     "#E8F5E9", "#C8E6C9", "#A5D6A7", "#81C784", "#FFF9C4",
@@ -37,15 +37,15 @@ def _measures() -> list[Column]:
     ]
 
 
-def top_modules(logs: DataFrame, day, limit: int = MAX_MODULES) -> DataFrame:
-    return (
-        day_rows(logs, day).groupBy("module").agg(*_measures())
-        .orderBy(F.col("call_count").desc(), "module")
-        .limit(min(limit, MAX_MODULES))
-    )
+def module_measures(logs: DataFrame, day) -> DataFrame:
+    return day_rows(logs, day).groupBy("module").agg(*_measures())
+
 
+def top_modules(logs: DataFrame, day, limit: int = SHOWN_MODULES) -> DataFrame:
+    return module_measures(logs, day).orderBy(F.col("call_count").desc(), "module").limit(limit)
 
-def cells(logs: DataFrame, day, limit: int = MAX_MODULES, granularity: str = "HOUR") -> DataFrame:
+
+def cells(logs: DataFrame, day, limit: int = SHOWN_MODULES, granularity: str = "HOUR") -> DataFrame:
     """One row per top module and time bucket; empty buckets are present with zeros."""
     width = MINUTES[granularity]
     bucket = F.floor((F.hour("ts") * 60 + F.minute("ts")) / width).cast("int")
@@ -67,7 +67,7 @@ def heat_value(heat_type: str = "CALL_COUNT") -> Column:
 
 def with_heat(grid: DataFrame, heat_type: str = "CALL_COUNT", granularity: str = "HOUR",
               min_heat: int | None = None) -> DataFrame:
-    """Heat 0-100 on a log scale and its colour. The grid is bounded: 50 modules, 48 buckets."""
+    """Heat 0-100 on a log scale and its colour."""
     width = MINUTES[granularity]
     valued = grid.withColumn("value", heat_value(heat_type))
     top = F.greatest(F.lit(1).cast("bigint"), valued.agg(F.max("value")).scalar())
@@ -90,7 +90,7 @@ def with_heat(grid: DataFrame, heat_type: str = "CALL_COUNT", granularity: str =
     )
 
 
-def module_info(logs: DataFrame, day, limit: int = MAX_MODULES, granularity: str = "HOUR",
+def module_info(logs: DataFrame, day, limit: int = SHOWN_MODULES, granularity: str = "HOUR",
                 heat_type: str = "CALL_COUNT") -> DataFrame:
     """Totals, main system and peak bucket of each top module; the earliest peak wins."""
     peaks = (
@@ -115,17 +115,19 @@ def module_info(logs: DataFrame, day, limit: int = MAX_MODULES, granularity: str
     )
 
 
-def hourly_totals(grid: DataFrame, granularity: str = "HOUR") -> DataFrame:
-    hour = F.floor(F.col("time_index") * MINUTES[granularity] / 60).cast("int")
-    return grid.groupBy(hour.alias("hour")).agg(
-        F.sum("call_count").alias("call_count"), F.sum("error_count").alias("error_count")
+def hourly_totals(logs: DataFrame, day) -> DataFrame:
+    """Calls and errors of every hour of the day, over all modules."""
+    seen = day_rows(logs, day).groupBy(F.hour("ts").alias("hour")).agg(
+        F.count(F.lit(1)).alias("call_count"), F.count_if(is_error()).alias("error_count")
     )
+    hours = logs.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
+    return hours.join(seen, "hour", "left").fillna(0)
 
 
-def summary(logs: DataFrame, day, limit: int = MAX_MODULES) -> DataFrame:
-    """Day summary over the top modules; both inputs are at most 50 modules by 24 hours."""
-    modules = top_modules(logs, day, limit)
-    hours = hourly_totals(cells(logs, day, limit)).agg(
+def summary(logs: DataFrame, day) -> DataFrame:
+    """Day summary over all modules."""
+    modules = module_measures(logs, day)
+    hours = hourly_totals(logs, day).agg(
         F.max_by("hour", F.struct("call_count", -F.col("hour"))).alias("peak"),
         F.max("call_count").alias("peak_calls"),
         F.min_by("hour", F.when(F.col("call_count") > 0, F.struct("call_count", "hour"))).alias("valley"),
@@ -133,16 +135,13 @@ def summary(logs: DataFrame, day, limit: int = MAX_MODULES) -> DataFrame:
     )
     # ties: the module first in (calls desc, name) order
     rate = F.col("error_count") / F.col("call_count")
-    ranked = modules.withColumn(
-        "place", F.row_number().over(W.orderBy(F.col("call_count").desc(), "module"))
-    )
-    totals = ranked.agg(
+    totals = modules.agg(
         F.count(F.lit(1)).alias("total_modules"),
         F.sum("call_count").alias("total_calls"),
         F.sum("error_count").alias("total_errors"),
         round_half_up(F.avg(F.when(F.col("avg_ms") > 0, F.col("avg_ms")))).alias("avg_response_time"),
-        F.max_by("module", F.struct("call_count", -F.col("place"))).alias("most_active_module"),
-        F.max_by("module", F.struct(rate, -F.col("place"))).alias("highest_error_rate_module"),
+        F.min_by("module", F.struct(-F.col("call_count"), "module")).alias("most_active_module"),
+        F.min_by("module", F.struct(-rate, -F.col("call_count"), "module")).alias("highest_error_rate_module"),
     )
     clock = lambda c: F.format_string("%02d:00", F.coalesce(F.col(c), F.lit(0)))
     # the hours are one row, read as a scalar

@@ -153,7 +153,8 @@ def ingest(lines: DataFrame, as_of=None, value: str = "value", keep=(),
 
 def enrich(df: DataFrame, tenant: str, as_of) -> DataFrame:
     """Gateway defaults: a content hash as id (stable on retry), tenant of the caller, time."""
-    content = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns if c != "id"]), 256)
+    plain = F.struct(*[F.col(c) for c in df.columns if c != "id"])
+    content = F.sha2(F.to_json(plain, {"ignoreNullFields": "false"}), 256)
     return df.withColumns(
         {
             "id": F.coalesce("id", F.substring(content, 1, 32)),

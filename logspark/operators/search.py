@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text
-from . import spans
+from . import dims, spans
 from .windows import top_n_per_group
 
 # Request name of each sortable field and its column.
@@ -127,36 +127,37 @@ def search_total(logs: DataFrame, query: LogQuery) -> DataFrame:
     return search(logs, query).agg(F.count(F.lit(1)).alias("total"))
 
 
-def trace(logs: DataFrame, trace_id: str, limit: int = 1000) -> DataFrame:
-    """All rows of a trace in time order, over all tenants."""
-    return logs.filter(F.col("trace_id") == trace_id).orderBy("ts", "id").limit(limit)
+def trace(logs: DataFrame, trace_id: str, tenant_id: str | None = None, start=None, end=None) -> DataFrame:
+    """All rows of a trace in time order. A tenant or a span, where known, keeps other partitions closed."""
+    rows = spans.within(logs, start, end, inclusive_end=True).filter(F.col("trace_id") == trace_id)
+    if tenant_id is not None:
+        rows = rows.filter(F.col("tenant_id") == tenant_id)
+    return rows.orderBy("ts", "id")
 
 
-def newest_per_system(logs: DataFrame, query: LogQuery) -> DataFrame:
-    """The newest ``size`` matches of each system; input of the two cross-system reports."""
+def _cross_system_matches(logs: DataFrame, systems: DataFrame, query: LogQuery) -> DataFrame:
+    """Matches in enabled systems, with the catalogue's name; a system is a tenant and an id."""
     from dataclasses import replace
 
-    rows = search(logs, replace(query, fuzzy=False))
-    return top_n_per_group(
-        rows, ["system_id"], [F.col("ts").desc(), F.col("id").asc()], query.size, spread_by="id"
-    )
+    return dims.of_enabled_systems(search(logs, replace(query, fuzzy=False)), systems)
 
 
 def cross_system_page(logs: DataFrame, systems: DataFrame, query: LogQuery) -> DataFrame:
-    names = systems.select("system_id", F.col("system_name").alias("known_name"))
+    """One page over the newest ``size`` matches of each enabled system."""
+    newest = top_n_per_group(
+        _cross_system_matches(logs, systems, query), dims.SYSTEM_KEY, [F.col("ts").desc(), F.col("id").asc()],
+        query.size, spread_by="id",
+    )
     return (
-        newest_per_system(logs, query)
-        .orderBy(F.col("ts").desc(), F.col("id").asc())
+        newest.orderBy(F.col("ts").desc(), F.col("id").asc(), *dims.SYSTEM_KEY)
         .offset((query.page - 1) * query.size)
         .limit(query.size)
-        .join(names, "system_id", "left")
-        .withColumn("system_name", F.coalesce("known_name", "system_id"))
-        .drop("known_name")
     )
 
 
-def cross_system_stats(logs: DataFrame, query: LogQuery) -> DataFrame:
-    return newest_per_system(logs, query).groupBy("system_id").agg(
+def cross_system_stats(logs: DataFrame, systems: DataFrame, query: LogQuery) -> DataFrame:
+    """Counts over all matches of each enabled system, not only those on a page."""
+    return _cross_system_matches(logs, systems, query).groupBy(*dims.SYSTEM_KEY).agg(
         F.count(F.lit(1)).alias("total_count"),
         F.count_if(F.col("level") == "ERROR").alias("error_count"),
         F.count_if(F.col("level") == "WARN").alias("warn_count"),

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.levels import alert_priority
 from ..functions.numbers import micros
-from ..session import send_code_of
+from ..session import cut_lineage, send_code_of
 from .windows import restart_keys
 
 DEFAULT_PERIOD = 300
@@ -31,7 +31,7 @@ _BY_SLOT = ["silence_key", "slot"]
 _SUMMARY = "silence_key STRING, slot BIGINT, level INT, bound_us BIGINT, exit_us BIGINT, exit_rank INT, period_us BIGINT"
 _ENTRY = "silence_key STRING, slot BIGINT, in_us BIGINT, in_rank INT"
 _SEGMENT = (
-    "silence_key STRING, slot BIGINT, place BIGINT, end_us BIGINT, hit_id STRING, fired BOOLEAN, "
+    "silence_key STRING, slot BIGINT, place BIGINT, end_us BIGINT, hit_id STRING, hit_key STRING, fired BOOLEAN, "
     "suppressed BIGINT, first_us BIGINT, last_us BIGINT"
 )
 
@@ -58,6 +58,15 @@ def with_silence_key(hits: DataFrame) -> DataFrame:
     return hits.withColumn("silence_key", silence_key())
 
 
+def hit_key(hits: DataFrame):
+    """What tells hits apart, whether or not their logs carry ids: a hash of all columns, nulls included.
+
+    Hits that agree in all columns are interchangeable; at most one of them fires.
+    """
+    plain = [F.col(f"`{c}`") for c in hits.columns]
+    return F.sha2(F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}), 256)
+
+
 def _narrow(hits: DataFrame) -> DataFrame:
     period = F.when(F.col("silence_period") > 0, F.col("silence_period")).otherwise(DEFAULT_PERIOD).cast("bigint")
     us = micros(F.col("ts"))
@@ -68,6 +77,7 @@ def _narrow(hits: DataFrame) -> DataFrame:
         F.floor(us / slot_us).alias("slot"),
         us.alias("us"),
         F.col("id").alias("hit_id"),
+        (F.col("hit_key") if "hit_key" in hits.columns else hit_key(hits)).alias("hit_key"),
         alert_priority(F.col("alert_level")).alias("rank"),
         F.coalesce("allow_escalation", F.lit(False)).alias("escalates"),
         (period * 1_000_000).alias("period_us"),
@@ -242,12 +252,13 @@ def _mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = last - first + 1 - ends_fired
         some = held > 0
         pick = lambda index: pd.Series(b.us[np.where(some, index, 0)]).astype("Int64").mask(~some)
-        ids = rows["hit_id"].to_numpy()[last]
+        ids, keys = rows["hit_id"].to_numpy()[last], rows["hit_key"].to_numpy()[last]
         yield pd.DataFrame(
             {
                 "silence_key": b.key[last], "slot": b.slot[last],
                 "place": last - b.start[b.group[last]], "end_us": b.us[last],
-                "hit_id": pd.Series(np.where(ends_fired, ids, None), dtype=object), "fired": ends_fired,
+                "hit_id": pd.Series(np.where(ends_fired, ids, None), dtype=object),
+                "hit_key": pd.Series(np.where(ends_fired, keys, None), dtype=object), "fired": ends_fired,
                 "suppressed": held, "first_us": pick(first), "last_us": pick(last - ends_fired),
             }
         )
@@ -260,7 +271,7 @@ def segments(keyed_hits: DataFrame) -> DataFrame:
     The silence period is a setting of the rule and must be the same for all hits of a key.
     """
     narrow = _narrow(keyed_hits)
-    order = [*_BY_SLOT, "us", "hit_id"]
+    order = [*_BY_SLOT, "us", "hit_id", "hit_key"]
     summaries = narrow.repartition(*_BY_SLOT).sortWithinPartitions(*order).mapInPandas(_summarise, _SUMMARY)
     entries = (
         summaries.repartition("silence_key")
@@ -275,7 +286,7 @@ def segments(keyed_hits: DataFrame) -> DataFrame:
     marks = (
         entered.fillna(0, ["period_us", "slot_us"]).fillna(False, ["escalates"])
         .repartition(*_BY_SLOT)
-        .sortWithinPartitions(*_BY_SLOT, F.col("is_entry").desc(), "us", "hit_id")
+        .sortWithinPartitions(*_BY_SLOT, F.col("is_entry").desc(), "us", "hit_id", "hit_key")
         .mapInPandas(_mark, _SEGMENT)
     )
     before = W.partitionBy("silence_key").orderBy("slot", "place").rowsBetween(W.unboundedPreceding, -1)
@@ -288,13 +299,14 @@ def segments(keyed_hits: DataFrame) -> DataFrame:
         .agg(
             F.bool_or("fired").alias("fired"),
             F.max("hit_id").alias("hit_id"),
+            F.max("hit_key").alias("hit_key"),
             F.max(F.when(F.col("fired"), F.col("end_us"))).alias("_us"),
             F.sum("suppressed").alias("suppressed_count"),
             F.min("first_us").alias("_first"),
             F.max("last_us").alias("_last"),
         )
         .select(
-            "silence_key", "fired", "hit_id", instant(F.col("_us")).alias("fired_at"),
+            "silence_key", "fired", "hit_id", "hit_key", instant(F.col("_us")).alias("fired_at"),
             "suppressed_count", instant(F.col("_first")).alias("first_occurrence"),
             instant(F.col("_last")).alias("last_occurrence"),
         )
@@ -302,11 +314,16 @@ def segments(keyed_hits: DataFrame) -> DataFrame:
 
 
 def fired(keyed_hits: DataFrame) -> DataFrame:
-    """Fired hits with all their columns and what was suppressed before them."""
+    """Fired hits with all their columns, their key, and what was suppressed before them.
+
+    The hits are passed over three times, so they are computed once and kept in the shared folder.
+    """
+    keyed_hits = cut_lineage(keyed_hits.withColumn("hit_key", hit_key(keyed_hits)))
     marks = segments(keyed_hits).filter("fired").select(
-        "silence_key", F.col("hit_id").alias("id"), "suppressed_count", "first_occurrence", "last_occurrence"
+        "hit_key", "suppressed_count", "first_occurrence", "last_occurrence"
     )
-    return keyed_hits.join(marks, ["silence_key", "id"])
+    # of hits that agree in everything one fired, so one stays
+    return keyed_hits.join(marks, "hit_key").dropDuplicates(["hit_key"])
 
 
 def silence_stats(parts: DataFrame, as_of, expire_hours: int = 2) -> DataFrame:

@@ -89,7 +89,7 @@ def module_stats(logs: DataFrame, start=None, end=None, sort_by: str = "call_cou
         )
     )
     order = [F.col(sort_by).desc(), F.col("module").asc()]
-    top = stats.orderBy(*order).limit(min(limit, 100))
+    top = stats.orderBy(*order).limit(limit)
     return top.withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
@@ -100,11 +100,12 @@ def module_trend(logs: DataFrame, start, end, limit: int = 20) -> DataFrame:
     recent = F.col("ts") >= spans.instant(first)
     return (
         spans.within(logs, before, last)
+        .filter(F.col("module").isNotNull())
         .groupBy("module")
         .agg(F.count_if(recent).alias("call_count"), F.count_if(~recent).alias("previous_count"))
         .withColumn("trend", growth_rate(F.col("call_count"), F.col("previous_count")))
         .orderBy(F.col("call_count").desc(), "module")
-        .limit(min(limit, 100))
+        .limit(limit)
     )
 
 
@@ -121,7 +122,7 @@ def hotspots(logs: DataFrame, start=None, end=None, limit: int = 50, approx: boo
         round_long(F.avg("response_time")).alias("avg_time"),
     )
     order = [F.col("call_count").desc(), F.col("operation").asc()]
-    top = per_op.orderBy(*order).limit(min(limit, 50)).withColumn(
+    top = per_op.orderBy(*order).limit(limit).withColumn(
         "rank", F.row_number().over(W.orderBy(*order))
     )
     modules = df.filter(F.col("module").isNotNull()).groupBy("operation", "module").count()

@@ -91,7 +91,8 @@ def _(spark, folder):
 
 @query("enriched_logs", """
 SELECT CASE WHEN event_id % 2 = 0 THEN 'e' || CAST(event_id AS VARCHAR)
-  ELSE left(sha256(concat_ws('|', CASE WHEN user_id % 3 > 0 THEN 'tenant_' || CAST(user_id % 3 AS VARCHAR) END, event_type)), 32) END AS id,
+  ELSE left(sha256('{"tenant_id":' || CASE WHEN user_id % 3 > 0 THEN '"tenant_' || CAST(user_id % 3 AS VARCHAR) || '"' ELSE 'null' END
+    || ',"ts":null,"message":"' || event_type || '"}'), 32) END AS id,
   CASE WHEN user_id % 3 > 0 THEN 'tenant_' || CAST(user_id % 3 AS VARCHAR) ELSE 'acme' END AS tenant_id,
   TIMESTAMP '2024-01-30 12:00:00' AS ts, event_type AS message FROM events""")
 def _(spark, folder):

@@ -50,7 +50,7 @@ def run_lifecycle(spark: SparkSession, table: str, archive: str, as_of, dry_run:
     )
     result = cut_lineage(result)
     for row in result.filter("verified or action = 'EXPIRE'").toLocalIterator():
-        folder = [f"tenant_id={row.tenant_id}", f"system_id={row.system_id}", f"log_date={row.log_date}"]
+        folder = [_folder(spark, c, row[c]) for c in PARTITION_COLUMNS]
         if row.hot:
             _delete(spark, "/".join([table, *folder]))
         if row.action == "EXPIRE" and row.archived:
@@ -73,6 +73,12 @@ def _parts(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     return manifest_of_files(spark, path, prefix)
 
 
+def _folder(spark: SparkSession, column: str, value) -> str:
+    """Folder name of a partition, escaped as Spark escapes it on writing."""
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    return names.getPartitionPathString(column, None if value is None else str(value))
+
+
 def _path(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
 

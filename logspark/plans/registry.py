@@ -94,6 +94,29 @@ SYSTEMS_SQL = "systems(id, tenant_id, system_id, system_name, status, create_tim
 LOGS_AND_SYSTEMS = LOGS + ", " + SYSTEMS_SQL + "\n"
 
 
+# A second view in which every system id occurs in both tenants, enabled in one and disabled in the other for some.
+SHARED_SYSTEM_ROWS = [
+    (1, "tenant_0", "sys_0", "ERP", 1), (2, "tenant_1", "sys_0", "ERP copy", 0), (3, "tenant_0", "sys_1", "CRM", 1),
+    (4, "tenant_1", "sys_1", "CRM two", 1), (5, "tenant_0", "sys_2", "WMS", 0), (6, "tenant_1", "sys_2", "WMS two", 1),
+]
+SHARED_LOGS_AND_SYSTEMS = LOGS.replace(
+    "'sys_' || CAST(user_id % 6 AS VARCHAR) AS system_id", "'sys_' || CAST(user_id % 3 AS VARCHAR) AS system_id"
+) + ", systems(id, tenant_id, system_id, system_name, status) AS (VALUES " + ", ".join(
+    f"({i}, '{t}', '{s}', '{n}', {st})" for i, t, s, n, st in SHARED_SYSTEM_ROWS
+) + ")\n"
+
+
+def shared_logs(spark: SparkSession, folder: str) -> DataFrame:
+    from ..sources.events import load_logs
+
+    number = (F.col("user_id").cast("bigint") % 3).cast("string")
+    return load_logs(spark, folder).withColumn("system_id", F.concat(F.lit("sys_"), number))
+
+
+def shared_systems(spark: SparkSession) -> DataFrame:
+    return inline(spark, SHARED_SYSTEM_ROWS, "id BIGINT, tenant_id STRING, system_id STRING, system_name STRING, status INT")
+
+
 def inline(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """Small literal frame as SQL VALUES; its size is known to the optimizer."""
     def text(value) -> str:

@@ -12,11 +12,11 @@ def exception_monitor(logs: DataFrame, systems: DataFrame, as_of, start, end, da
     Each part is a lazy frame of its own, so a caller pays for what it shows.
     """
     return {
-        "headline": exceptions.exception_headline(logs, as_of, start, end),
-        "trend": exceptions.exception_trend(logs, as_of, days),
+        "headline": exceptions.exception_headline(logs, systems, as_of, start, end),
+        "trend": exceptions.exception_trend(logs, systems, as_of, days),
         "by_system": exceptions.exceptions_by_system(logs, systems, start, end),
-        "by_type": exceptions.exceptions_by_type(logs, start, end),
-        "frequent": exceptions.frequent_exceptions(logs, limit, start, end),
+        "by_type": exceptions.exceptions_by_type(logs, systems, start, end),
+        "frequent": exceptions.frequent_exceptions(logs, systems, limit, start, end),
     }
 
 

@@ -6,7 +6,9 @@ from ..functions import text
 from ..operators import admission, dims, search, windows
 from ..operators.search import LogQuery
 from ..sources.events import load_logs, read_table, systems_from_suppliers
-from .registry import AS_OF, LOGS, LOGS_AND_SYSTEMS, query, systems_frame
+from .registry import (
+    AS_OF, LOGS, LOGS_AND_SYSTEMS, SHARED_LOGS_AND_SYSTEMS, query, shared_logs, shared_systems, systems_frame,
+)
 
 RANGE = dict(start="2024-01-05 00:00:00", end="2024-01-25 00:00:00")
 IN_RANGE = "ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-25'"
@@ -74,32 +76,43 @@ def _(spark, folder):
     return search.search_total(load_logs(spark, folder), LogQuery(level="WARN", **RANGE))
 
 
-@query("trace_lookup", LOGS + f"SELECT {COLS}, span_id FROM logs WHERE trace_id = 'tr_42' ORDER BY ts, id LIMIT 1000")
+@query("trace_lookup", LOGS + f"SELECT {COLS}, span_id FROM logs WHERE trace_id = 'tr_42' ORDER BY ts, id")
 def _(spark, folder):
     return search.trace(load_logs(spark, folder), "tr_42").select(*SHORT, "span_id")
 
 
 CROSS = LogQuery(system_ids=("sys_0", "sys_1", "sys_5"), keyword="click error", size=40, page=2)
-CROSS_SQL = LOGS_AND_SYSTEMS + """, n AS (SELECT *, row_number() OVER (PARTITION BY system_id ORDER BY ts DESC, id) AS rn
-  FROM logs WHERE system_id IN ('sys_0', 'sys_1', 'sys_5')
-    AND list_has_any(regexp_split_to_array(lower(message), '[^\\p{L}\\p{N}_]+'), ['click', 'error'])),
-k AS (SELECT * FROM n WHERE rn <= 40)
+CROSS_SQL = """, m AS (SELECT l.id, l.ts, l.tenant_id, l.system_id, l.level, s.system_name
+  FROM logs l JOIN systems s ON l.tenant_id = s.tenant_id AND l.system_id = s.system_id AND s.status = 1
+  WHERE l.system_id IN ('sys_0', 'sys_1', 'sys_5')
+    AND list_has_any(regexp_split_to_array(lower(l.message), '[^\\p{L}\\p{N}_]+'), ['click', 'error'])),
+k AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY tenant_id, system_id ORDER BY ts DESC, id) <= 40)
 """
+CROSS_PAGE = "SELECT * FROM k ORDER BY ts DESC, id, tenant_id, system_id LIMIT 40 OFFSET 40"
+CROSS_STATS = """SELECT tenant_id, system_id, count(*) AS total_count, count(*) FILTER (level = 'ERROR') AS error_count,
+  count(*) FILTER (level = 'WARN') AS warn_count FROM m GROUP BY 1, 2"""
 
 
-@query("cross_system_page", CROSS_SQL + """, p AS (SELECT * FROM k ORDER BY ts DESC, id LIMIT 40 OFFSET 40)
-SELECT p.id, p.ts, p.system_id, coalesce(s.system_name, p.system_id) AS system_name, p.level
-FROM p LEFT JOIN systems s ON s.system_id = p.system_id""")
+@query("cross_system_page", LOGS_AND_SYSTEMS + CROSS_SQL + CROSS_PAGE)
 def _(spark, folder):
     page = search.cross_system_page(load_logs(spark, folder), systems_frame(spark), CROSS)
-    return page.select("id", "ts", "system_id", "system_name", "level")
+    return page.select("id", "ts", "tenant_id", "system_id", "system_name", "level")
 
 
-@query("cross_system_stats", CROSS_SQL + """
-SELECT system_id, count(*) AS total_count, count(*) FILTER (level = 'ERROR') AS error_count,
-  count(*) FILTER (level = 'WARN') AS warn_count FROM k GROUP BY system_id""")
+@query("cross_system_page_of_shared_ids", SHARED_LOGS_AND_SYSTEMS + CROSS_SQL + CROSS_PAGE)
 def _(spark, folder):
-    return search.cross_system_stats(load_logs(spark, folder), CROSS)
+    page = search.cross_system_page(shared_logs(spark, folder), shared_systems(spark), CROSS)
+    return page.select("id", "ts", "tenant_id", "system_id", "system_name", "level")
+
+
+@query("cross_system_stats", LOGS_AND_SYSTEMS + CROSS_SQL + CROSS_STATS)
+def _(spark, folder):
+    return search.cross_system_stats(load_logs(spark, folder), systems_frame(spark), CROSS)
+
+
+@query("cross_system_stats_of_shared_ids", SHARED_LOGS_AND_SYSTEMS + CROSS_SQL + CROSS_STATS)
+def _(spark, folder):
+    return search.cross_system_stats(shared_logs(spark, folder), shared_systems(spark), CROSS)
 
 
 @query("top_rows_per_system", LOGS + """, r AS (SELECT *, row_number() OVER (PARTITION BY system_id ORDER BY response_time DESC, id) AS rn FROM logs)
@@ -224,6 +237,16 @@ def _(spark, folder):
     return windows.run_length(load_logs(spark, folder), ["tenant_id"], F.col("response_time") > 60).select("id", "run_length")
 
 
+@query("documents_by_content", LOGS + "SELECT module, count(*) AS n FROM logs GROUP BY 1")
+def _(spark, folder):
+    """Logs without ids, traces and spans, delivered twice: the content names the document, so each stays once."""
+    from ..sources.logs import document_id, latest_documents
+
+    bare = load_logs(spark, folder).withColumns({c: F.lit(None).cast("string") for c in ("id", "trace_id", "span_id")})
+    rows = bare.unionByName(bare).withColumn("doc_id", document_id())
+    return latest_documents(rows, "doc_id").groupBy("module").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("latest_version_of_each_log", LOGS + """
 SELECT span_id, user_id, id, ts FROM logs QUALIFY row_number() OVER (PARTITION BY span_id, user_id ORDER BY ts DESC, id DESC) = 1""")
 def _(spark, folder):

@@ -298,11 +298,21 @@ def _(spark, folder):
     return catalog.count_systems_by_tenant(systems(spark, folder))
 
 
-@query("system_by_id", SYSTEMS + "SELECT id, tenant_id, system_name FROM systems WHERE system_id = 'sys_3'")
+@query("system_by_id", SYSTEMS + "SELECT id, tenant_id, system_name FROM systems WHERE system_id = 'sys_3' AND status = 1")
 def _(spark, folder):
     return catalog.find_system(systems(spark, folder), "sys_3").select("id", "tenant_id", "system_name")
 
 
+@query("disabled_system_by_id", SYSTEMS + "SELECT id FROM systems WHERE system_id = 'sys_4' AND status = 1")
+def _(spark, folder):
+    return catalog.find_system(systems(spark, folder), "sys_4").select("id")
+
+
+@query("system_id_taken", SYSTEMS + "SELECT count(*) FILTER (system_id = 'sys_4') > 0 AS taken FROM systems")
+def _(spark, folder):
+    return catalog.system_exists(systems(spark, folder), "sys_4")
+
+
 @query("system_page", SYSTEMS + "SELECT id, 'sk_****' || right(md5(api_key), 8) AS api_key FROM systems ORDER BY create_time DESC, id LIMIT 5")
 def _(spark, folder):
     return catalog.system_page(systems(spark, folder), size=5).select("id", "api_key")
@@ -328,6 +338,11 @@ def _(spark, folder):
     return catalog.tenant_counts(tenants(spark, folder), AS_OF)
 
 
-@query("tenant_by_id", TENANTS + "SELECT id, tenant_name FROM tenants WHERE tenant_id = 'tenant_77'")
+@query("tenant_by_id", TENANTS + "SELECT id, tenant_name FROM tenants WHERE tenant_id = 'tenant_77' AND status = 1")
 def _(spark, folder):
     return catalog.find_tenant(tenants(spark, folder), "tenant_77").select("id", "tenant_name")
+
+
+@query("enabled_tenants", TENANTS + "SELECT id, tenant_name FROM tenants WHERE status = 1")
+def _(spark, folder):
+    return catalog.enabled_tenants(tenants(spark, folder)).select("id", "tenant_name")

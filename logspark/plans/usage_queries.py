@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from ..operators import exceptions, health, heatmap, spans, stats
 from ..sources.events import load_logs
 from .registry import (
-    AS_OF, LOGS, LOGS_AND_SYSTEMS, growth_sql, half_up, percent_sql, query, systems_frame,
+    AS_OF, LOGS, LOGS_AND_SYSTEMS, SHARED_LOGS_AND_SYSTEMS, growth_sql, half_up, percent_sql, query, shared_logs,
+    shared_systems, systems_frame,
 )
 
 SPAN = ("2024-01-05 00:00:00", "2024-01-25 00:00:00")
@@ -101,21 +102,32 @@ def _(spark, folder):
     return stats.counts_per_window(load_logs(spark, folder), "1 hour")
 
 
-@query("exception_total", LOGS + f"""
-SELECT count(*) FILTER (level = 'ERROR') AS exception_count FROM logs WHERE {IN_HALF_SPAN}""")
+# Fleet reports look at enabled systems only.
+ENABLED_LOGS = """, el AS (SELECT l.* FROM logs l SEMI JOIN (SELECT * FROM systems WHERE status = 1) s
+  ON l.tenant_id = s.tenant_id AND l.system_id = s.system_id)"""
+
+
+@query("exception_total", LOGS_AND_SYSTEMS + ENABLED_LOGS + f"""
+SELECT count(*) FILTER (level = 'ERROR') AS exception_count FROM el WHERE {IN_HALF_SPAN}""")
 def _(spark, folder):
-    return exceptions.exception_total(load_logs(spark, folder), *SPAN)
+    return exceptions.exception_total(load_logs(spark, folder), systems_frame(spark), *SPAN)
 
 
-@query("exception_trend", LOGS + """, days AS (
+@query("exception_total_of_shared_ids", SHARED_LOGS_AND_SYSTEMS + ENABLED_LOGS + f"""
+SELECT count(*) FILTER (level = 'ERROR') AS exception_count FROM el WHERE {IN_HALF_SPAN}""")
+def _(spark, folder):
+    return exceptions.exception_total(shared_logs(spark, folder), shared_systems(spark), *SPAN)
+
+
+@query("exception_trend", LOGS_AND_SYSTEMS + ENABLED_LOGS + """, days AS (
   SELECT CAST(d AS DATE) AS log_date FROM generate_series(TIMESTAMP '2024-01-26', TIMESTAMP '2024-02-01', INTERVAL 1 DAY) t(d)
 ), p AS (SELECT log_date, count(*) FILTER (level = 'ERROR') AS e, count(*) FILTER (level = 'WARN') AS w,
-    count(*) FILTER (level = 'INFO') AS i FROM logs GROUP BY log_date)
+    count(*) FILTER (level = 'INFO') AS i FROM el GROUP BY log_date)
 SELECT days.log_date, strftime(days.log_date, '%m-%d') AS label, coalesce(e, 0) AS total_count,
   coalesce(e, 0) AS critical_count, coalesce(w, 0) AS warning_count, coalesce(i, 0) AS info_count
 FROM days LEFT JOIN p ON days.log_date = p.log_date""")
 def _(spark, folder):
-    return exceptions.exception_trend(load_logs(spark, folder), "2024-02-01 09:00:00", 7)
+    return exceptions.exception_trend(load_logs(spark, folder), systems_frame(spark), "2024-02-01 09:00:00", 7)
 
 
 @query("exceptions_by_system", LOGS_AND_SYSTEMS + f""", a AS (SELECT tenant_id, system_id, count(*) AS n,
@@ -127,28 +139,28 @@ def _(spark, folder):
     return exceptions.exceptions_by_system(load_logs(spark, folder), systems_frame(spark), *SPAN)
 
 
-@query("exceptions_by_type", LOGS + f""", t AS (SELECT split_part(exception, ':', 1) AS exception_type, count(*) AS n
-  FROM logs WHERE level = 'ERROR' AND {IN_HALF_SPAN} GROUP BY 1)
+@query("exceptions_by_type", LOGS_AND_SYSTEMS + ENABLED_LOGS + f""", t AS (SELECT split_part(exception, ':', 1) AS exception_type, count(*) AS n
+  FROM el WHERE level = 'ERROR' AND {IN_HALF_SPAN} GROUP BY 1)
 SELECT exception_type, n, {half_up('CAST(n AS DOUBLE) / (SELECT sum(n) FROM t) * 100')} AS percentage,
   regexp_replace(regexp_extract(exception_type, '[^.]*$'), 'Exception$', '') AS type_name
 FROM t ORDER BY n DESC, exception_type LIMIT 20""")
 def _(spark, folder):
-    return exceptions.exceptions_by_type(load_logs(spark, folder), *SPAN)
+    return exceptions.exceptions_by_type(load_logs(spark, folder), systems_frame(spark), *SPAN)
 
 
-@query("frequent_exceptions", LOGS + f"""
+@query("frequent_exceptions", LOGS_AND_SYSTEMS + ENABLED_LOGS + f"""
 SELECT tenant_id, system_id, split_part(exception, ':', 1) AS exception_type, count(*) AS n, max(ts) AS latest_time
-FROM logs WHERE level = 'ERROR' AND {IN_HALF_SPAN} GROUP BY 1, 2, 3
+FROM el WHERE level = 'ERROR' AND {IN_HALF_SPAN} GROUP BY 1, 2, 3
 ORDER BY n DESC, tenant_id, system_id, exception_type LIMIT 10""")
 def _(spark, folder):
-    return exceptions.frequent_exceptions(load_logs(spark, folder), 10, *SPAN)
+    return exceptions.frequent_exceptions(load_logs(spark, folder), systems_frame(spark), 10, *SPAN)
 
 
-@query("exception_headline", LOGS + f"""
+@query("exception_headline", LOGS_AND_SYSTEMS + ENABLED_LOGS + f"""
 SELECT count(*) FILTER ({IN_HALF_SPAN}) AS total_exceptions,
-  count(*) FILTER (log_date = DATE '2024-01-30') AS today_exceptions FROM logs WHERE level = 'ERROR'""")
+  count(*) FILTER (log_date = DATE '2024-01-30') AS today_exceptions FROM el WHERE level = 'ERROR'""")
 def _(spark, folder):
-    return exceptions.exception_headline(load_logs(spark, folder), AS_OF, *SPAN)
+    return exceptions.exception_headline(load_logs(spark, folder), systems_frame(spark), AS_OF, *SPAN)
 
 
 FAILED = "(level = 'ERROR' OR status_code >= 500)"
@@ -272,7 +284,7 @@ def _(spark, folder):
   ON logs.tenant_id = s.tenant_id AND logs.system_id = s.system_id),
 h AS (SELECT count(*) AS c, count(*) FILTER ({half_up('ov')} < 60) AS ab, {half_up(f"avg({half_up('ov')})", 1)} AS m FROM sh),
 h2 AS (SELECT {half_up(f"avg({half_up('ov')})", 1)} AS m2 FROM sh2)
-SELECT c AS total_systems, (SELECT count(*) FROM systems WHERE create_time >= TIMESTAMP '2024-01-01') AS new_systems_this_month,
+SELECT c AS total_systems, (SELECT count(*) FROM systems WHERE status = 1 AND create_time >= TIMESTAMP '2024-01-01') AS new_systems_this_month,
   t AS today_log_count, {growth_sql('t', 'y')} AS log_count_growth, ab AS abnormal_system_count, m AS avg_health_score,
   {half_up('m - m2', 1)} AS health_score_change FROM k, h, h2""")
 def _(spark, folder):
@@ -337,7 +349,7 @@ def _(spark, folder):
     return heatmap.module_info(load_logs(spark, folder), DAY)
 
 
-@query("heatmap_summary", LOGS + _heat_ctes(60, 50) + f""", hr AS (SELECT time_index AS h, sum(call_count) AS c FROM grid GROUP BY 1),
+_SUMMARY_SQL = LOGS + _heat_ctes(60, 1_000_000) + f""", hr AS (SELECT time_index AS h, sum(call_count) AS c FROM grid GROUP BY 1),
 pk AS (SELECT h, c FROM hr ORDER BY c DESC, h LIMIT 1), vl AS (SELECT h, c FROM hr WHERE c > 0 ORDER BY c, h LIMIT 1)
 SELECT (SELECT count(*) FROM top) AS total_modules, CAST((SELECT sum(call_count) FROM top) AS BIGINT) AS total_calls,
   CAST((SELECT sum(error_count) FROM top) AS BIGINT) AS total_errors,
@@ -347,6 +359,10 @@ SELECT (SELECT count(*) FROM top) AS total_modules, CAST((SELECT sum(call_count)
   lpad(CAST(vl.h AS VARCHAR), 2, '0') || ':00' AS valley_hour, CAST(vl.c AS BIGINT) AS valley_calls,
   (SELECT module FROM top ORDER BY call_count DESC, module LIMIT 1) AS most_active_module,
   (SELECT module FROM top ORDER BY CAST(error_count AS DOUBLE) / call_count DESC, call_count DESC, module LIMIT 1) AS highest_error_rate_module
-FROM pk, vl""")
+FROM pk, vl"""
+
+
+@query("heatmap_summary", _SUMMARY_SQL)
 def _(spark, folder):
+    """Totals take in every module, however few the grid shows."""
     return heatmap.summary(load_logs(spark, folder), DAY)

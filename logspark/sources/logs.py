@@ -28,13 +28,18 @@ def partition_label() -> Column:
     return F.concat_ws("-", tenant, system, F.date_format("ts", "yyyy.MM.dd"))
 
 
+def content_hash(columns) -> Column:
+    """Hash of the named columns; nulls keep their place, so different rows do not share one."""
+    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in columns]), {"ignoreNullFields": "false"}), 256)
+
+
 def document_id(by_span: bool = False) -> Column:
     """Identity of a row: its id, else trace and span, else a hash of the content."""
     span = F.when(
         F.col("trace_id").isNotNull() & F.col("span_id").isNotNull(),
         F.concat_ws("-", "trace_id", "span_id"),
     )
-    content = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in LOG_COLUMNS if c != "tags"]), 256)
+    content = content_hash([c for c in LOG_COLUMNS if c != "id"])
     return F.coalesce(span, content) if by_span else F.coalesce(F.col("id"), span, content)
 
 
@@ -134,20 +139,35 @@ def read_archive(spark: SparkSession, path: str, tenant_id: str | None = None,
 
 def manifest_of_files(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     """Files and bytes per partition, from file names and sizes alone; no content is read."""
-    name = F.col("path")
-    part = lambda key: F.regexp_extract(name, f"/{prefix}{key}=([^/]+)/", 1)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return (
-        files.select(
-            part("tenant_id").alias("tenant_id"), part("system_id").alias("system_id"),
-            part("log_date").try_cast("date").alias("log_date"), F.col("length"),
-        )
-        .filter(F.col("log_date").isNotNull())
+        manifest_rows(files, prefix)
         .groupBy(*PARTITION_COLUMNS)
         .agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
     )
 
 
+def manifest_rows(files: DataFrame, prefix: str = "") -> DataFrame:
+    """Partition names of files (path, length), decoded as they were written; a date that does not parse is null."""
+    def part(key: str) -> Column:
+        raw = F.regexp_extract("path", f"/{prefix}{key}=([^/]+)/", 1)
+        return F.when((raw != "") & (raw != NULL_PARTITION), decoded_name(raw))
+
+    return files.select(
+        part("tenant_id").alias("tenant_id"), part("system_id").alias("system_id"),
+        part("log_date").try_cast("date").alias("log_date"), F.col("length"),
+    )
+
+
+# Fixed value: folder name of a null partition value.
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
+
+def decoded_name(value: Column) -> Column:
+    """Partition value of a folder name. Pluses are plain there, unlike in the URL form that the decoder knows."""
+    return F.coalesce(F.try_url_decode(F.regexp_replace(value, r"\+", "%2B")), value)
+
+
 def sheet(df: DataFrame) -> DataFrame:
     """Tabular export: 21 columns, long texts cut, tags joined."""
     special = {

@@ -10,7 +10,6 @@ from ..operators import ingest, stats
 from ..schema import LOG_COLUMNS, PARTITION_COLUMNS
 from ..sources.logs import with_partitions
 
-MAX_ROWS_PER_TRIGGER = 500
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 3, 1.0, 10.0
 
 
@@ -19,11 +18,12 @@ def read_files(spark: SparkSession, path: str, max_files: int = 1000) -> DataFra
     return spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(path)
 
 
-def read_kafka(spark: SparkSession, servers: str, topic: str, max_offsets: int = MAX_ROWS_PER_TRIGGER,
+def read_kafka(spark: SparkSession, servers: str, topic: str, max_offsets: int | None = None,
                **options) -> DataFrame:
-    """Messages of a topic. Needs the Kafka connector on the class path."""
-    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
-    reader = reader.option("subscribe", topic).option("maxOffsetsPerTrigger", max_offsets)
+    """Messages of a topic, by default all that have arrived. Needs the Kafka connector on the class path."""
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+    if max_offsets is not None:
+        reader = reader.option("maxOffsetsPerTrigger", max_offsets)
     for key, value in options.items():
         reader = reader.option(key, value)
     return reader.load().select(F.col("value").cast("string").alias("value"))
@@ -44,11 +44,11 @@ def keep_trying(write: Callable[[], None], attempts: int = ATTEMPTS, first_wait:
     return error
 
 
-def _replace(df: DataFrame, path: str, batch_id: int, keys: list[str]) -> None:
-    """Write a micro-batch so that a replay of the same batch replaces it."""
+def _replace(df: DataFrame, path: str, batch_id: int, keys: list[str], placed: bool = False) -> None:
+    """Write a micro-batch so that a replay of the same batch replaces it. placed: rows are dealt out already."""
+    rows = df.withColumn("ingest_batch", F.lit(batch_id))
     (
-        df.withColumn("ingest_batch", F.lit(batch_id))
-        .hint("rebalance", *keys)
+        (rows if placed else rows.hint("rebalance", *keys))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys, "ingest_batch")
@@ -79,7 +79,9 @@ def ingest_stream(lines: DataFrame, table: str, dead_letters: str, checkpoint: s
                 bad = bad.unionByName(rows.filter("is_valid").select("raw_value", reason.alias("reject_reason")))
             _replace(bad.withColumn("rejected_at", F.current_timestamp()), dead_letters, batch_id, [])
             if detection_feed is not None and error is None:
-                _replace(valid.repartition("tenant_id", "system_id", "trace_id"), detection_feed, batch_id, [])
+                # one key on one partition; rows without a trace have no order to keep and are spread
+                trace = F.coalesce("trace_id", F.xxhash64(*LOG_COLUMNS).cast("string"))
+                _replace(valid.repartition("tenant_id", "system_id", trace), detection_feed, batch_id, [], placed=True)
             if on_metrics is not None:
                 on_metrics(batch_id, seen.get)
         finally:

@@ -113,3 +113,10 @@ def test_paths_into_extra(spark):
 def test_masked_api_key(spark):
     (shown,) = one(spark, ["sk_test_key_001"], masking.mask_api_key)
     assert shown.startswith("sk_****") and len(shown) == 15
+
+
+def test_swapped_letters_count_as_one_edit(spark):
+    words = ["usre", "user", "ures", "uesrx", "recieve", "rceieve", "rceievex", "uxxr"]
+    near = lambda term: [w for w, ok in zip(words, one(spark, words, lambda c: text.matches_fuzzy(c, [term]))) if ok]
+    assert near("user") == ["usre", "user"]
+    assert near("receive") == ["recieve", "rceieve"]

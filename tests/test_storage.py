@@ -152,3 +152,31 @@ def test_detection_job(spark, logs, tmp_path):
 
 def test_log_columns_are_all_stored(spark, table):
     assert set(LOG_COLUMNS) | {"log_date"} == set(store.read_logs(spark, table).columns)
+
+
+def test_manifest_and_retention_of_odd_names(spark, tmp_path):
+    from logspark.schema import LOG_SCHEMA
+
+    names = [("a:b c", "s/1"), ("p%q", "x+y"), ("k=v", "%25"), ("plain", "sys")]
+    rows = [(t, s, f"2024-01-0{1 + i} 10:00:00") for i, (t, s) in enumerate(names)]
+    given = spark.createDataFrame(rows, "tenant_id string, system_id string, at string")
+    logs = given.select(*[
+        F.col(f.name) if f.name in ("tenant_id", "system_id") else F.col("at").cast("timestamp").alias("ts") if f.name == "ts"
+        else F.lit(None).cast(f.dataType).alias(f.name) for f in LOG_SCHEMA.fields
+    ])
+    table, archive = str(tmp_path / "table"), str(tmp_path / "archive")
+    store.write_logs(logs, table)
+    listed = {(r.tenant_id, r.system_id) for r in store.manifest_of_files(spark, table).collect()}
+    assert listed == set(names)
+    result = run_lifecycle(spark, table, archive, "2024-02-01 00:00:00", dry_run=False).collect()
+    assert {(r.tenant_id, r.system_id) for r in result if r.verified} == set(names)
+    assert {(r.tenant_id, r.system_id) for r in store.read_archive(spark, archive).collect()} == set(names)
+    assert store.read_logs(spark, table).count() == 0
+
+
+def test_manifest_keeps_partitions_without_a_date(spark, tmp_path):
+    df = spark.createDataFrame([("t", "s", None), ("t", "s", "2024-01-01")], "tenant_id string, system_id string, d string")
+    df = df.select("tenant_id", "system_id", F.col("d").cast("date").alias("log_date"), F.lit(1).alias("v"))
+    df.write.partitionBy("tenant_id", "system_id", "log_date").parquet(str(tmp_path / "t"))
+    dates = {str(r.log_date) for r in store.manifest_of_files(spark, str(tmp_path / "t")).collect()}
+    assert dates == {"None", "2024-01-01"}
