@@ -247,7 +247,7 @@ def _stars(sets: Union, ids: np.ndarray) -> Iterator[pd.DataFrame]:
 def _exact_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, rule: Similarity) -> DataFrame:
     """Links between sets of one family that hold on the full sets: spanning links of each block."""
     weights = members.groupBy("root").agg(F.sum("size").alias("weight"), F.count("*").alias("count"))
-    chunks = F.greatest(F.ceil(F.col("count") / rule.node_limit), F.ceil(F.col("weight") / rule.block_shingles)).cast("bigint")
+    chunks = F.greatest(F.ceil(F.col("count") * 2 / rule.node_limit), F.ceil(F.col("weight") / rule.block_shingles)).cast("bigint")
     wanted = light(stored(members.join(weights, "root").select(
         "root", F.col("node").alias("class"), "head.doc_id", chunks.alias("chunks")
     )))
@@ -288,13 +288,14 @@ def exact_sets(values: list[np.ndarray], percent: int) -> Union:
         return sets
     every, at = np.unique(np.concatenate(values), return_inverse=True)
     owner = np.repeat(np.arange(n), size)
-    shared = np.zeros((n, n), np.float64)
+    shared = np.zeros((n, n), np.float32)  # exact below 2**24
     for start in range(0, len(every), 4096):
         held = (at >= start) & (at < start + 4096)
         grid = np.zeros((n, min(4096, len(every) - start)), np.float32)
         grid[owner[held], at[held] - start] = 1
         shared += grid @ grid.T
-    linked = shared * 100 >= (size[:, None] + size[None, :] - shared) * percent
-    for i, j in zip(*np.nonzero(np.triu(linked, 1))):
-        sets.join(int(i), int(j))
+    for i in range(n - 1):
+        both = shared[i, i + 1 :].astype(np.int64)
+        for j in np.flatnonzero(both * 100 >= (size[i] + size[i + 1 :] - both) * percent):
+            sets.join(i, i + 1 + int(j))
     return sets
