@@ -10,7 +10,9 @@ same one) is removed. To sort the suffixes of a corpus in parts, equal strings m
 2. The texts send the bytes of the first occurrences of open pieces to shards by anchor. There, pieces are cut into
    strips of few starts; strips meet if they agree in the bytes that all strings of the strip share. What then
    still differs is laid end to end, and its suffixes are sorted by linear grouping; neighbours that agree
-   for `length` bytes are one string, of which the earliest place stays.
+   for `length` bytes are one string, of which the earliest place stays. An anchor with more than `crowd` different
+   pieces is no group of bounded size. Its strings are dealt one by one by their own 128-bit hash, so that differing
+   neighbours spread over all shards; equal strings of one batch of texts travel once.
 3. The ranges found go back to their documents.
 
 Identical pieces are one from the start, so a passage with any number of copies is sorted once. Everything moves in
@@ -64,16 +66,20 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def removed_bytes(
-    docs: DataFrame, length: int = 100, shard_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, length: int = 100, shard_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text",
+    crowd: int = 256,
 ) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges, as text)."""
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges, as text).
+
+    crowd: different pieces that an anchor has at most while they are sorted together; it does not change the result.
+    """
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(int(_NO_ID))).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
     shards = 1 + total // shard_bytes
     pieces = rows.mapInPandas(_cutter(length, shards), "shard bigint, data binary")
     first = stored(
         pieces.repartition(shards, "shard").sortWithinPartitions("shard")
-        .mapInPandas(_piece_matcher(length, shards), "bucket bigint, kind int, data binary")
+        .mapInPandas(_piece_matcher(length, shards, crowd), "bucket bigint, kind int, data binary")
     )
     found, open_pieces = first.where("kind = 1"), first.where("kind = 2")
 
@@ -88,8 +94,8 @@ def removed_bytes(
         both = texts.unionByName(blobs.select("bucket", "kind", none.alias("doc_id"), none.alias("text_key"), "data"))
         return both.repartition(shards, "bucket").sortWithinPartitions("bucket", "kind", "doc_id", "text_key")
 
-    answers = with_blobs(open_pieces).mapInPandas(_piece_sender(length, shards), "shard bigint, data binary")
-    more = answers.repartition(shards, "shard").sortWithinPartitions("shard").mapInPandas(
+    answers = with_blobs(open_pieces).mapInPandas(_piece_sender(length, shards), "shard bigint, kind int, data binary")
+    more = answers.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInPandas(
         _sorter(length, shards), "bucket bigint, kind int, data binary")
     return with_blobs(found.unionByName(more)).mapInPandas(
         _remover(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans string")
@@ -193,7 +199,7 @@ def _by_bucket(places: Places, doc: np.ndarray, columns: list[np.ndarray], shard
         yield pd.DataFrame([(int(bucket[own[0]]), kind, data)], columns=["bucket", "kind", "data"])
 
 
-def _piece_matcher(length: int, shards: int):
+def _piece_matcher(length: int, shards: int, crowd: int):
     """Ranges of repeated pieces (kind 1), and first occurrences of the pieces of open anchors (kind 2)."""
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,9 +218,10 @@ def _piece_matcher(length: int, shards: int):
             merged = _union(doc[at], start[at], start[at] + more[at] + length)
             yield from _by_bucket(places, merged[0], [merged[1], merged[2]], shards, 1)
             kinds = np.cumsum(other_anchor) - 1
-            several = np.bincount(kinds, other_piece) > 1
-            at = np.flatnonzero(other_piece & several[kinds])
-            yield from _by_bucket(places, doc[at], [start[at], more[at], lead[at], anchor[at]], shards, 2)
+            different = np.bincount(kinds, other_piece)
+            at = np.flatnonzero(other_piece & (different > 1)[kinds])
+            crowded = (different > crowd)[kinds[at]]
+            yield from _by_bucket(places, doc[at], [start[at], more[at], lead[at], anchor[at], crowded], shards, 2)
 
     return match
 
@@ -233,44 +240,92 @@ def _union(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[first], start[first], (reach - shift)[np.append(first[1:], len(doc)) - 1]
 
 
-def _piece_sender(length: int, shards: int):
-    """Sends the bytes of open pieces to the shard of their anchor."""
+def _piece_sender(length: int, shards: int, most: int = 30_000):
+    """Sends the bytes of open pieces to the shard of their anchor (kind 2), and those of crowded anchors as hashes of
+    their strings to the shards of these (kind 4). Strings that repeat an earlier one of the same batch are ranges (kind
+    1) of this bucket already."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for bucket, blobs, rows in _buckets(batches):
             wanted = _by_document(blobs)
-            ids, keys, own, pieces = [], [], [], []
+            ids, keys, own, pieces, single = [], [], [], [], []
             for doc_id, key, data in rows:
                 asked = wanted.pop((doc_id, key), None)
                 if asked is None:
                     continue
-                for start, more, lead, anchor in zip(*(np.concatenate(c) for c in zip(*asked))):
-                    own.append((len(ids), start, more, lead, anchor))
-                    pieces.append(data[start : start + more + length])
+                for start, more, lead, anchor, crowded in zip(*(np.concatenate(c) for c in zip(*asked))):
+                    piece = data[start : start + more + length]
+                    if crowded:
+                        single.append((len(ids), int(start), piece))
+                    else:
+                        own.append((len(ids), start, more, lead, anchor))
+                        pieces.append(piece)
                 ids.append(doc_id)
                 keys.append(key)
-                if len(own) > 30_000:
-                    yield from flush(ids, keys, own, pieces)
-                    ids, keys, own, pieces = [], [], [], []
-            if own:
-                yield from flush(ids, keys, own, pieces)
-
-    def flush(ids, keys, own, pieces) -> Iterator[pd.DataFrame]:
-        doc, start, more, lead, anchor = (np.array(c) for c in zip(*own))
-        anchor = anchor.astype(np.uint64)
-        # another hash than before, so that the parts are mixed anew
-        shard = (mixed(anchor) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1], [True]]))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            at = order[a:b]
-            data = pack(np.array(ids, np.int64), np.array(keys, np.int64), narrow(doc[at]), start[at].astype(np.int64),
-                        more[at].astype(np.uint8), lead[at].astype(np.uint8), anchor[at], b"".join(pieces[i] for i in at))
-            yield pd.DataFrame([(int(shard[at[0]]), data)], columns=["shard", "data"])
+                if len(own) + len(single) > most:
+                    yield from flush(bucket, ids, keys, own, pieces, single)
+                    ids, keys, own, pieces, single = [], [], [], [], []
+            yield from flush(bucket, ids, keys, own, pieces, single)
+
+    def flush(bucket, ids, keys, own, pieces, single) -> Iterator[pd.DataFrame]:
+        ids, keys = np.array(ids, np.int64), np.array(keys, np.int64)
+        if own:
+            doc, start, more, lead, anchor = (np.array(c) for c in zip(*own))
+            anchor = anchor.astype(np.uint64)
+            # another hash than before, so that the parts are mixed anew
+            shard = (mixed(anchor) % np.uint64(shards)).astype(np.int64)
+            for at in _groups(shard):
+                data = pack(ids, keys, narrow(doc[at]), start[at].astype(np.int64), more[at].astype(np.uint8),
+                            lead[at].astype(np.uint8), anchor[at], b"".join(pieces[i] for i in at))
+                yield pd.DataFrame([(int(shard[at[0]]), 2, data)], columns=["shard", "kind", "data"])
+        if single:
+            doc, start, high, low = strings(single, length)
+            order, again = _again(doc, start, high, low)
+            at = order[again]
+            merged = _union(doc[at], start[at], start[at] + length)
+            if len(at):
+                used, local = np.unique(merged[0], return_inverse=True)
+                data = pack(ids[used], keys[used], narrow(local), merged[1], merged[2])
+                yield pd.DataFrame([(bucket, 1, data)], columns=["shard", "kind", "data"])
+            doc, start, high, low = (c[order[~again]] for c in (doc, start, high, low))
+            shard = (low % np.uint64(shards)).astype(np.int64)
+            for at in _groups(shard):
+                used, local = np.unique(doc[at], return_inverse=True)
+                data = pack(ids[used], keys[used], narrow(local), narrow(start[at]), high[at], low[at])
+                yield pd.DataFrame([(int(shard[at[0]]), 4, data)], columns=["shard", "kind", "data"])
 
     return send
 
 
+def strings(pieces: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and 128-bit hash (high, low) of each string of the pieces (document, start, bytes)."""
+    import xxhash
+
+    hashed = xxhash.xxh3_128_digest
+    count = np.array([len(data) - length + 1 for _, _, data in pieces])
+    digests = np.frombuffer(b"".join(hashed(data[k : k + length]) for _, _, data in pieces for k in range(len(data) - length + 1)), ">u8")
+    high, low = digests.astype(np.uint64).reshape(-1, 2).T
+    doc = np.repeat(np.array([p[0] for p in pieces], np.int64), count)
+    first = np.repeat(np.array([p[1] for p in pieces], np.int64) - np.cumsum(count) + count, count)
+    return doc, first + np.arange(len(doc)), high, low
+
+
+def _again(doc: np.ndarray, start: np.ndarray, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by hash and place, and whether the string there stands in an earlier place too."""
+    order = np.lexsort((start, doc, high, low))
+    again = np.zeros(len(order), bool)
+    again[1:] = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
+    return order, again
+
+
+def _groups(numbers: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of each different number."""
+    order = np.argsort(numbers, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], numbers[order][1:] != numbers[order][:-1], [True]]))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield order[a:b]
+
+
 def _buckets(batches: Iterator[pd.DataFrame]):
     """(bucket, blobs, rows) of a stream sorted by bucket and kind; rows (id, key, bytes) are an iterator to use up."""
     state = {"bucket": None, "blobs": [], "left": None}
@@ -315,24 +370,37 @@ def _sorter(length: int, shards: int):
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in runs(batches, "shard"):
-            blobs = [unpack(d) for d in group["data"]]
-            places = Places([(b[0], b[1]) for b in blobs])
-            doc = np.concatenate([r[b[2].astype(np.int64)] for r, b in zip(places.ranks, blobs)])
-            start, more, lead, anchor = (np.concatenate([b[i] for b in blobs]) for i in range(3, 7))
-            data = b"".join(b[7] for b in blobs)
-            size = more.astype(np.int64) + length
-            offset = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-            order = np.lexsort((start, doc, anchor))
-            cuts = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1], [True]]))
-            out: list[tuple[int, int, int]] = []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                own = order[a:b]
-                out += repeated(
-                    [(int(doc[i]), int(start[i]), int(lead[i]), data[offset[i] : offset[i] + size[i]]) for i in own], length)
-            if out:
-                rank, begin, end = (np.array(c, np.int64) for c in zip(*out))
-                merged = _union(rank, begin, end)
-                yield from _by_bucket(places, merged[0], [merged[1], merged[2]], shards, 1)
+            for shard, kind, data in zip(group["shard"], group["kind"], group["data"]):
+                if kind == 1:
+                    yield pd.DataFrame([(shard, 1, data)], columns=["bucket", "kind", "data"])
+            for kind, settle in ((2, pieces), (4, singles)):
+                blobs = [unpack(d) for d in group["data"][group["kind"] == kind]]
+                if blobs:
+                    places = Places([(b[0], b[1]) for b in blobs])
+                    doc = np.concatenate([r[b[2].astype(np.int64)] for r, b in zip(places.ranks, blobs)])
+                    merged = _union(*settle(doc, blobs))
+                    yield from _by_bucket(places, merged[0], [merged[1], merged[2]], shards, 1)
+
+    def pieces(doc: np.ndarray, blobs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        start, more, lead, anchor = (np.concatenate([b[i] for b in blobs]) for i in range(3, 7))
+        data = b"".join(b[7] for b in blobs)
+        size = more.astype(np.int64) + length
+        offset = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+        order = np.lexsort((start, doc, anchor))
+        cuts = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1], [True]]))
+        out: list[tuple[int, int, int]] = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = order[a:b]
+            out += repeated(
+                [(int(doc[i]), int(start[i]), int(lead[i]), data[offset[i] : offset[i] + size[i]]) for i in own], length)
+        return tuple(np.array(c, np.int64) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+    def singles(doc: np.ndarray, blobs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        start, high, low = (np.concatenate([b[i] for b in blobs]) for i in range(3, 6))
+        start = start.astype(np.int64)
+        order, again = _again(doc, start, high, low)
+        at = order[again]
+        return doc[at], start[at], start[at] + length
 
     return work
 

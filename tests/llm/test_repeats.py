@@ -76,3 +76,27 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS bucket", "2 AS kind")
     assert columns(repeats.removed_bytes(df).collect()) == sorted(brute(rows), key=str)
     assert repeats.removed_bytes(df.limit(0)).count() == 0
+
+
+def test_a_crowded_anchor_is_spread(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, passage = word(53), word(97)
+    rows = [(d, word(150) + (line if d % 2 else passage + "same next") + word(150)) for d in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sorted(brute(rows), key=str)
+    assert columns(repeats.removed_bytes(df, shard_bytes=9000).collect()) == want
+    assert columns(repeats.removed_bytes(df, shard_bytes=9000, crowd=3).collect()) == want
+    assert columns(repeats.removed_bytes(df, crowd=1).collect()) == want
+
+    # what one anchor sends: no group by anchor, and strings in all shards
+    pieces = [t.encode()[:400] for _, t in rows if line in t]
+    sent = []
+    for d, data in enumerate(pieces):
+        at = data.index(line.encode())
+        sent.append((d, at - 47, data[at - 47 : at + 100]))
+    doc, start, high, low = repeats.strings(sent, 100)
+    assert len(doc) == sum(len(p) - 99 for _, _, p in sent)
+    assert all(high[i] == repeats.strings([(0, 0, pieces[doc[i]][start[i] : start[i] + 100])], 100)[2][0] for i in range(0, len(doc), 97))
+    per_shard = np.bincount((low % np.uint64(8)).astype(int), minlength=8)
+    assert per_shard.max() < 1.3 * len(doc) / 8
