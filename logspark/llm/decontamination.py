@@ -138,13 +138,28 @@ def _ranges(text: str | None) -> list[tuple[int, int]]:
     return [tuple(map(int, r.split(":"))) for r in text.split(",")] if text else []
 
 
-def item_parts(benchmark: DataFrame, most_words: int, id_col: str, text_col: str) -> list[list[tuple[int | None, str]]]:
-    """The items in parts of about so many words each; one part is fetched at a time."""
+class ItemParts:
+    """The items in parts of about so many words each. They lie in the shared folder; going through them fetches a
+    part just before its turn, so the driver holds one at a time."""
+
+    def __init__(self, items: DataFrame, most_words: int):
+        words = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
+        self.count = -(-words // most_words)
+        self.items = items.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(max(self.count, 1))))
+        if self.count > 1:
+            self.items = stored(self.items)
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __iter__(self) -> Iterator[list[tuple[int | None, str]]]:
+        for k in range(self.count):
+            yield [(r.item, r.text) for r in self.items.where(F.col("part") == k).collect()]
+
+
+def item_parts(benchmark: DataFrame, most_words: int, id_col: str, text_col: str) -> ItemParts:
     items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).where("text IS NOT NULL").distinct()
-    words = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
-    parts = -(-words // most_words)
-    part = F.pmod(F.xxhash64("text"), F.lit(max(parts, 1)))
-    return [[(r.item, r.text) for r in items.where(part == k).collect()] for k in range(parts)]
+    return ItemParts(items, most_words)
 
 
 def matches(
@@ -157,10 +172,12 @@ def matches(
         f"{c.split()[0]}: {c.split()[1]}" for c in FOUND.split(", ")) + ">"))
     parts = item_parts(benchmark, most_words, item_id_col, item_text_col) or [[]]
     for k, part in enumerate(parts):
-        find = F.pandas_udf(_matcher(spark.sparkContext.broadcast(part), window), FOUND)
+        sent = spark.sparkContext.broadcast(part)
+        find = F.pandas_udf(_matcher(sent, window), FOUND)
         out = out.withColumn(name, find(F.col(text_col), F.col(f"{name}.spans"), F.col(f"{name}.items")))
         if k + 1 < len(parts):
             out = stored(out)
+            sent.destroy()
     return out
 
 
@@ -201,16 +218,18 @@ def clean(
     parts = item_parts(benchmark, most_words, item_id_col, item_text_col)
     out = docs.withColumn(name, F.struct(F.lit(None).cast("string").alias("text"), F.lit(0).cast("bigint").alias("lost"),
                                          F.lit(0).cast("bigint").alias("words"), F.lit(False).alias("changed")))
-    again = bool(parts)
+    again = len(parts) > 0
     while again:
         again = False
         for part in parts:
-            cut = F.pandas_udf(_cutter(docs.sparkSession.sparkContext.broadcast(part), window), "text string, lost bigint, words bigint, changed boolean")
+            sent = docs.sparkSession.sparkContext.broadcast(part)
+            cut = F.pandas_udf(_cutter(sent, window), "text string, lost bigint, words bigint, changed boolean")
             out = out.withColumn(name, cut(F.coalesce(F.col(f"{name}.text"), F.col(text_col)), F.col(f"{name}.lost"), F.col(f"{name}.words")))
             out = out.withColumn(name, F.col(name).withField("text", F.when(F.col(f"{name}.changed"), F.col(f"{name}.text"))))
             if len(parts) > 1:
                 out = stored(out.withColumn(text_col, F.coalesce(F.col(f"{name}.text"), F.col(text_col))))
                 again |= not out.where(f"{name}.changed").isEmpty()
+                sent.destroy()
     little = F.col(f"{name}.lost") <= coverage * F.col(f"{name}.words")
     return out.where(little).withColumn(text_col, F.coalesce(F.col(f"{name}.text"), F.col(text_col))).drop(name)
 

@@ -59,3 +59,16 @@ def test_removal_that_joins_a_new_window_is_removed_again(spark):
     bench = spark.createDataFrame([(1, "a b c"), (2, "p q")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a p q b c 1 2 3 4 5 6 7 8 9")], "doc_id long, text string")
     assert [alphanumeric(r.text) for r in dc.clean(docs, bench).collect()] == [[b"1", b"2", b"3", b"4", b"5", b"6", b"7", b"8", b"9"]]
+
+
+def test_parts_are_fetched_one_at_a_time(spark, monkeypatch):
+    _, bench = frames(spark)
+    parts = dc.item_parts(bench, 3, "item_id", "text")
+    fetched, collect = [], type(bench).collect
+    monkeypatch.setattr(type(bench), "collect", lambda df: fetched.append(collect(df)) or fetched[-1])
+    got = []
+    for k, part in enumerate(parts, 1):
+        got += part
+        assert len(fetched) == k
+    assert k == len(parts) > 1
+    assert sorted(got, key=str) == sorted({(r.item_id, r.text) for r in collect(bench) if r.text is not None}, key=str)
