@@ -5,8 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logspark.llm import decontamination, extraction, lm, mixing, near_duplicates as near, quality, repeats, secrets, topk, warc
-from logspark.llm.frames import table
+from logspark.llm import decontamination, extraction, licenses, lm, merkle, mixing, near_duplicates as near, quality, repeats, secrets, topk, vector_codes, warc
+from logspark.llm.frames import bounded_batches, table
 from logspark.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,129 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_repeats")
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed_bytes(table(spark, sf_dir, "documents"), length=100).drop("spans")
+
+
+@query("op11_license_scan")
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    found = licenses.licensed(table(spark, sf_dir, "documents"))
+    fields = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return found.select("doc_id", *[f"licences.{f}" for f in fields])
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds of op12, one behind the other."""
+    apart = "CAST(list_sum(list_transform(list_zip(x, c), lambda q: (q[1] - q[2]) * (q[1] - q[2]))) AS BIGINT)"
+    sql = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding,
+         list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+wide AS (SELECT coalesce(max(len(e)), 0) // {parts} AS step FROM v),
+p AS MATERIALIZED (
+  SELECT rid, part, e[part * step + 1 : (part + 1) * step] AS x FROM v, wide, (SELECT unnest(range({parts})) AS part)
+),
+firsts AS (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS n FROM v),
+c0 AS MATERIALIZED (SELECT part, n AS entry, x AS c FROM p JOIN firsts USING (rid) WHERE n < {entries})"""
+    for r in range(rounds + 1):
+        sql += f""",
+a{r} AS MATERIALIZED (
+  SELECT rid, part, CAST(min({apart} * {entries} + entry) AS BIGINT) AS m FROM p JOIN c{r} USING (part) GROUP BY rid, part
+)"""
+        if r < rounds:
+            sql += f""",
+s{r} AS (
+  SELECT part, m % {entries} AS entry, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n
+  FROM (SELECT a.part, m, x, unnest(range(1, len(x) + 1)) AS i FROM a{r} a JOIN p USING (rid, part)) GROUP BY 1, 2, 3
+),
+c{r + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(u.c, c{r}.c) AS c FROM c{r} LEFT JOIN (
+    SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{r} GROUP BY 1, 2) u USING (part, entry)
+)"""
+    return sql + f""",
+coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', m % {entries}), '' ORDER BY part) AS code, CAST(sum(m // {entries}) AS BIGINT) AS error
+  FROM a{rounds} JOIN v USING (rid) GROUP BY rid, vec_id, label
+),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, books
+"""
+
+
+@query("op12_vector_codes", _codes_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+_FIELD = "coalesce(CAST(octet_length(encode(CAST({0} AS VARCHAR))) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+
+@query("op13_merkle_manifest", f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t
+),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, lang, {_leaf_sql('n_chars')} AS leaf,
+    CASE WHEN list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295) IS NULL THEN {_leaf_sql('n_chars')}
+         WHEN xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 7 = 0 THEN {_leaf_sql('(CAST(n_chars AS HUGEINT) + 1)')}
+         ELSE {_leaf_sql('n_chars')} END AS other
+  FROM documents, crc
+),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM d),
+up AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY rank) AS nodes FROM r GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))
+  FROM up WHERE len(nodes) > 1
+),
+tree AS MATERIALIZED (SELECT * FROM up),
+subs AS MATERIALIZED (
+  SELECT lang, nodes[1] AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rank FROM tree WHERE len(nodes) = 1
+),
+top_up AS (
+  SELECT 0 AS level, list(subroot ORDER BY rank) AS nodes FROM subs
+  UNION ALL
+  SELECT level + 1, list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))
+  FROM top_up WHERE len(nodes) > 1
+),
+top_tree AS MATERIALIZED (SELECT * FROM top_up),
+root AS (SELECT nodes[1] AS root FROM top_tree WHERE len(nodes) = 1),
+ways AS MATERIALIZED (
+  SELECT r.rid, t.level, (r.rank >> t.level) & 1 AS bit, t.nodes[xor(r.rank >> t.level, 1) + 1] AS other
+  FROM r JOIN tree t ON r.lang IS NOT DISTINCT FROM t.lang AND len(t.nodes) > 1
+  UNION ALL
+  SELECT r.rid, s.height + t.level, (s.rank >> t.level) & 1, t.nodes[xor(s.rank >> t.level, 1) + 1]
+  FROM r JOIN subs s ON r.lang IS NOT DISTINCT FROM s.lang JOIN top_tree t ON len(t.nodes) > 1
+),
+paths AS (
+  SELECT rid, coalesce(string_agg(other, '' ORDER BY level), '') AS path, list({{'bit': bit, 'other': coalesce(other, '')}} ORDER BY level) AS steps
+  FROM ways GROUP BY rid
+),
+folded AS (
+  SELECT r.*, coalesce(path, '') AS path,
+    coalesce(list_reduce(steps, lambda h, s: CASE WHEN s.bit = 1 THEN {{'bit': s.bit, 'other': sha256(s.other || h.other)}}
+      ELSE {{'bit': s.bit, 'other': sha256(h.other || s.other)}} END, {{'bit': CAST(0 AS BIGINT), 'other': r.other}}).other, r.other) AS folded_root
+  FROM r LEFT JOIN paths USING (rid)
+)
+SELECT doc_id, leaf, subroot, root, sha256(path) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM folded JOIN subs s ON folded.lang IS NOT DISTINCT FROM s.lang, root
+""")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, 1).otherwise(0)
+    found = merkle.proofs(
+        table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "lang",
+        changes={"n_chars": F.col("n_chars").cast("decimal(20,0)") + more},
+    )
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return found.select(
+        F.col("id").alias("doc_id"), text("leaf"), text("subroot"), text("root"), text("proof").alias("proof_sha256"), text("folded_root"), "verified"
+    )
