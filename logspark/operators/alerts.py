@@ -11,7 +11,12 @@ from .rules import alert_content
 
 def create_alerts(hits: DataFrame) -> DataFrame:
     """Alerts of a set of hits: silencing, escalation, aggregation, text and route."""
-    rows = silence.fired(silence.with_silence_key(hits))
+    keyed = silence.with_silence_key(hits)
+    return alert_rows(silence.fired(keyed), keyed)
+
+
+def alert_rows(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Alerts of hits that fired; ``keyed`` are all hits with their silence keys."""
     held = F.col("enable_aggregation") & (F.col("suppressed_count") > 0)
     # Fixed value: the sentence on what was held back.
     note = F.format_string(
@@ -21,7 +26,7 @@ def create_alerts(hits: DataFrame) -> DataFrame:
         F.date_format("last_occurrence", "yyyy-MM-dd'T'HH:mm:ss.SSS"),
     )
     return rows.select(
-        F.substring(F.sha2(F.concat_ws("|", "silence_key", F.coalesce("id", "hit_key")), 256), 1, 32).alias("id"),
+        F.substring(F.sha2(F.concat_ws("|", "silence_key", F.coalesce("id", silence.hit_key(keyed))), 256), 1, 32).alias("id"),
         "tenant_id", "system_id", "rule_id", "alert_level",
         F.col("rule_type").alias("alert_type"),
         F.concat(alert_content(), F.when(held, note).otherwise("")).alias("alert_content"),

@@ -1,39 +1,51 @@
 """Alert silencing: which hits fire, and which fall into the silence of an earlier one.
 
-Whether a hit fires depends on the last hit that fired, so one key is a chain. Giving a
-key to one task would not survive a hot key. Instead a key is cut into time slots:
+A hit that fires decides by itself which hit of its key fires next: the first one at or after its time plus the period,
+or an earlier one that escalates over it. The hits that fire are thus a linked list through the hits of a key, and the
+list is ranked without walking it:
 
-1. each slot works out, for every way it can be entered, with which fired hit it is left;
-2. a walk over these short summaries finds how each slot really is entered;
-3. each slot then marks its own fired hits, and counts those it held back.
+1. hits are sorted by key and time into parts of bounded size, so that a hot key lies in many parts;
+2. one row a part says where a key goes on from the part before; only there does anything have to be passed on;
+3. such a part tells, for every state it can be entered in, in which state which later part is entered next;
+4. doubling these links (a link, then two, four, ...) from the parts in which keys begin finds the states that really occur;
+5. every part then marks its own hits, and what was held back is added up across the borders.
 
-Steps 1 and 3 are spread by (key, slot). Step 2 sees about one silence period of hits per
-slot. All three read sorted rows and work on whole blocks of slots at once.
+State of earlier runs (`carry`) enters as a first hit of each key that has fired already.
 """
 
+import math
 import sys
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.levels import alert_priority
+from ..functions.levels import OTHER_PRIORITY, alert_priority
 from ..functions.numbers import micros
 from ..session import cut_lineage, send_code_of
 from .windows import restart_keys
 
 DEFAULT_PERIOD = 300
-HORIZON_SECONDS = 30 * 86_400
-NOTHING = -(2**62)
+#: Rows of a part; no task holds much more of a key than this.
+PART_ROWS = 100_000
+FAR = 2**62
 
-_BY_SLOT = ["silence_key", "slot"]
-_SUMMARY = "silence_key STRING, slot BIGINT, level INT, bound_us BIGINT, exit_us BIGINT, exit_rank INT, period_us BIGINT"
-_ENTRY = "silence_key STRING, slot BIGINT, in_us BIGINT, in_rank INT"
+DIFFERENT = "hits of one silence key have different silence periods"
+
+# Kinds of rows: a hit that fired in an earlier run, hits that run held back, a hit of this run, the rest of a run.
+STATE, PENDING, HIT, REST = range(4)
+
+_ORDER = ["silence_key", "is_hit", "us", "hit_id", "hit_no"]
+_TO = "to_part INT, to_wake BIGINT, to_rank INT"
+_SUMMARY = f"part INT, level INT, bound_us BIGINT, {_TO}"
+_AT, _NEXT = ["part", "wake", "rank"], ["to_part", "to_wake", "to_rank"]
 _SEGMENT = (
-    "silence_key STRING, slot BIGINT, place BIGINT, end_us BIGINT, hit_id STRING, hit_key STRING, fired BOOLEAN, "
-    "suppressed BIGINT, first_us BIGINT, last_us BIGINT"
+    "part INT, place BIGINT, silence_key STRING, kind INT, hit_id STRING, hit_no BIGINT, end_us BIGINT, rank INT, period_us BIGINT, "
+    "held BIGINT, first_us BIGINT, last_us BIGINT, edge BOOLEAN"
 )
+STATE_DDL = "silence_key STRING, last_us BIGINT, last_rank INT, period_us BIGINT, held BIGINT, first_us BIGINT, final_us BIGINT"
 
 
 def silence_key(default_scope: str = "RULE"):
@@ -59,78 +71,68 @@ def with_silence_key(hits: DataFrame) -> DataFrame:
 
 
 def hit_key(hits: DataFrame):
-    """What tells hits apart, whether or not their logs carry ids: a hash of all columns, nulls included.
-
-    Hits that agree in all columns are interchangeable; at most one of them fires.
-    """
+    """A name for a hit whose log has no id: a hash of all columns, nulls included."""
     plain = [F.col(f"`{c}`") for c in hits.columns]
     return F.sha2(F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}), 256)
 
 
-def _narrow(hits: DataFrame) -> DataFrame:
+def _narrow(hits: DataFrame, state: DataFrame | None) -> DataFrame:
     period = F.when(F.col("silence_period") > 0, F.col("silence_period")).otherwise(DEFAULT_PERIOD).cast("bigint")
     us = micros(F.col("ts"))
-    # balances the slots of a key against the walk over them
-    slot_us = F.greatest(F.floor(F.sqrt(period * F.lit(HORIZON_SECONDS))), period).cast("bigint") * 1_000_000
-    return hits.select(
-        "silence_key",
-        F.floor(us / slot_us).alias("slot"),
-        us.alias("us"),
-        F.col("id").alias("hit_id"),
-        (F.col("hit_key") if "hit_key" in hits.columns else hit_key(hits)).alias("hit_key"),
-        alert_priority(F.col("alert_level")).alias("rank"),
-        F.coalesce("allow_escalation", F.lit(False)).alias("escalates"),
-        (period * 1_000_000).alias("period_us"),
-        slot_us.alias("slot_us"),
+    number = F.col("hit_no") if "hit_no" in hits.columns else F.lit(-1)
+    rows = hits.select(
+        "silence_key", F.lit(True).alias("is_hit"), us.alias("us"), F.col("id").alias("hit_id"), number.cast("bigint").alias("hit_no"),
+        F.lit(HIT).alias("kind"), alert_priority(F.col("alert_level")).alias("rank"),
+        F.coalesce("allow_escalation", F.lit(False)).alias("escalates"), (period * 1_000_000).alias("period_us"),
+        F.lit(1).cast("bigint").alias("weight"), us.alias("first_us"), us.alias("last_us"),
+    )
+    if state is None:
+        return rows
+    before = state.select(
+        "silence_key", F.lit(False).alias("is_hit"), F.col("last_us").alias("us"), F.lit(None).cast("string").alias("hit_id"),
+        F.explode(F.when(F.col("held") > 0, F.array(F.lit(STATE), F.lit(PENDING))).otherwise(F.array(F.lit(STATE)))).alias("kind"),
+        "last_rank", "period_us", "held", "first_us", "final_us",
     )
+    pending = F.col("kind") == PENDING
+    return rows.unionByName(before.select(
+        "silence_key", "is_hit", "us", "hit_id", F.col("kind").cast("bigint").alias("hit_no"), "kind",
+        F.when(pending, OTHER_PRIORITY).otherwise(F.col("last_rank")).alias("rank"), F.lit(False).alias("escalates"), "period_us",
+        F.when(pending, F.col("held")).otherwise(0).cast("bigint").alias("weight"),
+        F.coalesce("first_us", F.lit(0)).alias("first_us"), F.coalesce("final_us", F.lit(0)).alias("last_us"),
+    ))
 
 
-def _whole_slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Regroup sorted batches so that no slot is split between two blocks."""
-    held: list[pd.DataFrame] = []
-    for frame in frames:
-        if not len(frame):
-            continue
-        key, slot = frame["silence_key"].to_numpy(), frame["slot"].to_numpy()
-        last_slot = np.flatnonzero((key != key[-1]) | (slot != slot[-1]))
-        cut = int(last_slot[-1]) + 1 if len(last_slot) else 0
-        continues = held and held[0]["silence_key"].iloc[0] == key[-1] and held[0]["slot"].iloc[0] == slot[-1]
-        if cut:
-            yield pd.concat([*held, frame.iloc[:cut]], ignore_index=True)
-            held = [frame.iloc[cut:]]
-        elif continues:
-            held.append(frame)
-        else:
-            if held:
-                yield pd.concat(held, ignore_index=True)
-            held = [frame]
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
-class _Block:
-    """A run of whole slots as arrays. Times are laid out on one axis on which slots never meet."""
+class _Runs:
+    """The rows of a part as arrays, cut into runs of one key. Times are laid out on one axis on which runs never meet."""
 
     def __init__(self, rows: pd.DataFrame):
-        self.key, self.slot = rows["silence_key"].to_numpy(), rows["slot"].to_numpy()
-        self.us, self.rank = rows["us"].to_numpy(), rows["rank"].to_numpy()
+        self.key = rows["silence_key"].to_numpy()
+        self.rank, self.kind = rows["rank"].to_numpy(), rows["kind"].to_numpy()
         self.escalates = rows["escalates"].to_numpy(dtype=bool)
-        period, slot_us = rows["period_us"].to_numpy(), rows["slot_us"].to_numpy()
-        self.period = period
         n = len(rows)
         opens = np.ones(n, bool)
-        opens[1:] = (self.key[1:] != self.key[:-1]) | (self.slot[1:] != self.slot[:-1])
-        self.start = np.flatnonzero(opens)  # first row of each slot
+        opens[1:] = self.key[1:] != self.key[:-1]
+        self.start = np.flatnonzero(opens)
         self.group = np.cumsum(opens) - 1
         self.end = np.append(self.start[1:], n)
-        stride = int(slot_us.max() + period.max()) + 1
-        self.inside = self.us - self.slot * slot_us  # time since the slot began
-        self.axis = self.group * stride + self.inside
-        self.base = np.arange(len(self.start)) * stride
+        given = rows["period_us"].to_numpy()
+        self.period = given[self.end - 1][self.group]  # hits come last, and know the rule as it is now
+        if (given != self.period)[self.kind == HIT].any():
+            raise ValueError(DIFFERENT)
+        self.us = rows["us"].to_numpy().copy()
+        for k in np.flatnonzero(self.kind[self.start] == STATE):
+            mine = slice(self.start[k], self.end[k])
+            self.us[mine] = np.maximum(self.us[mine], self.us[self.start[k]])
+        self.inside = self.us - self.us[self.start][self.group]
+        room = self.inside[self.end - 1] + self.period[self.start] + 1
+        if float(room.sum()) >= FAR:
+            raise OverflowError("the times of one part lie too far apart")
+        self.base = np.append(0, np.cumsum(room)[:-1])
+        self.axis = self.base[self.group] + self.inside
         self.follow = self._follow()
 
     def _follow(self) -> np.ndarray:
-        """For each hit, if it fires: the next hit of its slot to fire, or the slot's end."""
+        """For each row, if it fires: the next row of its run to fire, or the run's end."""
         limit = self.end[self.group]
         follow = np.minimum(np.searchsorted(self.axis, self.axis + self.period), limit)
         for level in np.unique(self.rank):
@@ -141,16 +143,20 @@ class _Block:
                 follow[mine] = np.minimum(follow[mine], sooner)
         return np.minimum(follow, limit)
 
-    def first_urgent(self, level: int) -> np.ndarray:
-        """Per slot, the first hit that escalates over the level; the slot's end if there is none."""
-        out = self.end.copy()
-        urgent = np.flatnonzero(self.escalates & (self.rank < level))
-        groups, first = np.unique(self.group[urgent], return_index=True)
-        out[groups] = urgent[first]
-        return out
+    def first_urgent(self, run: int, level: int) -> int:
+        """The first row of the run that escalates over the level; the run's end if there is none."""
+        at = slice(self.start[run], self.end[run])
+        found = np.flatnonzero(self.escalates[at] & (self.rank[at] < level))
+        return int(self.start[run] + found[0]) if len(found) else int(self.end[run])
+
+    def entered(self, run: int, wake: int, rank: int) -> int:
+        """The first row of the run to fire after a hit of that rank whose silence ends at ``wake``."""
+        at = slice(self.start[run], self.end[run])
+        calm = int(self.start[run] + np.searchsorted(self.us[at], wake))
+        return min(calm, self.first_urgent(run, rank))
 
     def exits(self, at: np.ndarray) -> np.ndarray:
-        """Last hit to fire in the slot, for each hit that may fire first."""
+        """Last row to fire in the run, for each row that may fire first."""
         limit = self.end[self.group[at]]
         while True:
             step = self.follow[at]
@@ -160,170 +166,333 @@ class _Block:
             at = np.where(moving, step, at)
 
 
-def _summarise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Step 1. Rows with level 0: entered after the silence; others: by escalation over that level."""
-    for rows in _whole_slots(frames):
-        b = _Block(rows)
-        first_calm = np.searchsorted(b.axis, b.base + b.period[b.start])
-        candidate = b.inside < b.period
-        candidate[first_calm[first_calm < b.end]] = True
-        entry = np.flatnonzero(candidate)
-        left = b.exits(entry)
-        # entries next to each other with equal exits merge into the last of them
-        keep = np.append((left[1:] != left[:-1]) | (b.group[entry][1:] != b.group[entry][:-1]), True)
-        level, at, exit_at = [np.zeros(int(keep.sum()), np.int32)], [entry[keep]], [left[keep]]
-        for above in np.unique(np.append(b.rank, [2, 3, 999])):
-            urgent = b.first_urgent(int(above))
-            urgent = urgent[urgent < b.end]
-            if len(urgent):
-                level.append(np.full(len(urgent), above, np.int32))
-                at.append(urgent)
-                exit_at.append(b.exits(urgent))
-        at, exit_at = np.concatenate(at), np.concatenate(exit_at)
-        yield pd.DataFrame(
-            {
-                "silence_key": b.key[at], "slot": b.slot[at], "level": np.concatenate(level),
-                "bound_us": b.us[at], "exit_us": b.us[exit_at],
-                "exit_rank": b.rank[exit_at].astype(np.int32), "period_us": b.period[at],
-            }
-        )
+def _whole(frames: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
+    """All rows of a part, whose number the sort bounds."""
+    held = [f for f in frames if len(f)]
+    return pd.concat(held, ignore_index=True) if held else None
+
+
+# --- borders ------------------------------------------------------------------------------------------------------
+
+_BORDER = (
+    "part INT, first_key STRING, last_key STRING, start_us BIGINT, end_us BIGINT, least_rank INT, first_period BIGINT, last_period BIGINT"
+)
 
 
-def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Step 2. Carry the last fired hit from slot to slot. Rows come by key, slot, level, bound."""
-    key = slot = None
-    last_us, last_rank = NOTHING, 0
-    calm = urgent = None  # exits chosen so far in the current slot
-
-    def leave():
-        chosen = urgent or calm
-        return (chosen[0], chosen[1]) if chosen else (last_us, last_rank)
-
-    for frame in frames:
-        out = []
-        for k, s, level, bound, exit_us, exit_rank, period in zip(*(frame[c].tolist() for c in frame.columns)):
-            if k != key or s != slot:
-                last_us, last_rank = leave() if k == key else (NOTHING, 0)
-                key, slot, calm, urgent = k, s, None, None
-                out.append((k, s, last_us, last_rank))
-            wake = last_us + period
-            if level == 0:
-                if calm is None and bound >= wake:
-                    calm = (exit_us, exit_rank)
-            elif level == last_rank and bound < wake:
-                urgent = (exit_us, exit_rank)
-        columns = list(zip(*out)) if out else [(), (), (), ()]
-        yield pd.DataFrame(
-            {
-                "silence_key": pd.Series(columns[0], dtype=object), "slot": np.array(columns[1], np.int64),
-                "in_us": np.array(columns[2], np.int64), "in_rank": np.array(columns[3], np.int32),
-            }
+def _border(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for a part: its first and last key, and of the first key's run its times and its most urgent escalation."""
+    rows = _whole(frames)
+    if rows is None:
+        return
+    runs = _Runs(rows)
+    first = slice(0, int(runs.end[0]))
+    urgent = runs.rank[first][runs.escalates[first]]
+    yield pd.DataFrame({
+        "part": rows["part"].iloc[:1], "first_key": runs.key[:1], "last_key": runs.key[-1:], "start_us": runs.us[:1],
+        "end_us": runs.us[first][-1:], "least_rank": np.array([urgent.min() if len(urgent) else FAR >> 32], np.int32),
+        "first_period": runs.period[:1], "last_period": runs.period[-1:],
+    })
+
+
+@dataclass
+class _Borders:
+    """For each part whose first key came over its border: place and times along its chain. Arrays hold one entry a part."""
+
+    place: dict[int, int]  # part -> index into the arrays below
+    begins: dict[int, int]  # part in which a chain begins -> index of the first part after it
+    last: np.ndarray  # index behind the last part of the chain
+    part: np.ndarray
+    start_us: np.ndarray
+    end_us: np.ndarray
+    least_rank: np.ndarray
+    before_us: np.ndarray  # last time of the chain before the part
+
+    @classmethod
+    def of(cls, rows: list) -> "_Borders":
+        rows = sorted(rows, key=lambda r: r.part)
+        came = [k > 0 and r.first_key == rows[k - 1].last_key for k, r in enumerate(rows)]
+        over = [k for k, c in enumerate(came) if c]
+        begins, last, first = {}, np.zeros(len(over), np.int64), 0
+        for i, k in enumerate(over):
+            before = rows[k - 1]
+            if rows[k].first_period != before.last_period:
+                raise ValueError(DIFFERENT)
+            if not (came[k - 1] and before.first_key == before.last_key):
+                first = begins[before.part] = i
+            last[first : i + 1] = i + 1
+        pick = lambda values: np.array(values, np.int64)
+        parts = [rows[k] for k in over]
+        # the part before may begin with another key; the chain then began there at the start of this part or earlier
+        before_us = [rows[k - 1].end_us if rows[k - 1].first_key == rows[k].first_key else rows[k].start_us for k in over]
+        return cls(
+            {r.part: i for i, r in enumerate(parts)}, begins, last, pick([r.part for r in parts]), pick([r.start_us for r in parts]),
+            pick([r.end_us for r in parts]), pick([r.least_rank for r in parts]), pick(before_us),
         )
 
+    def landing(self, first: int, stop: int, wake: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the parts [first, stop) holds the next hit to fire, and the state it is entered in; part -1 for none.
+
+        States that a part cannot tell apart become one.
+        """
+        to = first + np.searchsorted(self.end_us[first:stop], wake)
+        for level in np.unique(rank):
+            urgent = np.flatnonzero(self.least_rank[first:stop] < level)
+            if len(urgent):
+                to = np.where(rank == level, np.minimum(to, first + urgent[0]), to)
+        none = to >= stop
+        if none.all():
+            return np.full(len(to), -1), np.zeros(len(to), np.int64), np.zeros(len(to), np.int64)
+        at = np.where(none, first, to)
+        by_time = (wake <= self.start_us[at]) | (self.least_rank[at] >= rank)
+        wake = np.maximum(wake, self.start_us[at])
+        return np.where(none, -1, self.part[at]), np.where(none, 0, wake), np.where(none | by_time, 0, rank)
+
+
+# --- links between parts ------------------------------------------------------------------------------------------
+
+
+def _summaries(borders):
+    """Per part of a chain: the state in which the next part is entered, for every way to enter this one.
+
+    Rows of level -1: the key begins here. Level 0: entered by time, at the first bound at or after the end of the
+    silence. Other levels: entered by escalation over that level, if its bound lies before the end of the silence.
+    """
+
+    def summarise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = _whole(frames)
+        if rows is None:
+            return
+        b: _Borders = _Borders(**borders.value)
+        part, runs, out = int(rows["part"].iloc[0]), _Runs(rows), []
+
+        def add(first: int, stop: int, levels, bounds, at: np.ndarray) -> None:
+            left = runs.exits(at)
+            to = b.landing(first, stop, runs.us[left] + runs.period[left], runs.rank[left])
+            frame = pd.DataFrame(dict(zip(_NEXT, to)))
+            frame["part"], frame["level"], frame["bound_us"] = part, levels, bounds
+            out.append(frame)
+
+        if part in b.begins:
+            i = b.begins[part]
+            add(i, b.last[i], -1, 0, runs.start[-1:])
+        if part in b.place:
+            i, end = b.place[part], int(runs.end[0])
+            within = int(np.searchsorted(runs.us[:end], b.before_us[i] + runs.period[0], side="right"))
+            ways = np.arange(min(within + 1, end))
+            add(i + 1, b.last[i], 0, runs.us[ways], ways)
+            # neighbours that lead to the same state are one way in, up to the last of them
+            calm = out[-1]
+            same = (calm[_NEXT].to_numpy()[1:] == calm[_NEXT].to_numpy()[:-1]).all(axis=1)
+            out[-1] = calm[np.append(~same, True)]
+            for level in np.unique(np.append(runs.rank[:end], [2, 3, OTHER_PRIORITY])):
+                urgent = runs.first_urgent(0, int(level))
+                if urgent < end:
+                    add(i + 1, b.last[i], int(level), int(runs.us[urgent]), np.array([urgent]))
+        for frame in out:
+            yield frame[["part", "level", "bound_us", *_NEXT]]
+
+    return summarise
+
+
+def _resolve(summary: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+    """The state that follows each of the states of one part."""
+    calm = summary[summary["level"] == 0].sort_values("bound_us", kind="stable")
+    wake, rank = states["wake"].to_numpy(), states["rank"].to_numpy()
+    at = np.searchsorted(calm["bound_us"].to_numpy(), wake)
+    nothing = np.array([[-1, 0, 0]])
+    table = np.concatenate([calm[_NEXT].to_numpy(), nothing])
+    to = table[at]
+    for level, bound, *way in summary[summary["level"] > 0][["level", "bound_us", *_NEXT]].itertuples(index=False):
+        to[(rank == level) & (bound < wake)] = way
+    out = states[_AT].reset_index(drop=True)
+    out[_NEXT] = to
+    return out
+
+
+def _links(summaries: DataFrame, part_rows: int) -> DataFrame:
+    """Links from each state that occurs in a summary to the state after it.
+
+    States of a part that many ways lead to are dealt to several tasks, each with the summary of the part.
+    """
+    states = summaries.filter("to_part >= 0").select(
+        F.col("to_part").alias("part"), F.col("to_wake").alias("wake"), F.col("to_rank").alias("rank")
+    ).distinct()
+    states = cut_lineage(states)
+    lots = cut_lineage(states.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("lots")))
+    lot = F.pmod(F.xxhash64("wake", "rank"), F.col("lots")).cast("int").alias("lot")
+    dealt = states.join(lots, "part").select(*_AT, lot)
+    each = F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot")
+    every = summaries.filter("level >= 0").join(lots.select(F.col("part").alias("of"), "lots"), F.col("part") == F.col("of"))
+    every = every.select(F.col("of").alias("part"), "level", "bound_us", *_NEXT, each)
+    links = every.groupBy("part", "lot").cogroup(dealt.groupBy("part", "lot")).applyInPandas(
+        _resolve, f"part INT, wake BIGINT, rank INT, {_TO}"
+    )
+    return cut_lineage(links.filter("to_part >= 0"))
+
 
-def _mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Step 3. A row per fired hit with what was held back before it, and one for the rest of a slot."""
-    for mixed in _whole_slots(frames):
-        entry = mixed["is_entry"].to_numpy(dtype=bool)
-        in_us, in_rank = mixed["us"].to_numpy()[entry], mixed["rank"].to_numpy()[entry]
-        rows = mixed[~entry]
-        b = _Block(rows)
-        slot_began = b.us[b.start] - b.inside[b.start]
-        wake = np.maximum(in_us + b.period[b.start] - slot_began, 0)
-        at = np.minimum(np.searchsorted(b.axis, b.base + wake), b.end)
-        for level in np.unique(in_rank[in_rank > 0]):
-            here = in_rank == level
-            at[here] = np.minimum(at, b.first_urgent(int(level)))[here]
-        fired = np.zeros(len(rows), bool)
-        limit = b.end
+def _reached(roots: DataFrame, links: DataFrame) -> list:
+    """The states on the ways from the roots, by doubling the links. Each part is entered once at most."""
+    reached = roots
+    while True:
+        ends = reached.join(links, _AT).select(*[F.col(t).alias(a) for t, a in zip(_NEXT, _AT)])
+        reached = cut_lineage(reached.unionByName(ends).distinct())
+        second = links.select(*[F.col(a).alias(t) for a, t in zip(_AT, _NEXT)], *[F.col(t).alias(f"_{t}") for t in _NEXT])
+        links = cut_lineage(links.join(second, _NEXT).select(*_AT, *[F.col(f"_{t}").alias(t) for t in _NEXT]))
+        if links.isEmpty():
+            return reached.collect()  # one row a part
+
+
+# --- marks --------------------------------------------------------------------------------------------------------
+
+
+def _mark(entries, came, goes_on):
+    """A row for each row that fires, with what was held back before it, and one for the rest of a run."""
+
+    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = _whole(frames)
+        if rows is None:
+            return
+        part, runs, n = int(rows["part"].iloc[0]), _Runs(rows), len(rows)
+        at = runs.start.copy()
+        if part in came:
+            at[0] = runs.entered(0, *entries[part]) if part in entries else runs.end[0]
+        fired = np.zeros(n, bool)
+        limit = runs.end
         while True:
             live = at < limit
             if not live.any():
                 break
             at, limit = at[live], limit[live]
             fired[at] = True
-            at = b.follow[at]
-        begins = np.zeros(len(rows), bool)
-        begins[b.start] = True
+            at = runs.follow[at]
+        begins = np.zeros(n, bool)
+        begins[runs.start] = True
         begins[1:] |= fired[:-1]
         first = np.flatnonzero(begins)
-        last = np.append(first[1:], len(rows)) - 1
-        ends_fired = fired[last]
-        held = last - first + 1 - ends_fired
-        some = held > 0
-        pick = lambda index: pd.Series(b.us[np.where(some, index, 0)]).astype("Int64").mask(~some)
-        ids, keys = rows["hit_id"].to_numpy()[last], rows["hit_key"].to_numpy()[last]
-        yield pd.DataFrame(
-            {
-                "silence_key": b.key[last], "slot": b.slot[last],
-                "place": last - b.start[b.group[last]], "end_us": b.us[last],
-                "hit_id": pd.Series(np.where(ends_fired, ids, None), dtype=object),
-                "hit_key": pd.Series(np.where(ends_fired, keys, None), dtype=object), "fired": ends_fired,
-                "suppressed": held, "first_us": pick(first), "last_us": pick(last - ends_fired),
-            }
-        )
+        last = np.append(first[1:], n) - 1
+        weight = np.where(fired, 0, rows["weight"].to_numpy())
+        counts = weight > 0
+        edge = np.zeros(len(first), bool)
+        edge[0] = part in came
+        edge[-1] |= part in goes_on and not fired[-1]
+        yield pd.DataFrame({
+            "part": np.full(len(first), part, np.int32), "place": first, "silence_key": runs.key[last],
+            "kind": np.where(fired[last], runs.kind[last], REST).astype(np.int32),
+            "hit_id": pd.Series(np.where(fired[last], rows["hit_id"].to_numpy()[last], None), dtype=object),
+            "hit_no": rows["hit_no"].to_numpy()[last], "end_us": runs.us[last], "rank": runs.rank[last].astype(np.int32),
+            "period_us": runs.period[last], "held": np.add.reduceat(weight, first),
+            "first_us": np.minimum.reduceat(np.where(counts, rows["first_us"].to_numpy(), FAR), first),
+            "last_us": np.maximum.reduceat(np.where(counts, rows["last_us"].to_numpy(), -FAR), first), "edge": edge,
+        })
+
+    return mark
+
+
+def _joined_edges(marks: DataFrame) -> DataFrame:
+    """What was held back before a border goes to the next hit that fires behind it. A few rows a part."""
+    before = W.partitionBy("silence_key").orderBy("part", "place").rowsBetween(W.unboundedPreceding, -1)
+    fires = (F.col("kind") != REST).cast("int")
+    grouped = marks.withColumn("no", F.coalesce(F.sum(fires).over(before), F.lit(0)))
+    of_hit = [F.max(F.when(F.col("kind") != REST, F.col(c))).alias(c) for c in ("hit_id", "hit_no", "end_us", "rank")]
+    return grouped.groupBy("silence_key", "no").agg(
+        F.min("kind").alias("kind"), *of_hit, F.max("period_us").alias("period_us"), F.sum("held").alias("held"),
+        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"),
+    ).drop("no")
+
+
+def sorted_parts(rows: DataFrame, part_rows: int = PART_ROWS) -> tuple[DataFrame, int]:
+    """The stored narrow rows in parts of about ``part_rows`` rows, sorted by key and time across all of them."""
+    parts = max(1, math.ceil(rows.count() / part_rows))
+    if parts == 1:
+        return rows.coalesce(1).sortWithinPartitions(*_ORDER).withColumn("part", F.lit(0)), 1
+    placed = rows.repartitionByRange(parts, *_ORDER).sortWithinPartitions(*_ORDER)
+    return cut_lineage(placed.withColumn("part", F.spark_partition_id())), parts
+
+
+def _segments(hits: DataFrame, state: DataFrame | None, part_rows: int) -> DataFrame:
+    """Rows of ``_SEGMENT`` without part, place and edge, those of earlier runs included. Reads the hits twice."""
+    rows, parts = sorted_parts(_narrow(hits, state), part_rows)
+    entries, came, goes_on = {}, frozenset(), frozenset()
+    if parts > 1:
+        borders = _Borders.of(rows.mapInPandas(_border, _BORDER).collect())  # one row a part
+        came = frozenset(borders.place)
+        goes_on = frozenset(borders.begins) | {p for p, i in borders.place.items() if i + 1 < borders.last[i]}
+    if came:
+        sent = hits.sparkSession.sparkContext.broadcast(vars(borders))
+        chained = rows.filter(F.col("part").isin(*(came | goes_on)))
+        summaries = cut_lineage(chained.mapInPandas(_summaries(sent), _SUMMARY))
+        roots = summaries.filter("level = -1 and to_part >= 0").select(*[F.col(t).alias(a) for t, a in zip(_NEXT, _AT)])
+        entries = {r.part: (r.wake, r["rank"]) for r in _reached(roots, _links(summaries, part_rows))}
+    marks = rows.mapInPandas(_mark(entries, came, goes_on), _SEGMENT)
+    columns = ["silence_key", "kind", "hit_id", "hit_no", "end_us", "rank", "period_us", "held", "first_us", "last_us"]
+    if not came:
+        return marks.select(*columns)
+    marks = cut_lineage(marks)
+    return marks.filter("not edge").select(*columns).unionByName(_joined_edges(marks.filter("edge")).select(*columns))
+
+
+def _instant(column: str):
+    return F.when(F.col("held") > 0, F.timestamp_micros(column))
+
+
+def _readable(parts: DataFrame) -> DataFrame:
+    is_fired = F.col("kind") == HIT
+    return parts.filter((F.col("kind") == HIT) | ((F.col("kind") == REST) & (F.col("held") > 0))).select(
+        "silence_key", is_fired.alias("fired"), F.when(is_fired, F.col("hit_id")).alias("hit_id"),
+        F.when(is_fired, F.col("hit_no")).alias("hit_no"), F.when(is_fired, F.timestamp_micros("end_us")).alias("fired_at"),
+        F.col("held").alias("suppressed_count"), _instant("first_us").alias("first_occurrence"), _instant("last_us").alias("last_occurrence"),
+    )
 
 
-def segments(keyed_hits: DataFrame) -> DataFrame:
+def segments(keyed_hits: DataFrame, state: DataFrame | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     """One row per fired hit with the hits held back before it, and one for those after the last.
 
-    Only narrow columns are shuffled. A slot is a span of time: no task receives a whole key.
-    The silence period is a setting of the rule and must be the same for all hits of a key.
+    Only narrow columns are shuffled, and no task receives more of a key than a part. The silence period is a setting of
+    the rule; different ones within a key are refused. ``hit_no`` tells hits apart, if they have it.
     """
-    narrow = _narrow(keyed_hits)
-    order = [*_BY_SLOT, "us", "hit_id", "hit_key"]
-    summaries = narrow.repartition(*_BY_SLOT).sortWithinPartitions(*order).mapInPandas(_summarise, _SUMMARY)
-    entries = (
-        summaries.repartition("silence_key")
-        .sortWithinPartitions("silence_key", "slot", "level", "bound_us")
-        .mapInPandas(_walk, _ENTRY)
-    )
-    # the state a slot is entered with travels as its first row
-    first_rows = entries.select(
-        *_BY_SLOT, F.col("in_us").alias("us"), F.col("in_rank").alias("rank"), F.lit(True).alias("is_entry")
-    )
-    entered = narrow.withColumn("is_entry", F.lit(False)).unionByName(first_rows, allowMissingColumns=True)
-    marks = (
-        entered.fillna(0, ["period_us", "slot_us"]).fillna(False, ["escalates"])
-        .repartition(*_BY_SLOT)
-        .sortWithinPartitions(*_BY_SLOT, F.col("is_entry").desc(), "us", "hit_id", "hit_key")
-        .mapInPandas(_mark, _SEGMENT)
-    )
-    before = W.partitionBy("silence_key").orderBy("slot", "place").rowsBetween(W.unboundedPreceding, -1)
-    grouped = marks.withColumn(
-        "alert_no", F.coalesce(F.sum(F.col("fired").cast("int")).over(before), F.lit(0))
-    )
-    instant = lambda c: F.timestamp_micros(c)
-    return (
-        grouped.groupBy("silence_key", "alert_no")
-        .agg(
-            F.bool_or("fired").alias("fired"),
-            F.max("hit_id").alias("hit_id"),
-            F.max("hit_key").alias("hit_key"),
-            F.max(F.when(F.col("fired"), F.col("end_us"))).alias("_us"),
-            F.sum("suppressed").alias("suppressed_count"),
-            F.min("first_us").alias("_first"),
-            F.max("last_us").alias("_last"),
-        )
-        .select(
-            "silence_key", "fired", "hit_id", "hit_key", instant(F.col("_us")).alias("fired_at"),
-            "suppressed_count", instant(F.col("_first")).alias("first_occurrence"),
-            instant(F.col("_last")).alias("last_occurrence"),
-        )
-    )
+    needed = ["silence_key", "ts", "id", "alert_level", "allow_escalation", "silence_period", "hit_no"]
+    hits = cut_lineage(keyed_hits.select(*[c for c in needed if c in keyed_hits.columns]))
+    return _readable(_segments(hits, state, part_rows))
 
 
-def fired(keyed_hits: DataFrame) -> DataFrame:
-    """Fired hits with all their columns, their key, and what was suppressed before them.
+def numbered(hits: DataFrame) -> DataFrame:
+    """The hits, stored, with a number of their own, whether or not their logs carry ids."""
+    return cut_lineage(hits).withColumn("hit_no", F.monotonically_increasing_id())
 
-    The hits are passed over three times, so they are computed once and kept in the shared folder.
-    """
-    keyed_hits = cut_lineage(keyed_hits.withColumn("hit_key", hit_key(keyed_hits)))
-    marks = segments(keyed_hits).filter("fired").select(
-        "hit_key", "suppressed_count", "first_occurrence", "last_occurrence"
+
+def _fired(hits: DataFrame, parts: DataFrame) -> DataFrame:
+    marks = _readable(parts.filter(F.col("kind") == HIT))
+    return hits.join(marks.select("hit_no", "suppressed_count", "first_occurrence", "last_occurrence"), "hit_no")
+
+
+def fired(keyed_hits: DataFrame, state: DataFrame | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+    """Fired hits with all their columns, their number, and what was suppressed before them."""
+    hits = numbered(keyed_hits)
+    return _fired(hits, _segments(hits, state, part_rows))
+
+
+def fired_and_state(keyed_hits: DataFrame, state: DataFrame | None = None, part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Fired hits as by ``fired``, and the state to hand to the next run; both from one stored pass."""
+    hits = numbered(keyed_hits)
+    parts = cut_lineage(_segments(hits, state, part_rows))
+    return _fired(hits, parts), carry(parts)
+
+
+def carry(parts: DataFrame) -> DataFrame:
+    """Per key, as rows of ``STATE_DDL``: the last hit that fired, and what was held back since."""
+    rest = F.col("kind") == REST
+    # of hits that fired at one instant, each escalated over the one before
+    at = F.when(~rest, F.struct("end_us", -F.col("rank")))
+    return parts.groupBy("silence_key").agg(
+        F.max_by("end_us", at).alias("last_us"), F.max_by("rank", at).alias("last_rank"), F.max_by("period_us", at).alias("period_us"),
+        F.coalesce(F.sum(F.when(rest, F.col("held"))), F.lit(0)).cast("bigint").alias("held"),
+        F.min(F.when(rest, F.col("first_us"))).alias("first_us"), F.max(F.when(rest, F.col("last_us"))).alias("final_us"),
     )
-    # of hits that agree in everything one fired, so one stays
-    return keyed_hits.join(marks, "hit_key").dropDuplicates(["hit_key"])
+
+
+def still_needed(state: DataFrame, as_of_us: int) -> DataFrame:
+    """State that can still matter: a silence that has not ended, or hits not reported yet."""
+    return state.filter((F.col("held") > 0) | (F.col("last_us") + F.col("period_us") > as_of_us))
 
 
 def silence_stats(parts: DataFrame, as_of, expire_hours: int = 2) -> DataFrame:

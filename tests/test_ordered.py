@@ -119,10 +119,59 @@ def test_escalation_fires_inside_silence(spark):
     assert got == ["a", "b"]
 
 
-@pytest.mark.parametrize("seed,period,span,escalate", [
-    (1, 300, 200_000, False), (2, 300, 200_000, True), (3, 60, 300_000, True), (4, 7200, 2_000_000, True), (5, 1, 30_000, False),
+@pytest.mark.parametrize("seed,period,span,escalate,part_rows", [
+    (1, 300, 200_000, False, 1000), (2, 300, 200_000, True, 200), (3, 60, 300_000, True, 40), (4, 7200, 2_000_000, True, 20),
+    (5, 1, 30_000, False, 100), (6, 86_400, 300_000, True, 30), (7, 86_400, 900_000, False, 50),
 ])
-def test_silence_over_many_slots(spark, seed, period, span, escalate):
+def test_silence_over_many_parts(spark, seed, period, span, escalate, part_rows):
+    rows = silence_rows(seed, period, span, escalate)
+    want, held = brute_silence(rows)
+    parts = silence.segments(hit_frame(spark, rows), part_rows=part_rows).collect()
+    got = {
+        (r.silence_key, r.hit_id): (r.suppressed_count, r.first_occurrence, r.last_occurrence) for r in parts if r.fired
+    }
+    assert got == want
+    rest = {r.silence_key: r.suppressed_count for r in parts if not r.fired}
+    assert rest == {k: len(v) for k, v in held.items()}
+
+
+def test_no_part_holds_more_than_its_share_of_a_key(spark):
+    rows = [(f"h{i:05d}", START + dt.timedelta(seconds=i), "hot", "INFO", False, 86_400) for i in range(3000)]
+    narrow = silence._narrow(hit_frame(spark, rows), None)
+    placed, parts = silence.sorted_parts(narrow, 200)
+    sizes = [r["count"] for r in placed.groupBy("part").count().collect()]
+    assert parts == 15 and len(sizes) == 15 and max(sizes) < 3 * 200
+
+
+def test_equal_times_spread_over_parts(spark):
+    """A burst within one microsecond: one hit fires, the copies count."""
+    rows = [(None, START, "k", "INFO", False, 60)] * 500 + [("z", START + dt.timedelta(seconds=60), "k", "INFO", False, 60)]
+    got = silence.fired(hit_frame(spark, rows), part_rows=50).collect()
+    assert sorted((str(r.id), r.suppressed_count) for r in got) == [("None", 0), ("z", 499)]
+
+
+def test_different_periods_of_a_key_are_refused(spark):
+    rows = [(f"h{i}", START + dt.timedelta(seconds=i), "k", "INFO", False, 60 + i // 50) for i in range(100)]
+    for part_rows in (1000, 20):
+        with pytest.raises(Exception, match="different silence periods"):
+            silence.segments(hit_frame(spark, rows), part_rows=part_rows).collect()
+
+
+@pytest.mark.parametrize("seed,period,escalate,runs", [(1, 300, True, 30), (2, 86_400, True, 7), (3, 7200, False, 12)])
+def test_silence_runs_hand_over_their_state(spark, seed, period, escalate, runs):
+    rows = silence_rows(seed, period, 600_000, escalate)
+    want, held = brute_silence(rows)
+    state, got = None, {}
+    for k in range(runs):
+        inside = [r for r in rows if 600_000 * k <= (r[1] - START).total_seconds() * runs < 600_000 * (k + 1)]
+        out, state = silence.fired_and_state(hit_frame(spark, inside), state, part_rows=100)
+        got.update({(r.silence_key, r.id): (r.suppressed_count, r.first_occurrence, r.last_occurrence) for r in out.collect()})
+        state = spark.createDataFrame(state.collect(), silence.STATE_DDL)
+    assert got == {k: v for k, v in want.items()}
+    assert {r.silence_key: r.held for r in state.collect() if r.held} == {k: len(v) for k, v in held.items()}
+
+
+def silence_rows(seed, period, span, escalate):
     rnd = random.Random(seed)
     rows = []
     for i in range(900):
@@ -131,11 +180,4 @@ def test_silence_over_many_slots(spark, seed, period, span, escalate):
         second = int(rnd.gauss(rnd.choice([0.2, 0.5, 0.8]) * span, span / 40)) if rnd.random() < 0.5 else rnd.randrange(span)
         level = rnd.choice(["CRITICAL", "WARNING", "INFO", "INFO", "OTHER"])
         rows.append((f"h{i:04d}", START + dt.timedelta(seconds=max(0, second)), key, level, escalate, period))
-    want, held = brute_silence(rows)
-    parts = silence.segments(hit_frame(spark, rows)).collect()
-    got = {
-        (r.silence_key, r.hit_id): (r.suppressed_count, r.first_occurrence, r.last_occurrence) for r in parts if r.fired
-    }
-    assert got == want
-    rest = {r.silence_key: r.suppressed_count for r in parts if not r.fired and r.suppressed_count}
-    assert rest == {k: len(v) for k, v in held.items()}
+    return rows
