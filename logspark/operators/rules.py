@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths
 from ..functions.numbers import percent
-from . import windows
+from . import spans, windows
 from .stats import is_error
 
 RULE_TYPES = (
@@ -236,10 +236,29 @@ def batch_operation_hits(logs: DataFrame, rules: DataFrame, resets: DataFrame |
     rows = batch_operation_rows(logs, rules)
     if resets is not None:
         rows = windows.restart_keys(rows, resets, "state_key")
-    counted = windows.trailing_count(rows, ["state_key"], F.col("window_seconds"), name="hit_count")
+    return _counted_hits(windows.trailing_count(rows, ["state_key"], F.col("window_seconds"), name="hit_count"))
+
+
+def _counted_hits(counted: DataFrame) -> DataFrame:
     return counted.filter(number_holds("hit_count", "threshold")).withColumn("actual_value", F.col("hit_count").cast("string"))
 
 
+def by_version(rows: DataFrame) -> DataFrame:
+    """State keys that an edit of the rule renews, so that what the older version counted is not seen again."""
+    version = F.unix_micros("rule_version").cast("string")
+    return rows.withColumn("state_key", F.concat_ws("@", "state_key", version))
+
+
+def batch_operation_run(logs: DataFrame, rules: DataFrame, earlier: DataFrame | None, end) -> tuple[DataFrame, DataFrame]:
+    """Hits of one run, and the rows to count in the next: those whose window reaches beyond ``end``."""
+    rows = by_version(batch_operation_rows(logs, rules)).withColumn("_earlier", F.lit(False))
+    if earlier is not None:
+        rows = rows.unionByName(earlier.withColumn("_earlier", F.lit(True)), allowMissingColumns=True)
+    counted = windows.trailing_count(rows, ["state_key"], F.col("window_seconds"), name="hit_count")
+    left = rows.filter(F.timestamp_seconds(F.unix_seconds("ts") + F.col("window_seconds") + 1) >= spans.instant(end))
+    return _counted_hits(counted.filter("not _earlier")), left.select("state_key", "ts", "id", "window_seconds")
+
+
 def request_failed() -> Column:
     failed = (F.col("level") == "ERROR") | (F.col("status_code") >= 500)
     return F.coalesce(failed, F.lit(False))
@@ -276,22 +295,45 @@ def continuous_request_hits(logs: DataFrame, rules: DataFrame, resets: DataFrame
     rows = continuous_request_rows(logs, rules)
     if resets is not None:
         rows = windows.restart_keys(rows, resets, "state_key")
-    counted = windows.run_length(rows, ["state_key"], F.col("extends_run"), name="hit_count")
+    return _run_hits(windows.run_length(rows, ["state_key"], F.col("extends_run"), name="hit_count"))
+
+
+def _run_hits(counted: DataFrame) -> DataFrame:
     fires = F.col("extends_run") & number_holds("hit_count", "threshold")
     return counted.filter(fires).withColumn("actual_value", F.col("hit_count").cast("string"))
 
 
+def continuous_request_run(logs: DataFrame, rules: DataFrame, earlier: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Hits of one run, and the open runs (with their lengths) to go on from in the next."""
+    rows = by_version(continuous_request_rows(logs, rules)).withColumns({"_earlier": F.lit(False), "_by": F.col("extends_run").cast("bigint")})
+    if earlier is not None:
+        before = earlier.select("state_key", "ts", F.col("length").alias("_by"), F.lit(True).alias("_earlier"))
+        rows = rows.unionByName(before, allowMissingColumns=True)
+    counted = windows.run_length(rows, ["state_key"], F.col("_by"), name="hit_count")
+    last = F.struct("ts", ~F.col("_earlier"), "id")
+    runs = counted.groupBy("state_key").agg(F.max("ts").alias("ts"), F.max_by("hit_count", last).alias("length"))
+    return _run_hits(counted.filter("not _earlier")), runs.filter("length > 0")
+
+
 def detect(logs: DataFrame, rules: DataFrame) -> DataFrame:
     """All hits of all rule types, one row per log row and rule."""
-    parts = (
-        stateless_hits(logs, rules), batch_operation_hits(logs, rules), continuous_request_hits(logs, rules)
-    )
+    return _all_hits(stateless_hits(logs, rules), batch_operation_hits(logs, rules), continuous_request_hits(logs, rules))
+
+
+def _all_hits(*parts: DataFrame) -> DataFrame:
     first, *rest = [p.select(*HIT_COLUMNS) for p in parts]
     for part in rest:
         first = first.unionByName(part)
     return first
 
 
+def detect_run(logs: DataFrame, rules: DataFrame, counted: DataFrame | None, runs: DataFrame | None, end) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All hits of one of several runs, with what counts and runs of the next one go on from."""
+    batch, counted = batch_operation_run(logs, rules, counted, end)
+    continuous, runs = continuous_request_run(logs, rules, runs)
+    return _all_hits(stateless_hits(logs, rules), batch, continuous), counted, runs
+
+
 def alert_content() -> Column:
     """Text of an alert from the rule and the row that set it off."""
     names = " ".join(f"WHEN '{kind}' THEN '{name}'" for kind, name in TYPE_NAMES.items())

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions.levels import OTHER_PRIORITY, alert_priority
 from ..functions.numbers import micros
 from ..session import cut_lineage, send_code_of
+from .spans import instant
 from .windows import restart_keys
 
 DEFAULT_PERIOD = 300
@@ -490,9 +491,9 @@ def carry(parts: DataFrame) -> DataFrame:
     )
 
 
-def still_needed(state: DataFrame, as_of_us: int) -> DataFrame:
+def still_needed(state: DataFrame, as_of) -> DataFrame:
     """State that can still matter: a silence that has not ended, or hits not reported yet."""
-    return state.filter((F.col("held") > 0) | (F.col("last_us") + F.col("period_us") > as_of_us))
+    return state.filter((F.col("held") > 0) | (F.col("last_us") + F.col("period_us") > micros(instant(as_of))))
 
 
 def silence_stats(parts: DataFrame, as_of, expire_hours: int = 2) -> DataFrame:

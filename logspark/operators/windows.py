@@ -81,12 +81,13 @@ def trailing_count(df: DataFrame, keys: list[str], seconds: int | Column, ts: st
 
 def run_length(df: DataFrame, keys: list[str], failed: Column, ts: str = "ts", tie: str = "id",
                name: str = "run_length", slot_seconds: int = 600) -> DataFrame:
-    """Length of the unbroken run of failures that ends at the row; 0 on a success.
+    """Length of the unbroken run of failures that ends at the row; 0 on a success. A number in
+    place of a truth value counts as so many failures at once.
 
     Runs are counted inside slots; a slot that opens with failures adds the run
     carried over from the slots before it.
     """
-    placed = df.withColumn("_failed", F.coalesce(failed, F.lit(False)).cast("bigint")).withColumn(
+    placed = df.withColumn("_failed", F.coalesce(failed.cast("bigint"), F.lit(0))).withColumn(
         "_slot", F.floor(micros(F.col(ts)) / (slot_seconds * 1_000_000))
     )
     w = (

@@ -177,8 +177,7 @@ _COUNTED = "payload STRING, hit_count BIGINT"
 
 def _versioned(rows: DataFrame) -> DataFrame:
     """An edited rule gets new state keys; those of its older version age out."""
-    version = F.unix_micros("rule_version").cast("string")
-    return rows.withColumns({"signs": F.col("_signs"), "state_key": F.concat_ws("@", "state_key", version)})
+    return rule_ops.by_version(rows).withColumn("signs", F.col("_signs"))
 
 
 def batch_operation_stream(logs: DataFrame, rules: DataFrame, delay: str = "10 minutes") -> DataFrame:

@@ -15,6 +15,7 @@ from logspark.plans.lifecycle import run_lifecycle
 from logspark.schema import LOG_COLUMNS, PARTITION_COLUMNS
 from logspark.sources import logs as store
 from logspark.sources.events import load_logs
+from logspark.sources.states import RunStates
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -150,6 +151,28 @@ def test_detection_job(spark, logs, tmp_path):
     assert held <= hits - fired
 
 
+def test_runs_with_state_equal_one_long_run(spark, logs, tmp_path):
+    """State goes from run to run; one of the runs is repeated, as after a failure."""
+    rules, days = rules_frame(spark), [dt.datetime(2024, 1, 1) + dt.timedelta(days=d) for d in (0, 1, 2, 5, 9, 10, 20, 30)]
+    logs.filter("system_id in ('sys_0', 'sys_1', 'sys_3')").drop("log_date").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    run_detection(rows, rules, days[0], days[-1], str(tmp_path / "h"), str(tmp_path / "a"))
+    for k, (start, end) in enumerate(zip(days, days[1:])):
+        for _ in range(2 if k == 3 else 1):
+            run_detection(rows, rules, start, end, str(tmp_path / "hs" / f"d={k}"), str(tmp_path / "as" / f"d={k}"), str(tmp_path / "s"))
+    for one, many, columns in (
+        ("h", "hs", ["rule_id", "id", "hit_count", "actual_value"]),
+        ("a", "as", ["id", "log_id", "silence_key", "suppressed_count", "first_occurrence", "last_occurrence", "alert_content"]),
+    ):
+        take = lambda path: sorted(tuple(map(str, r)) for r in spark.read.parquet(str(tmp_path / path)).select(*columns).collect())
+        assert take(one) == take(many) and take(one)
+    states = RunStates(spark, str(tmp_path / "s"))
+    assert len(states.versions()) == 7
+    states.forget(days[5])
+    assert len(states.versions()) == 4 and set(states.before(days[5])) == {"counted", "runs", "silences"}
+    assert states.before("2023-12-31") == {}
+
+
 def test_log_columns_are_all_stored(spark, table):
     assert set(LOG_COLUMNS) | {"log_date"} == set(store.read_logs(spark, table).columns)
 
