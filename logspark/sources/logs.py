@@ -6,7 +6,9 @@ from ..functions.text import abbreviate
 from ..operators.spans import as_datetime
 from ..operators.windows import latest_per_key
 from ..schema import JSON_OPTIONS, LOG_COLUMNS, LOG_SCHEMA, PARTITION_COLUMNS
+from .stream_table import StreamTable
 
+TABLE_DDL = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in LOG_SCHEMA.fields], "log_date DATE"])
 SHEET_ROWS = 1_000_000
 # Columns of the tabular export, in order.
 SHEET_COLUMNS = (
@@ -81,9 +83,12 @@ def write_logs(df: DataFrame, path: str, mode: str = "append", max_records_per_f
 
 def read_logs(spark: SparkSession, path: str, tenant_id: str | None = None, system_ids=(),
               first_day=None, last_day=None) -> DataFrame:
-    """Log table; every argument prunes partitions before a file is opened."""
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in LOG_SCHEMA.fields]
-    df = spark.read.schema(", ".join([*fields, "log_date DATE"])).parquet(path)
+    """Log table; every argument prunes partitions before a file is opened. Of a table that a
+    stream writes, the committed rows."""
+    if StreamTable.is_one(spark, path):
+        df = StreamTable(spark, path).read(TABLE_DDL)
+    else:
+        df = spark.read.schema(TABLE_DDL).parquet(path)
     if tenant_id is not None:
         df = df.filter(F.col("tenant_id") == tenant_id)
     if system_ids:

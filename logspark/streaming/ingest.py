@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import ingest, stats
 from ..schema import LOG_COLUMNS, PARTITION_COLUMNS
 from ..sources.logs import with_partitions
+from ..sources.stream_table import StreamTable
 
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 3, 1.0, 10.0
 
@@ -44,23 +45,16 @@ def keep_trying(write: Callable[[], None], attempts: int = ATTEMPTS, first_wait:
     return error
 
 
-def _replace(df: DataFrame, path: str, batch_id: int, keys: list[str], placed: bool = False) -> None:
-    """Write a micro-batch so that a replay of the same batch replaces it. placed: rows are dealt out already."""
-    rows = df.withColumn("ingest_batch", F.lit(batch_id))
-    (
-        (rows if placed else rows.hint("rebalance", *keys))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*keys, "ingest_batch")
-        .parquet(path)
-    )
-
-
 def ingest_stream(lines: DataFrame, table: str, dead_letters: str, checkpoint: str,
                   detection_feed: str | None = None, as_of=None, value: str = "value",
                   on_metrics: Callable[[int, dict], None] | None = None,
-                  trigger: dict | None = None) -> StreamingQuery:
-    """Start the stream. One parse feeds all sinks; a failed micro-batch is replayed whole."""
+                  trigger: dict | None = None, keep_seconds: float = 3600.0) -> StreamingQuery:
+    """Start the stream. One parse feeds all sinks, which are stream tables: a micro-batch that is replayed changes
+    nothing where it was committed. Full levels are compacted on the way; merged files go after ``keep_seconds``."""
+    spark = lines.sparkSession
+    logs = StreamTable(spark, table, PARTITION_COLUMNS)
+    letters = StreamTable(spark, dead_letters)
+    feed = StreamTable(spark, detection_feed) if detection_feed is not None else None
 
     def process(batch: DataFrame, batch_id: int) -> None:
         seen = Observation()
@@ -72,20 +66,24 @@ def ingest_stream(lines: DataFrame, table: str, dead_letters: str, checkpoint: s
         ).persist()
         try:
             valid = with_partitions(rows.filter("is_valid")).select(*LOG_COLUMNS, "ts_fallback", "log_date")
-            error = keep_trying(lambda: _replace(valid, table, batch_id, PARTITION_COLUMNS))
+            error = keep_trying(lambda: logs.append(valid, batch_id))
             bad = rows.filter("not is_valid").select("raw_value", "reject_reason")
             if error is not None:
                 reason = F.lit(f"write failed: {type(error).__name__}")
                 bad = bad.unionByName(rows.filter("is_valid").select("raw_value", reason.alias("reject_reason")))
-            _replace(bad.withColumn("rejected_at", F.current_timestamp()), dead_letters, batch_id, [])
-            if detection_feed is not None and error is None:
+            letters.append(bad.withColumn("rejected_at", F.current_timestamp()), batch_id)
+            if feed is not None and error is None:
                 # one key on one partition; rows without a trace have no order to keep and are spread
                 trace = F.coalesce("trace_id", F.xxhash64(*LOG_COLUMNS).cast("string"))
-                _replace(valid.repartition("tenant_id", "system_id", trace), detection_feed, batch_id, [], placed=True)
+                feed.append(valid.repartition("tenant_id", "system_id", trace), batch_id, placed=True)
             if on_metrics is not None:
                 on_metrics(batch_id, seen.get)
         finally:
             rows.unpersist()
+        for sink in filter(None, (logs, letters, feed)):
+            if (batch_id + 1) % sink.fan == 0:
+                sink.tidy()
+                sink.vacuum(keep_seconds)
 
     return (
         lines.writeStream.foreachBatch(process)

@@ -10,7 +10,9 @@ from logspark.operators import ingest, rules as rule_ops, silence, stats
 from logspark.plans.alert_queries import hits_frame, rules_frame
 from logspark.plans.ingest_queries import raw_lines
 from logspark.schema import JSON_OPTIONS
+from logspark.sources import logs as store
 from logspark.sources.events import load_logs
+from logspark.sources.stream_table import StreamTable
 from logspark.streaming import detect, ingest as live
 
 FOLDER = "/root/testdata/sf0.001"
@@ -68,13 +70,62 @@ def test_ingest_stream_equals_batch(spark, tmp_path):
     want = ingest.ingest(lines, AS_OF)
     columns = ["id", "tenant_id", "system_id", "level", "ts", "message", "extra", "response_time"]
     take = lambda df: sorted(map(tuple, df.select(*columns).collect()))
-    assert take(spark.read.parquet(table)) == take(want.filter("is_valid"))
-    assert take(spark.read.parquet(feed)) == take(want.filter("is_valid"))
-    assert spark.read.parquet(dead).count() == want.filter("not is_valid").count()
+    assert take(store.read_logs(spark, table)) == take(want.filter("is_valid"))
+    assert take(StreamTable(spark, feed).read()) == take(want.filter("is_valid"))
+    assert StreamTable(spark, dead).read().count() == want.filter("not is_valid").count()
     assert sum(c["total"] for c in seen.values()) == 1000
     assert sum(c["failed"] for c in seen.values()) == want.filter("not is_valid").count()
     start()  # nothing new: a restart adds nothing
-    assert spark.read.parquet(table).count() == want.filter("is_valid").count()
+    assert store.read_logs(spark, table).count() == want.filter("is_valid").count()
+
+
+def batch_of(spark, k, rows=3):
+    days = F.expr(f"date_add(DATE '2024-01-01', {k // 50})")
+    return spark.range(rows).select((F.col("id") + 1000 * k).alias("n"), F.lit("007").alias("tenant_id"), days.alias("log_date"))
+
+
+def files_of(path):
+    return len(list(pathlib.Path(path).rglob("*.parquet")))
+
+
+def test_many_batches_leave_few_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table = StreamTable(spark, path, ["tenant_id", "log_date"], fan=5)
+    for k in range(90):
+        assert table.append(batch_of(spark, k), k)
+        table.tidy()
+    assert len(table.chunks()) <= 5 * 3
+    assert table.vacuum(0) > 90 and files_of(path) < 5 * 3 * 3 and len(table.log.names()) <= 5 + 2
+    back = StreamTable(spark, path).read("n BIGINT, tenant_id STRING, log_date DATE")
+    assert sorted(r.n for r in back.collect()) == sorted(i + 1000 * k for k in range(90) for i in range(3))
+    assert {r.tenant_id for r in back.collect()} == {"007"} and back.filter("log_date = '2024-01-02'").count() == 120
+    assert not table.append(batch_of(spark, 3), 3)  # a replay
+    assert table.compact(everything=True) and len(table.chunks()) == 1 and back.count() == 270
+    table.vacuum(0)
+    assert StreamTable(spark, path).read().count() == 270
+
+
+def test_replayed_and_failed_batches(spark, tmp_path, monkeypatch):
+    table = StreamTable(spark, str(tmp_path / "t"), fan=3)
+    for k in range(2):
+        table.append(batch_of(spark, k), k)
+    # a batch that fails between write and commit leaves an orphan, which no reader sees
+    real = table.log.add
+    monkeypatch.setattr(table.log, "add", lambda *a, **b: (_ for _ in ()).throw(OSError("down")))
+    with pytest.raises(OSError):
+        table.append(batch_of(spark, 2), 2)
+    with pytest.raises(OSError):
+        table.compact(everything=True)
+    monkeypatch.setattr(table.log, "add", real)
+    again = StreamTable(spark, str(tmp_path / "t"), fan=3)
+    assert again.read().count() == 6 and again.append(batch_of(spark, 2), 2) and not again.append(batch_of(spark, 2), 2)
+    before = again.read()
+    again.tidy()
+    assert again.vacuum(3600) == 2 and before.count() == 9  # merged chunks stay for running readers, orphans go
+    assert again.vacuum(0) == 3 and again.read().count() == 9
+    # of two writers of one name the first succeeds
+    assert again.log.add("x1", {"a": 1}) and not again.log.add("x1", {"a": 2}) and again.log.read("x1") == {"a": 1}
+    assert again.log.add("x1", {"a": 3}, replace=True) and again.log.read("x1") == {"a": 3}
 
 
 def test_retries_back_off_and_give_up():
@@ -92,14 +143,14 @@ def test_retries_back_off_and_give_up():
 
 
 def test_failed_writes_go_to_the_dead_letters(spark, tmp_path, monkeypatch):
-    real = live._replace
+    real = StreamTable.append
 
-    def broken(df, path, batch_id, keys):
-        if path.endswith("table"):
+    def broken(self, df, batch_id, placed=False):
+        if self.path.endswith("table"):
             raise OSError("down")
-        real(df, path, batch_id, keys)
+        return real(self, df, batch_id, placed)
 
-    monkeypatch.setattr(live, "_replace", broken)
+    monkeypatch.setattr(StreamTable, "append", broken)
     monkeypatch.setattr(live.keep_trying, "__defaults__", (2, 0.0, lambda s: None))
     source = tmp_path / "in"
     os.makedirs(source)
@@ -108,7 +159,7 @@ def test_failed_writes_go_to_the_dead_letters(spark, tmp_path, monkeypatch):
         live.read_files(spark, str(source)), str(tmp_path / "table"), str(tmp_path / "dead"), str(tmp_path / "cp"), trigger=ONCE
     )
     query.awaitTermination(300)
-    got = sorted(r.reject_reason for r in spark.read.parquet(str(tmp_path / "dead")).collect())
+    got = sorted(r.reject_reason for r in StreamTable(spark, str(tmp_path / "dead")).read().collect())
     assert got == ["invalid JSON or empty log", "write failed: OSError"]
 
 
