@@ -82,3 +82,37 @@ def exists_at(path: str) -> Column:
     if inner is None:
         return F.lit(False)
     return F.try_variant_get(F.try_parse_json("extra"), inner, "variant").isNotNull()
+
+
+# --- paths that are columns ---
+
+
+def place_sql(path: str) -> str:
+    """SQL of where a path column leads: the number of a log field, an index into the tags, or a JSON path in ``extra``.
+
+    Worked out once a rule, so that a log row only has to follow it.
+    """
+    fields = " ".join(f"WHEN '{name}' THEN {i}" for i, name in enumerate(FIELD_COLUMNS))
+    return f"""named_struct(
+        'field', CASE {path} {fields} END,
+        'tag', try_cast(nullif(regexp_extract({path}, '^tags\\\\[(\\\\d+)\\\\]$', 1), '') AS INT),
+        'json', CASE WHEN {path} RLIKE '^extra(\\\\.[A-Za-z_][\\\\w-]*(\\\\[\\\\d+\\\\])?)+$'
+            THEN concat('$', regexp_replace(substr({path}, 6), '\\\\.([A-Za-z_][\\\\w-]*)', "['$1']")) END)"""
+
+
+def text_behind(place: str) -> str:
+    """SQL of the value behind a place, as text; null where it leads nowhere."""
+    fields = " ".join(f"WHEN {i} THEN CAST({column} AS STRING)" for i, column in enumerate(FIELD_COLUMNS.values()))
+    return f"""CASE WHEN {place}.field IS NOT NULL THEN CASE {place}.field {fields} END
+        WHEN {place}.tag IS NOT NULL THEN get(tags, {place}.tag)
+        WHEN {place}.json IS NOT NULL THEN try_variant_get(try_parse_json(extra), {place}.json, 'string') END"""
+
+
+def number_behind(place: str) -> str:
+    """SQL of the value behind a place, as a number; null where it is missing or is not numeric JSON."""
+    names = list(FIELD_COLUMNS)
+    fields = " ".join(f"WHEN {names.index(n)} THEN CAST({FIELD_COLUMNS[n]} AS DOUBLE)" for n in NUMERIC_FIELDS)
+    leaf = f"try_variant_get(try_parse_json(extra), {place}.json, 'variant')"
+    return f"""CASE WHEN {place}.field IS NOT NULL THEN CASE {place}.field {fields} END
+        WHEN {place}.json IS NOT NULL AND schema_of_variant({leaf}) RLIKE '^(BIGINT|DOUBLE|FLOAT|DECIMAL)'
+        THEN try_variant_get({leaf}, '$', 'double') END"""

@@ -1,6 +1,6 @@
 """Rule detection: which log row violates which rule."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import paths
 from ..functions.numbers import percent
@@ -11,7 +11,8 @@ RULE_TYPES = (
     "RESPONSE_TIME", "ERROR_RATE", "FIELD_COMPARE", "BATCH_OPERATION", "CONTINUOUS_REQUEST",
 )
 STATELESS = RULE_TYPES[:3]
-MAX_PATHS = 1000
+#: A system with more rules that look for a text than this has them found by parts of that text.
+FEW = 16
 # Target prefix, log column it reads and name in state keys.
 DIMENSIONS = (
     ("userId:", "user_id", "user:"),
@@ -35,23 +36,12 @@ RULE_FIELDS = (
 HIT_COLUMNS = (
     "id", "ts", "tenant_id", "system_id", "level", "module", "operation", "message", "user_id",
     "user_name", "ip", "request_url", "response_time", "rule_id", *RULE_FIELDS,
-    "actual_value", "hit_count",
+    "metric_value", "actual_value", "hit_count",
 )
 # What stateful rules carry through their shuffles.
 _CARRIED = (*HIT_COLUMNS[:-2], "rule_version", "state_key", "threshold", "_signs")
 
 
-def rule_paths(rules: DataFrame) -> list[str]:
-    """Distinct field paths the rules read. Rules are configuration; the size is checked all the same."""
-    rows = (
-        rules.select(F.explode(F.array(metric_path(), target_path())).alias("p"))
-        .filter("p is not null").distinct().limit(MAX_PATHS + 1).collect()
-    )
-    if len(rows) > MAX_PATHS:
-        raise ValueError(f"rules use more than {MAX_PATHS} distinct field paths")
-    return sorted(r.p for r in rows)
-
-
 def metric_path() -> Column:
     """Field a rule reads; response time rules may leave it out."""
     return F.expr(
@@ -90,38 +80,85 @@ _SIGNS = """CASE condition_operator WHEN '>' THEN array(1) WHEN '>=' THEN array(
     WHEN '<=' THEN array(-1, 0) WHEN '=' THEN array(0) WHEN '==' THEN array(0) WHEN '!=' THEN array(-1, 1) END"""
 
 
+def _sought() -> Column:
+    """The text that a target looks for inside a field; null for targets of other kinds."""
+    return F.expr(
+        """CASE WHEN coalesce(monitor_target, '') = '' OR startswith(monitor_target, 'field:') OR startswith(monitor_target, 'userId:')
+              OR startswith(monitor_target, 'ip:') THEN NULL
+            WHEN startswith(monitor_target, 'module:') THEN substr(monitor_target, 8)
+            WHEN startswith(monitor_target, 'operation:') THEN substr(monitor_target, 11) ELSE monitor_target END"""
+    )
+
+
+def _thirds(text: str) -> str:
+    """SQL of all runs of three characters of a text; none for null and shorter ones."""
+    return f"if(coalesce(length({text}), 0) < 3, CAST(array() AS ARRAY<STRING>), transform(sequence(1, length({text}) - 2), i -> substr({text}, i, 3)))"
+
+
+def _dispatch() -> Column:
+    """Key under which a log row finds the rule: the user or address it names, a part of the text it seeks, or ``*`` for all rows.
+
+    The part is picked by a hash, so that rules whose texts begin alike do not all share one.
+    """
+    return F.expr(
+        f"""CASE WHEN startswith(monitor_target, 'userId:') AND monitor_target <> 'userId:' AND NOT monitor_target RLIKE '[.\\\\[]'
+            THEN concat('u', substr(monitor_target, 8))
+            WHEN startswith(monitor_target, 'ip:') AND monitor_target <> 'ip:' THEN concat('i', substr(monitor_target, 4))
+            WHEN length(_sought) >= 3 AND _seeking > {FEW}
+            THEN concat('t', array_min(transform({_thirds('_sought')}, t -> named_struct('h', xxhash64(t), 't', t))).t)
+            ELSE '*' END"""
+    )
+
+
+def wanted_rules(rules: DataFrame, types=RULE_TYPES) -> DataFrame:
+    """Enabled rules of the types, with all that can be worked out once a rule: where their paths lead, their operator's
+    signs, their pattern if it compiles, and the key that log rows find them by. No rule is looked at by the driver."""
+    per_system = W.partitionBy("tenant_id", "system_id")
+    whole = "concat('^(?:', condition_value, ')$')"
+    return (
+        rules.filter((F.col("status") == 1) & F.col("rule_type").isin(*types))
+        .withColumns({"_metric_path": metric_path(), "_target_path": target_path(), "_sought": _sought()})
+        .withColumn("_seeking", F.count_if(F.length("_sought") >= 3).over(per_system))
+        .select(
+            F.col("id").alias("rule_id"), F.col("tenant_id").alias("_rule_tenant"), F.col("system_id").alias("_rule_system"),
+            *RULE_FIELDS, F.col("update_time").alias("rule_version"),
+            F.expr(paths.place_sql("_metric_path")).alias("_metric"), F.expr(paths.place_sql("_target_path")).alias("_target"),
+            "_target_path",
+            F.expr(_SIGNS).alias("_signs"), _dispatch().alias("_rule_key"),
+            F.expr(
+                f"CASE WHEN condition_operator = 'matches' AND try_reflect('java.util.regex.Pattern', 'matches', {whole}, '') IS NOT NULL THEN {whole} END"
+            ).alias("_pattern"),
+        )
+    )
+
+
 def match_rules(logs: DataFrame, rules: DataFrame, types=RULE_TYPES) -> DataFrame:
     """Logs joined with the enabled rules of their system whose target they meet.
 
-    The fields that rules name are read once per log row, before the join, into the arrays
-    ``_texts`` and ``_numbers``; a rule carries the positions of its fields.
+    A log row looks under its keys: ``*``, its user, its address and, in systems with many rules that seek a text, all
+    parts of three characters of the fields they seek in. So the rules it is compared with are few even of thousands.
     """
-    names = rule_paths(rules)
-    known = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
-    place = lambda path: F.nullif(F.array_position(known, path), F.lit(0)).cast("int") - 1
-    wanted = rules.filter((F.col("status") == 1) & F.col("rule_type").isin(*types)).select(
-        F.col("id").alias("rule_id"),
-        F.col("tenant_id").alias("_rule_tenant"),
-        F.col("system_id").alias("_rule_system"),
-        *RULE_FIELDS,
-        F.col("update_time").alias("rule_version"),
-        place(metric_path()).alias("_metric_at"),
-        place(target_path()).alias("_target_at"),
-        F.expr(_SIGNS).alias("_signs"),
-    )
-    texts = ", ".join(paths.text_sql(n) for n in names)
-    numbers = ", ".join(paths.number_sql(n) for n in names)
-    read = logs.selectExpr(
-        "*",
-        f"CAST(array({texts}) AS ARRAY<STRING>) AS _texts",
-        f"CAST(array({numbers}) AS ARRAY<DOUBLE>) AS _numbers",
+    wanted = wanted_rules(rules, types)
+    seeking = wanted.filter("startswith(_rule_key, 't')").select(
+        F.col("_rule_tenant").alias("_seek_tenant"), F.col("_rule_system").alias("_seek_system"), F.lit(True).alias("_seeks")
+    ).distinct()
+    own = (F.col("tenant_id") == F.col("_seek_tenant")) & (F.col("system_id") == F.col("_seek_system"))
+    parts = ", ".join(_thirds(c) for c in ("request_url", "module", "operation"))
+    keys = F.expr(
+        f"""explode(array_compact(concat(array('*', concat('u', user_id), concat('i', ip)),
+            if(_seeks, transform(array_distinct(concat({parts})), t -> concat('t', t)), CAST(array() AS ARRAY<STRING>)))))"""
     )
+    asked = logs.join(seeking, own, "left").withColumn("_seeks", F.coalesce("_seeks", F.lit(False))).withColumn("_key", keys)
     on = (
-        (F.col("tenant_id") == F.col("_rule_tenant"))
-        & (F.col("system_id") == F.col("_rule_system"))
-        & target_matches()
+        (F.col("tenant_id") == F.col("_rule_tenant")) & (F.col("system_id") == F.col("_rule_system"))
+        & (F.col("_key") == F.col("_rule_key")) & target_matches()
     )
-    return read.join(wanted, on).drop("_rule_tenant", "_rule_system")
+    return asked.join(wanted, on).drop("_rule_tenant", "_rule_system", "_rule_key", "_key", "_seek_tenant", "_seek_system", "_seeks")
+
+
+def metric_value() -> Column:
+    """The value that the rule's own metric leads to; a default metric is not its own."""
+    return F.expr(f"CASE WHEN coalesce(monitor_metric, '') <> '' THEN {paths.text_behind('_metric')} END")
 
 
 def number_holds(actual: str, expected: str, kind: str = "DOUBLE") -> Column:
@@ -131,41 +168,19 @@ def number_holds(actual: str, expected: str, kind: str = "DOUBLE") -> Column:
     )
 
 
-def compare_texts(actual: Column, expected: Column, operator: Column, patterns=()) -> Column:
-    """``matches`` is tried only with patterns that are known to compile."""
-    matches = F.lit(False)
-    for pattern in patterns:
-        matches = matches | ((expected == pattern) & actual.rlike(f"^(?:{pattern})$"))
+def compare_texts(actual: Column, expected: Column, operator: Column, pattern: Column) -> Column:
+    """``matches`` is tried only with patterns that are known to compile; others are null."""
     hit = (
         F.when(operator == "=", actual == expected)
         .when(operator == "!=", actual != expected)
         .when(operator == "contains", actual.contains(expected))
         .when(operator == "startsWith", actual.startswith(expected))
         .when(operator == "endsWith", actual.endswith(expected))
-        .when(operator == "matches", matches)
+        .when((operator == "matches") & pattern.isNotNull(), F.rlike(actual, pattern))
     )
     return F.coalesce(hit, F.lit(False))
 
 
-def valid_patterns(rules: DataFrame) -> list[str]:
-    """Patterns of ``matches`` rules that the engine accepts; a broken one never fires."""
-    spark = rules.sparkSession
-    rows = (
-        rules.filter(F.col("condition_operator") == "matches")
-        .select("condition_value").distinct().limit(MAX_PATHS + 1).collect()
-    )
-    if len(rows) > MAX_PATHS:
-        raise ValueError(f"rules use more than {MAX_PATHS} distinct patterns")
-    good = []
-    for (pattern,) in rows:
-        try:
-            spark.sql("SELECT 'x' RLIKE :pattern", {"pattern": f"^(?:{pattern})$"}).collect()
-            good.append(pattern)
-        except Exception:
-            continue
-    return sorted(good)
-
-
 def stateless_hits(logs: DataFrame, rules: DataFrame, strict_long: bool = False) -> DataFrame:
     """Hits of RESPONSE_TIME, ERROR_RATE and FIELD_COMPARE; works on batches and streams.
 
@@ -173,8 +188,9 @@ def stateless_hits(logs: DataFrame, rules: DataFrame, strict_long: bool = False)
     """
     matched = match_rules(logs, rules, STATELESS).withColumns(
         {
-            "_number": F.get("_numbers", F.col("_metric_at")),
-            "actual_value": F.get("_texts", F.col("_metric_at")),
+            "_number": F.expr(paths.number_behind("_metric")),
+            "actual_value": F.expr(paths.text_behind("_metric")),
+            "metric_value": metric_value(),
         }
     )
     expected = "try_cast(condition_value AS BIGINT)" if strict_long else "condition_value"
@@ -182,7 +198,7 @@ def stateless_hits(logs: DataFrame, rules: DataFrame, strict_long: bool = False)
     numeric = number_holds(actual, expected, "DECIMAL(20,0)" if strict_long else "DOUBLE")
     textual = compare_texts(
         F.col("actual_value"), F.col("condition_value"), F.col("condition_operator"),
-        valid_patterns(rules),
+        F.col("_pattern"),
     )
     fires = (
         F.when(F.col("rule_type") == "RESPONSE_TIME", numeric)
@@ -198,10 +214,10 @@ def stateless_hits(logs: DataFrame, rules: DataFrame, strict_long: bool = False)
 def _state_key(kinds: tuple[str, ...], url: bool) -> Column:
     """Rule and the value of the dimension its target names; a nested path may replace the field."""
     branches = ["WHEN contains(monitor_target, '/api/') THEN concat('url:', coalesce(request_url, 'null'))"] if url else []
-    nested = "get(_texts, _target_at)"
+    nested = paths.text_behind("_target")
     for prefix, column, label in DIMENSIONS:
         if prefix in kinds:
-            value = column if url else f"CASE WHEN _target_at IS NOT NULL THEN {nested} ELSE {column} END"
+            value = column if url else f"CASE WHEN _target_path IS NOT NULL THEN {nested} ELSE {column} END"
             branches.append(
                 f"WHEN startswith(monitor_target, '{prefix}') THEN concat('{label}', coalesce({value}, 'null'))"
             )
@@ -219,6 +235,7 @@ def batch_operation_rows(logs: DataFrame, rules: DataFrame) -> DataFrame:
         .withColumns(
             {
                 "state_key": key,
+                "metric_value": metric_value(),
                 "threshold": F.get(parts, F.lit(0)).try_cast("int"),
                 "window_seconds": F.coalesce(F.get(parts, F.lit(1)), F.lit("60")).try_cast("int"),
             }
@@ -280,6 +297,7 @@ def continuous_request_rows(logs: DataFrame, rules: DataFrame) -> DataFrame:
         .withColumns(
             {
                 "state_key": key,
+                "metric_value": metric_value(),
                 "threshold": F.col("condition_value").try_cast("int"),
                 "extends_run": run_event(),
             }
@@ -343,7 +361,7 @@ def alert_content() -> Column:
             '规则名称: ', {word('rule_name')}, '\\n规则类型: ', CASE rule_type {names} ELSE rule_type END,
             '\\n监控对象: ', {word('monitor_target')}, '\\n监控字段: ', {word('monitor_metric')},
             '\\n触发条件: ', {word('monitor_metric')}, ' ', {word('condition_operator')}, ' ', {word('condition_value')}, '\\n',
-            if(actual_value IS NULL, '', concat('实际值: ', actual_value, '\\n')),
+            if(metric_value IS NULL, '', concat('实际值: ', metric_value, '\\n')),
             '\\n触发日志详情:\\n时间: ', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS"),
             '\\n级别: ', {word('level')}, '\\n模块: ', {word('module')}, '\\n消息: ', {word('message')}, '\\n',
             if(response_time IS NULL, '', concat('响应时间: ', response_time, 'ms\\n')),

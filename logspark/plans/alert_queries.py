@@ -59,18 +59,6 @@ def _(spark, folder):
     return rule_ops.stateless_hits(load_logs(spark, folder), rules_frame(spark)).select("rule_id", "id", "actual_value")
 
 
-@query("alert_texts", STATELESS_SQL + """
-SELECT id, md5('规则名称: rule 1' || chr(10) || '规则类型: 响应时间监控' || chr(10) || '监控对象: null' || chr(10) || '监控字段: null' || chr(10)
-  || '触发条件: null > 3000' || chr(10) || '实际值: ' || actual_value || chr(10) || chr(10) || '触发日志详情:' || chr(10)
-  || '时间: ' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST(CAST(floor(us / 1000) AS BIGINT) % 1000 AS VARCHAR), 3, '0') || chr(10)
-  || '级别: ' || level || chr(10) || '模块: ' || module || chr(10) || '消息: ' || message || chr(10)
-  || '响应时间: ' || CAST(response_time AS VARCHAR) || 'ms' || chr(10) || '用户: ' || user_name || ' (' || user_id || ')' || chr(10)) AS content_md5
-FROM hit WHERE rule_id = 1""")
-def _(spark, folder):
-    hits = rule_ops.stateless_hits(load_logs(spark, folder), rules_frame(spark).filter("id = 1"))
-    return hits.select("id", F.md5(rule_ops.alert_content()).alias("content_md5"))
-
-
 BATCH_SQL = LOGS + """, m AS (
 SELECT 20 AS rule_id, 86400000000 AS w, user_id AS k, id, us FROM logs WHERE system_id = 'sys_0'
 UNION ALL SELECT 21, 172800000000, module, id, us FROM logs WHERE system_id = 'sys_1' AND module LIKE '%mod_1%'
@@ -122,6 +110,32 @@ def _(spark, folder):
     return rule_ops.detect(load_logs(spark, folder), rules_frame(spark)).select("rule_id", "id", "hit_count")
 
 
+_NAMES = {"RESPONSE_TIME": "响应时间监控", "ERROR_RATE": "错误率监控", "FIELD_COMPARE": "字段值比较", "BATCH_OPERATION": "批量操作监控",
+          "CONTINUOUS_REQUEST": "连续请求监控"}
+_quoted = lambda v: "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
+_RULES_SQL = "rl(rule_id, kind, target, metric, op, want, stateless) AS (VALUES " + ", ".join(
+    f"({i}, {_quoted(_NAMES.get(kind, kind))}, {_quoted(target)}, {_quoted(metric)}, {_quoted(op)}, {_quoted(value)}, {kind in rule_ops.STATELESS})"
+    for i, _, _, kind, target, metric, op, value, _, _ in RULE_ROWS
+) + ")"
+
+
+@query("alert_texts", ALL_HITS_SQL.replace("\nSELECT rule_id::BIGINT AS rule_id, id, 1::BIGINT AS hit_count FROM hit UNION ALL", ", " + _RULES_SQL + """, al AS (
+SELECT rule_id::BIGINT AS rule_id, id, 1::BIGINT AS hit_count FROM hit UNION ALL""") + """)
+SELECT al.rule_id, l.id, md5('规则名称: rule ' || al.rule_id || chr(10) || '规则类型: ' || kind || chr(10)
+  || '监控对象: ' || coalesce(target, 'null') || chr(10) || '监控字段: ' || coalesce(metric, 'null') || chr(10)
+  || '触发条件: ' || coalesce(metric, 'null') || ' ' || op || ' ' || want || chr(10)
+  || coalesce('实际值: ' || CASE WHEN stateless AND metric IS NOT NULL THEN h.actual_value END || chr(10), '') || chr(10) || '触发日志详情:' || chr(10)
+  || '时间: ' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST(CAST(floor(l.us / 1000) AS BIGINT) % 1000 AS VARCHAR), 3, '0') || chr(10)
+  || '级别: ' || level || chr(10) || '模块: ' || module || chr(10) || '消息: ' || message || chr(10)
+  || '响应时间: ' || CAST(response_time AS VARCHAR) || 'ms' || chr(10) || '用户: ' || user_name || ' (' || user_id || ')' || chr(10)) AS content_md5
+FROM al JOIN rl ON rl.rule_id = al.rule_id JOIN logs l ON l.id = al.id
+LEFT JOIN (SELECT rule_id, id, actual_value FROM hit) h ON h.rule_id = al.rule_id AND h.id = al.id""")
+def _(spark, folder):
+    """Texts of the hits of all rules."""
+    hits = rule_ops.detect(load_logs(spark, folder), rules_frame(spark))
+    return hits.select("rule_id", "id", F.md5(rule_ops.alert_content()).alias("content_md5"))
+
+
 @query("rule_hits_after_resets", BATCH_SQL.replace("m AS (", """rs AS (SELECT DISTINCT date_trunc('day', ts) AS t FROM logs WHERE module = 'mod_0' AND level = 'WARN'),
 m0 AS (""").replace("c AS (SELECT", """m AS (SELECT m0.rule_id, m0.w, m0.k || '#' || CAST(count(rs.t) FILTER (m0.rule_id = 20) AS VARCHAR) AS k, m0.id, m0.us
   FROM m0 JOIN logs l ON l.id = m0.id LEFT JOIN rs ON rs.t <= l.ts GROUP BY m0.rule_id, m0.w, m0.k, m0.id, m0.us),
@@ -173,6 +187,7 @@ def hits_frame(spark, folder) -> DataFrame:
             "allow_escalation": one,
             "enable_aggregation": F.lit(True),
             "actual_value": F.lit(None).cast("string"),
+            "metric_value": F.lit(None).cast("string"),
             "hit_count": F.lit(1).cast("bigint"),
         }
     )
