@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import paths
 from ..functions.numbers import percent
+from ..session import cut_lineage
 from . import spans, windows
 from .stats import is_error
 
@@ -135,25 +136,29 @@ def wanted_rules(rules: DataFrame, types=RULE_TYPES) -> DataFrame:
 def match_rules(logs: DataFrame, rules: DataFrame, types=RULE_TYPES) -> DataFrame:
     """Logs joined with the enabled rules of their system whose target they meet.
 
-    A log row looks under its keys: ``*``, its user, its address and, in systems with many rules that seek a text, all
-    parts of three characters of the fields they seek in. So the rules it is compared with are few even of thousands.
+    A log row looks under the keys that its system's rules have: ``*``, its user, its address and, where many rules seek a
+    text, all parts of three characters of the fields they seek in. So it is compared with few rules even of thousands.
     """
     wanted = wanted_rules(rules, types)
-    seeking = wanted.filter("startswith(_rule_key, 't')").select(
-        F.col("_rule_tenant").alias("_seek_tenant"), F.col("_rule_system").alias("_seek_system"), F.lit(True).alias("_seeks")
-    ).distinct()
-    own = (F.col("tenant_id") == F.col("_seek_tenant")) & (F.col("system_id") == F.col("_seek_system"))
+    kind = lambda letter: F.bool_or(F.startswith("_rule_key", F.lit(letter)))
+    kinds = wanted.groupBy(F.col("_rule_tenant").alias("_of_tenant"), F.col("_rule_system").alias("_of_system")).agg(
+        kind("*").alias("_plain"), kind("u").alias("_users"), kind("i").alias("_addresses"), kind("t").alias("_seeks")
+    )
+    own = (F.col("tenant_id") == F.col("_of_tenant")) & (F.col("system_id") == F.col("_of_system"))
     parts = ", ".join(_thirds(c) for c in ("request_url", "module", "operation"))
+    # only the keys that some rule of the system has
     keys = F.expr(
-        f"""explode(array_compact(concat(array('*', concat('u', user_id), concat('i', ip)),
+        f"""explode(array_compact(concat(
+            array(if(_plain, '*', NULL), if(_users, concat('u', user_id), NULL), if(_addresses, concat('i', ip), NULL)),
             if(_seeks, transform(array_distinct(concat({parts})), t -> concat('t', t)), CAST(array() AS ARRAY<STRING>)))))"""
     )
-    asked = logs.join(seeking, own, "left").withColumn("_seeks", F.coalesce("_seeks", F.lit(False))).withColumn("_key", keys)
+    asked = logs.join(kinds, own).withColumn("_key", keys)
     on = (
         (F.col("tenant_id") == F.col("_rule_tenant")) & (F.col("system_id") == F.col("_rule_system"))
         & (F.col("_key") == F.col("_rule_key")) & target_matches()
     )
-    return asked.join(wanted, on).drop("_rule_tenant", "_rule_system", "_rule_key", "_key", "_seek_tenant", "_seek_system", "_seeks")
+    helpers = ("_rule_tenant", "_rule_system", "_rule_key", "_key", "_of_tenant", "_of_system", "_plain", "_users", "_addresses", "_seeks")
+    return asked.join(wanted, on).drop(*helpers)
 
 
 def metric_value() -> Column:
@@ -245,12 +250,17 @@ def batch_operation_rows(logs: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Matched rows, stored: counting passes over them several times, matching is done once."""
+    return cut_lineage(rows)
+
+
 def batch_operation_hits(logs: DataFrame, rules: DataFrame, resets: DataFrame | None = None) -> DataFrame:
     """Every row at which the trailing count of its key meets the rule's condition.
 
     ``resets`` (``rule_id``, ``reset_time``) clear what a rule has counted so far.
     """
-    rows = batch_operation_rows(logs, rules)
+    rows = _once(batch_operation_rows(logs, rules))
     if resets is not None:
         rows = windows.restart_keys(rows, resets, "state_key")
     return _counted_hits(windows.trailing_count(rows, ["state_key"], F.col("window_seconds"), name="hit_count"))
@@ -268,7 +278,7 @@ def by_version(rows: DataFrame) -> DataFrame:
 
 def batch_operation_run(logs: DataFrame, rules: DataFrame, earlier: DataFrame | None, end) -> tuple[DataFrame, DataFrame]:
     """Hits of one run, and the rows to count in the next: those whose window reaches beyond ``end``."""
-    rows = by_version(batch_operation_rows(logs, rules)).withColumn("_earlier", F.lit(False))
+    rows = _once(by_version(batch_operation_rows(logs, rules))).withColumn("_earlier", F.lit(False))
     if earlier is not None:
         rows = rows.unionByName(earlier.withColumn("_earlier", F.lit(True)), allowMissingColumns=True)
     counted = windows.trailing_count(rows, ["state_key"], F.col("window_seconds"), name="hit_count")
@@ -310,7 +320,7 @@ def continuous_request_rows(logs: DataFrame, rules: DataFrame) -> DataFrame:
 def continuous_request_hits(logs: DataFrame, rules: DataFrame, resets: DataFrame | None = None) -> DataFrame:
     """Every row of a run whose length meets the rule's condition; the opposite outcome ends it,
     as do ``resets`` (``rule_id``, ``reset_time``)."""
-    rows = continuous_request_rows(logs, rules)
+    rows = _once(continuous_request_rows(logs, rules))
     if resets is not None:
         rows = windows.restart_keys(rows, resets, "state_key")
     return _run_hits(windows.run_length(rows, ["state_key"], F.col("extends_run"), name="hit_count"))
@@ -323,7 +333,7 @@ def _run_hits(counted: DataFrame) -> DataFrame:
 
 def continuous_request_run(logs: DataFrame, rules: DataFrame, earlier: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Hits of one run, and the open runs (with their lengths) to go on from in the next."""
-    rows = by_version(continuous_request_rows(logs, rules)).withColumns({"_earlier": F.lit(False), "_by": F.col("extends_run").cast("bigint")})
+    rows = _once(by_version(continuous_request_rows(logs, rules))).withColumns({"_earlier": F.lit(False), "_by": F.col("extends_run").cast("bigint")})
     if earlier is not None:
         before = earlier.select("state_key", "ts", F.col("length").alias("_by"), F.lit(True).alias("_earlier"))
         rows = rows.unionByName(before, allowMissingColumns=True)
