@@ -10,25 +10,36 @@ rounding), so results are exact whatever the pivots; scores are integer inner pr
 Pivots are chosen from a bounded sample; every vector is indexed. Queries that want an annulus are dealt out in
 bounded lots, so neither a popular annulus nor many queries meet in one task.
 
+The index holds vectors whose squared length is below 2^50, where doubles are exact. Longer ones, as vectors and as
+queries, are compared with all others block by block in whole numbers of any size. A score beyond 64 bits is null, but
+ranks where it belongs.
+
 Vectors that are null or empty, or hold null or non-finite components, and rows without an id take no part. Shorter
 vectors count as padded with zeros. Rows with a query's own id are not its candidates; repeated rows of an id
-give one query, and every row is a candidate. Components beyond 2^31 after scaling are refused. Extra columns are
-not read.
+give one query, and every row is a candidate. Extra columns are not read.
 """
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from logspark.llm.frames import runs, stored
+from logspark.llm.frames import exact, runs, stored
 
 INDEX = "id bigint, ints binary, norm double"
 
 
+#: Squared lengths below this are exact as doubles, and so are all scores between such vectors.
+LONGEST = 2**50
+
+
 def integers(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """Rows (id, ints, norm): the usable vectors as 32-bit integers, norm their squared length."""
+    """Rows (id, ints, norm): the usable vectors as integers, norm their squared length.
+
+    The integers are 32-bit ones; those of vectors too long for the index are decimal text, and their norm is null.
+    """
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -37,15 +48,21 @@ def integers(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> Da
                 if vector is None or not len(vector):
                     continue
                 x = np.asarray(vector, np.float64)
-                if np.isfinite(x).all():
-                    x = np.floor(scale * x)
-                    if np.abs(x).max() >= 2**31:
-                        raise ValueError("a component is too large for the integer index")
-                    out.append((name, x.astype(np.int32).tobytes(), float(x @ x)))
-            yield pd.DataFrame(out, columns=["id", "ints", "norm"])
+                if not np.isfinite(x).all():
+                    continue
+                if np.abs(x).max() < 2**24:
+                    whole = np.floor(scale * x)
+                    norm = float(whole @ whole)
+                    if norm < LONGEST and np.abs(whole).max() < 2**31:
+                        out.append((name, whole.astype(np.int32).tobytes(), norm))
+                        continue
+                ratios = (float(c).as_integer_ratio() for c in x)
+                out.append((name, ",".join(str(scale * n // d) for n, d in ratios).encode(), None))
+            yield pd.DataFrame(out, columns=["id", "ints", "norm"]).astype({"norm": "float64"})
 
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector"))
-    return rows.where("id IS NOT NULL AND vector IS NOT NULL").mapInPandas(convert, INDEX)
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    found = rows.where("id IS NOT NULL AND vector IS NOT NULL").mapInPandas(convert, INDEX)
+    return found.withColumn("norm", F.nanvl("norm", F.lit(None)))
 
 
 def grid(rows: pd.Series, width: int) -> np.ndarray:
@@ -70,8 +87,59 @@ def top_k(
     block_rows: int = 2048, first_blocks: int = 2, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each query its k highest scores, ties to the smaller vec_id."""
-    base = stored(integers(vectors, id_col, vector_col, scale))
-    wanted = stored(integers(queries, id_col, vector_col, scale).dropDuplicates(["id"]))
+    every = stored(integers(vectors, id_col, vector_col, scale))
+    asking = stored(integers(queries, id_col, vector_col, scale).dropDuplicates(["id"]))
+    base, wanted = every.where("norm IS NOT NULL"), asking.where("norm IS NOT NULL")
+    near = _indexed(base, wanted, k, pivots, sample, block_rows, first_blocks)
+    long_rows, long_asks = every.where("norm IS NULL"), asking.where("norm IS NULL")
+    if long_rows.isEmpty() and long_asks.isEmpty():
+        return near
+    parts = [near.select(F.col("query_id").alias("query"), F.col("vec_id").alias("id"), F.col("score").cast("string").alias("text"))]
+    parts += [_compared(asking, long_rows, k, block_rows), _compared(long_asks, base, k, block_rows)]
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("place", _place("text"))
+    order = Window.partitionBy("query").orderBy(F.desc("place"), "id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(
+        F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), F.col("text").try_cast("bigint").alias("score")
+    )
+
+
+def _place(text: str):
+    """A text that sorts like the whole number that it stands for."""
+    digits = F.regexp_replace(text, "^-", "")
+    length = F.length(digits)
+    up = F.concat(F.lit("1"), F.lpad(length.cast("string"), 9, "0"), digits)
+    down = F.concat(F.lit("0"), F.lpad((999_999_999 - length).cast("string"), 9, "0"), F.translate(digits, "0123456789", "9876543210"))
+    return F.when(F.startswith(text, F.lit("-")), down).otherwise(up)
+
+
+def _whole(ints: bytes, norm: float | None) -> list[int]:
+    return list(map(int, bytes(ints).decode().split(","))) if norm is None or norm != norm else np.frombuffer(ints, np.int32).tolist()
+
+
+def _compared(asks: DataFrame, rows: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """The k best of each block of rows for every query, in whole numbers of any size: (query, id, text)."""
+    blocks = max(1, -(-rows.count() // block_rows))
+    lots = max(1, -(-asks.count() // block_rows))
+    block, lot = F.pmod(F.xxhash64("id", "ints"), F.lit(blocks)), F.pmod(F.xxhash64("id"), F.lit(lots))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias(name)
+    left = asks.select("id", "ints", "norm", lot.alias("lot"), every(blocks, "block"))
+    right = rows.select("id", "ints", "norm", block.alias("block"), every(lots, "lot"))
+
+    def compare(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        vectors = [(i, _whole(x, n)) for i, x, n in zip(held["id"].tolist(), held["ints"], held["norm"].tolist())]
+        for query, ints, norm in zip(asked["id"].tolist(), asked["ints"], asked["norm"].tolist()):
+            q = _whole(ints, norm)
+            scores = [(-sum(a * b for a, b in zip(q, v)), i) for i, v in vectors if i != query]
+            out += [(query, i, str(-s)) for s, i in heapq.nsmallest(k, scores)]
+        return exact(out, ["query", "id", "text"])
+
+    return left.groupBy("block", "lot").cogroup(right.groupBy("block", "lot")).applyInPandas(compare, "query bigint, id bigint, text string")
+
+
+def _indexed(base: DataFrame, wanted: DataFrame, k: int, pivots: int, sample: int, block_rows: int, first_blocks: int) -> DataFrame:
+    """The search among vectors that the index holds."""
     spread = base.agg(F.max("norm").alias("norm"), F.max(F.octet_length("ints")).alias("bytes"))
     asked = wanted.agg(F.max(F.octet_length("ints")).alias("bytes")).first().bytes or 4
     most, widest = spread.first()
@@ -168,7 +236,7 @@ def _bounds(wanted: DataFrame, blocks: DataFrame, centres, width: int, most: flo
 
     away = wanted.mapInPandas(measure, "query bigint, pivot int, away double")
     least = F.greatest(F.lit(0.0), F.col("away") - F.col("high"), F.col("low") - F.col("away"))
-    return away.join(blocks, "pivot").select("query", "block", (least * (1 - 1e-9) - 1e-3).alias("least"))
+    return away.join(blocks, "pivot").select("query", "block", (least * (1 - 1e-9) - (1e-3 + 1e-7 * most**0.5)).alias("least"))
 
 
 def _visited(pairs: DataFrame, wanted: DataFrame, index: DataFrame, k: int, width: int, most: float, lot: int = 2048) -> DataFrame:

@@ -40,3 +40,20 @@ def test_few_rows(spark):
     got = topk.top_k(same, same.where("vec_id % 100 = 0"), k=3, block_rows=32).collect()
     assert {(r.query_id, r.rank, r.vec_id) for r in got} == {
         (q, n, i) for q in (0, 100, 200, 300) for n, i in enumerate([x for x in range(5) if x != q][:3], 1)}
+
+
+def test_large_components_are_exact(spark):
+    """Vectors beyond what doubles hold exactly, among others; scores beyond 64 bits rank where they belong."""
+    rng = np.random.default_rng(3)
+    big = [1.0, 3e3, 3e6, 1e9, 1e18, 1e300]
+    rows = [(i, [float(x) for x in rng.normal(size=3) * big[int(rng.integers(6)) if i % 3 else 0]]) for i in range(700)]
+    rows += [(1000, [3e6, 1.0, 0.0]), (1001, [3e6, 1.0, 0.0]), (1100, [-1e300, 1.0, 0.0]), (1200, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = {i: [1024 * n // d for n, d in (x.as_integer_ratio() for x in v)] for i, v in rows}
+    want = set()
+    for q in (i for i in ints if i % 100 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:10]
+        want |= {(q, n, i, -s if -(2**63) <= -s < 2**63 else None) for n, (s, i) in enumerate(scores, 1)}
+    got = topk.top_k(df, df.where("vec_id % 100 = 0"), k=10, pivots=4, block_rows=64).collect()
+    assert set(map(tuple, got)) == want and len(got) == len(want)
+    assert any(r.score is None for r in got)
