@@ -60,7 +60,7 @@ def mix(
     docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), times: int = 3, bucket_rows: int = 256,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", name: str = "mix",
 ) -> DataFrame:
-    """The documents with a struct: size, source_size, target, copies."""
+    """The documents with a struct: size, source_size, target, copies. A column of that name is replaced."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("bigint"), F.lit(0).cast("bigint"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     sized = docs.select(whole, F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
@@ -90,7 +90,7 @@ def mix(
     u = offset(F.col("source"))
     copies = (F.floor(position * share + u) - F.floor((position - 1) * share + u)).cast("bigint")
     return rows.select(
-        *[F.col(f"row.`{c}`") for c in docs.columns],
+        *[F.col(f"row.`{c}`") for c in docs.columns if c != name],
         F.struct("size", "source_size", "target", copies.alias("copies")).alias(name),
     )
 

@@ -46,3 +46,9 @@ def test_odd_rows(spark):
     assert mixing.mix(df.limit(0)).count() == 0
     empty = mixing.mix(spark.createDataFrame([(1, None, "a")], "doc_id long, text string, source string")).collect()
     assert (empty[0].mix.target, empty[0].mix["copies"]) == (0.0, 0)
+
+
+def test_a_column_of_the_result_name_is_replaced(spark):
+    df = spark.createDataFrame([(1, "x y", "a"), (2, "z", "b")], "doc_id long, text string, source string").withColumn("mix", F.lit("m"))
+    assert sorted(r.mix.size for r in mixing.mix(df).select("mix").collect()) == [1, 2]
+    assert {r.mix for r in mixing.repeated(df).collect()} == {"m"}
