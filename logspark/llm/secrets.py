@@ -1,12 +1,14 @@
 """Secret scans: base patterns, and probabilistic automata inferred from the credentials that they find.
 
 The base patterns mark credentials whose form is known. Those found in the corpus are labelled examples: of each
-kind a bounded number of distinct ones (smallest hashes first) becomes a prefix tree with counts, whose states are
-merged where their futures are statistically compatible (Hoeffding bound, merging in breadth-first order and
-folding the successors). The result is a probabilistic automaton of the credential format. Every other long run
-of credential characters in every text is then scored: the likelihood per character under the best automaton. A run
-that is as likely as held-out labelled credentials are, and likelier than under the automaton of the corpus's
-plain long runs, is added as a span of kind "format". Base spans always stay.
+kind a bounded number of distinct ones (smallest hashes first, whole values) becomes a prefix tree with counts, whose
+states are merged where their futures are statistically compatible (Hoeffding bound, merging in breadth-first order and
+folding the successors). The result is a probabilistic automaton of the credential format. Then all candidates are
+scored: every run of credential characters, in every text, that is as long as the shortest labelled example. A run that
+is as likely per character as held-out labelled credentials are, and likelier than as a plain run, is added as a span
+of kind "format". Plain runs are all those that fit no format: how often which character follows which two is counted
+over all distinct ones. A run that base spans cover in part is judged whole, and if it is no secret, by the parts that
+are left. Base spans always stay.
 
 Nulls and empty texts have no spans. Repeated rows are judged alike. Extra columns pass through. With no labelled
 credentials nothing is added.
@@ -14,8 +16,8 @@ credentials nothing is added.
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -31,7 +33,9 @@ KEYWORDS = ("passw", "secret", "token", "api")
 # a maximal run that is too short fails whole, so the lengths can stand in the patterns
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-LONG = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+#: The shortest value that a base pattern labels.
+SHORTEST = 12
 
 Span = tuple[int, int, int]
 
@@ -55,9 +59,25 @@ def secret_of(text: str, span: Span) -> str:
     return ASSIGN.match(text, start, end)[2] if kind == 0 else text[start:end]
 
 
-def other_runs(text: str | None, base: list[Span]) -> list[tuple[int, int]]:
-    """Long runs of credential characters that no base span touches."""
-    return [m.span() for m in LONG.finditer(text or "") if not any(s < m.end() and m.start() < e for s, _, e in base)]
+def candidates(text: str | None, base: list[Span], least: int = SHORTEST) -> list[list[tuple[int, int]]]:
+    """Runs of credential characters of a length from ``least`` on, each as the stretches to judge: the whole run, then
+    what base spans leave of it. Runs inside a base span have none."""
+    out, at = [], 0
+    for m in RUN.finditer(text or ""):
+        start, end = m.span()
+        while at < len(base) and base[at][2] <= start:
+            at += 1
+        if end - start < least:
+            continue
+        left, place, k = [], start, at
+        while k < len(base) and base[k][0] < end:
+            left.append((place, base[k][0]))
+            place = max(place, base[k][2])
+            k += 1
+        left = [(s, e) for s, e in [*left, (place, end)] if e > s]
+        if left:
+            out.append([(start, end), *[(s, e) for s, e in left if e - s >= least and e - s < end - start]])
+    return out
 
 
 class Automaton:
@@ -81,6 +101,16 @@ class Automaton:
         self.factor = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
 
+    def arrays(self) -> tuple[list, list, list]:
+        """The automaton as plain lists, to be sent."""
+        return self.next, self.count, self.ends
+
+    @classmethod
+    def of(cls, arrays: tuple[list, list, list]) -> "Automaton":
+        out = cls.__new__(cls)
+        out.next, out.count, out.ends = arrays
+        return out
+
     def _total(self, q: int) -> int:
         return self.ends[q] + sum(self.count[q].values())
 
@@ -147,54 +177,95 @@ class Automaton:
         return total / (len(text) + 1)
 
 
-@dataclass
+class PlainRuns:
+    """How often which character follows which two in plain runs; ends count as a character."""
+
+    def __init__(self, counts: dict[str, int]):
+        self.counts, self.totals = counts, {}
+        for three, n in counts.items():
+            self.totals[three[:2]] = self.totals.get(three[:2], 0) + n
+
+    @staticmethod
+    def steps(run: str) -> list[str]:
+        framed = f"  {run} "
+        return [framed[i : i + 3] for i in range(len(run) + 1)]
+
+    def score(self, run: str) -> float:
+        steps = self.steps(run)
+        return sum(math.log((self.counts.get(s, 0) + 0.01) / (self.totals.get(s[:2], 0) + 0.67)) for s in steps) / len(steps)
+
+
 class Formats:
-    """Automata with the least score that held-out credentials of the format reach, and one of plain runs."""
+    """Automata with the least score that held-out credentials of the format reach, and the counts of plain runs."""
 
-    automata: list[tuple[Automaton, float]]
-    plain: Automaton | None
+    def __init__(self, automata: list[tuple[Automaton, float]], plain: PlainRuns | None, least: int):
+        self.automata, self.plain, self.least = automata, plain, least
 
     @classmethod
-    def learn(cls, labelled: dict[str, list[str]], plain: list[str], quantile: float = 0.02) -> "Formats":
+    def learn(cls, labelled: dict[str, list[str]], quantile: float = 0.02) -> "Formats":
         automata = []
         for kind in sorted(labelled):
-            texts = sorted(labelled[kind])
-            learn, held = texts[::2], texts[1::2]
+            # in the order of their hashes: neighbours in alphabetic order would share prefixes with what was learned
+            learn, held = labelled[kind][::2], labelled[kind][1::2]
             if len(learn) >= 8 and held:
                 model = Automaton(learn)
                 scores = sorted(model.score(t) for t in held)
                 automata.append((model, scores[int(quantile * (len(scores) - 1))]))
-        # a run that fits a format may be a secret, so the plain automaton learns from the others
-        plain = [t for t in plain if all(model.score(t) < least for model, least in automata)]
-        return cls(automata, Automaton(plain) if plain else None)
+        return cls(automata, None, min((len(t) for texts in labelled.values() for t in texts), default=SHORTEST))
+
+    def arrays(self) -> tuple:
+        """All of it as plain numbers, texts, lists and dicts, so that tasks need no copy of this package to read it."""
+        return [(m.arrays(), least) for m, least in self.automata], self.plain and self.plain.counts, self.least
+
+    @classmethod
+    def of(cls, arrays: tuple) -> "Formats":
+        automata, plain, least = arrays
+        return cls([(Automaton.of(a), s) for a, s in automata], PlainRuns(plain) if plain else None, least)
+
+    def fit(self, text: str) -> float | None:
+        """The best score among the formats that the text fits."""
+        return max((s for s, least in ((m.score(text), least) for m, least in self.automata) if s >= least), default=None)
 
     def is_secret(self, text: str) -> bool:
-        fits = [s for s in ((m.score(text), least) for m, least in self.automata) if s[0] >= s[1]]
-        return bool(fits) and (self.plain is None or max(s for s, _ in fits) > self.plain.score(text))
+        best = self.fit(text)
+        return best is not None and (self.plain is None or best > self.plain.score(text))
 
 
 def scan(docs: DataFrame, text_col: str = "text", samples: int = 600, name: str = "secrets") -> DataFrame:
     """The documents with a struct: n_assign, n_access, n_hex, n_format, base, spans.
 
-    base and spans list kind:start:end in code points. samples bounds the labelled credentials of each kind, and the
-    plain runs, that the automata are learned from.
+    base and spans list kind:start:end in code points. samples bounds the labelled credentials of each kind that the
+    automata are learned from.
     """
     formats = learn(docs, text_col, samples)
-    broadcast = docs.sparkSession.sparkContext.broadcast(formats)
+    broadcast = docs.sparkSession.sparkContext.broadcast(formats.arrays())
     schema = "n_assign bigint, n_access bigint, n_hex bigint, n_format bigint, base string, spans string"
     return docs.withColumn(name, F.pandas_udf(_finder(broadcast), schema)(F.col(text_col)))
 
 
-def learn(docs: DataFrame, text_col: str, samples: int) -> Formats:
+def learn(docs: DataFrame, text_col: str, samples: int, characters: int = 200_000) -> Formats:
+    """Formats of the labelled credentials; of each kind at most so many, with at most so many characters together."""
     found = stored(
         docs.select(F.col(text_col).alias("text")).mapInPandas(_examples, "kind string, secret string")
         .groupBy("kind", "secret").count().select("kind", "secret")
     )
     order = F.xxhash64("secret"), F.col("secret")
-    taken = {k: [r.secret for r in found.where(F.col("kind") == k).orderBy(*order).limit(samples).collect()]
-             for k in (*KINDS[:3], "plain")}
-    plain = taken.pop("plain")
-    return Formats.learn(taken, plain)
+    labelled = {}
+    for kind in KINDS[:3]:
+        fits = found.where((F.col("kind") == kind) & (F.length("secret") <= characters // 8)).orderBy(*order).limit(samples)
+        labelled[kind], room = [], characters
+        for secret in (r.secret for r in fits.toLocalIterator()):
+            if len(secret) <= room:
+                labelled[kind].append(secret)
+                room -= len(secret)
+    formats = Formats.learn(labelled)
+    if formats.automata:
+        sent = docs.sparkSession.sparkContext.broadcast(formats.arrays())
+        steps = found.where("kind = 'plain'").select("secret").mapInPandas(_plain_steps(sent), "step string, n bigint")
+        # as many rows as there are triples of credential characters
+        counts = {r.step: r.n for r in steps.groupBy("step").agg(F.sum("n").alias("n")).collect()}
+        formats.plain = PlainRuns(counts) if counts else None
+    return formats
 
 
 def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,11 +274,23 @@ def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in batch["text"].array:
             if isinstance(text, str):
                 base = base_spans(text)
-                out.update((KINDS[span[1]], secret_of(text, span)[:256]) for span in base)
-                out.update(("plain", text[s : min(e, s + 256)]) for s, e in other_runs(text, base))
+                out.update((KINDS[span[1]], secret_of(text, span)) for span in base)
+                out.update(("plain", text[s:e]) for [(s, e), *_] in candidates(text, base) if not any(b < e and s < d for b, _, d in base))
         yield pd.DataFrame(sorted(out), columns=["kind", "secret"])
 
 
+def _plain_steps(formats):
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Formats.of(formats.value)
+        for batch in batches:
+            steps = Counter(
+                step for run in batch["secret"].array if len(run) >= model.least and model.fit(run) is None for step in PlainRuns.steps(run)
+            )
+            yield pd.DataFrame(list(steps.items()), columns=["step", "n"]).astype({"step": object, "n": "int64"})
+
+    return count
+
+
 def named(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
 
@@ -218,22 +301,27 @@ class Finder:
     def __init__(self, formats: Formats):
         self.formats, self.known = formats, {}
 
+    def is_secret(self, run: str) -> bool:
+        if run not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[run] = self.formats.is_secret(run)
+        return self.known[run]
+
     def __call__(self, text: str) -> tuple[list[Span], list[Span]]:
         base, more = base_spans(text), []
-        for start, end in other_runs(text, base):
-            run = text[start:end]
-            if run not in self.known:
-                if len(self.known) > 100_000:
-                    self.known.clear()
-                self.known[run] = self.formats.is_secret(run)
-            if self.known[run]:
-                more.append((start, 3, end))
+        if self.formats.automata:
+            for [(start, end), *rest] in candidates(text, base, self.formats.least):
+                if self.is_secret(text[start:end]):
+                    more.append((start, 3, end))
+                else:
+                    more += [(s, 3, e) for s, e in rest if self.is_secret(text[s:e])]
         return base, more
 
 
 def _finder(formats):
     def find(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        finder = Finder(formats.value)
+        finder = Finder(Formats.of(formats.value))
         for texts in parts:
             out = []
             for text in texts.array:
@@ -247,10 +335,10 @@ def _finder(formats):
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "<SECRET>", samples: int = 600) -> DataFrame:
     """The documents with the secret values replaced; texts without secrets stay as they are."""
-    formats = docs.sparkSession.sparkContext.broadcast(learn(docs, text_col, samples))
+    formats = docs.sparkSession.sparkContext.broadcast(learn(docs, text_col, samples).arrays())
 
     def replace(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        finder = Finder(formats.value)
+        finder = Finder(Formats.of(formats.value))
         for texts in parts:
             out = []
             for text in texts.array:

@@ -1,12 +1,17 @@
 import hashlib
+import os
+import pathlib
 import random
 import re
+import subprocess
+import sys
 
 import duckdb
 
 from logspark.llm import secrets as sc
 from logspark.llm.queries import QUERIES
 
+ROOT = pathlib.Path(__file__).resolve().parents[2]
 FOLDER = "/root/testdata/sf0.01"
 
 
@@ -33,6 +38,85 @@ def test_query_agrees_with_brute_force(spark):
         assert set(filter(None, listed.split(","))) <= set(r.spans.split(","))
 
 
+def brute_spans(text, formats):
+    """All spans, with no cursor over the base spans and no memory of runs."""
+    base = brute(text)
+    out = [(s, k, e) for s, k, e in base]
+    covered = {i for s, _, e in base for i in range(s, e)}
+    for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", text or ""):
+        free = [i for i in range(*m.span()) if i not in covered]
+        if len(m[0]) < formats.least or not free:
+            continue
+        if formats.is_secret(m[0]):
+            out.append((m.start(), 3, m.end()))
+            continue
+        pieces = []
+        for i in free:
+            if pieces and pieces[-1][1] == i:
+                pieces[-1][1] = i + 1
+            else:
+                pieces.append([i, i + 1])
+        out += [(s, 3, e) for s, e in pieces if formats.least <= e - s and formats.is_secret(text[s:e])]
+    return ",".join(f"{sc.KINDS[k]}:{s}:{e}" for s, k, e in sorted(out))
+
+
+def test_spans_of_given_documents_agree_with_brute_force(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    formats = sc.learn(docs, "text", 600)
+    assert formats.automata and formats.plain.counts
+    for r in sc.scan(docs).select("text", "secrets.spans").collect():
+        assert r.spans == brute_spans(r.text, formats)
+
+
+def random_key(rng, front, n, letters="ABCDEFGHJKLMNPQRSTUVWXYZ0123456789"):
+    return front + "".join(rng.choice(letters) for _ in range(n))
+
+
+def test_short_and_partly_covered_credentials(spark):
+    """Bare keys as short as labelled ones, and keys of which a base span marks a stretch in the middle."""
+    rng = random.Random(3)
+    short = [random_key(rng, "zk_", 11) for _ in range(50)]
+    mixed = [random_key(rng, "zk_", 4, "0123456789abcdef") + "0123456789abcdef0" + random_key(rng, "", 6) for _ in range(50)]
+    words = ["internationally", "notwithstanding", "straightforward", "responsibilities", "misunderstanding"]
+    labelled = [random_key(rng, "zk_", 11) for _ in range(400)]
+    long = [random_key(rng, "zk_", 4, "0123456789abcdef") + "0123456789abcdef0" + random_key(rng, "", 6) for _ in range(400)]
+    rows = [(i, f"token = {k} {rng.choice(words)}s {rng.choice(words)}") for i, k in enumerate(labelled + long)]
+    rows += [(1000 + i, f"see {k} there {rng.choice(words)}") for i, k in enumerate(short)]
+    rows += [(2000 + i, f"see {k} there") for i, k in enumerate(mixed)]
+    rows += [(3000, "x" * 300_000 + " " + short[0]), (3001, "token = " + "k" * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    formats = sc.learn(df, "text", 600)
+    texts = dict(rows)
+    got = {r.doc_id: r.spans for r in sc.scan(df).select("doc_id", "secrets.spans").collect()}
+    for i, spans in got.items():
+        if i < 3000:
+            assert spans == brute_spans(texts[i], formats)
+    assert sum(got[1000 + i] == f"format:4:{4 + len(k)}" for i, k in enumerate(short)) >= 48
+    assert sum(f"format:4:{4 + len(k)}" in got[2000 + i].split(",") for i, k in enumerate(mixed)) >= 48
+    clean = {r.doc_id: r.text for r in sc.redact(df).collect()}
+    assert sum(clean[2000 + i] == "see <SECRET> there" for i in range(50)) >= 48
+
+
+def test_workers_without_the_package(tmp_path):
+    """Tasks must not import the package: here neither the workers' path nor their folder leads to it."""
+    script = tmp_path / "run.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from logspark.session import local_session
+from logspark.llm import secrets
+spark = local_session(2, 2)
+rows = [(i, f"token = ghp_{{i:04d}}ABCDEFGH{{i % 7}} and some internationally") for i in range(60)]
+df = spark.createDataFrame(rows, "doc_id long, text string")
+assert secrets.scan(df).count() == 60
+assert all("<SECRET>" in r.text for r in secrets.redact(df).collect())
+print("done")
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert out.stdout.strip().endswith("done"), out.stderr[-2000:]
+
+
 def test_base_patterns_on_hard_texts():
     rng = random.Random(7)
     bits = ["token", "Secret", "API_KEY", "apikey", "passwd", "PASSWORD", ":", "=", " ", '"', "'", "abcdef012345", "deadbeef" * 3,
