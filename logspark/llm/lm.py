@@ -12,8 +12,11 @@ of all chunks, builds its trie (contexts, monotone pointers, successors, one-byt
 each chunk's bigrams by a search among the successors of their context; a bigram that the trie lacks is backed
 off. The shard sends back one partial sum per text of the chunk, and the chunk's sums are added up.
 
-Words are told apart by 64-bit hashes, successors within a context by 40 bits. Stored log-probabilities are
-rounded to a step of 1/32.
+A chunk sends a shard each successor and its unigram probability once, and for each bigram the gap to the successor
+before it in its context; texts that hold a bigram are sent as gaps as well.
+
+Words are told apart by 63-bit hashes, successors within a context by 40 bits. Stored log-probabilities are
+rounded to a step of 1/32, or a wider one in a shard with a probability below 10 ** -7.97.
 
 Nulls and empty texts have the end token only. Repeated rows count as often as they occur. Extra columns are not
 read.
@@ -31,7 +34,6 @@ from logspark.llm.ngram import SUCCESSOR_BITS, EliasFano, Trie
 from logspark.llm.words import mixed, spaced
 
 END = b" "  # no word holds a space
-STEP = 32
 #: Unigram log-probabilities travel in steps of 1 / PART.
 PART = 128
 
@@ -52,10 +54,10 @@ def is_held_out(id_column: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
 
-def pack(*arrays) -> bytes:
+def pack(*arrays, level: int = 1) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(arrays, protocol=5))
 
 
 def unpack(data: bytes):
@@ -74,9 +76,31 @@ def unpacked_set(data: bytes) -> np.ndarray:
     return sequence[np.arange(sequence.n)] if sequence.n else np.zeros(0, np.uint64)
 
 
-def planes(x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Numbers below 2**24 by bytes, which compress better apart."""
-    return tuple((x >> shift & 255).astype(np.uint8) for shift in (0, 8, 16))
+def planes(x: np.ndarray) -> list[np.ndarray]:
+    """Numbers by bytes, which compress better apart; as many bytes as the largest number needs."""
+    size = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return [(x >> 8 * k & 255).astype(np.uint8) for k in range(size)]
+
+
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    out = parts[0].astype(np.int64)
+    for k, part in enumerate(parts[1:], 1):
+        out |= part.astype(np.int64) << 8 * k
+    return out
+
+
+def gaps(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Differences to the number before; numbers at ``first`` stay, where an ascending stretch begins."""
+    out = np.diff(x, prepend=0)
+    out[first] = x[first]
+    return out
+
+
+def from_gaps(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of stretches of the given sizes."""
+    total = np.cumsum(x)
+    first = np.cumsum(sizes) - sizes
+    return total - np.repeat(total[first] - x[first], sizes)
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
@@ -96,7 +120,7 @@ def scores(
     bits = int(kinds // range_words).bit_length()
     ranges = chunks.select("chunk", "words", "counts").mapInPandas(_ranged(bits), "part int, chunk bigint, words binary, counts binary")
     counted = stored(
-        ranges.repartition(1 << bits, "part").sortWithinPartitions("part", "chunk")
+        ranges.repartitionById(1 << bits, "part").sortWithinPartitions("part", "chunk")
         .mapInPandas(_counted, "chunk bigint, part int, counts binary, n bigint, v bigint")
     )
     n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
@@ -106,7 +130,7 @@ def scores(
     parts = counted.select("chunk", "part", none.alias("texts"), none.alias("words"), "counts")
     meeting = whole.unionByName(parts).repartition("chunk").sortWithinPartitions("chunk", "part")
     dealt = meeting.mapInPandas(_dealer(n, v, shards, hot), "shard bigint, chunk bigint, data binary")
-    answered = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "chunk").mapInPandas(
+    answered = dealt.repartitionById(shards, F.pmod("shard", F.lit(shards)).cast("int")).sortWithinPartitions("shard", "chunk").mapInPandas(
         _answerer(prior), "chunk bigint, kind int, data binary")
     summed = answered.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInPandas(
         _summer, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
@@ -128,7 +152,7 @@ def _chunker(most: int):
         number_of[by_use] = np.arange(len(order))
         sizes = np.array(sizes)
         counts = np.bincount(local[np.repeat(~np.array(held), sizes)], minlength=len(order))
-        texts = pack(ids, np.array(held), narrow(sizes), narrow(seen), *planes(number_of[local]))
+        texts = pack(ids, np.array(held), narrow(sizes), narrow(seen), planes(number_of[local]))
         return number, int(sizes.sum()), len(order), texts, packed_set(hashes[order]), pack(narrow(counts))
 
     def chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,9 +228,9 @@ def _dealer(n: int, v: int, shards: int, hot: int):
             yield from finish(int(group["chunk"].iloc[0]), group["texts"].iloc[0], group["words"].iloc[0], list(group["counts"].iloc[1:]))
 
     def finish(number: int, texts: bytes, words: bytes, counts: list[bytes]) -> Iterator[pd.DataFrame]:
-        ids, held, sizes, seen, *bytes_of = unpack(texts)
+        ids, held, sizes, seen, numbers = unpack(texts)
         by_use = np.argsort(-seen.astype(np.int64), kind="stable")
-        local = by_use[sum(part.astype(np.int64) << (8 * k) for k, part in enumerate(bytes_of))]
+        local = by_use[joined(numbers)]
         hashes = unpacked_set(words)
         count = np.concatenate([unpack(c)[0].astype(np.int64) for c in counts])
         sizes, local = sizes.astype(np.int64), local.astype(np.int64)
@@ -240,11 +264,14 @@ def _dealer(n: int, v: int, shards: int, hot: int):
         for begin, end in zip(cuts[:-1], cuts[1:]):
             own = order[begin:end]
             edge = np.flatnonzero(np.concatenate([[True], u[own][1:] != u[own][:-1]]))
-            spread = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(entries[own])[:-1]]), entries[own]) + np.arange(entries[own].sum())
+            inside = np.cumsum(entries[own]) - entries[own]
+            spread = np.repeat(starts[own] - inside, entries[own]) + np.arange(entries[own].sum())
+            used, at = np.unique(w[own], return_inverse=True)
             yield pd.DataFrame([(int(shard[own[0]]), number, pack(
                 np.packbits(held), len(held), packed_set(context[own][edge]), narrow(np.diff(np.append(edge, len(own)))), narrow(context_count[own][edge]),
-                successor[own].view(np.uint8).reshape(-1, 8)[:, : SUCCESSOR_BITS // 8].copy(), np.clip(np.rint(-log_p[w[own]] * PART), 0, 65535).astype(np.uint16),
-                narrow(entries[own]), narrow(doc[spread]), narrow(times[spread])))], columns=names)
+                packed_set(hashes[used] >> (_LOST - np.uint64(1))), planes(np.clip(np.rint(-log_p[used] * PART), 0, 65535).astype(np.int64)),
+                planes(gaps(at.astype(np.int64), edge)), narrow(entries[own]), planes(gaps(doc[spread], inside)), narrow(times[spread]), level=3,
+            ))], columns=names)
 
     return deal
 
@@ -253,15 +280,14 @@ class Request:
     """A chunk's bigrams of one shard."""
 
     def __init__(self, data: bytes):
-        (held, texts, contexts, fanout, context_count, successors, log_p, entries, doc, times) = unpack(data)
+        (held, texts, contexts, fanout, context_count, used, log_p, at, entries, doc, times) = unpack(data)
         self.contexts = unpacked_set(contexts)
         self.held = np.unpackbits(held)[:texts].astype(bool)
         self.fanout, self.context_count = fanout.astype(np.int64), context_count.astype(np.int64)
-        wide = np.zeros((len(successors), 8), np.uint8)
-        wide[:, : SUCCESSOR_BITS // 8] = successors
-        self.successors = wide.view("<u8").ravel()
-        self.entries, self.doc, self.times = entries.astype(np.int64), doc.astype(np.int64), times.astype(np.int64)
-        self.log_p = log_p / -float(PART)
+        place = from_gaps(joined(at), self.fanout)
+        self.successors, self.log_p = unpacked_set(used)[place], joined(log_p)[place] / -float(PART)
+        self.entries, self.times = entries.astype(np.int64), times.astype(np.int64)
+        self.doc = from_gaps(joined(doc), self.entries)
 
     def training_counts(self) -> np.ndarray:
         at = np.repeat(np.arange(len(self.entries)), self.entries)
@@ -282,15 +308,14 @@ def build(requests: list[Request], prior: float) -> Trie:
     context, successor, of, log_p = context[first], successor[first], of[order][first], log_p[order][first]
     edge = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
     log = np.log10((count + prior * 10**log_p) / (of + prior))
-    values = np.clip(np.rint(-log * STEP), 0, 255)
-    return Trie(np.frombuffer(Trie.encode(context[edge], np.diff(np.append(edge, len(context))), successor, values), np.uint8))
+    return Trie(np.frombuffer(Trie.encode(context[edge], np.diff(np.append(edge, len(context))), successor, -log), np.uint8))
 
 
 def answer(request: Request, trie: Trie, prior: float) -> np.ndarray:
     """The summed log-probability of the request's bigrams for each text of the chunk."""
     hit, value = trie.look_up(request.contexts, request.fanout, request.successors)
     backed_off = np.repeat(np.log10(prior / (request.context_count + prior)), request.fanout) + request.log_p
-    log = np.where(hit, value / -float(STEP), backed_off)
+    log = np.where(hit, -value, backed_off)
     return np.bincount(request.doc, np.repeat(log, request.entries) * request.times, len(request.held))
 
 

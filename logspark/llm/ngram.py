@@ -4,7 +4,8 @@ Level one holds the contexts, level two the successors of all contexts. Both are
 (contexts by hash; successors by context rank, then hash), and so are the pointers from contexts to their
 successors. An Elias-Fano sequence keeps the low bits of its n values packed and the high bits in unary in a bit
 vector of about 2n bits; zeros of that vector bound the values that share their high bits, so the successor of a
-value is found within one such bucket. Probabilities are one byte each, a step on a logarithmic scale.
+value is found within one such bucket. Probabilities are one byte each, a number of steps on a logarithmic scale; the
+step is chosen so that the least probability of the trie still has its place, and stands in front of the levels.
 
 All parts lie one after the other in one buffer; a trie is opened on a buffer or a memory-mapped file without
 copying. Every query works on whole arrays.
@@ -120,32 +121,37 @@ class Trie:
     """Contexts (63-bit hashes), their successors (40-bit hashes), and one byte for each successor."""
 
     def __init__(self, data: np.ndarray):
-        self.contexts, rest = EliasFano.view(data)
+        (self.step,) = struct.unpack("<d", data[:8].tobytes())
+        self.contexts, rest = EliasFano.view(data[8:])
         self.pointers, rest = EliasFano.view(rest)
         self.successors, rest = EliasFano.view(rest)
         self.values = rest[: self.successors.n]
 
     @staticmethod
-    def encode(contexts: np.ndarray, fanout: np.ndarray, successors: np.ndarray, values: np.ndarray) -> bytes:
-        """Contexts ascending, with the number of their successors; successors ascending within each context."""
+    def encode(contexts: np.ndarray, fanout: np.ndarray, successors: np.ndarray, values: np.ndarray, finest: float = 1 / 32) -> bytes:
+        """Contexts ascending, with the number of their successors; successors ascending within each context.
+
+        Values from 0 on are kept in steps of ``finest``, or wider ones if the largest value needs them.
+        """
+        step = max(finest, float(values.max(initial=0)) / 255)
         rank = np.repeat(np.arange(len(contexts), dtype=np.uint64), fanout)
         pointers = np.concatenate([[0], np.cumsum(fanout)]).astype(np.uint64)
         relative = (rank << np.uint64(SUCCESSOR_BITS)) | successors
         parts = (EliasFano.encode(contexts), EliasFano.encode(pointers), EliasFano.encode(relative))
-        return b"".join(parts) + values.astype(np.uint8).tobytes()
+        return struct.pack("<d", step) + b"".join(parts) + np.clip(np.rint(values / step), 0, 255).astype(np.uint8).tobytes()
 
     @classmethod
     def open(cls, path: str) -> "Trie":
         return cls(np.memmap(path, np.uint8, "r"))
 
     def look_up(self, contexts: np.ndarray, fanout: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For the successors of each context: whether the trie has them, and their bytes."""
+        """For the successors of each context: whether the trie has them, and their values."""
         rank = self.contexts.find(contexts)
         known = rank < self.contexts.n
         known[known] = self.contexts[rank[known]] == contexts[known]
         rank, known = np.repeat(rank, fanout), np.repeat(known, fanout)
         hit = np.zeros(len(successors), bool)
-        out = np.zeros(len(successors), np.uint8)
+        out = np.zeros(len(successors))
         at = np.flatnonzero(known)
         if len(at):
             want = (rank[at].astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successors[at]
@@ -154,5 +160,5 @@ class Trie:
             same = np.zeros(len(at), bool)
             same[inside] = self.successors[place[inside]] == want[inside]
             hit[at[same]] = True
-            out[at[same]] = self.values[place[same]]
+            out[at[same]] = self.values[place[same]] * self.step
         return hit, out

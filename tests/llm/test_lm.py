@@ -82,3 +82,19 @@ def test_odd_rows(spark):
     assert lm.scores(df.limit(0), lm.is_held_out(F.col("doc_id"))).count() == 0
     none = lm.scores(df, F.lit(True)).collect()
     assert {r.train_tokens for r in none} == {0} and all(r.n_known == 0 and r.score == r.base_score == 0 for r in none)
+
+
+def test_numbers_by_bytes_and_gaps():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for top in (1, 255, 256, 2**24, 2**24 + 5, 2**40):
+        x = rng.integers(0, top + 1, 1000)
+        x[0] = top
+        assert (lm.joined(lm.planes(x)) == x).all()
+    sizes = rng.integers(1, 9, 200)
+    x = np.concatenate([np.sort(rng.integers(0, 2**30, n)) for n in sizes])
+    first = np.cumsum(sizes) - sizes
+    assert (lm.from_gaps(lm.gaps(x, first), sizes) == x).all()
+    none = np.zeros(0, np.int64)
+    assert len(lm.from_gaps(lm.joined(lm.planes(none)), none)) == 0 == len(lm.gaps(none, none))
