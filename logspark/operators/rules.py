@@ -111,24 +111,31 @@ def _dispatch() -> Column:
     )
 
 
+def worked_out(rules: DataFrame) -> DataFrame:
+    """Adds all that follows from a rule alone: where its paths lead, its operator's signs, its pattern if it compiles."""
+    whole = "concat('^(?:', condition_value, ')$')"
+    compiles = f"try_reflect('java.util.regex.Pattern', 'matches', {whole}, '') IS NOT NULL"
+    return rules.withColumns({"_metric_path": metric_path(), "_target_path": target_path()}).withColumns(
+        {
+            "_metric": F.expr(paths.place_sql("_metric_path")),
+            "_target": F.expr(paths.place_sql("_target_path")),
+            "_signs": F.expr(_SIGNS),
+            "_pattern": F.expr(f"CASE WHEN condition_operator = 'matches' AND {compiles} THEN {whole} END"),
+        }
+    ).drop("_metric_path")
+
+
 def wanted_rules(rules: DataFrame, types=RULE_TYPES) -> DataFrame:
-    """Enabled rules of the types, with all that can be worked out once a rule: where their paths lead, their operator's
-    signs, their pattern if it compiles, and the key that log rows find them by. No rule is looked at by the driver."""
+    """Enabled rules of the types, worked out, with the key that log rows find them by. No rule is looked at by the driver."""
     per_system = W.partitionBy("tenant_id", "system_id")
-    whole = "concat('^(?:', condition_value, ')$')"
     return (
-        rules.filter((F.col("status") == 1) & F.col("rule_type").isin(*types))
-        .withColumns({"_metric_path": metric_path(), "_target_path": target_path(), "_sought": _sought()})
+        worked_out(rules.filter((F.col("status") == 1) & F.col("rule_type").isin(*types)))
+        .withColumn("_sought", _sought())
         .withColumn("_seeking", F.count_if(F.length("_sought") >= 3).over(per_system))
         .select(
             F.col("id").alias("rule_id"), F.col("tenant_id").alias("_rule_tenant"), F.col("system_id").alias("_rule_system"),
-            *RULE_FIELDS, F.col("update_time").alias("rule_version"),
-            F.expr(paths.place_sql("_metric_path")).alias("_metric"), F.expr(paths.place_sql("_target_path")).alias("_target"),
-            "_target_path",
-            F.expr(_SIGNS).alias("_signs"), _dispatch().alias("_rule_key"),
-            F.expr(
-                f"CASE WHEN condition_operator = 'matches' AND try_reflect('java.util.regex.Pattern', 'matches', {whole}, '') IS NOT NULL THEN {whole} END"
-            ).alias("_pattern"),
+            *RULE_FIELDS, F.col("update_time").alias("rule_version"), "_metric", "_target", "_target_path", "_signs", "_pattern",
+            _dispatch().alias("_rule_key"),
         )
     )
 
@@ -233,11 +240,14 @@ def _state_key(kinds: tuple[str, ...], url: bool) -> Column:
 
 def batch_operation_rows(logs: DataFrame, rules: DataFrame) -> DataFrame:
     """Matched rows of BATCH_OPERATION rules with state key, threshold and window seconds."""
+    return as_batch_operations(match_rules(logs, rules, ("BATCH_OPERATION",)))
+
+
+def as_batch_operations(matched: DataFrame) -> DataFrame:
     parts = F.split("condition_value", ":")
     key = _state_key(tuple(p for p, *_ in DIMENSIONS), url=False)
     return (
-        match_rules(logs, rules, ("BATCH_OPERATION",))
-        .withColumns(
+        matched.withColumns(
             {
                 "state_key": key,
                 "metric_value": metric_value(),
@@ -301,10 +311,14 @@ def run_event() -> Column:
 
 
 def continuous_request_rows(logs: DataFrame, rules: DataFrame) -> DataFrame:
+    """Matched rows of CONTINUOUS_REQUEST rules with state key, threshold and whether they extend a run."""
+    return as_continuous_requests(match_rules(logs, rules, ("CONTINUOUS_REQUEST",)))
+
+
+def as_continuous_requests(matched: DataFrame) -> DataFrame:
     key = _state_key(("module:", "userId:"), url=True)
     return (
-        match_rules(logs, rules, ("CONTINUOUS_REQUEST",))
-        .withColumns(
+        matched.withColumns(
             {
                 "state_key": key,
                 "metric_value": metric_value(),

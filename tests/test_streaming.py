@@ -2,14 +2,16 @@ import datetime as dt
 import json
 import os
 import pathlib
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from logspark.operators import ingest, rules as rule_ops, silence, stats
 from logspark.plans.alert_queries import hits_frame, rules_frame
 from logspark.plans.ingest_queries import raw_lines
-from logspark.schema import JSON_OPTIONS
+from logspark.schema import JSON_OPTIONS, RULE_SCHEMA
 from logspark.sources import logs as store
 from logspark.sources.events import load_logs
 from logspark.sources.stream_table import StreamTable
@@ -199,6 +201,121 @@ def test_stateful_rules_equal_batch(spark, tmp_path, kind):
     assert got == take(batch_hits(logs, rules)) and got
 
 
+class _Value:
+    def __init__(self):
+        self.value = None
+
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class _Map(dict):
+    """State of a key in memory, which counts what is read."""
+
+    read = 0
+
+    def getValue(self, key):
+        self.read += len(self[key][0])
+        return self[key]
+
+    updateValue = dict.__setitem__
+    removeKey = dict.__delitem__
+
+
+class _Handle:
+    getValueState = lambda self, *_: _Value()
+    getMapState = lambda self, *_: _Map()
+    registerTimer = deleteTimer = lambda self, *_: None
+
+
+class _Watermark:
+    def __init__(self, us):
+        self.us = us
+
+    def getCurrentWatermarkInMs(self):
+        return self.us // 1000
+
+
+def counted_in_batches(batches, window_us, late=0):
+    counter, out = detect.TrailingCount(), []
+    counter.init(_Handle())
+    for batch in batches:
+        frame = pd.DataFrame({"us": batch, "tie": [""] * len(batch), "window_us": window_us, "payload": [""] * len(batch)})
+        seen = max([us for b in batches[: len(out)] for us in b], default=0) - late
+        [result] = counter.handleInputRows(("k",), iter([frame]), _Watermark(max(0, seen)))
+        out.append(result["hit_count"].tolist())
+    return counter, out
+
+
+@pytest.mark.parametrize("seed,window,late", [(1, 1_000_000, 0), (2, 500, 0), (3, 100_000, 90_000), (4, 7, 3)])
+def test_ring_counts_equal_plain_counts(seed, window, late):
+    rnd = random.Random(seed)
+    now, seen, batches, want = 10**9, [], [], []
+    for _ in range(60):
+        batch = []
+        for _ in range(rnd.randrange(1, 12)):
+            now += rnd.choice([0, 1, 3, 1000, 50_000])
+            batch.append(now - (rnd.randrange(late) if late and rnd.random() < 0.3 else 0))
+        counts = []
+        for us in sorted(batch):
+            seen.append(us)
+            counts.append(sum(us - window <= u <= us for u in seen))
+        batches.append(batch)
+        want.append(counts)
+    assert counted_in_batches(batches, window, late * 20)[1] == want
+
+
+def test_work_of_a_batch_does_not_grow_with_the_window():
+    read = {}
+    for per_batch in (10, 10_000):
+        batches = [[10**12 + 1000 * i for i in range(k * per_batch, (k + 1) * per_batch)] for k in range(40)]
+        window = 1000 * per_batch * 20
+        counter, counts = counted_in_batches(batches, window)
+        assert counts[-1][-1] == per_batch * 20 + 1
+        before = counter.times.read
+        counter.handleInputRows(("k",), iter([pd.DataFrame({"us": [batches[-1][-1] + 1000], "tie": "", "window_us": window, "payload": ""})]), None).__next__()
+        read[per_batch] = (counter.times.read - before) / 8
+        assert len(counter.times) < 3 * detect.TrailingCount.slots
+    # one more row reads the times of the slots on the edges, not the window's 200,000
+    assert read[10_000] <= 2 * 10_000 * 20 / detect.TrailingCount.slots + 2
+
+
+@pytest.mark.parametrize("kind", ["batch", "continuous"])
+def test_edited_rules_take_effect_without_a_restart(spark, tmp_path, kind):
+    """Rules come as a stream of changes: an edit, a new rule and a disabled one, while the query runs."""
+    logs = load_logs(spark, FOLDER).drop("log_date")
+    at = lambda day: F.lit(f"2023-01-0{day} 00:00:00").cast("timestamp")
+    first = rules_frame(spark).filter("id in (20, 21, 30, 32)").withColumn("update_time", at(1))
+    edit = rules_frame(spark).filter("id in (20, 21, 22, 30, 31, 32)").withColumn("update_time", at(2)).withColumns(
+        {"condition_value": F.expr("CASE id WHEN 20 THEN '1:86400' WHEN 30 THEN '1' ELSE condition_value END"),
+         "status": F.expr("CASE WHEN id IN (21, 32) THEN 0 ELSE status END")})
+    late = first.filter("id in (21, 32)")  # an older version, delivered late, revives nothing
+    source = str(tmp_path / "rules")
+    os.makedirs(source)
+    for k, df in enumerate((first, edit, late)):
+        file = pathlib.Path(source) / f"{k}.json"
+        file.write_text("\n".join(r.j for r in df.select(F.to_json(F.struct("*"), JSON_OPTIONS).alias("j")).collect()))
+        os.utime(file, (1_700_000_000 + k,) * 2)
+    changes = spark.readStream.schema(RULE_SCHEMA).options(**JSON_OPTIONS).option("maxFilesPerTrigger", 1).json(source)
+    live_hits = {"batch": detect.batch_operation_stream, "continuous": detect.continuous_request_stream}[kind]
+    batch_hits = {"batch": rule_ops.batch_operation_hits, "continuous": rule_ops.continuous_request_hits}[kind]
+    stream = live_hits(stream_of(spark, logs, str(tmp_path / "in"), 4), changes, delay="60 days")
+    take = lambda *dfs: sorted(tuple(r) for df in dfs for r in df.select("rule_id", "id", "hit_count", "message").collect())
+    got = take(results(stream, f"edited_{kind}", tmp_path))
+    # the first of four files meets the first rules, the others the edited ones; an edit starts a rule's counts anew
+    ids = [r.id for r in logs.orderBy("ts", "id").select("id").limit(250).collect()]
+    old = logs.filter(F.col("id").isin(*ids))
+    new = logs.filter(~F.col("id").isin(*ids))
+    want = take(batch_hits(old, first), batch_hits(new, edit))
+    assert got == want and {r[0] for r in got} >= ({20, 22} if kind == "batch" else {30})
+
+
 def test_silence_stream_equals_batch(spark, tmp_path):
     hits = hits_frame(spark, FOLDER).drop("log_date")
     stream = silence_input = stream_of(spark, hits, str(tmp_path / "in"))
