@@ -39,30 +39,57 @@ def swaps(term: str) -> list[str]:
     return sorted(out - {term})
 
 
+def is_near(word: Column, term: str) -> Column:
+    """Does the word lie within the distance allowed for the term? A swap of two neighbours is one edit."""
+    k = fuzziness(term)
+    if k == 0:
+        return word == term
+    swapped = word.isin(*swaps(term))
+    if k == 2:
+        # a swap and one more edit; two swaps that do not touch are covered from either one
+        for other in swaps(term):
+            swapped = swapped | (F.levenshtein(word, F.lit(other), 1) >= 0) | word.isin(*swaps(other))
+    # a swap is two plain edits, so one bounded comparison settles most words
+    by_swaps = (F.levenshtein(word, F.lit(term), 2 * k) > k) & swapped
+    close = (F.levenshtein(word, F.lit(term), k) >= 0) | by_swaps
+    return F.length(word).between(len(term) - k, len(term) + k) & close
+
+
 def matches_fuzzy(text: Column, terms: list[str]) -> Column:
-    """True if any word of the text lies within the allowed distance of any term; a swap is one edit."""
+    """True if any word of the text lies within the allowed distance of any term."""
 
     def near(word: Column) -> Column:
         hit = F.lit(False)
         for term in terms:
-            k = fuzziness(term)
-            if k == 0:
-                hit = hit | (word == term)
-                continue
-            # the length test is cheap and settles most words
-            close = F.levenshtein(word, F.lit(term), k) >= 0
-            if k == 1:
-                close = close | word.isin(*swaps(term))
-            else:
-                # a swap and one more edit; two swaps that do not touch are covered from either one
-                for other in swaps(term):
-                    close = close | (F.levenshtein(word, F.lit(other), 1) >= 0) | word.isin(*swaps(other))
-            hit = hit | (F.length(word).between(len(term) - k, len(term) + k) & close)
+            hit = hit | is_near(word, term)
         return hit
 
     return F.exists(tokens(text), near)
 
 
+#: Letters at the start of a word whose deletions are indexed.
+PREFIX = 7
+
+
+def deletions(word: str, most: int = 2) -> list[str]:
+    """What is left of the start of a word after up to so many deletions; words within that distance share one."""
+    found, last = {word[:PREFIX]}, {word[:PREFIX]}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        found |= last
+    return sorted(found)
+
+
+def deletions_of(word: Column) -> Column:
+    """The same for a column of words, with two deletions."""
+    start = F.substring(word, 1, PREFIX)
+    less = lambda w: F.transform(
+        F.filter(F.sequence(F.lit(0), F.length(w)), lambda i: i > 0), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.lit(PREFIX)))
+    )
+    once = less(start)
+    return F.array_distinct(F.concat(F.array(start), once, F.flatten(F.transform(once, less))))
+
+
 def matches_any(text: Column, terms: list[str]) -> Column:
     return F.arrays_overlap(tokens(text), F.array(*[F.lit(t) for t in terms]))
 

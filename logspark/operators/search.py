@@ -1,6 +1,6 @@
 """Search over log tables: filters, keyword match, sorting and paging."""
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, functions as F
@@ -73,6 +73,9 @@ class LogQuery:
             raise ValueError("sort order must be asc or desc")
         return self
 
+    def without_keyword(self) -> "LogQuery":
+        return replace(self.check(), keyword=None)
+
 
 def keyword_terms(keyword: str) -> list[str]:
     """Cleaned lower-case words of a keyword; runs on the request, not on data."""

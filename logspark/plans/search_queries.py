@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import admission, dims, search, windows
 from ..operators.search import LogQuery
+from ..session import cut_lineage
+from ..sources import lookups
 from ..sources.events import load_logs, read_table, systems_from_suppliers
 from .registry import (
     AS_OF, LOGS, LOGS_AND_SYSTEMS, SHARED_LOGS_AND_SYSTEMS, query, shared_logs, shared_systems, systems_frame,
@@ -33,12 +35,26 @@ def _(spark, folder):
     return search.search(load_logs(spark, folder), q).select(*SHORT, "request_url", "request_method", "tags")
 
 
-@query("keyword_search_fuzzy", LOGS + """
+FUZZY_SQL = LOGS + """
 SELECT id, message FROM logs WHERE len(list_filter(regexp_split_to_array(lower(message), '[^\\p{L}\\p{N}_]+'),
-  lambda t: levenshtein(t, 'purchese') <= 2 OR levenshtein(t, 'uzer7') <= 1 OR t = '77')) > 0""")
+  lambda t: levenshtein(t, 'purchese') <= 2 OR levenshtein(t, 'uzer7') <= 1 OR t = '77')) > 0"""
+FUZZY_KEYWORD = '"purchese" uzer7 (77)'
+
+
+@query("keyword_search_fuzzy", FUZZY_SQL)
+def _(spark, folder):
+    return search.search(load_logs(spark, folder), LogQuery(keyword=FUZZY_KEYWORD)).select("id", "message")
+
+
+@query("keyword_search_by_dictionary", FUZZY_SQL)
 def _(spark, folder):
-    q = LogQuery(keyword='"purchese" uzer7 (77)')
-    return search.search(load_logs(spark, folder), q).select("id", "message")
+    """The same search through a dictionary of the words of all logs: each word is compared once."""
+    logs = load_logs(spark, folder)
+    places = cut_lineage(lookups.word_rows(logs))
+    near = places.select("word").distinct().withColumn("deletion", F.explode(text.deletions_of(F.col("word"))))
+    words = cut_lineage(lookups.near_words(near, search.keyword_terms(FUZZY_KEYWORD)))
+    found = lookups.with_words(lookups.in_partitions(logs, places.join(words, "word", "left_semi")), words)
+    return found.select("id", "message")
 
 
 @query("keyword_search_exact", """

@@ -10,6 +10,8 @@ from .stream_table import StreamTable
 
 TABLE_DDL = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in LOG_SCHEMA.fields], "log_date DATE"])
 SHEET_ROWS = 1_000_000
+# A file tells by its bloom filter that it does not hold a trace, without its rows being read.
+TRACE_FILTER = {"parquet.bloom.filter.enabled#trace_id": "true", "parquet.bloom.filter.expected.ndv#trace_id": "1000000"}
 # Columns of the tabular export, in order.
 SHEET_COLUMNS = (
     "id", "trace_id", "tenant_id", "system_id", "ts", "level", "module", "operation",
@@ -76,6 +78,7 @@ def write_logs(df: DataFrame, path: str, mode: str = "append", max_records_per_f
         .sortWithinPartitions(*PARTITION_COLUMNS, "ts")
         .write.mode(mode)
         .option("maxRecordsPerFile", max_records_per_file)
+        .options(**TRACE_FILTER)
         .partitionBy(*PARTITION_COLUMNS)
         .parquet(path)
     )

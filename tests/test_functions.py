@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from logspark.functions import access, levels, masking, numbers, paths, text
+from logspark.sources import lookups
 
 
 def one(spark, values, expr, kind="string"):
@@ -66,6 +69,52 @@ def test_fuzzy_words(spark):
     assert one(spark, ["id", "ie"], lambda c: text.matches_fuzzy(c, ["id"])) == [True, False]
 
 
+def swap_distance(a, b):
+    """Edits between two words, a swap of two neighbours being one; no letter is edited twice."""
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def edited(rnd, word):
+    letters = list(word)
+    for _ in range(rnd.randrange(4)):
+        at = rnd.randrange(len(letters) + 1)
+        kind = rnd.randrange(4)
+        if kind == 0:
+            letters.insert(at, rnd.choice("abcé1"))
+        elif letters and at < len(letters):
+            if kind == 1:
+                letters.pop(at)
+            elif kind == 2:
+                letters[at] = rnd.choice("abcé1")
+            elif at:
+                letters[at - 1 : at + 1] = reversed(letters[at - 1 : at + 1])
+    return "".join(letters)
+
+
+def test_near_words_by_deletions(spark):
+    """The dictionary finds exactly the words within the allowed distance, edits beyond the indexed start included."""
+    rnd = random.Random(4)
+    terms = ["id", "pay", "order", "payment", "purchase", "internationalise"]
+    words = sorted({edited(rnd, rnd.choice(terms)) for _ in range(1500)} - {""})
+    df = spark.createDataFrame([(w,) for w in words], "word STRING")
+    listed = {r.word: sorted(r.d) for r in df.select("word", text.deletions_of(F.col("word")).alias("d")).collect()}
+    assert all(listed[w] == text.deletions(w) for w in words)
+    near = df.withColumn("deletion", F.explode(text.deletions_of(F.col("word")))).cache()
+    for term in terms:
+        got = {r.word for r in lookups.near_words(near, [term]).collect()}
+        k = text.fuzziness(term)
+        # a letter may be edited again after a swap
+        near_by = lambda w: swap_distance(w, term) <= k or k and any(swap_distance(w, other) < k for other in text.swaps(term))
+        assert got == {w for w in words if near_by(w)}, term
+        assert len(got) > 2 or term == "id"
+
+
 def test_access_rules(spark):
     df = spark.createDataFrame([(500, 1), (404, 9000), (200, 5001), (200, 5000)], "s INT, r INT")
     got = df.select(

@@ -13,7 +13,7 @@ from logspark.plans.detection import run_detection
 from logspark.plans.alert_queries import rules_frame
 from logspark.plans.lifecycle import run_lifecycle
 from logspark.schema import LOG_COLUMNS, PARTITION_COLUMNS
-from logspark.sources import logs as store
+from logspark.sources import logs as store, lookups
 from logspark.sources.events import load_logs
 from logspark.sources.states import RunStates
 
@@ -105,6 +105,53 @@ def test_archive_round_trip(spark, logs, tmp_path):
     assert found.agg(F.sum("bytes")).first()[0] == sum(f.stat().st_size for f in files)
 
 
+def test_trace_lookup_opens_only_its_own_partitions(spark, logs, tmp_path):
+    path, lookup = str(tmp_path / "t"), str(tmp_path / "lookup")
+    store.write_logs(logs, path)
+    lookups.write_trace_lookup(logs, lookup)
+    trace_id = logs.first().trace_id
+    want = [r.id for r in search.trace(logs, trace_id).collect()]
+    own = logs.filter(F.col("trace_id") == trace_id).select(*PARTITION_COLUMNS).distinct().collect()
+    folders = {f"tenant_id={r.tenant_id}/system_id={r.system_id}/log_date={r.log_date}" for r in own}
+    table, index = store.read_logs(spark, path), lookups.read_trace_lookup(spark, lookup)
+    for file in pathlib.Path(path).rglob("*.parquet"):
+        if str(file.parent.relative_to(path)) not in folders:
+            file.write_bytes(b"whoever opens this fails")
+    assert [r.id for r in lookups.trace(table, index, trace_id).collect()] == want and want
+    assert lookups.trace(table, index, "nowhere").collect() == []
+    with pytest.raises(Exception):
+        search.trace(table, trace_id).collect()
+
+
+def test_files_tell_that_they_lack_a_trace(spark, logs, tmp_path):
+    """The bloom filter settles a trace that lies between the smallest and the largest of a file."""
+    path = str(tmp_path / "t")
+    store.write_logs(logs, path)
+    traces = sorted(r.trace_id for r in logs.select("trace_id").distinct().collect())
+    absent = traces[len(traces) // 2] + "x"
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = store.read_logs(spark, path).filter(F.col("trace_id") == absent).select("id")
+        assert df.collect() == []
+        scan = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        assert scan.metrics().apply("numOutputRows").value() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_dictionary_search_equals_plain_search(spark, logs, tmp_path, monkeypatch):
+    path = str(tmp_path / "words")
+    half = F.col("id").cast("bigint") % 2 == 0
+    lookups.write_dictionary(logs.filter(half), path)
+    lookups.write_dictionary(logs.filter(~half), path)
+    for q in (LogQuery(keyword="purchese uzer7 77", level="INFO"), LogQuery(keyword="zzzzzz"), LogQuery(keyword="mod_3 clicc", start="2024-01-05", end="2024-01-20"), LogQuery()):
+        want = sorted(r.id for r in search.search(logs, q).collect())
+        assert sorted(r.id for r in lookups.search(logs, path, q).collect()) == want
+    monkeypatch.setattr(lookups, "MOST_NAMED", 1)
+    assert sorted(r.id for r in lookups.search(logs, path, LogQuery(keyword="purchese uzer7 77")).collect()) == sorted(
+        r.id for r in search.search(logs, LogQuery(keyword="purchese uzer7 77")).collect())
+
+
 def test_sheet_export(spark, tmp_path, logs):
     long = logs.withColumn("message", F.repeat(F.lit("x"), 501))
     row = store.sheet(long).first()
