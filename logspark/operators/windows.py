@@ -1,13 +1,13 @@
 """Ordered operators that stay balanced when one key holds much of the data.
 
-A plain window puts a whole key into one task. Each operator here first cuts a
-key into bounded time slots, works inside the slots, and settles what crosses a
-slot border on a small per-slot summary.
+A plain window puts a whole key into one task. The operators here cut a key into
+parts or slots, work inside them, and settle what crosses a border on a small summary.
 """
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numbers import micros
+from .running import one_key, running_sum
 
 SALTS = 32
 
@@ -42,80 +42,32 @@ def trailing_count(df: DataFrame, keys: list[str], seconds: int | Column, ts: st
                    tie: str = "id", name: str = "trailing_count") -> DataFrame:
     """Rows of the key in ``[ts - seconds, ts]`` that come no later than the row itself.
 
-    The window is exactly 64 slots wide, and may differ from key to key. A row's count is
-    its rank in its own slot, plus the whole slots behind it, less the rows of the oldest
-    slot that have already left. The last part is read off "ghosts": the keys and times
-    alone, moved forward by one window and sorted into the same slot.
+    Every row counts one, and takes it back one window later: a row for the time at which it leaves is sorted in
+    behind the rows of that time. The running sum is the count. The window may differ from key to key.
     """
-    slots = 64
-    width = (seconds if isinstance(seconds, Column) else F.lit(seconds)).cast("bigint") * (
-        1_000_000 // slots
-    )
-    at = micros(F.col(ts))
-    placed = df.withColumn("_us", at).withColumn("_slot", F.floor(F.col("_us") / width))
-
-    per_slot = placed.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
-    # a slot can be counted as history even where it holds no row of its own
-    behind = W.partitionBy(*keys).orderBy("_slot").rangeBetween(-slots, -1)
-    history = per_slot.select(
-        *keys, "_slot", F.coalesce(F.sum("_n").over(behind), F.lit(0)).alias("_behind")
-    )
-
-    ghosts = placed.select(
-        *keys, (F.col("_slot") + slots).alias("_slot"), (F.col("_us") + width * slots).alias("_us"),
-        F.lit(1).alias("_ghost"),
-    )
-    both = placed.withColumn("_ghost", F.lit(0)).unionByName(ghosts, allowMissingColumns=True)
-    w = (
-        W.partitionBy(*keys, "_slot").orderBy("_us", "_ghost", tie)
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    counted = both.withColumns(
-        {"_rank": F.sum(1 - F.col("_ghost")).over(w), "_left": F.sum("_ghost").over(w)}
-    ).filter("_ghost = 0")
-    total = F.col("_rank") + F.col("_behind") - F.col("_left")
-    return counted.join(history, [*keys, "_slot"]).select(
-        *[F.col(c) for c in df.columns], total.cast("bigint").alias(name)
+    width = (seconds if isinstance(seconds, Column) else F.lit(seconds)).cast("bigint") * 1_000_000
+    leaves = F.col("_leaves") == 1
+    rows = df.select(
+        one_key(keys).alias("_key"), F.explode(F.array(F.lit(0), F.lit(1))).alias("_leaves"), micros(F.col(ts)).alias("_at"),
+        width.alias("_width"), F.col(tie).alias("_tie"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"),
+    ).select(
+        "_key", F.when(leaves, F.col("_at") + F.col("_width")).otherwise(F.col("_at")).alias("_us"), "_leaves",
+        F.when(~leaves, F.col("_tie")).alias("_tie"), F.when(leaves, -1).otherwise(1).cast("bigint").alias("_value"),
+        F.lit(False).alias("_reset"), F.when(~leaves, F.col("_all")).alias("_row"),
     )
+    return running_sum(df, rows, ["_us", "_leaves", "_tie"], name)
 
 
 def run_length(df: DataFrame, keys: list[str], failed: Column, ts: str = "ts", tie: str = "id",
-               name: str = "run_length", slot_seconds: int = 600) -> DataFrame:
+               name: str = "run_length") -> DataFrame:
     """Length of the unbroken run of failures that ends at the row; 0 on a success. A number in
-    place of a truth value counts as so many failures at once.
-
-    Runs are counted inside slots; a slot that opens with failures adds the run
-    carried over from the slots before it.
-    """
-    placed = df.withColumn("_failed", F.coalesce(failed.cast("bigint"), F.lit(0))).withColumn(
-        "_slot", F.floor(micros(F.col(ts)) / (slot_seconds * 1_000_000))
-    )
-    w = (
-        W.partitionBy(*keys, "_slot").orderBy(micros(F.col(ts)), tie)
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    # _done: failures so far; _reset: failures counted at the last success
-    rows = placed.withColumn("_done", F.sum("_failed").over(w))
-    rows = rows.withColumn("_reset", F.max(F.when(F.col("_failed") == 0, F.col("_done"))).over(w))
-
-    per_slot = rows.groupBy(*keys, "_slot").agg(
-        F.max("_done").alias("_total"), F.max("_reset").alias("_last_reset")
-    )
-    before = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
-    per_slot = per_slot.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0)))
-    carried = per_slot.select(
-        *keys, "_slot",
-        (
-            F.col("_before")
-            - F.coalesce(F.max(F.col("_before") + F.col("_last_reset")).over(before), F.lit(0))
-        ).alias("_carry"),
-    )
-    length = F.when(F.col("_failed") == 0, 0).when(
-        F.col("_reset").isNull(), F.col("_done") + F.col("_carry")
-    ).otherwise(F.col("_done") - F.col("_reset"))
-    return rows.join(carried, [*keys, "_slot"]).select(
-        *[F.col(c) for c in df.columns], length.cast("bigint").alias(name)
+    place of a truth value counts as so many failures at once."""
+    value = F.coalesce(failed.cast("bigint"), F.lit(0).cast("bigint"))
+    rows = df.select(
+        one_key(keys).alias("_key"), micros(F.col(ts)).alias("_us"), F.col(tie).alias("_tie"), value.alias("_value"),
+        (value == 0).alias("_reset"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
     )
+    return running_sum(df, rows, ["_us", "_tie"], name)
 
 
 def first_n_per_bucket(df: DataFrame, bucket: Column, limit: int, slot: Column, order: list[Column],

@@ -155,7 +155,7 @@ def manifest_of_files(spark: SparkSession, path: str, prefix: str = "") -> DataF
     )
 
 
-def manifest_rows(files: DataFrame, prefix: str = "") -> DataFrame:
+def manifest_rows(files: DataFrame, prefix: str = "", *more: str) -> DataFrame:
     """Partition names of files (path, length), decoded as they were written; a date that does not parse is null."""
     def part(key: str) -> Column:
         raw = F.regexp_extract("path", f"/{prefix}{key}=([^/]+)/", 1)
@@ -163,7 +163,7 @@ def manifest_rows(files: DataFrame, prefix: str = "") -> DataFrame:
 
     return files.select(
         part("tenant_id").alias("tenant_id"), part("system_id").alias("system_id"),
-        part("log_date").try_cast("date").alias("log_date"), F.col("length"),
+        part("log_date").try_cast("date").alias("log_date"), F.col("length"), *more,
     )
 
 

@@ -26,7 +26,7 @@ def frame(spark, rows):
 
 
 @pytest.mark.parametrize("seed,span,window,grain", [(1, 600, 60, 1), (2, 5000, 64, 7), (3, 300, 7200, 1), (4, 90000, 3600, 60)])
-def test_trailing_count(spark, seed, span, window, grain):
+def test_trailing_count(spark, parts, seed, span, window, grain):
     rows = rows_of(seed, 500, span, grain=grain)
     got = {r.id: r.trailing_count for r in windows.trailing_count(frame(spark, rows), ["k"], window).collect()}
     want = {
@@ -36,10 +36,20 @@ def test_trailing_count(spark, seed, span, window, grain):
     assert got == want
 
 
-@pytest.mark.parametrize("seed,slot", [(1, 3600), (2, 10), (3, 1)])
-def test_run_length(spark, seed, slot):
-    rows = rows_of(seed, 500, 900)
-    out = windows.run_length(frame(spark, rows), ["k"], F.col("bad"), slot_seconds=slot)
+@pytest.fixture(params=[True, False], ids=["merged parts", "many parts"])
+def parts(spark, request):
+    """Adaptive execution merges the parts of small tables; without it, keys lie in many."""
+    spark.conf.set("spark.sql.adaptive.enabled", str(request.param).lower())
+    spark.conf.set("spark.sql.shuffle.partitions", "4" if request.param else "13")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("seed,keys", [(1, 3), (2, 1), (3, 40)])
+def test_run_length(spark, parts, seed, keys):
+    rows = rows_of(seed, 500, 900, keys=keys)
+    out = windows.run_length(frame(spark, rows), ["k"], F.col("bad"))
     got = {r.id: r.run_length for r in out.collect()}
     want, runs = {}, {}
     for i, t, k, bad in sorted(rows, key=lambda r: (r[1], r[0])):
@@ -48,6 +58,15 @@ def test_run_length(spark, seed, slot):
     assert got == want
 
 
+def test_a_hot_key_lies_in_many_parts(spark, parts):
+    """Runs longer than a part, and a single reset far behind."""
+    rows = [(f"r{i:05d}", START + dt.timedelta(seconds=i), "hot", i != 777) for i in range(4000)]
+    got = {r.id: r.run_length for r in windows.run_length(frame(spark, rows), ["k"], F.col("bad")).collect()}
+    assert got == {f"r{i:05d}": i + 1 if i < 777 else i - 777 for i in range(4000)}
+    plan = windows.run_length(frame(spark, rows), ["k"], F.col("bad"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
 def test_eight_failures_fire_from_the_sixth(spark):
     rows = [(f"r{i}", START + dt.timedelta(seconds=i), "k", True) for i in range(8)]
     out = windows.run_length(frame(spark, rows), ["k"], F.col("bad")).filter("run_length > 5")

@@ -11,9 +11,11 @@ from logspark.operators.search import LogQuery
 from logspark.operators.windows import latest_per_key
 from logspark.plans.detection import run_detection
 from logspark.plans.alert_queries import rules_frame
+from logspark.plans import lifecycle
 from logspark.plans.lifecycle import run_lifecycle
 from logspark.schema import LOG_COLUMNS, PARTITION_COLUMNS
 from logspark.sources import logs as store, lookups
+from logspark.sources.commits import CommitLog
 from logspark.sources.events import load_logs
 from logspark.sources.states import RunStates
 
@@ -187,6 +189,53 @@ def test_lifecycle(spark, logs, tmp_path):
     assert same(store.read_archive(spark, archive), logs.filter("log_date >= '2024-01-16'"))
 
 
+@pytest.mark.parametrize("step", ["note", "commit", "delete", "close"])
+def test_killed_lifecycle_is_completed_by_the_next(spark, logs, tmp_path, monkeypatch, step):
+    """A run dies before it notes, before it commits, half way through its deletes, or before it closes."""
+    table, archive = str(tmp_path / "t"), str(tmp_path / "a")
+    store.write_logs(logs, table)
+
+    class Killed(Exception):
+        pass
+
+    def die(*_, **__):
+        raise Killed
+
+    real_add, real_complete = CommitLog.add, lifecycle.Journal.complete
+    with monkeypatch.context() as patch:
+        if step == "note":
+            patch.setattr(lifecycle.Journal, "note", die)
+        elif step == "commit":
+            patch.setattr(CommitLog, "add", die)
+        elif step == "close":
+            patch.setattr(CommitLog, "add", lambda self, name, *a, **k: die() if name.endswith("-done") else real_add(self, name, *a, **k))
+        else:
+            def half(self):
+                names = self.open_entries()
+                if not names:
+                    return real_complete(self)
+                paths = spark.read.parquet(f"{self.path}/{names[0]}").orderBy("path").limit(20)
+                assert paths.mapInPandas(lifecycle._delete_files, "path STRING, error STRING").filter("error is null").count() == 20
+                die()
+
+            patch.setattr(lifecycle.Journal, "complete", half)
+        with pytest.raises(Killed):
+            run_lifecycle(spark, table, archive, "2024-01-31", dry_run=False)
+    # rows that arrive late for a day that was archived must survive the completion
+    late = logs.filter("log_date = '2024-01-09'").withColumn("id", F.concat(F.lit("late"), "id"))
+    store.write_logs(late, table)
+    run_lifecycle(spark, table, archive, "2024-01-31", dry_run=False)
+    book = lifecycle.Journal(spark, f"{archive}_journal")
+    assert book.open_entries() == []
+    hot, cold = store.read_logs(spark, table), store.read_archive(spark, archive)
+    kept = lambda df: {r.id for r in df.select("id").collect()}
+    assert kept(hot) | kept(cold) == kept(logs) | kept(late)
+    assert kept(hot.filter("log_date > '2024-01-24'")) == kept(logs.filter("log_date > '2024-01-24'"))
+    # what was noted goes; before that, a partition whose late rows are not archived stays whole
+    allowed = kept(late) | (kept(logs.filter("log_date = '2024-01-09'")) if step in ("note", "commit") else set())
+    assert kept(hot.filter("log_date <= '2024-01-24'")) <= allowed
+
+
 def test_detection_job(spark, logs, tmp_path):
     out = run_detection(logs, rules_frame(spark), "2024-01-01", "2024-02-01", str(tmp_path / "h"), str(tmp_path / "al"))
     hits, fired = out["hits"].count(), out["alerts"].count()
