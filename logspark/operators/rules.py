@@ -198,12 +198,8 @@ def stateless_hits(logs: DataFrame, rules: DataFrame, strict_long: bool = False)
     With ``strict_long`` numbers are cut to whole ones and decimal thresholds never match.
     """
     matched = match_rules(logs, rules, STATELESS).withColumns(
-        {
-            "_number": F.expr(paths.number_behind("_metric")),
-            "actual_value": F.expr(paths.text_behind("_metric")),
-            "metric_value": metric_value(),
-        }
-    )
+        {"_number": F.expr(paths.number_behind("_metric")), "actual_value": F.expr(paths.text_behind("_metric"))}
+    ).withColumn("metric_value", F.expr("CASE WHEN coalesce(monitor_metric, '') <> '' THEN actual_value END"))
     expected = "try_cast(condition_value AS BIGINT)" if strict_long else "condition_value"
     actual = "try_cast(_number AS BIGINT)" if strict_long else "_number"
     numeric = number_holds(actual, expected, "DECIMAL(20,0)" if strict_long else "DOUBLE")
@@ -223,9 +219,9 @@ def stateless_hits(logs: DataFrame, rules: DataFrame, strict_long: bool = False)
 
 
 def _state_key(kinds: tuple[str, ...], url: bool) -> Column:
-    """Rule and the value of the dimension its target names; a nested path may replace the field."""
+    """Rule and the value of the dimension its target names; a nested path (its value is ``_nested``) may replace the field."""
     branches = ["WHEN contains(monitor_target, '/api/') THEN concat('url:', coalesce(request_url, 'null'))"] if url else []
-    nested = paths.text_behind("_target")
+    nested = "_nested"
     for prefix, column, label in DIMENSIONS:
         if prefix in kinds:
             value = column if url else f"CASE WHEN _target_path IS NOT NULL THEN {nested} ELSE {column} END"
@@ -246,7 +242,7 @@ def as_batch_operations(matched: DataFrame) -> DataFrame:
     parts = F.split("condition_value", ":")
     key = _state_key(tuple(p for p, *_ in DIMENSIONS), url=False)
     return (
-        matched.withColumns(
+        matched.withColumn("_nested", F.expr(paths.text_behind("_target"))).withColumns(
             {
                 "state_key": key,
                 "metric_value": metric_value(),
@@ -312,7 +308,7 @@ def continuous_request_rows(logs: DataFrame, rules: DataFrame) -> DataFrame:
 def as_continuous_requests(matched: DataFrame) -> DataFrame:
     key = _state_key(("module:", "userId:"), url=True)
     return (
-        matched.withColumns(
+        matched.withColumn("_nested", F.expr(paths.text_behind("_target"))).withColumns(
             {
                 "state_key": key,
                 "metric_value": metric_value(),

@@ -234,7 +234,8 @@ SELECT id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEE
   - (count(*) OVER (PARTITION BY user_id, us) - row_number() OVER (PARTITION BY user_id, us ORDER BY id)) AS trailing_count
 FROM logs""")
 def _(spark, folder):
-    return windows.trailing_count(load_logs(spark, folder), ["user_id"], 86_400).select("id", "user_id", "trailing_count")
+    logs = load_logs(spark, folder).select("id", "ts", "user_id")
+    return windows.trailing_count(logs, ["user_id"], 86_400).select("id", "user_id", "trailing_count")
 
 
 @query("failure_runs", LOGS + """, f AS (SELECT *, CASE WHEN level = 'ERROR' OR status_code >= 500 THEN 1 ELSE 0 END AS bad FROM logs),
@@ -243,7 +244,8 @@ SELECT id, CAST(sum(bad) OVER (PARTITION BY operation, user_id, island ORDER BY
 def _(spark, folder):
     from ..operators.rules import request_failed
 
-    return windows.run_length(load_logs(spark, folder), ["operation", "user_id"], request_failed()).select("id", "run_length")
+    logs = load_logs(spark, folder).select("id", "ts", "operation", "user_id", "level", "status_code")
+    return windows.run_length(logs, ["operation", "user_id"], request_failed()).select("id", "run_length")
 
 
 @query("failure_runs_by_tenant", LOGS + """, f AS (SELECT *, CASE WHEN response_time > 60 THEN 1 ELSE 0 END AS bad FROM logs),
