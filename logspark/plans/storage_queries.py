@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import catalog, retention as ret
+from ..schema import PARTITION_COLUMNS
+from ..sources import logs as store
 from ..sources.events import (
     load_logs, read_table, rules_from_customers, systems_from_suppliers, tenants_from_customers,
 )
@@ -28,6 +30,22 @@ def _(spark, folder):
     return manifest(spark, folder)
 
 
+@query("manifest_of_paths", LOGS + """, f AS (
+  SELECT replace(tenant_id, '_', ':') AS tenant_id, replace(system_id, '_', ' ') AS system_id,
+    CASE WHEN module = 'mod_6' THEN NULL ELSE log_date END AS log_date, event_id % 3 AS file, sum(strlen(message)) AS length
+  FROM logs GROUP BY ALL)
+SELECT tenant_id, system_id, log_date, count(*) AS files, CAST(sum(length) AS BIGINT) AS bytes FROM f GROUP BY 1, 2, 3""")
+def _(spark, folder):
+    """Partitions as the names of files say, escaped characters and a missing date included."""
+    day = F.when(F.col("module") == "mod_6", store.NULL_PARTITION).otherwise(F.col("log_date").cast("string"))
+    path = F.concat(
+        F.lit("/data/logs/tenant_id="), F.replace("tenant_id", F.lit("_"), F.lit("%3A")), F.lit("/system_id="),
+        F.replace("system_id", F.lit("_"), F.lit("%20")), F.lit("/log_date="), day, F.lit("/part-"), (F.col("id").cast("bigint") % 3).cast("string"),
+    )
+    files = load_logs(spark, folder).groupBy(path.alias("path")).agg(F.sum(F.octet_length("message")).alias("length"))
+    return store.manifest_rows(files).groupBy(*PARTITION_COLUMNS).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
 AGE = f"(DATE '{LATER}' - log_date)"
 TIER = f"CASE WHEN {AGE} <= 7 THEN 'HOT' WHEN {AGE} <= 30 THEN 'WARM' WHEN {AGE} <= 90 THEN 'COLD' ELSE 'DELETED' END"
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import exceptions, health, heatmap, spans, stats
+from ..operators import exceptions, health, heatmap, rollups, spans, stats
 from ..sources.events import load_logs
 from .registry import (
     AS_OF, LOGS, LOGS_AND_SYSTEMS, SHARED_LOGS_AND_SYSTEMS, growth_sql, half_up, percent_sql, query, shared_logs,
@@ -25,6 +25,35 @@ def _(spark, folder):
     return stats.period_stats(load_logs(spark, folder), *SPAN)
 
 
+DAYS = "log_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-24'"
+
+
+def _rollup(spark, folder):
+    """Rollups of some days of the logs; the sketches are held against exact figures in the tests."""
+    days = F.col("log_date").between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-24").cast("date"))
+    return rollups.daily_rollup(load_logs(spark, folder)).filter(days)
+
+
+@query("period_stats_from_rollup", LOGS + f"""
+SELECT count(*) AS total_count, count(*) FILTER (level = 'ERROR') AS error_count, {LONG} AS avg_response_time FROM logs WHERE {DAYS}""")
+def _(spark, folder):
+    return rollups.period_stats(_rollup(spark, folder)).drop("user_count")
+
+
+@query("module_stats_from_rollup", LOGS + f""", m AS (SELECT module, count(*) AS call_count,
+  {percent_sql("count(*) FILTER (level = 'ERROR')", "count(*)")} AS error_rate, {LONG} AS avg_response_time FROM logs WHERE {DAYS} GROUP BY 1)
+SELECT *, row_number() OVER (ORDER BY call_count DESC, module) AS rank FROM m""")
+def _(spark, folder):
+    return rollups.module_stats(_rollup(spark, folder)).drop("user_count")
+
+
+@query("health_metrics_from_rollup", LOGS + f"""
+SELECT tenant_id, system_id, count(*) AS total, count(*) FILTER (level = 'ERROR') AS errors,
+  count(*) FILTER (level = 'ERROR' OR status_code >= 500) AS failed FROM logs WHERE {DAYS} GROUP BY 1, 2""")
+def _(spark, folder):
+    return rollups.health_metrics(_rollup(spark, folder), ["tenant_id", "system_id"]).select("tenant_id", "system_id", "total", "errors", "failed")
+
+
 @query("today_vs_yesterday", LOGS + f""", s AS (
   SELECT ts >= TIMESTAMP '2024-01-30' AS today, count(*) AS n, count(*) FILTER (level = 'ERROR') AS e,
     count(DISTINCT user_id) AS u, {LONG} AS r

@@ -3,8 +3,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from logspark.operators import catalog, health, heatmap, retention as ret, search, spans, stats
+from logspark.operators import catalog, health, heatmap, retention as ret, rollups, search, spans, stats
 from logspark.operators.search import LogQuery
+from logspark.sources.events import load_logs
 
 DAY = dt.datetime(2024, 1, 10)
 SYSTEMS = "tenant_id STRING, system_id STRING, system_name STRING, status INT, create_time TIMESTAMP"
@@ -109,3 +110,28 @@ def test_rule_violations(spark):
     got = sorted((r.id, r.problem) for r in catalog.rule_violations(df).collect())
     assert got == [(2, "unknown rule_type"), (3, "system_id is required"), (3, "tenant_id is required"),
                    (3, "unknown alert_level"), (3, "unknown rule_type")]
+
+
+def test_rollup_reports_read_no_log_row(spark, tmp_path):
+    """A month's report from daily rollups: exact counts and means, users and percentiles within their sketches' bounds."""
+    folder, path = "/root/testdata/sf0.1", str(tmp_path / "rollup")
+    logs = load_logs(spark, folder)
+    rollups.write_rollup(logs.filter("log_date < '2024-01-10'"), path)
+    rollups.write_rollup(logs.filter("log_date >= '2024-01-09'"), path)  # the 9th is rolled up again
+    days = rollups.read_rollup(spark, path, "2024-01-03", "2024-01-25")
+    rows = logs.filter("log_date between '2024-01-03' and '2024-01-25'")
+    want, got = stats.period_stats(rows).first(), rollups.period_stats(days).first()
+    assert (got.total_count, got.error_count, got.avg_response_time) == (want.total_count, want.error_count, want.avg_response_time)
+    assert abs(got.user_count - want.user_count) <= rollups.USER_ERROR * want.user_count
+    exact = {r.module: r for r in stats.module_stats(rows).collect()}
+    for r in rollups.module_stats(days).collect():
+        e = exact[r.module]
+        assert (r.call_count, r.error_rate, r.avg_response_time, r["rank"]) == (e.call_count, e.error_rate, e.avg_response_time, e["rank"])
+        assert abs(r.user_count - e.user_count) <= rollups.USER_ERROR * e.user_count
+    for r in rollups.health_metrics(days, ["tenant_id", "system_id"]).collect():
+        mine = rows.filter((F.col("tenant_id") == r.tenant_id) & (F.col("system_id") == r.system_id))
+        share = mine.agg(F.avg((F.col("response_time") <= r.p99_ms).cast("double"))).first()[0]
+        assert abs(share - 0.99) <= 2 * rollups.RANK_ERROR
+    reads = rollups.period_stats(days)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in reads and "events.parquet" not in reads
+    assert rollups.period_stats(days.filter("false")).first().total_count == 0
