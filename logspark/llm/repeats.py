@@ -48,23 +48,32 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         x *= np.uint64(0xFF51AFD7ED558CCD)
         x ^= x >> np.uint64(29)
         width *= 2
-    bits = np.uint64(24 if len(data) < 1 << 24 else 40)
-    keys = ((x >> bits) << bits) | np.arange(len(x), dtype=np.uint64)
-    # smallest key of each window, by doubling; the place breaks ties to the left
-    window, width = length - ANCHOR + 1, 1
-    least = keys
-    while width * 2 <= window:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    rest = window - width
-    if rest:
-        least = np.minimum(least[:-rest], least[rest:])
-    place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    place = _least(x, length - ANCHOR + 1)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     last = np.append(first[1:], len(place)) - 1
     return first, last, place[first], x[place[first]]
 
 
+def _least(x: np.ndarray, window: int, block: int = 1 << 23) -> np.ndarray:
+    """Place of the smallest hash of each window, ties to the left; by the same 40 bits of a hash in a text of any size.
+
+    A hash and the place within a block of windows share one number, so a minimum of numbers finds both.
+    """
+    out = np.empty(len(x) - window + 1, np.int64)
+    for start in range(0, len(out), block):
+        part = x[start : start + block + window - 1]
+        least = part >> np.uint64(24) << np.uint64(24) | np.arange(len(part), dtype=np.uint64)
+        width = 1
+        while width * 2 <= window:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        rest = window - width
+        if rest:
+            least = np.minimum(least[:-rest], least[rest:])
+        out[start : start + block] = (least & np.uint64(0xFFFFFF)).astype(np.int64) + start
+    return out
+
+
 def removed_bytes(
     docs: DataFrame, length: int = 100, shard_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text",
     crowd: int = 256,
@@ -78,7 +87,7 @@ def removed_bytes(
     shards = 1 + total // shard_bytes
     pieces = rows.mapInPandas(_cutter(length, shards), "shard bigint, data binary")
     first = stored(
-        pieces.repartition(shards, "shard").sortWithinPartitions("shard")
+        pieces.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard")
         .mapInPandas(_piece_matcher(length, shards, crowd), "bucket bigint, kind int, data binary")
     )
     found, open_pieces = first.where("kind = 1"), first.where("kind = 2")
@@ -92,10 +101,10 @@ def removed_bytes(
     def with_blobs(blobs: DataFrame) -> DataFrame:
         none = F.lit(0).cast("bigint")  # a null would turn the column into floats in pandas
         both = texts.unionByName(blobs.select("bucket", "kind", none.alias("doc_id"), none.alias("text_key"), "data"))
-        return both.repartition(shards, "bucket").sortWithinPartitions("bucket", "kind", "doc_id", "text_key")
+        return both.repartitionById(shards, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "kind", "doc_id", "text_key")
 
     answers = with_blobs(open_pieces).mapInPandas(_piece_sender(length, shards), "shard bigint, kind int, data binary")
-    more = answers.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInPandas(
+    more = answers.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "kind").mapInPandas(
         _sorter(length, shards), "bucket bigint, kind int, data binary")
     return with_blobs(found.unionByName(more)).mapInPandas(
         _remover(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans string")

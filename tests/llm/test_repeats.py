@@ -100,3 +100,38 @@ def test_a_crowded_anchor_is_spread(spark):
     assert all(high[i] == repeats.strings([(0, 0, pieces[doc[i]][start[i] : start[i] + 100])], 100)[2][0] for i in range(0, len(doc), 97))
     per_shard = np.bincount((low % np.uint64(8)).astype(int), minlength=8)
     assert per_shard.max() < 1.3 * len(doc) / 8
+
+
+def test_anchors_do_not_depend_on_the_size_of_the_text():
+    """A passage has the same anchors alone and inside a text above 16 MB, wherever it stands."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    passage = rng.integers(0, 256, 300_000, dtype=np.uint8).tobytes()
+    large = rng.integers(0, 256, 17 << 20, dtype=np.uint8).tobytes()
+
+    def places(data, start, count):
+        first, last, place, hashes = repeats.anchors(data, 100)
+        each = np.repeat(place, last - first + 1)
+        return each[start : start + count] - start
+
+    alone = places(passage, 0, 300_000 - 99)
+    for at in (0, (1 << 23) - 150_000, (1 << 24) - 1000, 17 << 20):
+        inside = large[:at] + passage + large[at:]
+        assert (places(inside, at, 300_000 - 99) == alone).all()
+
+
+def test_repeats_in_a_text_above_16_mb(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(10)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz012345", np.uint8)
+    random_text = lambda n: letters[rng.integers(0, 32, n)].tobytes().decode()
+    passages = [random_text(101) for _ in range(60)]
+    large = random_text(16_900_000)
+    for k, p in enumerate(passages):
+        at = 16_500_000 - k * 200_000
+        large = large[:at] + p + large[at:]
+    rows = [(1, " ".join(passages)), (2, large)]
+    got = {r.doc_id: r for r in repeats.removed_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_removed == 0 and got[2].n_spans == 60 and 60 * 101 <= got[2].n_removed <= 60 * 105
