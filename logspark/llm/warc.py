@@ -5,8 +5,8 @@ of the archive's records; every record follows as a frame of its own that needs
 from the file and can decode from any record on.
 
 Pages with equal payloads are stored once: the one with the largest page_id is the response, the others are
-revisits with headers only. Payloads below a limit are always stored. Archives have about target_bytes of stored
-payload each and are written by one task each, under a temporary name that is moved when complete, so a task that
+revisits with headers only. Payloads below a limit are always stored. Archives have about target_bytes of records
+(headers and stored payloads) each and are written by one task each, under a temporary name that is moved when complete, so a task that
 runs twice leaves one archive.
 
 Nulls: a null html is an empty payload; a null url is written as urn:page:<id>; a null page_id has no id header,
@@ -28,6 +28,8 @@ from logspark.llm.frames import exact, light, runs, stored
 
 # Fixed values of the formats.
 SKIPPABLE = 0x184D2A5D
+#: Bytes of a record's headers, about, besides its address.
+HEADER_BYTES = 600
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -41,18 +43,23 @@ def write(
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("bigint"))
     equal = stored(
-        rows.groupBy("digest", "size").agg(F.max("page_id").alias("response"), F.count("*").alias("copies"))
+        rows.groupBy("digest", "size").agg(
+            F.max("page_id").alias("response"), F.count("*").alias("copies"),
+            F.sum(HEADER_BYTES + F.coalesce(F.octet_length("url"), F.lit(0))).alias("headers"))
     )
-    stored_bytes = equal.agg(F.sum("size")).first()[0] or 0
-    archives = max(1, -(-stored_bytes // target_bytes))
-    shared = equal.where((F.col("copies") > 1) & (F.col("size") >= least_bytes)).drop("copies")
+    # what is written: every header, and the payloads that are not revisited
+    is_shared = (F.col("copies") > 1) & (F.col("size") >= least_bytes)
+    payloads = F.col("size") * F.when(is_shared, 1).otherwise(F.col("copies"))
+    written = equal.agg(F.sum(payloads + F.col("headers"))).first()[0] or 0
+    archives = max(1, -(-written // target_bytes))
+    shared = equal.where(is_shared).drop("copies", "headers")
     typed = rows.join(light(shared), ["digest", "size"], "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
     typed = typed.withColumn("refers_to", refers).drop("response")
     # headers only for a revisit, so its payload need not be moved
     typed = typed.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
     archive = F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(archives))
-    dealt = typed.withColumn("archive", archive).repartition(archives, "archive").sortWithinPartitions("archive", "page_id", "url")
+    dealt = typed.withColumn("archive", archive).repartitionById(archives, F.col("archive").cast("int")).sortWithinPartitions("archive", "page_id", "url")
     # as text, since nulls would turn numbers into floats in pandas
     dealt = dealt.withColumn("page_id", F.col("page_id").cast("string")).withColumn("refers_to", F.col("refers_to").cast("string"))
     return dealt.mapInPandas(

@@ -57,3 +57,12 @@ def test_archive_is_plain_zstandard_with_its_dictionary_in_front(spark, tmp_path
     assert first.startswith(b"WARC/1.1\r\n") and first.count(b"WARC/1.1") == 1
     with pytest.raises(ValueError):
         list(warc.records_of(data[8 + size :]))
+
+
+def test_small_repeated_pages_fill_many_archives(spark, tmp_path):
+    """Records count with their headers: pages of one small payload, and revisits, are dealt to archives too."""
+    pages = [(i, f"http://h/{i}", "12345678") for i in range(3000)] + [(10_000 + i, f"http://r/{i}", "r" * 2000) for i in range(3000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    done = warc.write(df, f"{tmp_path}/w", target_bytes=200_000).collect()
+    assert len(done) > 15 and max(r.n_records for r in done) < 6000 / len(done) * 1.5
+    assert sum(r.n_records for r in done) == 6000 and warc.read(spark, f"{tmp_path}/w").count() == 6000
