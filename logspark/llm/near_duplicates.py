@@ -249,11 +249,12 @@ def _exact_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str
     weights = members.groupBy("root").agg(F.sum("size").alias("weight"), F.count("*").alias("count"))
     chunks = F.greatest(F.ceil(F.col("count") * 2 / rule.node_limit), F.ceil(F.col("weight") / rule.block_shingles)).cast("bigint")
     wanted = light(stored(members.join(weights, "root").select(
-        "root", F.col("node").alias("class"), "head.doc_id", chunks.alias("chunks")
+        "root", F.col("node").alias("class"), "head.doc_id", "head.text_key", chunks.alias("chunks")
     )))
-    keyed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    # ids narrow the shuffle down; equal ids with other texts fall out when the set is computed again
-    texts = wanted.join(keyed, wanted["doc_id"].eqNullSafe(keyed["doc_id"])).select("root", "class", "text", "chunks")
+    keyed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
+    # id and text find the row: many rows may lack an id
+    same = wanted["doc_id"].eqNullSafe(keyed["doc_id"]) & (wanted["text_key"] == keyed["key"])
+    texts = wanted.join(keyed, same).select("root", "class", "text", "chunks")
     blocks = in_blocks(texts, "root", F.col("chunks"), F.pmod(F.xxhash64("class"), F.col("_n")))
     parts = blocks.select("block", "class", "text").repartition("block").sortWithinPartitions("block")
 

@@ -45,3 +45,17 @@ def test_odd_rows(spark):
     assert key == sorted([("1", 0, "1"), ("2", 0, "2"), ("3", 0, "3"), ("4", 1, "4"), ("5", 1, "4"), ("6", 1, "6"),
                           ("None", 1, "6"), ("None", 1, "None"), ("7", 1, "6"), ("7", 1, "6"), ("8", 1, "8"), ("9", 1, "8")])
     assert near.class_ids(df.limit(0)).count() == 0
+
+
+def test_many_rows_without_an_id(spark):
+    """Texts without ids are told apart by their text; none meets all the others."""
+    base = [f"w{i % 97} x{i} y{i % 13}" for i in range(60)]
+    rows = [(None, " ".join(base[: 40 + k % 20]) + f" z{k // 20}") for k in range(400)] + [(7, " ".join(base))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rule = near.Similarity(words=3, percent=85)
+    got = near.class_ids(df, rule=rule).collect()
+    want = brute.near_duplicates([(i, t) for i, (_, t) in enumerate(rows)])
+    groups = {}
+    for r in got:
+        groups.setdefault((r.component_id, r.first_key), []).append(r.text_key)
+    assert len(got) == len(rows) and len(groups) == len({root for _, root in want.values()})
