@@ -40,9 +40,14 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, rows)
 
 
-def light(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Marks a stored frame for broadcast if it has few rows; otherwise the join shuffles. For narrow rows only."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def light(df: DataFrame, rows: int = 100_000, most_bytes: int | None = None) -> DataFrame:
+    """Marks a stored frame for broadcast if it has few rows, and few bytes in texts and binaries where that is asked;
+    otherwise the join shuffles. Without most_bytes for narrow rows only."""
+    if most_bytes is None:
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    long = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("bigint") for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    count, size = df.limit(rows + 1).agg(F.count("*"), F.sum(sum(long, F.lit(0).cast("bigint")))).first()
+    return F.broadcast(df) if count <= rows and (size or 0) <= most_bytes else df
 
 
 def runs(batches: Iterable[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
