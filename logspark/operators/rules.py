@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import paths
 from ..functions.numbers import percent
+from ..session import cut_lineage
 from . import spans, windows
 from .stats import is_error
 
@@ -256,11 +257,12 @@ def as_batch_operations(matched: DataFrame) -> DataFrame:
 
 
 def batch_operation_hits(logs: DataFrame, rules: DataFrame, resets: DataFrame | None = None) -> DataFrame:
-    """Every row at which the trailing count of its key meets the rule's condition.
+    """Every row at which the trailing count of its key meets the rule's condition. Matched rows are stored, since sorting
+    them by range passes over them twice.
 
     ``resets`` (``rule_id``, ``reset_time``) clear what a rule has counted so far.
     """
-    rows = batch_operation_rows(logs, rules)
+    rows = cut_lineage(batch_operation_rows(logs, rules))
     if resets is not None:
         rows = windows.restart_keys(rows, resets, "state_key")
     return _counted_hits(windows.trailing_count(rows, ["state_key"], F.col("window_seconds"), name="hit_count"))
@@ -278,7 +280,7 @@ def by_version(rows: DataFrame) -> DataFrame:
 
 def batch_operation_run(logs: DataFrame, rules: DataFrame, earlier: DataFrame | None, end) -> tuple[DataFrame, DataFrame]:
     """Hits of one run, and the rows to count in the next: those whose window reaches beyond ``end``."""
-    rows = by_version(batch_operation_rows(logs, rules)).withColumn("_earlier", F.lit(False))
+    rows = cut_lineage(by_version(batch_operation_rows(logs, rules))).withColumn("_earlier", F.lit(False))
     if earlier is not None:
         rows = rows.unionByName(earlier.withColumn("_earlier", F.lit(True)), allowMissingColumns=True)
     counted = windows.trailing_count(rows, ["state_key"], F.col("window_seconds"), name="hit_count")
@@ -324,7 +326,7 @@ def as_continuous_requests(matched: DataFrame) -> DataFrame:
 def continuous_request_hits(logs: DataFrame, rules: DataFrame, resets: DataFrame | None = None) -> DataFrame:
     """Every row of a run whose length meets the rule's condition; the opposite outcome ends it,
     as do ``resets`` (``rule_id``, ``reset_time``)."""
-    rows = continuous_request_rows(logs, rules)
+    rows = cut_lineage(continuous_request_rows(logs, rules))
     if resets is not None:
         rows = windows.restart_keys(rows, resets, "state_key")
     return _run_hits(windows.run_length(rows, ["state_key"], F.col("extends_run"), name="hit_count"))
@@ -337,7 +339,7 @@ def _run_hits(counted: DataFrame) -> DataFrame:
 
 def continuous_request_run(logs: DataFrame, rules: DataFrame, earlier: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Hits of one run, and the open runs (with their lengths) to go on from in the next."""
-    rows = by_version(continuous_request_rows(logs, rules)).withColumns({"_earlier": F.lit(False), "_by": F.col("extends_run").cast("bigint")})
+    rows = cut_lineage(by_version(continuous_request_rows(logs, rules))).withColumns({"_earlier": F.lit(False), "_by": F.col("extends_run").cast("bigint")})
     if earlier is not None:
         before = earlier.select("state_key", "ts", F.col("length").alias("_by"), F.lit(True).alias("_earlier"))
         rows = rows.unionByName(before, allowMissingColumns=True)
