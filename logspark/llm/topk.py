@@ -4,8 +4,9 @@ Vectors become integers, floor(scale * x). With every vector lifted by one compo
 the order by inner product is the order by distance, and distances obey the triangle inequality. The index keys a
 vector by its nearest pivot and its distance to it; the vectors of a pivot are cut into annuli of bounded size.
 A query visits annuli in the order of the least distance that they allow, a few at first and then more, and stops
-when no annulus left can hold anything nearer than its k-th best so far. The bound is exact (with a margin for
-rounding), so results are exact whatever the pivots; scores are integer inner products.
+when no annulus left can hold anything nearer than its k-th best so far. Annuli of a pivot have equal width, so those
+within a distance are found by arithmetic from one row a pivot; only visited ones are ever written. The bound is exact
+(with a margin for rounding), so results are exact whatever the pivots; scores are integer inner products.
 
 Pivots are chosen from a bounded sample; every vector is indexed. Queries that want an annulus are dealt out in
 bounded lots, so neither a popular annulus nor many queries meet in one task.
@@ -147,29 +148,29 @@ def _indexed(base: DataFrame, wanted: DataFrame, k: int, pivots: int, sample: in
     centres = _pivots(base, pivots, sample, width, most)
 
     keyed = stored(base.mapInPandas(_nearest(centres, width, most), INDEX + ", pivot int, distance double"))
-    blocks, index = _annuli(keyed, block_rows)
-    pairs = stored(_bounds(wanted, blocks, centres, width, most))
+    spans, crowd, index = _annuli(keyed, block_rows)
+    state = stored(wanted.mapInPandas(_starts(centres, width, most), INDEX + ", away array<double>, seen double"))
     best = None
     visit = first_blocks
-    turns = Window.partitionBy("query").orderBy("least", "block")
     while True:
-        # the k-th best so far bounds what an annulus may allow at most
-        if best is not None:
-            kth = best.groupBy("query").agg(F.count("*").alias("n"), F.min("reach").alias("reach"))
-            pairs = pairs.join(kth, "query", "left").where((F.coalesce("n", F.lit(0)) < k) | (F.col("least") <= F.col("reach")))
-            pairs = pairs.drop("n", "reach")
-        ranked = stored(pairs.withColumn("turn", F.row_number().over(turns)))
-        now = ranked.where(F.col("turn") <= visit).select("query", "block")
-        pairs = ranked.where(F.col("turn") > visit).drop("turn")
-        found = _visited(now, wanted, index, k, width, most)
-        both = found if best is None else best.unionByName(found)
-        order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-        best = stored(both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
-        best, ranks = best.drop("rank"), best
-        if pairs.isEmpty():
+        # the k-th best so far bounds how far the search has to reach
+        if best is None:
+            reached = state.withColumn("reach", F.lit(None).cast("double"))
+        else:
+            kth = best.groupBy("query").agg(F.count("*").alias("n"), F.max("reach").alias("reach"))
+            kth = kth.select(F.col("query").alias("id"), F.when(F.col("n") >= k, F.col("reach")).alias("reach"))
+            reached = state.join(kth, "id", "left")
+        state = stored(reached.mapInPandas(_expansion(spans, most, visit), EXPANDED))
+        if best is not None and state.isEmpty():
             return ranks.select(
                 F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score"
             )
+        found = _visited(_requests(state, crowd), wanted, index, k, width, most)
+        state = state.drop("rings")
+        both = found if best is None else best.unionByName(found)
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+        ranks = stored(both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        best = ranks.drop("rank")
         visit *= 8
 
 
@@ -199,44 +200,109 @@ def _nearest(centres, width: int, most: float):
     return key
 
 
-def _annuli(keyed: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Cuts each pivot's vectors into annuli of about block_rows; a crowded distance is spread over several blocks.
+def _annuli(keyed: DataFrame, block_rows: int) -> tuple[pd.DataFrame, DataFrame, DataFrame]:
+    """Cuts each pivot's vectors into annuli (rings) of equal width, about block_rows each; a crowded one is spread over lots.
 
-    Returns the blocks (block, pivot, low, high) and the index rows with their block.
+    Returns the spans of the pivots (pivot, low, high, parts; a row a pivot, so never more than there are pivots), the
+    lots of each ring that holds vectors (pivot, ring, lots), and the index rows (id, ints, block).
     """
     span = keyed.groupBy("pivot").agg(F.min("distance").alias("low"), F.max("distance").alias("high"), F.count("*").alias("n"))
-    span = span.select("pivot", "low", "high", F.ceil(F.col("n") / block_rows).alias("parts"))
+    span = stored(span.select("pivot", "low", "high", F.ceil(F.col("n") / block_rows).cast("double").alias("parts")))
     step = F.least(F.floor((F.col("distance") - F.col("low")) / (F.col("high") - F.col("low")) * F.col("parts")), F.col("parts") - 1)
-    ringed = keyed.join(span, "pivot").withColumn("ring", F.when(F.col("high") > F.col("low"), step).otherwise(0)).drop("low", "high", "parts")
-    crowd = stored(ringed.groupBy("pivot", "ring").agg(F.count("*").alias("n")))
-    crowd = crowd.select("pivot", "ring", F.ceil(F.col("n") / block_rows).cast("bigint").alias("lots"))
+    ring = F.when(F.col("high") > F.col("low"), step).otherwise(0).cast("bigint")
+    ringed = keyed.join(span, "pivot").select("id", "ints", "pivot", ring.alias("ring"))
+    crowd = ringed.groupBy("pivot", "ring").agg(F.count("*").alias("n"))
+    crowd = stored(crowd.select("pivot", "ring", F.ceil(F.col("n") / block_rows).cast("bigint").alias("lots")))
     lot = F.pmod(F.xxhash64("id", "ints"), "lots")
-    index = stored(
-        ringed.join(crowd, ["pivot", "ring"])
-        .select("id", "ints", "pivot", "distance", F.xxhash64("pivot", "ring", lot).alias("block"))
-    )
-    blocks = stored(index.groupBy("block", "pivot").agg(F.min("distance").alias("low"), F.max("distance").alias("high")))
-    return blocks, index.select("id", "ints", "block")
+    index = stored(ringed.join(crowd, ["pivot", "ring"]).select("id", "ints", _block(lot).alias("block")))
+    return span.toPandas().sort_values("pivot"), crowd, index
+
 
+def _block(lot):
+    return F.xxhash64("pivot", "ring", lot)
 
-def _bounds(wanted: DataFrame, blocks: DataFrame, centres, width: int, most: float) -> DataFrame:
-    """Rows (query, block, least): the least distance that the block's annulus allows, less a margin for rounding."""
+
+def _starts(centres, width: int, most: float):
+    """Queries with their distances to the pivots; nothing is seen yet."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x, norm = grid(batch["ints"], width), batch["norm"].to_numpy()
             # a query has no lift of its own
             square = norm[:, None] + most - 2 * (x @ centres[0].T)
-            d = np.sqrt(np.maximum(square, 0))
-            n = d.shape[1]
-            yield pd.DataFrame({
-                "query": np.repeat(batch["id"].to_numpy(), n), "pivot": np.tile(np.arange(n, dtype=np.int32), len(batch)),
-                "away": d.ravel(),
-            })
-
-    away = wanted.mapInPandas(measure, "query bigint, pivot int, away double")
-    least = F.greatest(F.lit(0.0), F.col("away") - F.col("high"), F.col("low") - F.col("away"))
-    return away.join(blocks, "pivot").select("query", "block", (least * (1 - 1e-9) - (1e-3 + 1e-7 * most**0.5)).alias("least"))
+            yield batch.assign(away=list(np.sqrt(np.maximum(square, 0))), seen=-1.0)
+
+    return measure
+
+
+EXPANDED = "id bigint, away array<double>, seen double, rings array<struct<pivot: int, first: bigint, last: bigint>>"
+
+
+def _expansion(spans: pd.DataFrame, most: float, visit: int):
+    """Lets each query reach about `visit` rings further, but not beyond its k-th best; queries that have got there go.
+
+    The rings that a distance r from the query can touch follow from the triangle inequality by arithmetic: for every
+    pivot they are one run of rings, which grows at both ends. No query is set against the list of all rings.
+    """
+    pivot, low, high, parts = (spans[c].to_numpy() for c in ("pivot", "low", "high", "parts"))
+    margin = 1e-3 + 1e-7 * most**0.5
+
+    def ring(x: np.ndarray) -> np.ndarray:
+        # the same operations as in the index, so that the order of distances is the order of rings
+        flat = high <= low
+        step = np.floor((x - low) / np.where(flat, 1.0, high - low) * parts)
+        return np.where(flat, 0.0, np.clip(step, 0, parts - 1))
+
+    def touched(away: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last ring of each pivot within the radius; the first is above the last where there are none."""
+        pad = ((radius + margin) * (1 + 2e-9))[:, None]
+        none = (away + pad < low) | (away - pad > high) | (radius < 0)[:, None]
+        return np.where(none, 0.0, ring(away - pad)), np.where(none, -1.0, ring(away + pad))
+
+    def count(away: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        first, last = touched(away, radius)
+        return (last - first + 1).sum(axis=1)
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch) or not len(pivot):
+                continue
+            away = np.stack(batch["away"].to_numpy())[:, pivot]
+            seen, reach = batch["seen"].to_numpy(np.float64), batch["reach"].to_numpy(np.float64)
+            reach = np.where(np.isnan(reach), np.inf, reach)
+            all_of_it = np.maximum(np.abs(away - low), np.abs(away - high)).max(axis=1)
+            wanted = count(away, seen) + visit
+            near, far = np.maximum(seen, 0.0), np.maximum(all_of_it, seen)
+            for _ in range(50):
+                middle = (near + far) / 2
+                enough = count(away, middle) >= wanted
+                near, far = np.where(enough, near, middle), np.where(enough, middle, far)
+            radius = np.minimum(far, reach)
+            going = (seen < reach) & (seen < all_of_it)
+            first, last = touched(away, radius)
+            was_first, was_last = touched(away, seen)
+            rings = []
+            for i in range(len(batch)):
+                runs_of = []
+                for p, a, b, c, d in zip(pivot, first[i], last[i], was_first[i], was_last[i]):
+                    if c > d:
+                        runs_of.append((p, a, b))
+                    else:
+                        runs_of += [(p, a, c - 1), (p, d + 1, b)]
+                rings.append([{"pivot": int(p), "first": int(a), "last": int(b)} for p, a, b in runs_of if a <= b])
+            out = batch[["id", "away"]].assign(seen=radius, rings=rings)
+            yield out[going]
+
+    return expand
+
+
+def _requests(state: DataFrame, crowd: DataFrame) -> DataFrame:
+    """Rows (query, block): the blocks of the rings that queries ask for; rings without vectors have none."""
+    asked = state.select("id", F.explode("rings").alias("run"))
+    asked = asked.select("id", "run.pivot", F.explode(F.sequence("run.first", "run.last")).alias("ring"))
+    lots = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("lots") - 1))
+    lotted = asked.join(crowd, ["pivot", "ring"]).select("id", "pivot", "ring", lots.alias("lot"))
+    return lotted.select(F.col("id").alias("query"), _block(F.col("lot")).alias("block"))
 
 
 def _visited(pairs: DataFrame, wanted: DataFrame, index: DataFrame, k: int, width: int, most: float, lot: int = 2048) -> DataFrame:

@@ -57,3 +57,27 @@ def test_large_components_are_exact(spark):
     got = topk.top_k(df, df.where("vec_id % 100 = 0"), k=10, pivots=4, block_rows=64).collect()
     assert set(map(tuple, got)) == want and len(got) == len(want)
     assert any(r.score is None for r in got)
+
+
+def test_queries_ask_only_for_annuli_within_reach(spark, monkeypatch):
+    """Clustered vectors: what is written for a query follows what it visits, not the number of annuli."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(8, 6)) * 20
+    rows = [(i, [float(x) for x in centre[i % 8] + rng.normal(size=6)]) for i in range(8000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked, plain = [], topk._requests
+    monkeypatch.setattr(topk, "_requests", lambda *a: asked.append(plain(*a)) or asked[-1])
+    got = topk.top_k(df, df.where("vec_id % 100 = 0"), k=5, pivots=8, block_rows=32).collect()
+    assert set(map(tuple, got)) == brute(rows, 5)
+    pairs = [(r.query, r.block) for turn in asked for r in turn.collect()]
+    assert len(pairs) == len(set(pairs))  # no annulus is visited twice
+    assert len(pairs) < 80 * (8000 // 32) / 2
+
+
+def test_the_kth_best_bounds_the_search_not_the_best(spark):
+    """On a circle an annulus holds two arcs, so k rows are found before the k nearest are."""
+    turn = np.random.default_rng(8).uniform(0, 2 * np.pi, 1500)
+    rows = [(i, [float(10 * np.cos(t)), float(10 * np.sin(t))]) for i, t in enumerate(turn)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id % 100 = 0"), k=60, pivots=1, block_rows=4).collect()
+    assert set(map(tuple, got)) == brute(rows, 60)
