@@ -61,14 +61,47 @@ def test_removal_that_joins_a_new_window_is_removed_again(spark):
     assert [alphanumeric(r.text) for r in dc.clean(docs, bench).collect()] == [[b"1", b"2", b"3", b"4", b"5", b"6", b"7", b"8", b"9"]]
 
 
-def test_parts_are_fetched_one_at_a_time(spark, monkeypatch):
+def test_passes_are_fetched_one_at_a_time(spark, monkeypatch):
     _, bench = frames(spark)
-    parts = dc.item_parts(bench, 3, "item_id", "text")
+    passes = dc.item_passes(bench, 10, 3, 1, "item_id", "text")
     fetched, collect = [], type(bench).collect
     monkeypatch.setattr(type(bench), "collect", lambda df: fetched.append(collect(df)) or fetched[-1])
-    got = []
-    for k, part in enumerate(parts, 1):
-        got += part
-        assert len(fetched) == k
-    assert k == len(parts) > 1
-    assert sorted(got, key=str) == sorted({(r.item_id, r.text) for r in collect(bench) if r.text is not None}, key=str)
+    names, words = [], set()
+    for k, automata in enumerate(passes, 1):
+        assert len(fetched) == k and len(automata) == 1
+        automaton = dc.ItemAutomaton.opened(automata[0])
+        names += automaton.names
+        words |= set(automaton.number)
+    assert k == len(passes) > 1
+    items = {(r.item_id, r.text) for r in collect(bench) if r.text is not None}
+    assert sorted(map(str, names)) == sorted(str(i) for i, _ in items)
+    assert words == {w for _, text in items for w in alphanumeric(text)}
+
+
+def test_many_passes_agree_with_one(spark):
+    """Items over all passes, repeated and empty texts, windows that removals join across parts, ids with commas."""
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+    bench = spark.createDataFrame([(f"i,{n}" if n % 3 else None, text(rng.randint(1, 7))) for n in range(60)], "item_id string, text string")
+    texts = [text(rng.randint(0, 40)).replace("e", "zz").replace("f", "q1") for _ in range(150)] + [None, None, "", "zz", "zz"]
+    docs = spark.createDataFrame([(n, t, 1, "s", "n") for n, t in enumerate(texts)], "doc_id long, text string, key int, spans string, names string")
+    one, many = dict(window=5), dict(window=5, most_words=20, most_bytes=2500)
+    assert len(dc.item_passes(bench, 5, 20, 2500, "item_id", "text")) > 3
+    a, b = (sorted(map(str, dc.matches(docs, bench, **x).collect())) for x in (one, many))
+    assert a == b
+    items = [(r.item_id, alphanumeric(r.text)) for r in bench.collect()]
+    for r in dc.matches(docs, bench, **many).collect():
+        hit, named = brute(alphanumeric(r.text), items, 5)
+        assert (r.found.n_hit, r.found.n_items) == (len(hit), len(named - {None}))
+    a, b = (dc.clean(docs, bench, coverage=0.7, **x) for x in (one, many))
+    assert a.columns == b.columns == docs.columns
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert 0 < a.count() < docs.count()
+
+
+def test_a_pass_writes_only_hits(spark):
+    docs, bench = frames(spark)
+    passes = dc.item_passes(bench, 10, 3, 1, "item_id", "text")
+    hits = dc.hits_of(docs.selectExpr("cast(doc_id AS string) AS key", "text"), passes)
+    assert hits.columns == ["key", "spans", "names"]
+    assert {(r.key, r.spans) for r in hits.collect()} == {("1", "1:11"), ("4", "1:4"), (None, "0:4")}
