@@ -1,3 +1,5 @@
+import zlib
+
 import duckdb
 import numpy as np
 
@@ -32,3 +34,28 @@ def test_odd_rows(spark):
     assert quality.learn(df, labels.where("quality = 1")) is None
     assert quality.good(df, labels).columns == df.columns
     assert quality.scored(df.limit(0), quality.learn(df.limit(0), labels)).count() == 0
+
+
+def test_all_labels_and_all_pairs_are_learned_from(spark):
+    # more good documents than were once drawn; some labels come twice, one document has both
+    rng = np.random.default_rng(5)
+    texts = {i: " ".join(rng.choice(["plain", "word", "and", "Then", "7"], 1 + i % 23)) + ("!" * int(rng.integers(4)) if i % 9 == 0 else ".") for i in range(6300)}
+    labels = [(i, int(i % 9 != 0)) for i in texts] + [(i, 1) for i in range(1, 200, 9)] + [(4, 0)]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = quality.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    learned = [(i, k) for i, k in labels if zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([quality.features(texts[i]) for i, _ in learned]), np.array([k for _, k in learned])
+    assert (y == 1).sum() > 4000
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.spread, np.maximum(x.std(axis=0), 1e-6), atol=1e-5)
+    z = model.expand(x)
+    good, bad = z[y == 1], z[y == 0]
+    lost = 1 / (1 + np.exp((good @ model.weights)[:, None] - (bad @ model.weights)[None, :]))
+    gradient = (lost.sum(axis=0) @ bad - lost.sum(axis=1) @ good) / lost.size + 1e-3 * model.weights
+    assert np.abs(gradient).max() < 1e-5
+    assert np.isclose(model.accept, np.quantile(model.strength(x), (y == 0).mean()), rtol=0, atol=1e-8)
+
+
+def test_nth_counts_values_as_often_as_they_occur(spark):
+    values = [(0.5, 3), (-2.0, 1), (7.25, 2), (0.5, 1), (0.500000001, 1)]
+    df = spark.createDataFrame(values, "s double, n bigint")
+    assert [quality.nth(df, k) for k in range(8)] == [-2.0, 0.5, 0.5, 0.5, 0.5, 0.500000001, 7.25, 7.25]
