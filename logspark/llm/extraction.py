@@ -1,7 +1,8 @@
 """Main text of web pages by wrapper induction.
 
-A bounded sample of different pages of each host only names the layouts: pages with other tag paths have another
-layout, and the page with the most elements is its reference. Every page of the host is then aligned to the reference
+All different pages of a host name its layouts: pages with other tag paths have another layout, and the page with the
+most elements is its reference (pages of more than four times the host's mean come last, so that no freak is one while
+others will do). Every page of the host is then aligned to the reference
 of its layout by simple tree matching (the largest set of element pairs that keeps parents, tags and order), and
 the texts at each reference node are counted over all different pages. Nodes that carry the same text in nearly
 all of them are constant: they are the host's template. The nodes whose text varies are slots. A page loses what
@@ -339,11 +340,26 @@ def alike(a: frozenset, b: frozenset) -> float:
     return len(a & b) / max(1, len(a | b))
 
 
+#: Likeness of tag paths from which pages have one layout, and multiple of a host's mean elements that makes a freak.
+FIT = 0.5
+FREAK = 4
+
+
+def leaders(paths: list[frozenset], fit: float = FIT) -> list[int]:
+    """Numbers of the path sets, in their order, that are like none of the leaders before. Empty ones are like nothing."""
+    out: list[int] = []
+    for n, own in enumerate(paths):
+        if own and all(alike(own, paths[i]) < fit for i in out):
+            out.append(n)
+    return out
+
+
 class Layouts:
     """The reference trees of a host, one for each layout; elements are numbered in page order."""
 
     def __init__(self, data: list):
         self.trees, self.paths, self.numbers, self.contents = [], [], [], []
+        self.nearest: dict[frozenset, int] = {}
         for flat in data:
             nodes: list[Node] = []
             for tag, parent, _ in flat:
@@ -357,30 +373,35 @@ class Layouts:
             self.contents.append([bool(content) for _, _, content in flat])
 
     @staticmethod
-    def of(pages: list[str], least: int = 4, fit: float = 0.5) -> list | None:
-        """The layouts of sample pages as plain data; None if there are fewer than least different pages."""
+    def of(pages: list[str], least: int = 4) -> list | None:
+        """The layouts of different pages as plain data; None if there are fewer than least pages."""
         trees = [parse(p) for p in dict.fromkeys(pages)]
         if len(trees) < least:
             return None
-        found: list[tuple[Node, set[int], frozenset]] = []
-        for tree, contents in sorted(((t, _contents(t)) for t in trees), key=lambda x: -len(x[1])):
-            paths = tag_paths(tree)
-            if all(alike(paths, other) < fit for _, _, other in found):
-                found.append((tree, contents, paths))
-        out = []
-        for tree, contents, _ in found:
-            flat, todo = [], [(tree, -1)]
-            while todo:
-                node, parent = todo.pop()
-                todo += [(k, len(flat)) for k in reversed(node.elements())]
-                flat.append((node.tag, parent, int(id(node) in contents)))
-            out.append(flat)
+        sizes = [len(_contents(t)) for t in trees]
+        order = sorted(range(len(trees)), key=lambda i: (sizes[i] * len(sizes) > FREAK * sum(sizes), -sizes[i]))
+        paths = [tag_paths(trees[i]) for i in order]
+        return [Layouts.flat(trees[order[n]]) for n in leaders(paths)] or None
+
+    @staticmethod
+    def flat(tree: Node) -> list:
+        """A reference tree as rows (tag, number of the parent, whether the extraction would read it)."""
+        contents, out, todo = _contents(tree), [], [(tree, -1)]
+        while todo:
+            node, parent = todo.pop()
+            todo += [(k, len(out)) for k in reversed(node.elements())]
+            out.append((node.tag, parent, int(id(node) in contents)))
         return out
 
-    def align(self, root: Node, fit: float = 0.5) -> tuple[int, list[tuple[int, Node]]] | None:
+    def align(self, root: Node, fit: float = FIT) -> tuple[int, list[tuple[int, Node]]] | None:
         """The layout of a page, and the numbers of the reference elements with the page's elements."""
         paths = tag_paths(root)
-        best = max(range(len(self.trees)), key=lambda i: alike(paths, self.paths[i]))
+        best = self.nearest.get(paths)
+        if best is None:
+            best = max(range(len(self.trees)), key=lambda i: alike(paths, self.paths[i]))
+            if len(self.nearest) > 10_000:
+                self.nearest.clear()
+            self.nearest[paths] = best
         if alike(paths, self.paths[best]) < fit:
             return None
         number = self.numbers[best]
@@ -509,23 +530,19 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def wrappers(pages: DataFrame, sample: int = 6, url_col: str = "url", html_col: str = "html", least: int = 4) -> DataFrame:
-    """Rows (host, wrapper) of the hosts that have one. So many different pages of each host name its layouts; the
-    constant texts are counted over all its different pages."""
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: int = 4) -> DataFrame:
+    """Rows (host, wrapper) of the hosts that have one. All different pages of a host name its layouts, and the
+    constant texts are counted over all of them."""
     keyed = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("html IS NOT NULL")
     keyed = keyed.withColumn("key", F.xxhash64("html"))
-    order = Window.partitionBy("host").orderBy("key")
-    chosen = keyed.select("host", "key").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
-    chosen = light(stored(chosen.drop("n")))
-    taken = keyed.join(chosen, ["host", "key"]).dropDuplicates(["host", "key"]).select("host", "html")
+    chosen = reference_pages(keyed, least)
+    taken = keyed.join(light(chosen), ["host", "key"]).dropDuplicates(["host", "key"]).select("host", "rank", "key", "html")
 
     def lay_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in runs(batches, "host"):
-            data = Layouts.of(list(group["html"]), least)
-            if data is not None:
-                yield pd.DataFrame([(group["host"].iloc[0], json.dumps(data))], columns=["host", "layouts"])
+            yield pd.DataFrame([(group["host"].iloc[0], json.dumps([Layouts.flat(parse(p)) for p in group["html"]]))], columns=["host", "layouts"])
 
-    parts = taken.repartition("host").sortWithinPartitions("host", "html")
+    parts = taken.repartition("host").sortWithinPartitions("host", "rank", "key")
     layouts = stored(parts.mapInPandas(lay_out, "host string, layouts string"))
     marked = keyed.join(light(layouts, 10_000, MOST_SENT), "host").mapInPandas(
         _mark, "host string, key bigint, layout int, marks binary, sizes binary")
@@ -551,6 +568,59 @@ def wrappers(pages: DataFrame, sample: int = 6, url_col: str = "url", html_col:
     return stored(layouts.join(fixed, "host").mapInPandas(wrap, "host string, wrapper string"))
 
 
+def reference_pages(keyed: DataFrame, least: int, most: int = 1000) -> DataFrame:
+    """Rows (host, rank, key): the reference pages of the layouts of each host of at least so many different pages.
+
+    keyed: rows (host, html, key). Every page is like a reference, but for pages without block elements. References
+    are found among the different sets of tag paths of a host: the first so many of them in one task, then the sets that
+    are like none found are taken up again, until there are none.
+    """
+    kinds = "host string, key bigint, paths binary, size int"
+    different = stored(keyed.mapInPandas(_outline, kinds).dropDuplicates(["host", "key"]))
+    hosts = different.groupBy("host").agg(F.count("*").alias("pages"), F.sum("size").alias("sizes")).where(F.col("pages") >= least)
+    freak = (F.col("size") * F.col("pages") > FREAK * F.col("sizes")).cast("bigint")
+    # the sets are ranked by their first page: no freaks, many elements
+    ranked = different.where(F.length("paths") > 0).join(light(stored(hosts)), "host").withColumn("rank", freak * (1 << 32) - F.col("size"))
+    left = stored(ranked.groupBy("host", "paths").agg(F.min(F.struct("rank", "key")).alias("first")).select("host", "paths", "first.*"))
+    order = Window.partitionBy("host").orderBy("rank", "key", "paths")
+    found = None
+    while not left.isEmpty():
+        tried = left.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
+        new = stored(tried.repartition("host").sortWithinPartitions("host", "rank", "key", "paths").mapInPandas(_lead, tried.schema))
+        own = new.groupBy("host").agg(F.collect_list("paths").alias("leaders"))
+        left = stored(left.join(own, "host").mapInPandas(_unlike, left.schema))
+        found = new if found is None else found.unionByName(new)
+    return (left if found is None else found).select("host", "rank", "key")
+
+
+def _outline(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        trees = map(parse, batch["html"])
+        outlines = [(np.array(sorted(tag_paths(t)), np.uint64).tobytes(), len(_contents(t))) for t in trees]
+        yield pd.DataFrame({"host": batch["host"], "key": batch["key"], "paths": [p for p, _ in outlines], "size": [n for _, n in outlines]})
+
+
+def _path_set(data: bytes) -> frozenset[int]:
+    return frozenset(np.frombuffer(data, np.uint64).tolist())
+
+
+def _lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for group in runs(batches, "host"):
+        yield group.iloc[leaders([_path_set(p) for p in group["paths"]])]
+
+
+def _unlike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        known: dict[str, list[frozenset]] = {}
+        keep = []
+        for host, paths, found in zip(batch["host"], batch["paths"], batch["leaders"]):
+            if host not in known:
+                known[host] = [_path_set(p) for p in found]
+            own = _path_set(paths)
+            keep.append(all(alike(own, other) < FIT for other in known[host]))
+        yield batch.loc[keep, ["host", "paths", "rank", "key"]]
+
+
 def _mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known: dict[str, Layouts] = {}
     for batch in batches:

@@ -119,3 +119,36 @@ def test_deep_and_long_pages():
     assert ex.induce(deep) is None
     size, pairs = ex.matched(ex.parse("<br>" * 20_000 + "<p>a</p>"), ex.parse("<br>" * 19_000 + "<p>b</p>"))
     assert size == len(pairs) == 19_002
+
+
+def layout_page(layout, i):
+    # twelve layouts: their block elements nest in ways of their own
+    tags = ["section", "ul", "blockquote", "dl", "table", "details", "figure", "ol", "pre", "address", "center", "dir"]
+    a, b = tags[layout], tags[(layout * 5 + 3) % 12]
+    inner = "".join(f"<{a}><{b}><{a}>Layout {layout} story {i} {k} of {i * k} things</{a}></{b}></{a}>" for k in range(1 + i % 3))
+    return f"<html><body><{a}><{b}>Join club {layout} today</{b}>{inner}</{a}></body></html>"
+
+
+def test_every_layout_of_a_host_is_found_among_all_pages(spark):
+    # more layouts than pages were once sampled, some of them rare
+    rows = [(100 * layout + i, "http://h.example/x", layout_page(layout, i)) for layout in range(12) for i in range(5 if layout % 2 else 30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.main_text for r in ex.main_text(df).collect()}
+    for layout in range(12):
+        for i in range(5 if layout % 2 else 30):
+            assert got[100 * layout + i] == " ".join(f"Layout {layout} story {i} {k} of {i * k} things" for k in range(1 + i % 3))
+
+
+def test_references_in_rounds_are_those_of_one_process(spark):
+    pages = [layout_page(layout, i) for layout in range(12) for i in range(6)] + ["", "no elements"] + [page(i) for i in range(9)]
+    df = spark.createDataFrame([("h", p) for p in pages] + [("few", p) for p in pages[:3]], "host string, html string")
+    keyed = df.selectExpr("host", "html", "xxhash64(html) AS key").repartition(5)
+    want = None
+    for most in (1000, 2):
+        got = [(r.host, r.rank, r.key) for r in ex.reference_pages(keyed, 4, most).orderBy("host", "rank", "key").collect()]
+        assert {host for host, _, _ in got} == {"h"} and len(got) == 13
+        assert want in (None, got)
+        want = got
+    html = {r.key: r.html for r in keyed.collect()}
+    one = ex.Layouts.of([html[k] for k in sorted(html)])
+    assert one == [ex.Layouts.flat(ex.parse(html[k])) for _, _, k in want]
